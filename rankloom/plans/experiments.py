@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.metrics import CUTOFFS, evaluate
 from ..operators.runs import union_runs
@@ -72,7 +73,8 @@ def search_once(method: Method, dataset: Dataset, k: int = TOP_K, path: str | No
     """Fit, search and store the run; returns (run, seconds by step)."""
     model = method.fit(dataset.corpus, dataset.name)
     start = time.perf_counter()
-    run = staged(model.search(dataset.queries, k), "run", path)
+    found = model.search(dataset.queries, k)
+    run = staged(found.withColumn("score", F.col("score").cast("double")), "run", path)
     return run, {"encode_time_s": model.encode_seconds, "index_time_s": model.index_seconds,
                  "search_time_s": time.perf_counter() - start}
 
@@ -124,9 +126,8 @@ def run_all(datasets: Sequence[Dataset], methods: Sequence[str] = tuple(METHODS)
                 run, seconds = search_once(registry[name](trial), dataset, k, path)
                 timings.append({"dataset": dataset.name, "method": name, "trial": trial, **seconds})
                 parts.append(run.schema)
-    schema = parts[0].simpleString()[len("struct<"):-1]
-    table = spark.read.schema(f"{schema}, dataset string, method string, trial int").parquet(root)
-    return table.select(*CELL, *parts[0].names), timings
+    schema = T.StructType([*parts[0].fields, *T.StructType.fromDDL("dataset string, method string, trial int").fields])
+    return spark.read.schema(schema).parquet(root).select(*CELL, *parts[0].names), timings
 
 
 def sweep(datasets: Sequence[Dataset], methods: Sequence[str] = tuple(METHODS),
