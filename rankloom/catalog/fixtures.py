@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..operators.lexical import doc_freq, query_terms, term_matches, tokens
-from ..plans.staging import is_small
+from ..operators.lexical import query_terms, term_matches, tokens
+from ..plans.staging import is_small, staged
 from ..sources.benchmark_files import Dataset
 
 
@@ -45,30 +45,23 @@ def _phrase(text):
 def qrels(spark: SparkSession, folder: str) -> DataFrame:
     """``(qid, doc_id, rel)``: documents that hold the query passage term by term.
 
-    The rarest term of each passage finds the candidates by an equi-join; only
+    The longest term of each passage finds the candidates by an equi-join; only
     those are compared as text. rel is 1 plus the quality label.
     """
     docs, asked = plain_corpus(spark, folder), queries(spark, folder)
-    terms = tokens(docs).distinct()
-    wanted = query_terms(asked)
-    rarity = doc_freq(term_matches(tokens(docs), wanted.select("term").distinct())).select("term", "df")
-    anchors = (
-        wanted.join(rarity, "term").groupBy("qid")
-        .agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    )
-    candidates = term_matches(terms, anchors).select("qid", "doc_id")
+    anchors = query_terms(asked).groupBy("qid").agg(F.max_by("term", F.struct(F.length("term"), "term")).alias("term"))
+    pairs = staged(term_matches(tokens(docs), anchors).select("qid", "doc_id").distinct(), "pairs")
     phrases = asked.select("qid", _phrase(F.col("text")).alias("passage"))
-    pairs = candidates.join(phrases, "qid")
-    pairs = F.broadcast(pairs) if is_small(pairs) else pairs
-    found = docs.join(pairs, "doc_id").where(F.contains(_phrase(F.col("text")), F.col("passage")))
+    passages = pairs.join(phrases, "qid")
+    passages = F.broadcast(passages) if is_small(passages) else passages
+    found = docs.join(passages, "doc_id").where(F.contains(_phrase(F.col("text")), F.col("passage")))
     labels = table(spark, folder, "labels").select("doc_id", "quality")
     return found.select("qid", "doc_id").join(labels, "doc_id", "left").select(
         "qid", "doc_id", (F.lit(1) + F.coalesce("quality", F.lit(0))).cast("int").alias("rel"))
 
 
-def titled_dataset(spark: SparkSession, folder: str) -> Dataset:
-    return Dataset("titled", corpus(spark, folder), queries(spark, folder), qrels(spark, folder))
-
-
-def plain_dataset(spark: SparkSession, folder: str) -> Dataset:
-    return Dataset("plain", plain_corpus(spark, folder), queries(spark, folder), qrels(spark, folder))
+def datasets(spark: SparkSession, folder: str) -> dict[str, Dataset]:
+    """The documents without and with titles, on the same stored judgements."""
+    asked, judged = queries(spark, folder), staged(qrels(spark, folder), "qrels")
+    return {"plain": Dataset("plain", plain_corpus(spark, folder), asked, judged),
+            "titled": Dataset("titled", corpus(spark, folder), asked, judged)}

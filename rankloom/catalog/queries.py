@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.encoders import HashedTermEncoder, LogCountEncoder
@@ -420,10 +419,6 @@ def metrics_all_judged(spark, sf):
 # ---- experiments ---------------------------------------------------------
 
 
-def _stored_qrels(dataset):
-    return replace(dataset, qrels=staged(dataset.qrels, "qrels"))
-
-
 @registered
 def experiment_grid(spark, sf):
     """Every language of the documents is a dataset of its own."""
@@ -443,7 +438,7 @@ def unknown_methods(spark, sf):
 @registered
 def run_record(spark, sf):
     """One experiment from build to record; the seconds are left out."""
-    dataset = _stored_qrels(fx.plain_dataset(spark, sf))
+    dataset = fx.datasets(spark, sf)["plain"]
     record = experiments.run_single(METHODS["bm25"](0), dataset, "bm25", k=TERM_K)
     return record.drop("encode_time_s", "index_time_s", "qps")
 
@@ -451,7 +446,7 @@ def run_record(spark, sf):
 @registered
 def all_methods_run(spark, sf):
     """The run of every method over one dataset, first trial."""
-    dataset = fx.plain_dataset(spark, sf)
+    dataset = fx.datasets(spark, sf)["plain"]
     table, _ = experiments.run_all([dataset], k=VECTOR_K, trials=lambda method: 1)
     return table.select("method", "qid", "doc_id", F.col("score").cast("double").alias("score"), "rank")
 
@@ -459,15 +454,13 @@ def all_methods_run(spark, sf):
 @registered
 def experiment_sweep(spark, sf):
     """All methods and trials, build to record; the seconds are left out."""
-    records = experiments.sweep([_stored_qrels(fx.plain_dataset(spark, sf))], k=TERM_K)
+    records = experiments.sweep([fx.datasets(spark, sf)["plain"]], k=TERM_K)
     return records.drop("encode_time_s", "index_time_s", "qps")
 
 
 def _term_records(spark, sf):
     """Records of the two term methods over texts without and with titles."""
-    judged = staged(fx.qrels(spark, sf), "qrels")
-    datasets = [replace(d, qrels=judged) for d in (fx.plain_dataset(spark, sf), fx.titled_dataset(spark, sf))]
-    return experiments.sweep(datasets, ["bm25", "splade"], k=TERM_K)
+    return experiments.sweep(list(fx.datasets(spark, sf).values()), ["bm25", "splade"], k=TERM_K)
 
 
 RECORD_SCHEMA = ("dataset string, method string, trial int, num_docs long, num_queries long, "

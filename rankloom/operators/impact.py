@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.staging import bucketed, new_path, open_bucketed, shard_count
+from ..plans.staging import bucketed, is_small, new_path, open_bucketed, shard_count
 from .lexical import term_matches
 from .ranking import top_k
 
@@ -54,7 +54,7 @@ def impact_scores(index: ImpactIndex, query_impacts: DataFrame, total: int | Non
     """``(qid, doc_id, score)`` with an exact LONG score."""
     rows = index.impacts.select("doc_id", "term", F.col("weight").cast("long").alias("doc_weight"))
     asked = query_impacts.select("qid", "term", F.col("weight").cast("long").alias("query_weight"))
-    matched = term_matches(rows, asked, None, total, broadcast_bytes)
+    matched = term_matches(rows, asked, None, total, is_small(asked, broadcast_bytes))
     return matched.groupBy("qid", "doc_id").agg(
         F.sum(F.col("query_weight") * F.col("doc_weight")).alias("score"))
 

@@ -102,14 +102,15 @@ class LexicalIndex:
 
 
 def term_matches(rows: DataFrame, query_side: DataFrame, frequencies: DataFrame | None = None,
-                 total: int | None = None, broadcast_bytes: int | None = None) -> DataFrame:
+                 total: int | None = None, small: bool | None = None) -> DataFrame:
     """Equi-join of query terms with postings-like rows on ``term``.
 
     A query side of checked size is broadcast and the postings stay where they
     are. A larger one is joined by an exchange on the term; hot terms are split
     over salts by document so that no task holds one term's whole list.
+    ``small`` is the outcome of the check where the caller has made it already.
     """
-    if is_small(query_side, broadcast_bytes):
+    if is_small(query_side) if small is None else small:
         return rows.join(F.broadcast(query_side), "term")
     frequencies = doc_freq(rows) if frequencies is None else frequencies
     total = frequencies.agg(F.sum("df")).first()[0] if total is None else total
@@ -131,23 +132,26 @@ def term_matches(rows: DataFrame, query_side: DataFrame, frequencies: DataFrame
     return spread.join(copies, ["term", "salt"]).drop("salt")
 
 
-def bm25_weights(index: LexicalIndex, terms: DataFrame, broadcast_bytes: int | None = None) -> DataFrame:
+def bm25_weights(index: LexicalIndex, terms: DataFrame, small: bool | None = None) -> DataFrame:
     """``(qid, term, weight)``: query count times inverse document frequency."""
-    small = F.broadcast(terms) if is_small(terms, broadcast_bytes) else terms
+    small = is_small(terms) if small is None else small
     df = F.col("df").cast("double")
     idf = F.log(F.lit(1.0) + (F.lit(float(index.n)) - df + F.lit(0.5)) / (df + F.lit(0.5)))
-    return index.doc_freq.join(small, "term").select(
+    return index.doc_freq.join(F.broadcast(terms) if small else terms, "term").select(
         "qid", "term", (F.col("qtf").cast("double") * idf).alias("weight"))
 
 
 def bm25_scores(index: LexicalIndex, queries: DataFrame, k1: float = K1, b: float = B,
                 analyzer: Analyzer = words, broadcast_bytes: int | None = None) -> DataFrame:
     """``(qid, doc_id, score)`` for every document that shares a term with a query."""
-    weights = bm25_weights(index, query_terms(queries, analyzer), broadcast_bytes)
+    terms = query_terms(queries, analyzer)
+    # The weights have the rows and width of the terms, so one check serves both.
+    small = is_small(terms, broadcast_bytes)
+    weights = bm25_weights(index, terms, small)
     tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
     length = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * dl / F.lit(float(index.avgdl or 1.0)))
     matched = term_matches(index.postings.select("doc_id", "term", (tf / (tf + length)).alias("part")),
-                           weights, index.doc_freq, index.total, broadcast_bytes)
+                           weights, index.doc_freq, index.total, small)
     return matched.groupBy("qid", "doc_id").agg(
         F.round(F.sum(F.col("weight") * F.col("part")), SCORE_PLACES).alias("score"))
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCORE_PLACES = 6
+# From this many partitions on, top rows are merged in two steps.
+MANY_PARTITIONS = 1_000
 
 
 def ranked(scores: DataFrame, by: Sequence[str] = ("qid",)) -> DataFrame:
@@ -15,10 +18,19 @@ def ranked(scores: DataFrame, by: Sequence[str] = ("qid",)) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order))
 
 
-def top_k(scores: DataFrame, k: int, by: Sequence[str] = ("qid",)) -> DataFrame:
+def top_k(scores: DataFrame, k: int, by: Sequence[str] = ("qid",), parts: int | None = None) -> DataFrame:
     """``run(qid, doc_id, score, rank)`` with rank <= k.
 
     The rank filter lets Spark cut each partition to k rows per query before
     the exchange, so a query that matches most of the corpus moves few rows.
+    With very many partitions even those are too many for one task per query:
+    they are first merged in ``parts`` groups of partitions.
     """
+    if parts is None:
+        partitions = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = math.isqrt(partitions) if partitions >= MANY_PARTITIONS else 1
+    if parts > 1:
+        # Any split into groups gives the same result.
+        grouped = scores.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(parts)))
+        scores = ranked(grouped, [*by, "part"]).where(F.col("rank") <= k).drop("rank", "part")
     return ranked(scores, by).where(F.col("rank") <= k)

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from ..operators.metrics import CUTOFFS, evaluate
 from ..operators.runs import union_runs
 from ..sources.benchmark_files import Dataset
-from .retrievers import METHODS, Method
+from ..sources.vector_tables import EmbeddingCache
+from .retrievers import METHODS, Method, registry
 from .staging import new_path, staged
 
 # Documents kept for a query, and trials of a method whose build
@@ -113,17 +114,18 @@ def run_single(method: Method, dataset: Dataset, name: str, trial: int = 0, k: i
 
 
 def run_all(datasets: Sequence[Dataset], methods: Sequence[str] = tuple(METHODS),
-            registry: dict[str, Callable[[int], Method]] = METHODS, k: int = TOP_K,
+            factories: dict[str, Callable[[int], Method]] | None = None, k: int = TOP_K,
             trials: Callable[[str], int] = trials_of) -> tuple[DataFrame, list[dict]]:
     """Every run of the grid in one table keyed by (dataset, method, trial)."""
-    check_methods(methods, tuple(registry))
     spark = datasets[0].corpus.sparkSession
+    factories = factories or registry(EmbeddingCache(new_path(spark, "embeddings")))
+    check_methods(methods, tuple(factories))
     root, timings, parts = new_path(spark, "runs"), [], []
     for dataset in datasets:
         for name in methods:
             for trial in range(trials(name)):
                 path = f"{root}/dataset={dataset.name}/method={name}/trial={trial}"
-                run, seconds = search_once(registry[name](trial), dataset, k, path)
+                run, seconds = search_once(factories[name](trial), dataset, k, path)
                 timings.append({"dataset": dataset.name, "method": name, "trial": trial, **seconds})
                 parts.append(run.schema)
     schema = T.StructType([*parts[0].fields, *T.StructType.fromDDL("dataset string, method string, trial int").fields])
@@ -131,8 +133,8 @@ def run_all(datasets: Sequence[Dataset], methods: Sequence[str] = tuple(METHODS)
 
 
 def sweep(datasets: Sequence[Dataset], methods: Sequence[str] = tuple(METHODS),
-          registry: dict[str, Callable[[int], Method]] = METHODS, k: int = TOP_K,
+          factories: dict[str, Callable[[int], Method]] | None = None, k: int = TOP_K,
           trials: Callable[[str], int] = trials_of, ks: Sequence[int] = CUTOFFS) -> DataFrame:
     """Run the grid and return its records."""
-    runs, timings = run_all(datasets, methods, registry, k, trials)
+    runs, timings = run_all(datasets, methods, factories, k, trials)
     return records(runs.sparkSession, runs, datasets, timings, ks)

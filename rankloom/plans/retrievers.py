@@ -108,7 +108,8 @@ class _Dense:
         texts = indexed_text(corpus)
         shards = shard_count(corpus.sparkSession, self.shards)
         if self.cache is not None:
-            return self.cache.vectors(texts, dataset, self.encoder, self.encoder.encoder_id)
+            known = self.cache.vectors(texts.repartition(shards, "doc_id"), dataset, self.encoder, self.encoder.encoder_id)
+            return staged(known, "vectors")
         return staged(encode_dense(texts.repartition(shards, "doc_id"), self.encoder), "vectors")
 
     def _queries(self, queries: DataFrame) -> DataFrame:
@@ -156,13 +157,20 @@ class Cells(_Dense):
                       time.perf_counter() - encoded, encoded - start)
 
 
-# Method names as users of the experiments know them; a factory makes a fresh
-# object for every trial.
-METHODS: dict[str, Callable[[int], Method]] = {
-    "bm25": lambda trial: Bm25(),
-    "splade": lambda trial: LearnedImpact(),
-    "flat": lambda trial: Flat(),
-    "flat_quantized": lambda trial: Flat(compression="int8"),
-    "hnsw": lambda trial: Cells(trial=trial),
-    "hnsw_quantized": lambda trial: Cells(trial=trial, compression="int8"),
-}
+def registry(cache: EmbeddingCache | None = None) -> dict[str, Callable[[int], Method]]:
+    """Method names as users of the experiments know them.
+
+    A factory makes a fresh object for every trial; with a ``cache`` the dense
+    methods encode a corpus once between them.
+    """
+    return {
+        "bm25": lambda trial: Bm25(),
+        "splade": lambda trial: LearnedImpact(),
+        "flat": lambda trial: Flat(cache=cache),
+        "flat_quantized": lambda trial: Flat(cache=cache, compression="int8"),
+        "hnsw": lambda trial: Cells(cache=cache, trial=trial),
+        "hnsw_quantized": lambda trial: Cells(cache=cache, trial=trial, compression="int8"),
+    }
+
+
+METHODS = registry()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..operators.encode import encode_dense
+from ..plans.staging import is_small, staged
 
 
 def write_vectors(vectors: DataFrame, path: str, fmt: str = "json") -> None:
@@ -32,7 +33,7 @@ class EmbeddingCache:
 
     path: str
 
-    def _stored(self, spark: SparkSession, dataset: str, encoder_id: str, id_type: str) -> DataFrame:
+    def _stored(self, spark: SparkSession, dataset: str, encoder_id: str, id_type: str) -> DataFrame | None:
         folder = f"{self.path}/dataset={dataset}/encoder_id={encoder_id}"
         schema = f"doc_id {id_type}, content_hash long, vector array<float>"
         try:
@@ -40,17 +41,25 @@ class EmbeddingCache:
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return spark.createDataFrame([], schema)
+            return None
 
     def vectors(self, texts: DataFrame, dataset: str, encoder, encoder_id: str) -> DataFrame:
         """``texts(doc_id, text)`` to ``(doc_id, vector)``, encoding only what is new."""
         spark = texts.sparkSession
         id_type = texts.schema["doc_id"].dataType.simpleString()
         hashed = texts.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content_hash"), "text")
+        keys = ["doc_id", "content_hash"]
         stored = self._stored(spark, dataset, encoder_id, id_type)
-        new = hashed.join(stored.select("doc_id", "content_hash"), ["doc_id", "content_hash"], "left_anti")
-        folder = f"{self.path}/dataset={dataset}/encoder_id={encoder_id}"
-        encode_dense(new, encoder).write.mode("append").parquet(folder)
+        if stored is None:
+            new = hashed
+        else:
+            # Only keys are compared; texts move only if most of them are new.
+            unknown = staged(hashed.select(keys).join(stored.select(keys), keys, "left_anti"), "unknown")
+            new = hashed.join(F.broadcast(unknown) if is_small(unknown) else unknown, keys, "left_semi")
+            if unknown.isEmpty():
+                new = None
+        if new is not None:
+            folder = f"{self.path}/dataset={dataset}/encoder_id={encoder_id}"
+            encode_dense(new, encoder).write.mode("append").parquet(folder)
         current = self._stored(spark, dataset, encoder_id, id_type)
-        wanted = hashed.select("doc_id", "content_hash")
-        return current.join(wanted, ["doc_id", "content_hash"], "left_semi").select("doc_id", "vector")
+        return current.join(hashed.select(keys), keys, "left_semi").select("doc_id", "vector")
