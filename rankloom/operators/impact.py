@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.staging import bucketed, is_small, new_path, open_bucketed, shard_count
+from ..plans.staging import bucketed, is_small, new_path, open_bucketed, shard_count, write_meta
 from .lexical import term_matches
 from .ranking import top_k
 
@@ -33,8 +33,7 @@ class ImpactIndex:
         rows = bucketed(impacts.select("doc_id", "term", "weight"), "doc_id", "impacts",
                         f"{path}/impacts", shards)
         ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-        spark.createDataFrame([(ddl, shards)], "schema string, shards int").coalesce(1) \
-            .write.mode("overwrite").json(f"{path}/meta")
+        write_meta(spark, f"{path}/meta", schema=ddl, shards=shards)
         return cls(rows)
 
     @classmethod

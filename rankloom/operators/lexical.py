@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import Analyzer, words
-from ..plans.staging import bucketed, is_small, new_path, open_bucketed, shard_count, staged
+from ..plans.staging import bucketed, is_small, new_path, open_bucketed, shard_count, staged, write_meta
 from .ranking import SCORE_PLACES, top_k
 
 # The usual defaults of the scoring formula.
@@ -89,8 +89,8 @@ class LexicalIndex:
         frequencies = staged(doc_freq(rows), "doc_freq", f"{path}/doc_freq")
         stats = corpus_stats(rows).first()
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-        meta = (stats["n"], stats["avgdl"], stats["total"], shards, schema)
-        spark.createDataFrame([meta], cls._META).coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+        write_meta(spark, f"{path}/meta", n=stats["n"], avgdl=stats["avgdl"], total=stats["total"],
+                   shards=shards, schema=schema)
         return cls(rows, frequencies, stats["n"], stats["avgdl"] or 0.0, stats["total"] or 0)
 
     @classmethod

@@ -73,6 +73,12 @@ def open_bucketed(spark: SparkSession, path: str, schema: str, key: str, shards:
     return spark.table(table)
 
 
+def write_meta(spark: SparkSession, path: str, **values) -> None:
+    """One JSON row that describes a stored index."""
+    row = spark.range(1).select(*[F.lit(value).alias(name) for name, value in values.items()])
+    row.coalesce(1).write.mode("overwrite").json(path)
+
+
 def _width(field: T.StructField):
     column = F.col(f"`{field.name}`")
     if isinstance(field.dataType, (T.StringType, T.BinaryType)):
