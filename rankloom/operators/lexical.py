@@ -43,7 +43,12 @@ def postings(corpus: DataFrame, analyzer: Analyzer = words, shards: int | None =
         corpus.select("doc_id", "text")
         .repartition(shards, "doc_id")
         .select("doc_id", analyzer(F.col("text")).alias("terms"))
-        .select("doc_id", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term"))
+        # The length is taken before the array is exploded, so rows do not carry
+        # the array; the outer form keeps the optimizer from analysing every
+        # text a second time, ahead of the exchange, to find empty ones.
+        .select("doc_id", "terms", F.size("terms").cast("long").alias("dl"))
+        .select("doc_id", "dl", F.explode_outer("terms").alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy("doc_id", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
