@@ -24,8 +24,7 @@ from pyspark.sql import types as T
 from ..plans.staging import BROADCAST_BYTES
 from .ranking import SCORE_PLACES, top_k
 
-# Numbers of rows in one block of the grid plan.
-QUERY_BLOCK = 2_048
+# Vectors in one block of the grid plan; they are scored in smaller batches.
 VECTOR_BLOCK = 32_768
 # Scores held at once while a batch is scanned.
 SCORE_BUFFER = 4_000_000
@@ -158,7 +157,7 @@ def _arrow_id(field: T.StructField) -> pa.DataType:
 
 def search(queries: DataFrame, vectors: DataFrame, k: int, payload: str = "vector", decode: Decoder = plain,
            skip_identical: bool = False, broadcast_bytes: int | None = None,
-           query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
+           query_block: int | None = None, vector_block: int = VECTOR_BLOCK) -> DataFrame:
     """``run(qid, doc_id, score, rank)``.
 
     ``queries(qid, vector[, cells ARRAY<INT>])``, ``vectors(doc_id, payload[, cell])``.
@@ -178,10 +177,12 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, payload: str = "vecto
     # What one task holds: the query side, and 24 bytes for each of k rows per
     # query; the second part stays in the task and may be eight times as large.
     row = F.size("vector") * 8 + F.lit(16 + k * 3) + (F.size("cells") * 8 if probing else F.lit(0))
-    held = queries.agg(F.sum(row.cast("long"))).first()[0] or 0
+    held, rows = queries.agg(F.coalesce(F.sum(row.cast("long")), F.lit(0)), F.count(F.lit(1))).first()
     if held <= limit:
         scored = _scan(queries, vectors, k, payload, decode, skip_identical, out, arrow, probing)
     else:
+        # As many queries in a block as a task may hold: fewer copies of the vectors.
+        query_block = query_block or max(1, limit * rows // held)
         scored = _grid(queries, vectors, k, payload, decode, skip_identical, out, arrow, probing,
                        query_block, vector_block)
     return top_k(scored, k)

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.staging import bucketed, is_small, new_path, open_bucketed, shard_count, write_meta
-from .lexical import term_matches
-from .ranking import top_k
+from .lexical import term_matches, topk_in_chunks
 
 IMPACT_SCHEMA = "doc_id long, term string, weight int"
 
@@ -48,15 +47,24 @@ class ImpactIndex:
         return cls(spark.read.schema(schema).parquet(path))
 
 
+def _score(index: ImpactIndex, asked: DataFrame, small: bool, total: int | None) -> DataFrame:
+    rows = index.impacts.select("doc_id", "term", F.col("weight").cast("long").alias("doc_weight"))
+    return term_matches(rows, asked, None, total, small).groupBy("qid", "doc_id").agg(
+        F.sum(F.col("query_weight") * F.col("doc_weight")).alias("score"))
+
+
+def _asked(query_impacts: DataFrame) -> DataFrame:
+    return query_impacts.select("qid", "term", F.col("weight").cast("long").alias("query_weight"))
+
+
 def impact_scores(index: ImpactIndex, query_impacts: DataFrame, total: int | None = None,
                   broadcast_bytes: int | None = None) -> DataFrame:
     """``(qid, doc_id, score)`` with an exact LONG score."""
-    rows = index.impacts.select("doc_id", "term", F.col("weight").cast("long").alias("doc_weight"))
-    asked = query_impacts.select("qid", "term", F.col("weight").cast("long").alias("query_weight"))
-    matched = term_matches(rows, asked, None, total, is_small(asked, broadcast_bytes))
-    return matched.groupBy("qid", "doc_id").agg(
-        F.sum(F.col("query_weight") * F.col("doc_weight")).alias("score"))
+    asked = _asked(query_impacts)
+    return _score(index, asked, is_small(asked, broadcast_bytes), total)
 
 
-def impact_topk(index: ImpactIndex, query_impacts: DataFrame, k: int, **options) -> DataFrame:
-    return top_k(impact_scores(index, query_impacts, **options), k)
+def impact_topk(index: ImpactIndex, query_impacts: DataFrame, k: int, total: int | None = None,
+                broadcast_bytes: int | None = None) -> DataFrame:
+    return topk_in_chunks(_asked(query_impacts), k, lambda asked, small: _score(index, asked, small, total),
+                          broadcast_bytes)

@@ -12,6 +12,7 @@ from rankloom.functions.text import contents, without, words
 from rankloom.operators import lexical
 from rankloom.operators.impact import ImpactIndex, impact_scores, impact_topk, quantize_impacts
 from rankloom.operators.ranking import top_k
+from rankloom.plans.staging import measured_bytes
 
 from .conftest import rows
 
@@ -61,6 +62,16 @@ def test_large_query_side_gives_the_same_scores(index, tables, monkeypatch):
     assert rows(salted, "qid", "doc_id", "score") == plain
 
 
+def test_queries_over_the_limit_are_searched_in_chunks(index, tables):
+    whole = rows(lexical.bm25_topk(index, tables[1], 10))
+    size = measured_bytes(lexical.query_terms(tables[1]))
+    assert rows(lexical.bm25_topk(index, tables[1], 10, broadcast_bytes=size // 2)) == whole
+    # Below the size of single queries every chunk goes through the exchange join.
+    one = tables[1].where("qid < 3")
+    tiny = measured_bytes(lexical.query_terms(one)) // 6
+    assert rows(lexical.bm25_topk(index, one, 10, broadcast_bytes=tiny)) == [r for r in whole if r[0] < 3]
+
+
 def test_shard_count_does_not_matter(tables, index):
     other = lexical.LexicalIndex.build(tables[0], shards=13)
     assert (other.n, other.avgdl, other.total) == (index.n, index.avgdl, index.total)
