@@ -11,8 +11,10 @@ from pyspark.sql import types as T
 
 from ..operators.metrics import CUTOFFS, evaluate
 from ..operators.runs import union_runs
-from ..sources.benchmark_files import Dataset
+from ..sources.benchmark_files import Dataset, read_dataset
+from ..sources.results import append_results_json, write_results_csv
 from ..sources.vector_tables import EmbeddingCache
+from .report import summary_table
 from .retrievers import METHODS, Method, registry
 from .staging import new_path, staged
 
@@ -138,3 +140,16 @@ def sweep(datasets: Sequence[Dataset], methods: Sequence[str] = tuple(METHODS),
     """Run the grid and return its records."""
     runs, timings = run_all(datasets, methods, factories, k, trials)
     return records(runs.sparkSession, runs, datasets, timings, ks)
+
+
+def run_and_save(spark: SparkSession, folders: Sequence[str], out: str, methods: Sequence[str] = tuple(METHODS),
+                 factories: dict[str, Callable[[int], Method]] | None = None, k: int = TOP_K) -> DataFrame:
+    """Read benchmark folders, run the grid, write summary and history, return the summary.
+
+    ``out/summary.csv`` holds the records of this run, ``out/raw`` those of all runs.
+    """
+    check_methods(methods, tuple(factories or METHODS))
+    results = staged(sweep([read_dataset(spark, f) for f in folders], methods, factories, k), "results")
+    write_results_csv(results, f"{out}/summary.csv")
+    append_results_json(results, f"{out}/raw")
+    return summary_table(results)

@@ -157,19 +157,25 @@ class Cells(_Dense):
                       time.perf_counter() - encoded, encoded - start)
 
 
-def registry(cache: EmbeddingCache | None = None) -> dict[str, Callable[[int], Method]]:
+def registry(cache: EmbeddingCache | None = None, compression: str = "int8", encoder: Callable | None = None,
+             impact_encoder: Callable | None = None, impacts_path: str | None = None, nlist: int = ivf.NLIST,
+             nprobe: int = ivf.NPROBE, rounds: int = ivf.ROUNDS) -> dict[str, Callable[[int], Method]]:
     """Method names as users of the experiments know them.
 
     A factory makes a fresh object for every trial; with a ``cache`` the dense
-    methods encode a corpus once between them.
+    methods encode a corpus once between them. ``compression`` ("int8" or "pq")
+    is that of the quantised methods; ``nprobe`` is the search effort and
+    ``nlist`` and ``rounds`` the build effort of the approximate ones.
     """
+    vectors = {"encoder": encoder or HashedTermEncoder(), "cache": cache}
+    cells = {**vectors, "nlist": nlist, "nprobe": nprobe, "rounds": rounds}
     return {
         "bm25": lambda trial: Bm25(),
-        "splade": lambda trial: LearnedImpact(),
-        "flat": lambda trial: Flat(cache=cache),
-        "flat_quantized": lambda trial: Flat(cache=cache, compression="int8"),
-        "hnsw": lambda trial: Cells(cache=cache, trial=trial),
-        "hnsw_quantized": lambda trial: Cells(cache=cache, trial=trial, compression="int8"),
+        "splade": lambda trial: LearnedImpact(impact_encoder or LogCountEncoder(), impacts_path=impacts_path),
+        "flat": lambda trial: Flat(**vectors),
+        "flat_quantized": lambda trial: Flat(**vectors, compression=compression),
+        "hnsw": lambda trial: Cells(**cells, trial=trial),
+        "hnsw_quantized": lambda trial: Cells(**cells, trial=trial, compression=compression),
     }
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from rankloom.catalog import fixtures as fx
 from rankloom.operators import runs
 from rankloom.plans import experiments, report
-from rankloom.plans.retrievers import METHODS, Bm25, Cells, Flat, LearnedImpact
+from rankloom.plans.retrievers import METHODS, Bm25, Cells, Flat, LearnedImpact, registry
+from rankloom.sources import benchmark_files as bf
 from rankloom.sources.benchmark_files import Dataset
 
 from .conftest import rows
@@ -83,6 +84,21 @@ def test_sweep_keeps_a_record_for_every_cell(spark, dataset):
     assert summary.columns == ["dataset", "method", "trial", "index_time_s", "qps", "ndcg10"]
 
 
+def test_folders_in_summary_and_history_out(spark, dataset, tmp_path):
+    folder = str(tmp_path / "small")
+    bf.write_corpus(dataset.corpus, folder), bf.write_queries(dataset.queries, folder), bf.write_qrels(dataset.qrels, folder)
+    out = str(tmp_path / "out")
+    with pytest.raises(ValueError):
+        experiments.run_and_save(spark, [folder], out, ["nope"])
+    methods = registry(compression="pq")
+    for _ in range(2):
+        summary = experiments.run_and_save(spark, [folder], out, ["bm25", "flat_quantized"], methods, k=10)
+    assert rows(summary, "dataset", "method", "trial") == [("small", "bm25", 0), ("small", "flat_quantized", 0)]
+    header = next((tmp_path / "out" / "summary.csv").glob("part-*.csv")).read_text().splitlines()[0]
+    assert header.startswith("dataset,method,trial,num_docs,num_queries,encode_time_s,index_time_s,qps,NDCG@1,NDCG@10,NDCG@100,MAP@1")
+    assert spark.read.json(f"{out}/raw").count() == 4
+
+
 def test_ready_made_impacts(spark, folder, dataset, tmp_path):
     model = LearnedImpact().fit(dataset.corpus)
     impacts = LearnedImpact()._impacts(fx.corpus(spark, folder).select("doc_id", F.concat_ws(" ", F.coalesce("title", F.lit("")), "text").alias("text")), "doc_id")
