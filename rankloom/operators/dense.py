@@ -13,6 +13,7 @@ With ``cell`` columns on both sides only vectors of probed cells are scored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.staging import BROADCAST_BYTES
+from ..plans.staging import BROADCAST_BYTES, staged
 from .ranking import SCORE_PLACES, top_k
 
 # Vectors in one block of the grid plan; they are scored in smaller batches.
@@ -205,18 +206,19 @@ def _scan(queries, vectors, k, payload, decode, skip_identical, out, arrow, prob
 def _grid(queries, vectors, k, payload, decode, skip_identical, out, arrow, probing, query_block, vector_block):
     if probing:
         queries = queries.select("qid", "vector", F.explode("cells").alias("cell"))
+        # One row per cell; the number of cells is bounded by the trained model.
+        asked = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("query_parts"))
+        held = vectors.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / vector_block).cast("int").alias("doc_parts"))
+        sizes = F.broadcast(staged(asked.join(held, "cell"), "cell-sizes"))
+        queries, vectors = queries.join(sizes, "cell"), vectors.join(sizes, "cell")
     else:
-        queries, vectors = queries.withColumn("cell", F.lit(0)), vectors.withColumn("cell", F.lit(0))
-    # One row per cell; the number of cells is bounded by the trained model.
-    sizes = (
-        queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("query_parts"))
-        .join(vectors.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / vector_block).cast("int").alias("doc_parts")),
-              "cell")
-    )
-    sizes = F.broadcast(sizes)
+        parts = {"query_parts": math.ceil(queries.count() / query_block),
+                 "doc_parts": math.ceil(vectors.count() / vector_block)}
+        literals = {"cell": F.lit(0), **{name: F.lit(max(1, n)) for name, n in parts.items()}}
+        queries, vectors = queries.withColumns(literals), vectors.withColumns(literals)
 
     def place(side, key, own, other, columns):
-        return side.join(sizes, "cell").select(
+        return side.select(
             *columns, F.col("cell").alias("cell"),
             F.pmod(F.xxhash64(key), F.col(f"{own}_parts")).cast("int").alias(own),
             F.explode(F.sequence(F.lit(0), F.col(f"{other}_parts") - 1)).alias(other))

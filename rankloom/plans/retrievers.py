@@ -92,7 +92,7 @@ class LearnedImpact:
             encode_seconds = time.perf_counter() - start
             start = time.perf_counter()
             index = ImpactIndex.build(impacts, shards=self.shards)
-        return Fitted(lambda queries, k: impact_topk(index, self._impacts(queries, "qid"), k),
+        return Fitted(lambda queries, k: impact_topk(index, staged(self._impacts(queries, "qid"), "query-impacts"), k),
                       time.perf_counter() - start, encode_seconds)
 
 
@@ -113,7 +113,8 @@ class _Dense:
         return staged(encode_dense(texts.repartition(shards, "doc_id"), self.encoder), "vectors")
 
     def _queries(self, queries: DataFrame) -> DataFrame:
-        return encode_dense(queries.select("qid", "text"), self.encoder)
+        """Stored, so that measuring them does not run the model again."""
+        return staged(encode_dense(queries.select("qid", "text"), self.encoder), "query-vectors")
 
     def _codec(self, vectors: DataFrame):
         if self.compression not in (None, "int8", "pq"):

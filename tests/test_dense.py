@@ -141,3 +141,9 @@ def test_encoding_runs_in_batches(spark):
     got = encode_dense(texts, ShapeEncoder(), batch_rows=256).collect()
     sizes = sorted({round(r["vector"][1] / r["vector"][0]) for r in got})
     assert len(got) == 600 and sizes == [88, 256]
+
+
+def test_grid_has_no_nested_loop_join(asked, vectors):
+    run = dense.search(asked, vectors, 3, broadcast_bytes=0, query_block=200, vector_block=200)
+    plan = run._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
