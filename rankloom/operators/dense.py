@@ -46,7 +46,7 @@ def plain(column) -> np.ndarray:
     return list_matrix(column)
 
 
-def _id_array(column) -> np.ndarray:
+def id_array(column) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     ids = column.to_numpy(zero_copy_only=False)
@@ -70,8 +70,16 @@ class BestRows:
             floor = np.maximum(floor, np.partition(scores, n - self.k, axis=1)[:, n - self.k])
             self.floor[rows] = floor
         q, c = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
-        self.parts.append((rows[q], scores[q, c], ids[c]))
-        self.pending += len(q)
+        self._keep(rows[q], scores[q, c], ids[c])
+
+    def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Single (query, score, id) candidates instead of a full block."""
+        good = scores >= self.floor[rows]
+        self._keep(rows[good], scores[good], ids[good])
+
+    def _keep(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        self.parts.append((rows, scores, ids))
+        self.pending += len(rows)
         if self.pending > self.kept + 1_000_000:
             self.merge()
 
@@ -105,7 +113,7 @@ def _score_block(best: BestRows, rows: np.ndarray, qids: np.ndarray, queries: np
         best.add(part, scores, ids)
 
 
-def _emit(best: BestRows, qids: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def emit_rows(best: BestRows, qids: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     best.merge()
     for q, s, i in best.parts:
         for start in range(0, len(q), 100_000):
@@ -121,7 +129,7 @@ def _scan_task(shared, k: int, payload: str, decode: Decoder, skip_identical: bo
         best = BestRows(len(qids), k)
         everyone = np.arange(len(qids))
         for batch in batches:
-            ids, vectors = _id_array(batch.column("doc_id")), decode(batch.column(payload))
+            ids, vectors = id_array(batch.column("doc_id")), decode(batch.column(payload))
             if probes is None:
                 _score_block(best, everyone, qids, queries, ids, vectors, skip_identical)
                 continue
@@ -131,7 +139,7 @@ def _scan_task(shared, k: int, payload: str, decode: Decoder, skip_identical: bo
                 if asking is not None:
                     inside = cells == cell
                     _score_block(best, asking, qids, queries, ids[inside], vectors[inside], skip_identical)
-        yield from _emit(best, qids, schema)
+        yield from emit_rows(best, qids, schema)
 
     return task
 
@@ -140,18 +148,18 @@ def _grid_task(k: int, payload: str, decode: Decoder, skip_identical: bool, sche
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        qids, queries = _id_array(left.column("qid")), list_matrix(left.column("vector"))
+        qids, queries = id_array(left.column("qid")), list_matrix(left.column("vector"))
         best = BestRows(len(qids), k)
         everyone = np.arange(len(qids))
         for batch in right.to_batches(max_chunksize=8_192):
-            _score_block(best, everyone, qids, queries, _id_array(batch.column("doc_id")),
+            _score_block(best, everyone, qids, queries, id_array(batch.column("doc_id")),
                          decode(batch.column(payload)), skip_identical)
-        return pa.Table.from_batches(_emit(best, qids, schema), schema=schema)
+        return pa.Table.from_batches(emit_rows(best, qids, schema), schema=schema)
 
     return task
 
 
-def _arrow_id(field: T.StructField) -> pa.DataType:
+def arrow_id(field: T.StructField) -> pa.DataType:
     kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
     return kinds[field.dataType.simpleString()]
 
@@ -173,7 +181,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, payload: str = "vecto
     out = T.StructType([T.StructField("qid", queries.schema["qid"].dataType),
                         T.StructField("doc_id", vectors.schema["doc_id"].dataType),
                         T.StructField("score", T.DoubleType())])
-    arrow = pa.schema([("qid", _arrow_id(out["qid"])), ("doc_id", _arrow_id(out["doc_id"])),
+    arrow = pa.schema([("qid", arrow_id(out["qid"])), ("doc_id", arrow_id(out["doc_id"])),
                        ("score", pa.float64())])
     # What one task holds: the query side, and 24 bytes for each of k rows per
     # query; the second part stays in the task and may be eight times as large.
@@ -191,7 +199,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, payload: str = "vecto
 
 def _scan(queries, vectors, k, payload, decode, skip_identical, out, arrow, probing):
     table = queries.toArrow()
-    qids, matrix, probes = _id_array(table.column("qid")), list_matrix(table.column("vector")), None
+    qids, matrix, probes = id_array(table.column("qid")), list_matrix(table.column("vector")), None
     if probing:
         cells = table.column("cells").combine_chunks()
         flat = cells.flatten().to_numpy()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.staging import bucketed, is_small, new_path, open_bucketed, shard_count, write_meta
-from .lexical import term_matches, topk_in_chunks
+from .lexical import pair_scores, sparse_topk
 
 IMPACT_SCHEMA = "doc_id long, term string, weight int"
 
@@ -47,24 +47,23 @@ class ImpactIndex:
         return cls(spark.read.schema(schema).parquet(path))
 
 
-def _score(index: ImpactIndex, asked: DataFrame, small: bool, total: int | None) -> DataFrame:
-    rows = index.impacts.select("doc_id", "term", F.col("weight").cast("long").alias("doc_weight"))
-    return term_matches(rows, asked, None, total, small).groupBy("qid", "doc_id").agg(
-        F.sum(F.col("query_weight") * F.col("doc_weight")).alias("score"))
+def _parts(index: ImpactIndex) -> DataFrame:
+    return index.impacts.select("doc_id", "term", F.col("weight").cast("long").alias("part"))
 
 
 def _asked(query_impacts: DataFrame) -> DataFrame:
-    return query_impacts.select("qid", "term", F.col("weight").cast("long").alias("query_weight"))
+    return query_impacts.select("qid", "term", F.col("weight").cast("long").alias("weight"))
 
 
 def impact_scores(index: ImpactIndex, query_impacts: DataFrame, total: int | None = None,
                   broadcast_bytes: int | None = None) -> DataFrame:
     """``(qid, doc_id, score)`` with an exact LONG score."""
     asked = _asked(query_impacts)
-    return _score(index, asked, is_small(asked, broadcast_bytes), total)
+    return pair_scores(_parts(index), asked, None, total, is_small(asked, broadcast_bytes))
 
 
 def impact_topk(index: ImpactIndex, query_impacts: DataFrame, k: int, total: int | None = None,
                 broadcast_bytes: int | None = None) -> DataFrame:
-    return topk_in_chunks(_asked(query_impacts), k, lambda asked, small: _score(index, asked, small, total),
-                          broadcast_bytes)
+    """Sums of positive integer products, exact in the double the blocks use."""
+    run = sparse_topk(_parts(index), _asked(query_impacts), k, lambda asked, small: asked, None, total, broadcast_bytes)
+    return run.withColumn("score", F.col("score").cast("long"))

@@ -19,6 +19,7 @@ from ..plans.staging import (
     BROADCAST_BYTES, bucketed, is_small, measured_bytes, new_path, open_bucketed, shard_count, staged, write_meta,
 )
 from .ranking import SCORE_PLACES, top_k
+from .term_blocks import block_topk
 
 # The usual defaults of the scoring formula.
 K1 = 0.9
@@ -149,13 +150,17 @@ def bm25_weights(index: LexicalIndex, terms: DataFrame, small: bool | None = Non
         "qid", "term", (F.col("qtf").cast("double") * idf).alias("weight"))
 
 
-def _score_terms(index: LexicalIndex, terms: DataFrame, small: bool, k1: float, b: float) -> DataFrame:
-    # The weights have the rows and width of the terms, so one check serves both.
-    weights = bm25_weights(index, terms, small)
+def _parts(index: LexicalIndex, k1: float, b: float) -> DataFrame:
+    """``(doc_id, term, part)``: the saturated, length-adjusted term count."""
     tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
     length = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * dl / F.lit(float(index.avgdl or 1.0)))
-    rows = index.postings.select("doc_id", "term", (tf / (tf + length)).alias("part"))
-    matched = term_matches(rows, weights, index.doc_freq, index.total, small)
+    return index.postings.select("doc_id", "term", (tf / (tf + length)).alias("part"))
+
+
+def pair_scores(rows: DataFrame, weights: DataFrame, frequencies: DataFrame | None, total: int | None,
+                small: bool) -> DataFrame:
+    """``(qid, doc_id, score)`` of every pair that shares a term, by join and sum."""
+    matched = term_matches(rows, weights, frequencies, total, small)
     return matched.groupBy("qid", "doc_id").agg(
         F.round(F.sum(F.col("weight") * F.col("part")), SCORE_PLACES).alias("score"))
 
@@ -164,34 +169,45 @@ def bm25_scores(index: LexicalIndex, queries: DataFrame, k1: float = K1, b: floa
                 analyzer: Analyzer = words, broadcast_bytes: int | None = None) -> DataFrame:
     """``(qid, doc_id, score)`` for every document that shares a term with a query."""
     terms = query_terms(queries, analyzer)
-    return _score_terms(index, terms, is_small(terms, broadcast_bytes), k1, b)
+    # The weights have the rows and width of the terms, so one check serves both.
+    small = is_small(terms, broadcast_bytes)
+    return pair_scores(_parts(index, k1, b), bm25_weights(index, terms, small), index.doc_freq, index.total, small)
 
 
 def bm25_topk(index: LexicalIndex, queries: DataFrame, k: int, k1: float = K1, b: float = B,
               analyzer: Analyzer = words, broadcast_bytes: int | None = None) -> DataFrame:
-    return topk_in_chunks(query_terms(queries, analyzer), k,
-                          lambda terms, small: _score_terms(index, terms, small, k1, b), broadcast_bytes)
+    return sparse_topk(_parts(index, k1, b), query_terms(queries, analyzer), k,
+                       lambda terms, small: bm25_weights(index, terms, small),
+                       index.doc_freq, index.total, broadcast_bytes)
 
 
-def topk_in_chunks(query_side: DataFrame, k: int, score: Callable[[DataFrame, bool], DataFrame],
-                   broadcast_bytes: int | None = None) -> DataFrame:
-    """Best documents of all queries, ``score(query rows, small)`` giving the scores.
+def sparse_topk(rows: DataFrame, query_side: DataFrame, k: int, weigh: Callable[[DataFrame, bool], DataFrame],
+                frequencies: DataFrame | None = None, total: int | None = None,
+                broadcast_bytes: int | None = None) -> DataFrame:
+    """Best documents of all queries by the sum of weight times part over shared terms.
 
-    A query side over the broadcast limit is cut by query into chunks under it.
-    Each chunk scans the index once and leaves k rows per query, which is far
-    less than an exchange of every matching (query, document) pair. A single
-    query too large for the limit still goes through the exchange join.
+    ``weigh(query rows, small)`` gives ``(qid, term, weight)``. A query side
+    over the broadcast limit is cut by query into chunks under it; each chunk
+    scans the index once and leaves k rows per query, far less than an exchange
+    of every matching pair. A single query too large for the limit still goes
+    through the exchange join.
     """
     limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
+
+    def search(part: DataFrame, small: bool) -> DataFrame:
+        if small:
+            return block_topk(rows, weigh(part, True), k)
+        return top_k(pair_scores(rows, weigh(part, False), frequencies, total, False), k)
+
     size = measured_bytes(query_side)
     if size <= limit or limit <= 0:
-        return top_k(score(query_side, size <= limit), k)
+        return search(query_side, size <= limit)
     stored = staged(query_side, "query-side")
     # A quarter more chunks than bytes ask for, as hashing is not perfectly even.
     chunks = math.ceil(1.25 * size / limit)
     path = new_path(stored.sparkSession, "chunked-run")
     for i in range(chunks):
         part = stored.where(F.pmod(F.xxhash64("qid"), F.lit(chunks)) == i)
-        run = top_k(score(part, is_small(part, limit)), k)
+        run = search(part, is_small(part, limit))
         run.write.mode("append").parquet(path)
     return stored.sparkSession.read.schema(run.schema).parquet(path)
