@@ -105,9 +105,11 @@ def _score_block(best: BestRows, rows: np.ndarray, qids: np.ndarray, queries: np
         part = rows[start:start + step]
         scores = np.round(queries[part] @ vectors.T, SCORE_PLACES)
         if skip_identical and len(ids):
-            order = np.argsort(ids, kind="stable")
-            at = np.searchsorted(ids[order], qids[part])
-            upto = np.searchsorted(ids[order], qids[part], side="right")
+            # Ids of unlike types are compared as text.
+            own, asked = (ids, qids[part]) if ids.dtype.kind == qids.dtype.kind else (ids.astype(str), qids[part].astype(str))
+            order = np.argsort(own, kind="stable")
+            at = np.searchsorted(own[order], asked)
+            upto = np.searchsorted(own[order], asked, side="right")
             for r in np.nonzero(upto > at)[0]:
                 scores[r, order[at[r]:upto[r]]] = -np.inf
         best.add(part, scores, ids)

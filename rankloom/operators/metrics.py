@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import ranked
+from .runs import differs_from_query
 
 CUTOFFS = (1, 10, 100)
 PLACES = 5
@@ -115,7 +116,7 @@ def evaluate(run: DataFrame, qrels: DataFrame, ks: Sequence[int] = CUTOFFS, by:
              missing: str = "skip", ignore_identical: bool = True) -> DataFrame:
     """``(k, num_queries, ndcg, map, recall, prec)``, means rounded to 5 places."""
     if ignore_identical:
-        run = run.where(F.col("qid") != F.col("doc_id"))
+        run = run.where(differs_from_query(run))
     run = ranked(run.select(*by, "qid", "doc_id", "score"), [*by, "qid"])
     return means(per_query(run, qrels, ks, by, missing), by)
 

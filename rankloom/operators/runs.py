@@ -35,13 +35,17 @@ def dedupe_hits(hits: DataFrame) -> DataFrame:
     return hits.groupBy("qid", "doc_id").agg(F.max_by("score", "pos").alias("score"))
 
 
-def differs_from_query(query_id: str = "qid", doc_id: str = "doc_id") -> Column:
-    return F.col(query_id) != F.col(doc_id)
+def differs_from_query(run: DataFrame) -> Column:
+    """True where the document is not the query itself; ids of unlike types meet as text."""
+    qid, doc_id = F.col("qid"), F.col("doc_id")
+    if run.schema["qid"].dataType != run.schema["doc_id"].dataType:
+        qid, doc_id = qid.cast("string"), doc_id.cast("string")
+    return qid != doc_id
 
 
 def drop_identical(run: DataFrame) -> DataFrame:
     """Leave out a document that carries the query's own id; ranks close up."""
-    return ranked(run.where(differs_from_query()).select("qid", "doc_id", "score"))
+    return ranked(run.where(differs_from_query(run)).select("qid", "doc_id", "score"))
 
 
 def union_runs(*runs: DataFrame) -> DataFrame:

@@ -149,7 +149,7 @@ def run_and_save(spark: SparkSession, folders: Sequence[str], out: str, methods:
     ``out/summary.csv`` holds the records of this run, ``out/raw`` those of all runs.
     """
     check_methods(methods, tuple(factories or METHODS))
-    results = staged(sweep([read_dataset(spark, f) for f in folders], methods, factories, k), "results")
+    results = staged(sweep([read_dataset(spark, f).stored() for f in folders], methods, factories, k), "results")
     write_results_csv(results, f"{out}/summary.csv")
     append_results_json(results, f"{out}/raw")
     return summary_table(results)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import contents
+from ..plans.staging import staged
 
 # Field names and header of the layout.
 CORPUS_SCHEMA = "_id string, title string, text string"
@@ -28,6 +29,11 @@ class Dataset:
     queries: DataFrame
     qrels: DataFrame
 
+    def stored(self) -> Dataset:
+        """The same tables written once as parquet, so that JSON is parsed a single time."""
+        return Dataset(self.name, staged(self.corpus, "corpus"), staged(self.queries, "queries"),
+                       staged(self.qrels, "qrels"))
+
 
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
     rows = spark.read.schema(CORPUS_SCHEMA).json(f"{folder}/corpus.jsonl")

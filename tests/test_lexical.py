@@ -72,6 +72,27 @@ def test_queries_over_the_limit_are_searched_in_chunks(index, tables):
     assert rows(lexical.bm25_topk(index, one, 10, broadcast_bytes=tiny)) == [r for r in whole if r[0] < 3]
 
 
+def test_rare_terms_and_empty_queries(spark, index, tables):
+    """Few matches in a block, a query nobody answers, a query without terms."""
+    rare = index.doc_freq.where("df <= 2").orderBy("term").limit(30).select(
+        F.concat(F.lit("q"), F.col("term")).alias("qid"), F.col("term").alias("text"))
+    asked = rare.unionByName(spark.createDataFrame([("none", "zzzzqqqq"), ("blank", " ")], "qid string, text string"))
+    run = rows(lexical.bm25_topk(index, asked, 5))
+    assert run == rows(top_k(lexical.bm25_scores(index, asked), 5))
+    assert len({q for q, *_ in run}) == 30
+    assert rows(lexical.bm25_topk(index, asked.where("qid = 'none'"), 5)) == []
+
+
+def test_one_term_in_every_document(spark):
+    """A third of the documents are copies; ties of equal copies go to the lowest id."""
+    texts = [(i, "common copy" if i % 3 == 0 else f"common w{i}") for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "common"), (2, "copy common")], "qid long, text string")
+    index = lexical.LexicalIndex.build(docs)
+    run = rows(lexical.bm25_topk(index, asked, 4), "qid", "rank", "doc_id")
+    assert run == [(1, r, d) for r, d in enumerate([0, 1, 2, 3], 1)] + [(2, r, d) for r, d in enumerate([0, 3, 6, 9], 1)]
+
+
 def test_shard_count_does_not_matter(tables, index):
     other = lexical.LexicalIndex.build(tables[0], shards=13)
     assert (other.n, other.avgdl, other.total) == (index.n, index.avgdl, index.total)

@@ -74,6 +74,12 @@ def test_own_id_is_ignored_and_ranks_close_up(spark):
     assert metrics.evaluate(run, qrels, (1,), ignore_identical=False).first()["ndcg"] == 0.0
 
 
+def test_query_and_document_ids_of_unlike_types(spark):
+    run = ranked(spark.createDataFrame([("7", 7, 9.0), ("7", 8, 1.0), ("x", 7, 1.0)], "qid string, doc_id long, score double"))
+    qrels = spark.createDataFrame([("7", 8, 1), ("x", 7, 1)], "qid string, doc_id long, rel int")
+    assert metrics.evaluate(run, qrels, (1,)).first()["ndcg"] == 1.0
+
+
 def test_runs_of_a_grid_are_scored_apart(spark):
     run, qrels = make(spark, [("q", "a", 1.0), ("q", "b", 0.5)], [("q", "a", 1), ("p", "a", 1)])
     other, _ = make(spark, [("q", "b", 1.0)], [("q", "a", 1)])
