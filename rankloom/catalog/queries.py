@@ -38,7 +38,7 @@ def registered(query: Query) -> Query:
 
 
 def _spread(df: DataFrame, key: str) -> DataFrame:
-    return df.repartition(shard_count(df.sparkSession), key)
+    return df.repartition(shard_count(df), key)
 
 
 def _elements(df: DataFrame, key: str, column: str = "vector") -> DataFrame:

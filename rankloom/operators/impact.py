@@ -28,7 +28,7 @@ class ImpactIndex:
         """Store impacts sharded by document, as the search wants them."""
         spark = impacts.sparkSession
         path = path or new_path(spark, "impacts")
-        shards = shard_count(spark, shards)
+        shards = shard_count(impacts, shards)
         rows = bucketed(impacts.select("doc_id", "term", "weight"), "doc_id", "impacts",
                         f"{path}/impacts", shards)
         ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)

@@ -42,7 +42,7 @@ def drop_terms(terms: DataFrame, stop_list: DataFrame) -> DataFrame:
 
 def postings(corpus: DataFrame, analyzer: Analyzer = words, shards: int | None = None) -> DataFrame:
     """``(doc_id, dl, term, tf)``: term counts and document length."""
-    shards = shard_count(corpus.sparkSession, shards)
+    shards = shard_count(corpus, shards)
     return (
         corpus.select("doc_id", "text")
         .repartition(shards, "doc_id")
@@ -92,7 +92,7 @@ class LexicalIndex:
               shards: int | None = None) -> LexicalIndex:
         spark = corpus.sparkSession
         path = path or new_path(spark, "lexical")
-        shards = shard_count(spark, shards)
+        shards = shard_count(corpus, shards)
         rows = bucketed(postings(corpus, analyzer, shards), "doc_id", "postings",
                         f"{path}/postings", shards)
         frequencies = staged(doc_freq(rows), "doc_freq", f"{path}/doc_freq")

@@ -87,7 +87,7 @@ class LearnedImpact:
         if self.impacts_path:
             index = ImpactIndex.load(corpus.sparkSession, self.impacts_path)
         else:
-            texts = indexed_text(corpus).repartition(shard_count(corpus.sparkSession, self.shards), "doc_id")
+            texts = indexed_text(corpus).repartition(shard_count(corpus, self.shards), "doc_id")
             impacts = staged(self._impacts(texts, "doc_id"), "impacts")
             encode_seconds = time.perf_counter() - start
             start = time.perf_counter()
@@ -106,7 +106,7 @@ class _Dense:
     def _encoded(self, corpus: DataFrame, dataset: str) -> DataFrame:
         """Vectors as a stored table in enough parts for every core."""
         texts = indexed_text(corpus)
-        shards = shard_count(corpus.sparkSession, self.shards)
+        shards = shard_count(corpus, self.shards)
         if self.cache is not None:
             known = self.cache.vectors(texts.repartition(shards, "doc_id"), dataset, self.encoder, self.encoder.encoder_id)
             return staged(known, "vectors")

@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 # Largest side, in measured bytes, that is sent whole to every executor.
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Stored bytes that are worth a shard of their own.
+SHARD_BYTES = 32 * 1024 * 1024
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -44,8 +46,14 @@ def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shard_count(spark: SparkSession, shards: int | None = None) -> int:
-    return shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+def shard_count(df: DataFrame, shards: int | None = None) -> int:
+    """The session's shuffle partitions, fewer for inputs Spark estimates to be small."""
+    if shards:
+        return shards
+    spark = df.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(partitions, max(spark.sparkContext.defaultParallelism, -(-estimate // SHARD_BYTES)))
 
 
 def bucketed(df: DataFrame, key: str, name: str, path: str | None = None,
@@ -56,7 +64,7 @@ def bucketed(df: DataFrame, key: str, name: str, path: str | None = None,
     """
     spark = df.sparkSession
     path = path or new_path(spark, name)
-    shards = shard_count(spark, shards)
+    shards = shard_count(df, shards)
     table = f"rankloom_{uuid.uuid4().hex}"
     (df.repartition(shards, key).write.mode("overwrite").format("parquet")
        .bucketBy(shards, key).option("path", path).saveAsTable(table))
