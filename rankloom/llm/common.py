@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 # Text bytes that a task turns into Python objects at once.
 CHUNK_BYTES = 4 * 1024 * 1024
@@ -51,3 +52,22 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             size += n or 0
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def with_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``rank``, its gapless position from 0 in the order of ``order``; written once.
+
+    Rows go to ranges of the order, so no task sees more than its range: the
+    ranges are cut by all columns of ``order``, which splits a value that a
+    third of the rows share as long as a later column differs.
+    """
+    low = (1 << 33) - 1
+    placed = saved(df.repartitionByRange(partitions(df), *order).sortWithinPartitions(*order)
+                   .withColumn("rank", F.monotonically_increasing_id()), name)
+    # One row for each partition, so both the window and the broadcast are as small as the number of partitions.
+    sizes = placed.groupBy(F.shiftright("rank", 33).alias("range")).count()
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return (placed.withColumn("range", F.shiftright("rank", 33)).join(F.broadcast(starts), "range")
+            .select(*columns, (F.col("start") + F.col("rank").bitwiseAND(F.lit(low))).alias("rank")))

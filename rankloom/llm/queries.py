@@ -4,17 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rankloom.llm.decontamination import contamination, contamination_digest
+from rankloom.llm.hilbert import shards
+from rankloom.llm.hnsw import search_every
+from rankloom.llm.language_id import identify
 from rankloom.llm.simhash import near_duplicates
+from rankloom.llm.url_cascade import filter_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from four fifths of them."""
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents: three-word shingles, links at 3 bits or fewer."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash,)}
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside occurrences of ten consecutive benchmark words."""
+    return contamination_digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op8_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page by rules, else by an exact cascade of Bloom filters over hosts."""
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of all other vectors for every vector whose id is divisible by 100."""
+    return search_every(table(spark, sf_dir, "embeddings"))
+
+
+def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of equal counts along a Hilbert curve through language, source and length."""
+    return shards(table(spark, sf_dir, "documents"), 24)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_simhash, op5_decontamination, op8_url_cascade, op9_hnsw, op10_hilbert)}
 SQL: dict[str, str] = {}
