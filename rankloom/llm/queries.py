@@ -8,10 +8,15 @@ from rankloom.llm.decontamination import contamination, contamination_digest
 from rankloom.llm.hilbert import shards
 from rankloom.llm.hnsw import search_every
 from rankloom.llm.language_id import identify
+from rankloom.llm.pieces import encode_decode
+from rankloom.llm.quality import fit, grades, kept, score
 from rankloom.llm.simhash import near_duplicates
 from rankloom.llm.url_cascade import filter_urls
 
 
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,11 +26,23 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade of every document and the chance of the best one, learnt from the labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, grades(table(spark, sf_dir, "labels")))
+    return score(docs, model).select("doc_id", "expected_grade", "tail_probability", kept().alias("kept"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents: three-word shingles, links at 3 bits or fewer."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, and whether decoding gives the text again."""
+    return encode_decode(table(spark, sf_dir, "documents"), MODEL)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside occurrences of ten consecutive benchmark words."""
     return contamination_digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
@@ -46,5 +63,6 @@ def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents"), 24)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_simhash, op5_decontamination, op8_url_cascade, op9_hnsw, op10_hilbert)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_simhash, op4_pieces, op5_decontamination, op8_url_cascade,
+                                    op9_hnsw, op10_hilbert)}
 SQL: dict[str, str] = {}
