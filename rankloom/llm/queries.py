@@ -10,6 +10,7 @@ from rankloom.llm.hnsw import search_every
 from rankloom.llm.language_id import identify
 from rankloom.llm.pieces import encode_decode
 from rankloom.llm.quality import fit, grades, kept, score
+from rankloom.llm.quotes import conversations
 from rankloom.llm.simhash import near_duplicates
 from rankloom.llm.substrings import dedup
 from rankloom.llm.url_cascade import filter_urls
@@ -49,6 +50,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op6_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages without quotes, replies after what they quote."""
+    return conversations(table(spark, sf_dir, "conversations"))
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without 20-word passages that occur earlier."""
     return dedup(table(spark, sf_dir, "documents"), keep_text=False)
@@ -69,6 +75,6 @@ def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents"), 24)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_simhash, op4_pieces, op5_decontamination, op7_substrings,
-                                    op8_url_cascade, op9_hnsw, op10_hilbert)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_simhash, op4_pieces, op5_decontamination, op6_quotes,
+                                    op7_substrings, op8_url_cascade, op9_hnsw, op10_hilbert)}
 SQL: dict[str, str] = {}
