@@ -108,7 +108,7 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
 
 
 def _candidates(docs: DataFrame) -> tuple[DataFrame, str]:
-    """A table ``(id, text, anchors)`` of all documents bucketed by id, and its name; anchors null where none is repeated."""
+    """``docs`` with ``anchors`` as a table bucketed by id, and its name; anchors null where none is repeated."""
 
     def of_text(words, doc):
         mine = np.unique(anchors(words)[0])
@@ -118,7 +118,7 @@ def _candidates(docs: DataFrame) -> tuple[DataFrame, str]:
     mine = anchored.join(repeated_anchors(docs), "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
     # Both by the same number of buckets: the table needs no exchange in the later joins by id.
     n = partitions(docs)
-    joined = docs.select("id", "text").repartition(n, "id").join(mine, "id", "left")
+    joined = docs.repartition(n, "id").join(mine, "id", "left")
     path = shared_path(docs.sparkSession, "candidates")
     name = "candidates_" + path.rsplit("-", 1)[1]
     joined.write.format("parquet").bucketBy(n, "id").option("path", path).saveAsTable(name)
@@ -290,7 +290,7 @@ def _class_masks(candidates: DataFrame, classes: DataFrame, shard_contexts: int)
     return _by_shard(contexts.where("large = 0")).union(_by_window(contexts.where("large = 1")))
 
 
-def removed(words: list[bytes], doc: int, told: list[dict]) -> np.ndarray:
+def removed(words: list[bytes], told: list[dict]) -> np.ndarray:
     """Which words of a document are in a window that starts earlier too, by what is told of its context classes."""
     gone = np.zeros(len(words) + 1, np.int64)
     by_class = {t["c1"]: t for t in told}
@@ -308,17 +308,20 @@ def removed(words: list[bytes], doc: int, told: list[dict]) -> np.ndarray:
     return np.cumsum(gone[:-1]) > 0
 
 
-def dedup(docs: DataFrame, keep_text: bool = True, shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
-    """``(doc_id, n_words, n_removed, kept_sha256[, kept])`` for every row of ``docs(doc_id, text)``.
+def dedup(docs: DataFrame, keep_text: bool = True, shard_contexts: int = SHARD_CONTEXTS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, *carry, n_words, n_removed, kept_sha256[, kept])`` for every row of ``docs(doc_id, text)``.
 
     Words go that lie in 20 consecutive words which start earlier as well: at a
     smaller doc_id, or earlier in the same document. ``kept`` are the others
     joined by one space. doc_id is a whole number; a null stands before all
     others. Rows with one doc_id count as one document: places with the same
     id and start are no earlier than each other. A null or empty text has no
-    words and keeps the empty text. Other columns are ignored.
+    words and keeps the empty text. Where nothing goes ``kept`` is the text as
+    it was. Of the other columns those named in ``carry`` come along.
     """
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("id"), "text")
+    carried = {f"carry_{k}": c for k, c in enumerate(carry)}
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("id"), "text",
+                        *[F.col(f"`{c}`").alias(name) for name, c in carried.items()])
     candidates, name = _candidates(keyed)
     occurrences = _occurrences(candidates)
     classes = saved(occurrences.groupBy("anchor", "c1", "c2").agg(F.min(F.struct("id", "at")).alias("first"), F.sum("n").alias("n")), "classes")
@@ -328,25 +331,27 @@ def dedup(docs: DataFrame, keep_text: bool = True, shard_contexts: int = SHARD_C
     first = F.when(F.col("first.id") == F.col("id"), F.col("first.at")).otherwise(-1)
     told = (occurrences.select("c1", "c2", "id").join(telling, ["c1", "c2"])
             .groupBy("id").agg(F.collect_list(F.struct("c1", first.alias("first"), "mask")).alias("told")))
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             out = {"n_words": [], "n_removed": [], "kept_sha256": [], "kept": []}
-            for text, doc, told in zip(as_bytes(batch.column("text")), batch.column("id").to_pylist(), batch.column("told").to_pylist()):
+            for text, told in zip(as_bytes(batch.column("text")), batch.column("told").to_pylist()):
                 words = (text or b"").split()
-                gone = removed(words, doc, told) if told else np.zeros(len(words), bool)
+                gone = removed(words, told) if told else np.zeros(len(words), bool)
                 kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if told else words)
                 out["n_words"].append(len(words))
                 out["n_removed"].append(int(gone.sum()))
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                out["kept"].append(kept.decode() if keep_text else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()),
-                                              pa.array(out["kept_sha256"], pa.string()), pa.array(out["kept"], pa.string())],
-                                             ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
-
-    done = candidates.select("id", "text").join(told, "id", "left").mapInArrow(
-        rows, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+                out["kept"].append(None if not keep_text or text is None else (kept if gone.any() else text).decode())
+            types = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string()}
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", *carried)], *[pa.array(out[c], t) for c, t in types.items()]],
+                                             ["id", *carried, *types])
+
+    joined = candidates.select("id", "text", *carried).join(told, "id", "left")
+    along = "".join(f"{c} {joined.schema[c].dataType.simpleString()}, " for c in carried)
+    done = joined.mapInArrow(rows, f"id bigint, {along}n_words bigint, n_removed bigint, kept_sha256 string, kept string")
     result = saved(done if keep_text else done.drop("kept"), "deduplicated")
     docs.sparkSession.sql(f"DROP TABLE {name}")
-    return result.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).cast(kind))
+    doc_id = F.when(F.col("id") != NULL_ID, F.col("id")).cast(docs.schema["doc_id"].dataType)
+    return result.select(doc_id.alias("doc_id"), *[F.col(c).alias(n) for c, n in carried.items()], "n_words", "n_removed", "kept_sha256",
+                         *(["kept"] if keep_text else []))
