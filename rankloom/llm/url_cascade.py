@@ -72,7 +72,7 @@ class Bloom:
         return found
 
 
-def cascade(universe: DataFrame, bits_a_key: int = BITS_A_KEY) -> list[Bloom]:
+def cascade(universe: DataFrame, bits_a_key: int | None = None) -> list[Bloom]:
     """Filters that tell the listed from the other keys of ``universe(key, listed)``, of distinct keys.
 
     The first holds the listed keys, the second the other keys that the first
@@ -86,7 +86,7 @@ def cascade(universe: DataFrame, bits_a_key: int = BITS_A_KEY) -> list[Bloom]:
         count = encoded.count()
         if count == 0:
             return levels
-        levels.append(Bloom.of(encoded, len(levels), count, bits_a_key))
+        levels.append(Bloom.of(encoded, len(levels), count, bits_a_key or BITS_A_KEY))
         # Keys of the other side that the new filter lets through go to the next one; every set encoded before passes it too.
         inside = F.lit(True)
         for level in levels:
