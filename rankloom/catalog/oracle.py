@@ -141,8 +141,8 @@ class Script:
     def cells(self, v, trial=0):
         """Lloyd rounds from the trial's seeds; the centres are ``<p>_c<rounds>``."""
         p = f"{v}_ivf{trial}"
-        self.add(f"{p}_c0", f"""SELECT (row_number() OVER (ORDER BY doc_id) - 1)::INT AS cell, vector AS c
-            FROM (SELECT doc_id, vector FROM {v} ORDER BY doc_id LIMIT {ivf.NLIST} OFFSET {trial * ivf.NLIST})""")
+        self.add(f"{p}_c0", f"""SELECT (row_number() OVER (ORDER BY md5(doc_id || '-{trial}')) - 1)::INT AS cell, vector AS c
+            FROM (SELECT doc_id, vector FROM {v} ORDER BY md5(doc_id || '-{trial}') LIMIT {ivf.NLIST})""")
         for i in range(ivf.ROUNDS + 1):
             self.add(f"{p}_a{i}", f"""SELECT doc_id, vector, best.cell AS cell FROM (
                 SELECT d.doc_id, any_value(d.vector) AS vector, min({{'d': {self._distance('d.vector', 'c.c')}, 'cell': c.cell}}) AS best
@@ -174,7 +174,7 @@ class Script:
         self.add(f"{v}_blocks", f"""SELECT doc_id, block::INT AS block, list_slice(vector, block * {width} + 1, (block + 1) * {width}) AS x
             FROM {v} CROSS JOIN (SELECT unnest(range({PQ_BLOCKS})) AS block)""")
         self.add(f"{v}_b0", f"""SELECT block, code::INT AS code, x AS c FROM (
-            SELECT block, x, row_number() OVER (PARTITION BY block ORDER BY doc_id) - 1 AS code FROM {v}_blocks) WHERE code < {2 ** PQ_BITS}""")
+            SELECT block, x, row_number() OVER (PARTITION BY block ORDER BY md5(doc_id || '-0')) - 1 AS code FROM {v}_blocks) WHERE code < {2 ** PQ_BITS}""")
         for i in range(PQ_ROUNDS + 1):
             self.add(f"{v}_p{i}", f"""SELECT doc_id, block, x, best.code AS code FROM (
                 SELECT d.doc_id, d.block, any_value(d.x) AS x, min({{'d': {self._distance('d.x', 'c.c')}, 'code': c.code}}) AS best
@@ -303,6 +303,16 @@ def statements() -> dict[str, str]:
     sql["impact_source"] = sql["quantize_impacts"] = s.select("SELECT doc_id, term, weight FROM t_impacts")
     sql["impact_scores"] = s.select(f"SELECT qid, doc_id, score FROM {scores}")
     sql["impact_topk"] = _run(s, s.top(scores, TERM_K))
+    s = Script(); s.impacts()
+    signed = s.add("signed", """SELECT qid, doc_id, sum((CASE WHEN length(term) % 2 = 1 THEN -q.weight ELSE q.weight END)::BIGINT
+            * (CASE WHEN (length(term) + doc_id) % 2 = 1 THEN -d.weight ELSE d.weight END))::BIGINT AS score
+        FROM query_impacts q JOIN t_impacts d USING (term) GROUP BY ALL""")
+    sql["impact_topk_signed"] = sql["impact_topk_chunked"] = _run(s, s.top(signed, TERM_K))
+    s = Script(); scores = s.impacts()
+    named = s.add("named", f"SELECT qid, 'd' || doc_id AS doc_id, score FROM {scores}")
+    sql["impact_topk_string_ids"] = _run(s, s.top(named, TERM_K))
+    s = Script(); near = s.top(s.impacts(), NEAR); scores = s.bm25()
+    sql["bm25_candidates"] = s.select(f"SELECT qid, doc_id, b.score FROM {scores} b JOIN {near} n USING (qid, doc_id)")
     s = Script(); s.query_terms()
     sql["encode_query_impacts"] = s.select("SELECT qid, term, round(ln(1 + qtf::DOUBLE), 6) AS weight FROM query_terms")
 

@@ -17,7 +17,7 @@ from ..operators.quantize import Int8Codec, PqCodec
 from ..operators.ranking import top_k
 from ..plans import experiments, report
 from ..plans.retrievers import METHODS
-from ..plans.staging import new_path, shard_count, staged
+from ..plans.staging import measured_bytes, new_path, spread, staged
 from ..sources import benchmark_files, results as result_files
 from ..sources.vector_tables import EmbeddingCache, read_vectors, write_vectors
 from . import fixtures as fx
@@ -37,8 +37,9 @@ def registered(query: Query) -> Query:
     return query
 
 
-def _spread(df: DataFrame, key: str) -> DataFrame:
-    return df.repartition(shard_count(df), key)
+def _stored_vectors(spark, sf) -> DataFrame:
+    """The vectors as a table of their own: training and encoding read them several times."""
+    return staged(spread(fx.vectors(spark, sf), "doc_id"), "vectors")
 
 
 def _elements(df: DataFrame, key: str, column: str = "vector") -> DataFrame:
@@ -91,7 +92,7 @@ def vectors_sink(spark, sf):
 def embedding_cache(spark, sf):
     """Filled by the first call, read by the second."""
     cache = EmbeddingCache(new_path(spark, "cache"))
-    texts, encoder = _spread(fx.plain_corpus(spark, sf), "doc_id"), HashedTermEncoder()
+    texts, encoder = spread(fx.plain_corpus(spark, sf), "doc_id"), HashedTermEncoder()
     cache.vectors(texts, "documents", encoder, encoder.encoder_id)
     return _elements(cache.vectors(texts, "documents", encoder, encoder.encoder_id), "doc_id")
 
@@ -147,6 +148,13 @@ def bm25_scores(spark, sf):
     return lexical.bm25_scores(_lexical_index(spark, sf), fx.queries(spark, sf))
 
 
+@registered
+def bm25_candidates(spark, sf):
+    """BM25 of given pairs only, the ten best by learned weights: work and output follow the candidates."""
+    found = impact_topk(ImpactIndex.build(_impacts(spark, sf)), _query_impacts(spark, sf), NEAR)
+    return lexical.bm25_candidates(_lexical_index(spark, sf), fx.queries(spark, sf), found)
+
+
 @registered
 def bm25_topk(spark, sf):
     return lexical.bm25_topk(_lexical_index(spark, sf), fx.queries(spark, sf), TERM_K)
@@ -186,6 +194,38 @@ def impact_top(spark, sf):
     return impact_topk(ImpactIndex.build(_impacts(spark, sf)), _query_impacts(spark, sf), TERM_K)
 
 
+def _signed(rows: DataFrame, key: str) -> DataFrame:
+    """Every second weight below zero, by the length of the term and, for documents, their id."""
+    odd = (F.length("term") + (F.col(key) if key == "doc_id" else F.lit(0))) % 2
+    return rows.withColumn("weight", F.when(odd == 1, -F.col("weight")).otherwise(F.col("weight")))
+
+
+def _signed_run(spark, sf, chunks):
+    asked = staged(_signed(_query_impacts(spark, sf), "qid"), "query-impacts")
+    limit = measured_bytes(asked) // chunks if chunks else None
+    return impact_topk(ImpactIndex.build(_signed(_impacts(spark, sf), "doc_id")), asked, TERM_K, broadcast_bytes=limit)
+
+
+@registered
+def impact_topk_signed(spark, sf):
+    """Weights of either sign, the query side broadcast whole."""
+    return _signed_run(spark, sf, None)
+
+
+@registered
+def impact_topk_chunked(spark, sf):
+    """The same with a query side three times the limit."""
+    return _signed_run(spark, sf, 3)
+
+
+@registered
+def impact_topk_string_ids(spark, sf):
+    """A ready-made table whose documents have string ids."""
+    path = new_path(spark, "impacts")
+    staged(_impacts(spark, sf).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id"))), "impacts", path)
+    return impact_topk(ImpactIndex.load(spark, path, "string"), _query_impacts(spark, sf), TERM_K)
+
+
 @registered
 def encode_query_impacts(spark, sf):
     rows = encode_sparse(fx.queries(spark, sf), LogCountEncoder())
@@ -194,7 +234,7 @@ def encode_query_impacts(spark, sf):
 
 @registered
 def quantized_impacts(spark, sf):
-    texts = _spread(fx.plain_corpus(spark, sf), "doc_id")
+    texts = spread(fx.plain_corpus(spark, sf), "doc_id")
     return quantize_impacts(encode_sparse(texts, LogCountEncoder(), "doc_id"), IMPACT_SCALE)
 
 
@@ -203,7 +243,7 @@ def quantized_impacts(spark, sf):
 
 @registered
 def encode_corpus(spark, sf):
-    return _elements(encode_dense(_spread(fx.plain_corpus(spark, sf), "doc_id"), HashedTermEncoder()), "doc_id")
+    return _elements(encode_dense(spread(fx.plain_corpus(spark, sf), "doc_id"), HashedTermEncoder()), "doc_id")
 
 
 @registered
@@ -221,7 +261,7 @@ def normalized_vectors(spark, sf):
 
 
 def _flat_run(spark, sf, k=VECTOR_K, skip_identical=True):
-    return dense.search(fx.query_vectors(spark, sf), _spread(fx.vectors(spark, sf), "doc_id"), k,
+    return dense.search(fx.query_vectors(spark, sf), spread(fx.vectors(spark, sf), "doc_id"), k,
                         skip_identical=skip_identical)
 
 
@@ -249,7 +289,7 @@ def int8_codes(spark, sf):
 
 @registered
 def int8_topk(spark, sf):
-    rows = _spread(fx.vectors(spark, sf), "doc_id")
+    rows = _stored_vectors(spark, sf)
     codec = Int8Codec.fit(rows)
     return dense.search(fx.query_vectors(spark, sf), codec.encode(rows), VECTOR_K, "codes", codec.decode,
                         skip_identical=True)
@@ -257,14 +297,14 @@ def int8_topk(spark, sf):
 
 @registered
 def pq_codes(spark, sf):
-    rows = _spread(fx.vectors(spark, sf), "doc_id")
+    rows = _stored_vectors(spark, sf)
     return PqCodec.fit(rows).encode(rows).select("doc_id", F.posexplode("codes").alias("block", "code")).select(
         "doc_id", "block", F.col("code").cast("int").alias("code"))
 
 
 @registered
 def pq_topk(spark, sf):
-    rows = _spread(fx.vectors(spark, sf), "doc_id")
+    rows = _stored_vectors(spark, sf)
     codec = PqCodec.fit(rows)
     return dense.search(fx.query_vectors(spark, sf), codec.encode(rows), VECTOR_K, "codes", codec.decode,
                         skip_identical=True)
@@ -272,12 +312,12 @@ def pq_topk(spark, sf):
 
 @registered
 def ivf_assign(spark, sf):
-    rows = _spread(fx.vectors(spark, sf), "doc_id")
+    rows = _stored_vectors(spark, sf)
     return ivf.assign_cells(rows, ivf.train_cells(rows)).select("doc_id", "cell")
 
 
 def _cell_run(spark, sf, codec=None, trial=0):
-    rows = _spread(fx.vectors(spark, sf), "doc_id")
+    rows = _stored_vectors(spark, sf)
     index = ivf.CellIndex.build(rows, trial=trial, codec=None if codec is None else codec.fit(rows))
     return index.search(fx.query_vectors(spark, sf), VECTOR_K, skip_identical=True)
 
@@ -338,8 +378,9 @@ def dedupe_hits(spark, sf):
     """Hits on copies of one text become hits on the first copy; the last one counts."""
     docs = fx.plain_corpus(spark, sf).select("doc_id", F.sha2("text", 256).alias("body"))
     first = docs.groupBy("body").agg(F.min("doc_id").alias("first_id"))
-    canonical = docs.join(first, "body").select("doc_id", "first_id")
-    run = lexical.bm25_topk(_lexical_index(spark, sf), fx.queries(spark, sf), TERM_K)
+    run = staged(lexical.bm25_topk(_lexical_index(spark, sf), fx.queries(spark, sf), TERM_K), "run")
+    # Only copies that were hit meet their first copy, at most k for each query.
+    canonical = docs.join(run.select("doc_id").distinct(), "doc_id").join(first, "body").select("doc_id", "first_id")
     hits = run.join(canonical, "doc_id").select("qid", F.col("first_id").alias("doc_id"), "score", F.col("rank").alias("pos"))
     return runs.dedupe_hits(hits)
 

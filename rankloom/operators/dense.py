@@ -4,16 +4,16 @@ Two plans with the same result:
 
 * the query side is small (measured): it is broadcast, every task scans its
   own part of the vectors in blocks and keeps k rows per query;
-* the query side is large: queries and vectors are cut into a grid of blocks of
-  bounded size and each grid cell is one co-group. Placement is by hash of the
-  id, so blocks are even whatever the data.
+* the query side is large: it is cut into chunks under the limit and each chunk
+  is broadcast in turn. A chunk scans the vectors where they are, so no vector
+  is ever shuffled, and a task leaves k rows per query for its whole split.
 
-With ``cell`` columns on both sides only vectors of probed cells are scored.
+With ``cell`` columns on both sides only vectors of probed cells are scored;
+queries of one nearest cell then share a chunk, which reads few partitions.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,12 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..plans.staging import BROADCAST_BYTES, staged
+from ..plans.staging import BROADCAST_BYTES, new_path, staged
 from .ranking import SCORE_PLACES, top_k
 
-# Vectors in one block of the grid plan; they are scored in smaller batches.
-VECTOR_BLOCK = 32_768
 # Scores held at once while a batch is scanned.
 SCORE_BUFFER = 4_000_000
 
@@ -50,7 +49,8 @@ def id_array(column) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     ids = column.to_numpy(zero_copy_only=False)
-    return ids.astype(str) if ids.dtype == object else ids
+    # Strings of fixed width sort and compare fast; ids of other kinds, such as decimals, stay objects.
+    return ids.astype(str) if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else ids
 
 
 class BestRows:
@@ -146,29 +146,13 @@ def _scan_task(shared, k: int, payload: str, decode: Decoder, skip_identical: bo
     return task
 
 
-def _grid_task(k: int, payload: str, decode: Decoder, skip_identical: bool, schema: pa.Schema):
-    def task(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        qids, queries = id_array(left.column("qid")), list_matrix(left.column("vector"))
-        best = BestRows(len(qids), k)
-        everyone = np.arange(len(qids))
-        for batch in right.to_batches(max_chunksize=8_192):
-            _score_block(best, everyone, qids, queries, id_array(batch.column("doc_id")),
-                         decode(batch.column(payload)), skip_identical)
-        return pa.Table.from_batches(emit_rows(best, qids, schema), schema=schema)
-
-    return task
-
-
 def arrow_id(field: T.StructField) -> pa.DataType:
-    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
-    return kinds[field.dataType.simpleString()]
+    return to_arrow_type(field.dataType)
 
 
 def search(queries: DataFrame, vectors: DataFrame, k: int, payload: str = "vector", decode: Decoder = plain,
            skip_identical: bool = False, broadcast_bytes: int | None = None,
-           query_block: int | None = None, vector_block: int = VECTOR_BLOCK) -> DataFrame:
+           query_block: int | None = None) -> DataFrame:
     """``run(qid, doc_id, score, rank)``.
 
     ``queries(qid, vector[, cells ARRAY<INT>])``, ``vectors(doc_id, payload[, cell])``.
@@ -178,8 +162,9 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, payload: str = "vecto
     probing = "cells" in queries.columns
     wanted = ["qid", "vector"] + (["cells"] if probing else [])
     # Fresh column identities, as both sides may come from one table.
-    queries = queries.where(F.col("vector").isNotNull()).select(*[F.col(c).alias(c) for c in wanted])
-    vectors = vectors.select("doc_id", payload, *(["cell"] if probing else [])).where(F.col(payload).isNotNull())
+    # A row without an id can be neither asked for nor returned.
+    queries = queries.where(F.col("vector").isNotNull() & F.col("qid").isNotNull()).select(*[F.col(c).alias(c) for c in wanted])
+    vectors = vectors.select("doc_id", payload, *(["cell"] if probing else [])).where(F.col(payload).isNotNull() & F.col("doc_id").isNotNull())
     out = T.StructType([T.StructField("qid", queries.schema["qid"].dataType),
                         T.StructField("doc_id", vectors.schema["doc_id"].dataType),
                         T.StructField("score", T.DoubleType())])
@@ -190,13 +175,38 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, payload: str = "vecto
     row = F.size("vector") * 8 + F.lit(16 + k * 3) + (F.size("cells") * 8 if probing else F.lit(0))
     held, rows = queries.agg(F.coalesce(F.sum(row.cast("long")), F.lit(0)), F.count(F.lit(1))).first()
     if held <= limit:
-        scored = _scan(queries, vectors, k, payload, decode, skip_identical, out, arrow, probing)
-    else:
-        # As many queries in a block as a task may hold: fewer copies of the vectors.
-        query_block = query_block or max(1, limit * rows // held)
-        scored = _grid(queries, vectors, k, payload, decode, skip_identical, out, arrow, probing,
-                       query_block, vector_block)
-    return top_k(scored, k)
+        return top_k(_scan(queries, vectors, k, payload, decode, skip_identical, out, arrow, probing), k)
+    # As many queries in a chunk as a task may hold.
+    query_block = query_block or max(1, limit * rows // held)
+    # Once on disk, as every chunk reads them.
+    stored = staged(queries, "queries")
+    path = new_path(stored.sparkSession, "chunked-run")
+    for part in _chunks(stored, query_block, probing):
+        found = top_k(_scan(part, vectors, k, payload, decode, skip_identical, out, arrow, probing), k)
+        found.write.mode("append").parquet(path)
+    return stored.sparkSession.read.schema(found.schema).parquet(path)
+
+
+def _chunks(queries: DataFrame, size: int, probing: bool) -> Iterator[DataFrame]:
+    """The queries in parts of about ``size``, cut by the hash of the id or, where cells are probed, by nearest cell first."""
+    nearest = F.element_at("cells", 1) if probing else F.lit(0)
+    # One row a cell, as many as the trained model has.
+    counts = sorted(queries.groupBy(nearest.alias("cell")).count().collect())
+    packed: list[int] = []
+    room = size
+    for cell, n in counts:
+        if packed and n > room:
+            yield queries.where(nearest.isin(packed))
+            packed, room = [], size
+        if n <= size:
+            packed.append(cell)
+            room -= n
+        else:
+            parts = -(-n // size)
+            for k in range(parts):
+                yield queries.where((nearest == cell) & (F.pmod(F.xxhash64("qid"), F.lit(parts)) == k))
+    if packed:
+        yield queries.where(nearest.isin(packed))
 
 
 def _scan(queries, vectors, k, payload, decode, skip_identical, out, arrow, probing):
@@ -211,30 +221,3 @@ def _scan(queries, vectors, k, payload, decode, skip_identical, out, arrow, prob
         vectors = vectors.where(F.col("cell").isin(list(probes)))
     shared = vectors.sparkSession.sparkContext.broadcast((qids, matrix, probes))
     return vectors.mapInArrow(_scan_task(shared, k, payload, decode, skip_identical, arrow), out)
-
-
-def _grid(queries, vectors, k, payload, decode, skip_identical, out, arrow, probing, query_block, vector_block):
-    if probing:
-        queries = queries.select("qid", "vector", F.explode("cells").alias("cell"))
-        # One row per cell; the number of cells is bounded by the trained model.
-        asked = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("query_parts"))
-        held = vectors.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / vector_block).cast("int").alias("doc_parts"))
-        sizes = F.broadcast(staged(asked.join(held, "cell"), "cell-sizes"))
-        queries, vectors = queries.join(sizes, "cell"), vectors.join(sizes, "cell")
-    else:
-        parts = {"query_parts": math.ceil(queries.count() / query_block),
-                 "doc_parts": math.ceil(vectors.count() / vector_block)}
-        literals = {"cell": F.lit(0), **{name: F.lit(max(1, n)) for name, n in parts.items()}}
-        queries, vectors = queries.withColumns(literals), vectors.withColumns(literals)
-
-    def place(side, key, own, other, columns):
-        return side.select(
-            *columns, F.col("cell").alias("cell"),
-            F.pmod(F.xxhash64(key), F.col(f"{own}_parts")).cast("int").alias(own),
-            F.explode(F.sequence(F.lit(0), F.col(f"{other}_parts") - 1)).alias(other))
-
-    left = place(queries, "qid", "query", "doc", ["qid", "vector"])
-    right = place(vectors, "doc_id", "doc", "query", ["doc_id", payload])
-    keys = ["cell", "query", "doc"]
-    return (left.groupBy(*keys).cogroup(right.groupBy(*keys))
-            .applyInArrow(_grid_task(k, payload, decode, skip_identical, arrow), out))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..plans.staging import bucketed, is_small, new_path, open_bucketed, shard_count, write_meta
 from .lexical import pair_scores, sparse_topk
 
-IMPACT_SCHEMA = "doc_id long, term string, weight int"
+IMPACT_SCHEMA = "doc_id {}, term string, weight int"
 
 
 def quantize_impacts(weights: DataFrame, scale: float = 100.0) -> DataFrame:
@@ -42,9 +42,9 @@ class ImpactIndex:
         return cls(open_bucketed(spark, f"{path}/impacts", meta["schema"], "doc_id", meta["shards"]))
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, schema: str = IMPACT_SCHEMA) -> ImpactIndex:
-        """A ready-made impact table in plain parquet, produced elsewhere."""
-        return cls(spark.read.schema(schema).parquet(path))
+    def load(cls, spark: SparkSession, path: str, id_type: str = "bigint") -> ImpactIndex:
+        """A ready-made impact table in plain parquet, produced elsewhere, whose ids are of ``id_type``."""
+        return cls(spark.read.schema(IMPACT_SCHEMA.format(id_type)).parquet(path))
 
 
 def _parts(index: ImpactIndex) -> DataFrame:
@@ -64,6 +64,6 @@ def impact_scores(index: ImpactIndex, query_impacts: DataFrame, total: int | Non
 
 def impact_topk(index: ImpactIndex, query_impacts: DataFrame, k: int, total: int | None = None,
                 broadcast_bytes: int | None = None) -> DataFrame:
-    """Sums of positive integer products, exact in the double the blocks use."""
+    """Sums of integer products of either sign, exact in the double the blocks use; any shared term makes a hit."""
     run = sparse_topk(_parts(index), _asked(query_impacts), k, lambda asked, small: asked, None, total, broadcast_bytes)
     return run.withColumn("score", F.col("score").cast("long"))

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..plans.staging import new_path
 from . import dense
 from .dense import list_matrix
-from .quantize import Int8Codec, PqCodec, first_vectors, lloyd, squared_distances
+from .quantize import Int8Codec, PqCodec, seed_vectors, lloyd, squared_distances
 
 NLIST = 16
 NPROBE = 4
@@ -27,8 +27,8 @@ ROUNDS = 2
 
 
 def train_cells(vectors: DataFrame, nlist: int = NLIST, rounds: int = ROUNDS, trial: int = 0) -> np.ndarray:
-    """Centres (nlist, dim); trial t starts from the t-th set of nlist vectors by id."""
-    seeds = first_vectors(vectors, nlist, trial * nlist)
+    """Centres (nlist, dim), or as many as there are vectors; every trial starts from a set of its own."""
+    seeds = seed_vectors(vectors, nlist, trial)
     return lloyd(vectors, seeds[None, :, :], rounds)[0]
 
 

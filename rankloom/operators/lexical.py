@@ -174,6 +174,20 @@ def bm25_scores(index: LexicalIndex, queries: DataFrame, k1: float = K1, b: floa
     return pair_scores(_parts(index, k1, b), bm25_weights(index, terms, small), index.doc_freq, index.total, small)
 
 
+def bm25_candidates(index: LexicalIndex, queries: DataFrame, candidates: DataFrame, k1: float = K1, b: float = B,
+                    analyzer: Analyzer = words, broadcast_bytes: int | None = None) -> DataFrame:
+    """``(qid, doc_id, score)`` for the pairs of ``candidates(qid, doc_id)`` that share a term.
+
+    Each pair brings its query's terms to the document, so rows grow with the
+    candidates and not with queries times documents.
+    """
+    terms = query_terms(queries, analyzer)
+    weights = bm25_weights(index, terms, is_small(terms, broadcast_bytes))
+    asked = candidates.select("qid", "doc_id").distinct().join(weights, "qid")
+    return asked.join(_parts(index, k1, b), ["doc_id", "term"]).groupBy("qid", "doc_id").agg(
+        F.round(F.sum(F.col("weight") * F.col("part")), SCORE_PLACES).alias("score"))
+
+
 def bm25_topk(index: LexicalIndex, queries: DataFrame, k: int, k1: float = K1, b: float = B,
               analyzer: Analyzer = words, broadcast_bytes: int | None = None) -> DataFrame:
     return sparse_topk(_parts(index, k1, b), query_terms(queries, analyzer), k,
@@ -195,11 +209,13 @@ def sparse_topk(rows: DataFrame, query_side: DataFrame, k: int, weigh: Callable[
     limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
 
     def search(part: DataFrame, small: bool) -> DataFrame:
+        """A run whose score is DOUBLE on every path, as chunks of both go to one table."""
         if small:
             return block_topk(rows, weigh(part, True), k)
-        return top_k(pair_scores(rows, weigh(part, False), frequencies, total, False), k)
+        found = top_k(pair_scores(rows, weigh(part, False), frequencies, total, False), k)
+        return found.withColumn("score", F.col("score").cast("double"))
 
-    size = measured_bytes(query_side)
+    size = _held_bytes(query_side, k)
     if size <= limit or limit <= 0:
         return search(query_side, size <= limit)
     stored = staged(query_side, "query-side")
@@ -208,6 +224,15 @@ def sparse_topk(rows: DataFrame, query_side: DataFrame, k: int, weigh: Callable[
     path = new_path(stored.sparkSession, "chunked-run")
     for i in range(chunks):
         part = stored.where(F.pmod(F.xxhash64("qid"), F.lit(chunks)) == i)
-        run = search(part, is_small(part, limit))
+        run = search(part, _held_bytes(part, k) <= limit)
         run.write.mode("append").parquet(path)
     return stored.sparkSession.read.schema(run.schema).parquet(path)
+
+
+def _held_bytes(query_side: DataFrame, k: int) -> int:
+    """What a task holds of a query side: its rows, and 24 bytes for each of k rows per query.
+
+    The second part stays in the task and may be eight times as large.
+    """
+    queries = query_side.agg(F.count_distinct("qid")).first()[0]
+    return measured_bytes(query_side) + 3 * k * queries

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import ranked
+from .ranking import top_k
 from .runs import differs_from_query
 
 CUTOFFS = (1, 10, 100)
@@ -26,7 +26,8 @@ def _relevant() -> Column:
 
 
 def _gain(place: str) -> Column:
-    return F.col("rel").cast("double") / F.log2(F.col(place).cast("double") + F.lit(1.0))
+    """Discounted gain; a grade below zero gains nothing."""
+    return F.greatest("rel", F.lit(0)).cast("double") / F.log2(F.col(place).cast("double") + F.lit(1.0))
 
 
 def _shared(run: DataFrame, qrels: DataFrame, by: Sequence[str]) -> list[str]:
@@ -47,6 +48,11 @@ def ideal_dcg(qrels: DataFrame, ks: Sequence[int] = CUTOFFS, by: Sequence[str] =
     Only the first max(k) judgements of a query leave their partition; counting
     is a partial aggregation, so a query with very many judgements is no burden.
     """
+    return _per_cutoff(_wide_ideal(qrels, ks, by), [*by, "qid"], ks, ["idcg"], ["num_rel"])
+
+
+def _wide_ideal(qrels: DataFrame, ks: Sequence[int], by: Sequence[str]) -> DataFrame:
+    """One row a query with ``num_rel`` and an ``idcg_`` column for each cut-off."""
     keys = [*by, "qid"]
     order = Window.partitionBy(*keys).orderBy(F.desc("rel"), F.asc("doc_id"))
     best = (qrels.where(_relevant()).withColumn("place", F.row_number().over(order))
@@ -54,8 +60,7 @@ def ideal_dcg(qrels: DataFrame, ks: Sequence[int] = CUTOFFS, by: Sequence[str] =
     sums = best.groupBy(*keys).agg(*[
         F.sum(F.when(F.col("place") <= k, _gain("place"))).alias(f"idcg_{k}") for k in ks])
     relevant = qrels.groupBy(*keys).agg(F.count_if(_relevant()).alias("num_rel"))
-    wide = relevant.join(sums, keys, "left")
-    return _per_cutoff(wide, keys, ks, ["idcg"], ["num_rel"])
+    return relevant.join(sums, keys, "left")
 
 
 def _per_cutoff(wide: DataFrame, keys, ks, names, plain) -> DataFrame:
@@ -82,12 +87,14 @@ def per_query(run: DataFrame, qrels: DataFrame, ks: Sequence[int] = CUTOFFS, by:
             F.sum(F.when(inside & _relevant(), F.col("found") / F.col("rank"))).alias(f"psum_{k}"),
             F.sum((inside & _relevant()).cast("double")).alias(f"hits_{k}"),
         ]
-    got = _per_cutoff(judged.groupBy(*keys).agg(*sums), keys, ks, ["dcg", "psum", "hits"], [])
+    got = judged.groupBy(*keys).agg(*sums)
     shared = _shared(run, qrels, by)
-    ideal = ideal_dcg(qrels, ks, shared)
+    ideal = _wide_ideal(qrels, ks, shared)
     if missing == "zero" and list(by) != shared:
         ideal, shared = _for_every_run(ideal, run, by, shared), list(by)
-    joined = got.join(ideal, [*shared, "qid", "k"], "right" if missing == "zero" else "inner")
+    # One row a query on both sides; the cut-offs come last.
+    wide = got.join(ideal, [*shared, "qid"], "right" if missing == "zero" else "inner")
+    joined = _per_cutoff(wide, keys, ks, ["dcg", "psum", "hits", "idcg"], ["num_rel"])
 
     def ratio(top: Column, bottom: Column) -> Column:
         value = F.when(bottom > 0, F.coalesce(top, F.lit(0.0)) / bottom)
@@ -117,7 +124,8 @@ def evaluate(run: DataFrame, qrels: DataFrame, ks: Sequence[int] = CUTOFFS, by:
     """``(k, num_queries, ndcg, map, recall, prec)``, means rounded to 5 places."""
     if ignore_identical:
         run = run.where(differs_from_query(run))
-    run = ranked(run.select(*by, "qid", "doc_id", "score"), [*by, "qid"])
+    # Ranks beyond the last cut-off count for nothing: each partition is cut to it before the exchange.
+    run = top_k(run.select(*by, "qid", "doc_id", "score"), max(ks), [*by, "qid"])
     return means(per_query(run, qrels, ks, by, missing), by)
 
 

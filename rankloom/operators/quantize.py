@@ -73,10 +73,11 @@ def nearest_codes(rows: np.ndarray, codebook: np.ndarray) -> np.ndarray:
     return out
 
 
-def first_vectors(vectors: DataFrame, n: int, skip: int = 0) -> np.ndarray:
-    """The n vectors with the lowest ids after ``skip``: a repeatable set of seeds."""
-    rows = (vectors.where(F.col("vector").isNotNull()).orderBy("doc_id").offset(skip).limit(n)
-            .select("vector").toArrow())
+def seed_vectors(vectors: DataFrame, n: int, trial: int = 0) -> np.ndarray:
+    """n vectors (all, if fewer) in the order of a hash of id and trial: repeatable, and no matter how ids were given out."""
+    order = F.md5(F.concat_ws("-", F.col("doc_id").cast("string"), F.lit(str(trial))))
+    rows = (vectors.where(F.col("vector").isNotNull()).select("vector", order.alias("order"), "doc_id")
+            .orderBy("order", "doc_id").limit(n).select("vector").toArrow())
     seeds = list_matrix(rows.column("vector"))
     if not len(seeds):
         raise ValueError("no vectors to seed the centres from")
@@ -146,7 +147,7 @@ class PqCodec:
     @classmethod
     def fit(cls, vectors: DataFrame, blocks: int = PQ_BLOCKS, bits: int = PQ_BITS,
             rounds: int = PQ_ROUNDS) -> PqCodec:
-        seeds = first_vectors(vectors, 2 ** bits)
+        seeds = seed_vectors(vectors, 2 ** bits)
         if seeds.shape[1] % blocks:
             raise ValueError(f"{seeds.shape[1]} components do not divide into {blocks} blocks")
         start = seeds.reshape(len(seeds), blocks, -1).transpose(1, 0, 2).copy()

@@ -24,7 +24,7 @@ from .ranking import SCORE_PLACES, top_k
 def block_topk(rows: DataFrame, weights: DataFrame, k: int) -> DataFrame:
     """``run`` from ``rows(doc_id, term, part)`` and a small ``weights(qid, term, weight)``.
 
-    The score is the sum of weight times part, both positive.
+    The score is the sum of weight times part over shared terms, of either sign.
     """
     spark = rows.sparkSession
     # The caller has checked the size of the query side.
@@ -56,10 +56,8 @@ def _task(shared, k: int, schema: pa.Schema):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, starts, owner, weight = shared.value
         best = BestRows(len(qids), k)
-        step = max(1, SCORE_BUFFER // max(1, len(qids)))
         for whole in batches:
-            for start in range(0, whole.num_rows, step):
-                batch = whole.slice(start, step)
+            for batch in _slices(whole, starts, max(1, SCORE_BUFFER // max(1, len(qids)))):
                 lists = batch.column("matches")
                 docs = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
                 codes, parts = (column.to_numpy(zero_copy_only=False) for column in lists.flatten().flatten())
@@ -73,14 +71,28 @@ def _task(shared, k: int, schema: pa.Schema):
     return task
 
 
+def _slices(batch: pa.RecordBatch, starts: np.ndarray, step: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ``step`` documents and about ``SCORE_BUFFER`` matched entries, one document at least."""
+    lists = batch.column("matches")
+    codes = lists.flatten().field("code").to_numpy(zero_copy_only=False)
+    sums = np.r_[0, np.cumsum(starts[codes + 1] - starts[codes])]
+    upto = sums[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    start = 0
+    while start < batch.num_rows:
+        end = int(np.searchsorted(upto, upto[start] + SCORE_BUFFER, "right")) - 1
+        end = max(start + 1, min(end, start + step))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def _add(best: BestRows, cell: np.ndarray, value: np.ndarray, queries: int, ids: np.ndarray) -> None:
-    """Sum the entries of every (query, document) cell and offer the sums."""
+    """Sum the entries of every (query, document) cell and offer the sums; a cell with an entry counts whatever its sum."""
     cells = queries * len(ids)
     if 8 * len(cell) > cells:
-        sums = np.bincount(cell, weights=value, minlength=cells)
-        touched = np.nonzero(sums > 0)[0]
-        sums = sums[touched]
+        sums = np.round(np.bincount(cell, weights=value, minlength=cells), SCORE_PLACES)
+        sums[np.bincount(cell, minlength=cells) == 0] = -np.inf
+        best.add(np.arange(queries), sums.reshape(queries, len(ids)), ids)
     else:
         touched, place = np.unique(cell, return_inverse=True)
         sums = np.bincount(place, weights=value, minlength=len(touched))
-    best.offer(touched // len(ids), np.round(sums, SCORE_PLACES), ids[touched % len(ids)])
+        best.offer(touched // len(ids), np.round(sums, SCORE_PLACES), ids[touched % len(ids)])

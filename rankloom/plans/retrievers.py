@@ -8,7 +8,7 @@ returns the run as a lazy DataFrame. A method that is not fitted has no
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -22,7 +22,7 @@ from ..operators.encode import encode_dense, encode_sparse
 from ..operators.impact import ImpactIndex, impact_topk, quantize_impacts
 from ..operators.quantize import Int8Codec, PqCodec
 from ..sources.vector_tables import EmbeddingCache
-from .staging import shard_count, staged
+from .staging import spread, staged
 
 
 class Model(Protocol):
@@ -71,13 +71,22 @@ class Bm25:
 @dataclass(frozen=True)
 class LearnedImpact:
     """Sparse learned weights. With ``impacts_path`` a ready-made table is opened,
-    otherwise the corpus is encoded by ``encoder``, which also serves queries."""
+    otherwise the corpus is encoded by ``encoder``, which also serves queries.
+
+    ``impacts_path`` is one path, or a mapping or function from the name of a
+    dataset to its path; ids in the table are of the type they have in the corpus.
+    """
 
     encoder: Callable = field(default_factory=LogCountEncoder)
     scale: float = 100.0
-    impacts_path: str | None = None
+    impacts_path: str | Mapping[str, str] | Callable[[str], str] | None = None
     shards: int | None = None
 
+    def _path(self, dataset: str) -> str:
+        if isinstance(self.impacts_path, Mapping):
+            return self.impacts_path[dataset]
+        return self.impacts_path(dataset) if callable(self.impacts_path) else self.impacts_path
+
     def _impacts(self, texts: DataFrame, key: str) -> DataFrame:
         return quantize_impacts(encode_sparse(texts, self.encoder, key), self.scale)
 
@@ -85,9 +94,9 @@ class LearnedImpact:
         start = time.perf_counter()
         encode_seconds = 0.0
         if self.impacts_path:
-            index = ImpactIndex.load(corpus.sparkSession, self.impacts_path)
+            index = ImpactIndex.load(corpus.sparkSession, self._path(dataset), corpus.schema["doc_id"].dataType.simpleString())
         else:
-            texts = indexed_text(corpus).repartition(shard_count(corpus, self.shards), "doc_id")
+            texts = spread(indexed_text(corpus), "doc_id", self.shards)
             impacts = staged(self._impacts(texts, "doc_id"), "impacts")
             encode_seconds = time.perf_counter() - start
             start = time.perf_counter()
@@ -102,19 +111,26 @@ class _Dense:
     compression: str | None = None
     cache: EmbeddingCache | None = None
     shards: int | None = None
+    # Tables of vectors already stored, shared by the methods of one registry.
+    tables: dict = field(default_factory=dict, repr=False, compare=False)
+
+    def _once(self, kind: str, name: str, table: DataFrame, make: Callable[[], DataFrame]) -> DataFrame:
+        """A stored table, made once for equal inputs by all methods that share ``tables``."""
+        key = (kind, name, self.encoder.encoder_id, table.semanticHash())
+        if key not in self.tables:
+            self.tables[key] = staged(make(), kind)
+        return self.tables[key]
 
     def _encoded(self, corpus: DataFrame, dataset: str) -> DataFrame:
         """Vectors as a stored table in enough parts for every core."""
-        texts = indexed_text(corpus)
-        shards = shard_count(corpus, self.shards)
+        texts = spread(indexed_text(corpus), "doc_id", self.shards)
         if self.cache is not None:
-            known = self.cache.vectors(texts.repartition(shards, "doc_id"), dataset, self.encoder, self.encoder.encoder_id)
-            return staged(known, "vectors")
-        return staged(encode_dense(texts.repartition(shards, "doc_id"), self.encoder), "vectors")
+            return self._once("vectors", dataset, corpus, lambda: self.cache.vectors(texts, dataset, self.encoder, self.encoder.encoder_id))
+        return self._once("vectors", dataset, corpus, lambda: encode_dense(texts, self.encoder))
 
     def _queries(self, queries: DataFrame) -> DataFrame:
         """Stored, so that measuring them does not run the model again."""
-        return staged(encode_dense(queries.select("qid", "text"), self.encoder), "query-vectors")
+        return self._once("query-vectors", "", queries, lambda: encode_dense(queries.select("qid", "text"), self.encoder))
 
     def _codec(self, vectors: DataFrame):
         if self.compression not in (None, "int8", "pq"):
@@ -159,16 +175,16 @@ class Cells(_Dense):
 
 
 def registry(cache: EmbeddingCache | None = None, compression: str = "int8", encoder: Callable | None = None,
-             impact_encoder: Callable | None = None, impacts_path: str | None = None, nlist: int = ivf.NLIST,
+             impact_encoder: Callable | None = None, impacts_path: str | Mapping[str, str] | Callable[[str], str] | None = None, nlist: int = ivf.NLIST,
              nprobe: int = ivf.NPROBE, rounds: int = ivf.ROUNDS) -> dict[str, Callable[[int], Method]]:
     """Method names as users of the experiments know them.
 
-    A factory makes a fresh object for every trial; with a ``cache`` the dense
-    methods encode a corpus once between them. ``compression`` ("int8" or "pq")
+    A factory makes a fresh object for every trial; all of them encode a corpus
+    and its queries once between them, and with a ``cache`` once for all time. ``compression`` ("int8" or "pq")
     is that of the quantised methods; ``nprobe`` is the search effort and
     ``nlist`` and ``rounds`` the build effort of the approximate ones.
     """
-    vectors = {"encoder": encoder or HashedTermEncoder(), "cache": cache}
+    vectors = {"encoder": encoder or HashedTermEncoder(), "cache": cache, "tables": {}}
     cells = {**vectors, "nlist": nlist, "nprobe": nprobe, "rounds": rounds}
     return {
         "bm25": lambda trial: Bm25(),

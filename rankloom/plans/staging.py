@@ -7,7 +7,6 @@ later step read only the columns it needs.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,17 +20,9 @@ SHARD_BYTES = 32 * 1024 * 1024
 
 
 def staging_root(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, else one in the warehouse, which executors reach as well."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    context = spark.sparkContext
-    root = context.getCheckpointDir()
-    if root is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="rankloom-"))
-        root = context.getCheckpointDir()
-    return root.rstrip("/")
+    return (root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/staging").rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -46,6 +37,13 @@ def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str, shards: int | None = None) -> DataFrame:
+    """``df`` itself, or dealt out by ``key`` if it has fewer partitions than there are cores."""
+    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(shard_count(df, shards), key)
+
+
 def shard_count(df: DataFrame, shards: int | None = None) -> int:
     """The session's shuffle partitions, fewer for inputs Spark estimates to be small."""
     if shards:

@@ -62,4 +62,7 @@ class EmbeddingCache:
             folder = f"{self.path}/dataset={dataset}/encoder_id={encoder_id}"
             encode_dense(new, encoder).write.mode("append").parquet(folder)
         current = self._stored(spark, dataset, encoder_id, id_type)
+        if stored is None:
+            # All that is stored was written just now.
+            return current.select("doc_id", "vector")
         return current.join(hashed.select(keys), keys, "left_semi").select("doc_id", "vector")

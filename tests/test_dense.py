@@ -50,7 +50,7 @@ def test_exact_search_equals_all_pairs(asked, vectors, exact):
 
 
 def test_large_query_side_gives_the_same_run(asked, vectors, exact):
-    grid = dense.search(asked, vectors, 10, skip_identical=True, broadcast_bytes=0, query_block=70, vector_block=90)
+    grid = dense.search(asked, vectors, 10, skip_identical=True, broadcast_bytes=0, query_block=70)
     assert rows(grid) == exact
 
 
@@ -61,7 +61,7 @@ def test_many_copies_and_string_ids(spark):
     q = spark.createDataFrame([("q1", [1.0, 0.0]), ("d001", [1.0, 0.1])], "qid string, vector array<float>")
     want = brute_force(q, v, 7, True)
     assert rows(dense.search(q, v, 7, skip_identical=True)) == want
-    assert rows(dense.search(q, v, 7, skip_identical=True, broadcast_bytes=0, query_block=1, vector_block=50)) == want
+    assert rows(dense.search(q, v, 7, skip_identical=True, broadcast_bytes=0, query_block=1)) == want
 
 
 def test_fewer_vectors_than_k_and_null_vectors(spark):
@@ -76,15 +76,17 @@ def test_probing_every_cell_is_exact_and_more_probes_find_more(asked, vectors, e
     assert found == sorted(found) and found[0] > 0.1
     assert rows(index.search(asked, 10, ivf.NLIST, skip_identical=True)) == exact
     one = rows(index.search(asked, 10, 4, skip_identical=True))
-    grid = index.search(asked, 10, 4, skip_identical=True, broadcast_bytes=0, query_block=40, vector_block=20)
+    grid = index.search(asked, 10, 4, skip_identical=True, broadcast_bytes=0, query_block=40)
     assert rows(grid) == one
 
 
 def test_trials_start_from_other_seeds(vectors):
     first, second = ivf.train_cells(vectors, 8, 1, 0), ivf.train_cells(vectors, 8, 1, 1)
     assert first.shape == second.shape == (8, 64) and not np.allclose(first, second)
-    with pytest.raises(ValueError):
-        ivf.train_cells(vectors, 8, 1, 10_000)
+    # Any trial has seeds, of as many vectors as there are.
+    few = vectors.limit(3)
+    assert ivf.train_cells(few, 8, 1, 10_000).shape == (3, 64)
+    assert ivf.CellIndex.build(vectors.limit(1)).search(vectors.limit(1).withColumnRenamed("doc_id", "qid"), 5).count() == 1
 
 
 def test_probed_cells_prune_the_stored_partitions(vectors, asked):
@@ -144,6 +146,16 @@ def test_encoding_runs_in_batches(spark):
 
 
 def test_grid_has_no_nested_loop_join(asked, vectors):
-    run = dense.search(asked, vectors, 3, broadcast_bytes=0, query_block=200, vector_block=200)
+    run = dense.search(asked, vectors, 3, broadcast_bytes=0, query_block=200)
     plan = run._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(5,0)", "date", "string"])
+def test_ids_of_any_kind(spark, kind):
+    rows_of = [(k, [1.0, float(k)]) for k in range(6)] + [(None, [1.0, 99.0])]
+    ids = "date_add(date'2020-01-01', id)" if kind == "date" else f"cast(id as {kind})"
+    v = spark.createDataFrame(rows_of, "id int, vector array<float>").selectExpr(f"{ids} AS doc_id", "vector")
+    got = dense.search(v.withColumnRenamed("doc_id", "qid"), v, 2, skip_identical=True)
+    assert got.schema["doc_id"].dataType == v.schema["doc_id"].dataType
+    assert got.count() == 12 and got.where("doc_id IS NULL OR qid IS NULL OR qid = doc_id").count() == 0

@@ -1,9 +1,12 @@
 """Runs, grids, records and reports."""
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
 from rankloom.catalog import fixtures as fx
+from rankloom.functions.encoders import HashedTermEncoder
 from rankloom.operators import runs
 from rankloom.plans import experiments, report
 from rankloom.plans.retrievers import METHODS, Bm25, Cells, Flat, LearnedImpact, registry
@@ -107,6 +110,48 @@ def test_ready_made_impacts(spark, folder, dataset, tmp_path):
     assert rows(ready.search(dataset.queries, 5)) == rows(model.search(dataset.queries, 5))
 
 
+def test_ready_made_impacts_of_several_datasets_with_string_ids(spark, tmp_path):
+    datasets = []
+    for name in ("one", "two"):
+        corpus = spark.createDataFrame([(f"{name}-{k}", f"word{k % 3} {name}") for k in range(6)], "doc_id string, text string")
+        queries = spark.createDataFrame([("q", f"word1 {name}")], "qid string, text string")
+        datasets.append(Dataset(name, corpus, queries, spark.createDataFrame([("q", f"{name}-1", 1)], "qid string, doc_id string, rel int")))
+        LearnedImpact()._impacts(corpus, "doc_id").write.parquet(str(tmp_path / name))
+    for paths in ({d.name: str(tmp_path / d.name) for d in datasets}, lambda name: str(tmp_path / name)):
+        runs, _ = experiments.run_all(datasets, ["splade"], registry(impacts_path=paths), k=2)
+        assert rows(runs, "dataset", "doc_id") == [(n, f"{n}-{k}") for n in ("one", "two") for k in (1, 4)]
+
+
+class CountingEncoder(HashedTermEncoder):
+    """Notes down every text it encodes."""
+
+    folder = ""
+
+    def __call__(self):
+        encode = super().__call__()
+
+        def noted(texts):
+            with open(f"{self.folder}/{uuid.uuid4().hex}", "w") as file:
+                file.write("\n".join(texts))
+            return encode(texts)
+
+        return noted
+
+
+@pytest.mark.parametrize("size", [1, 40])
+def test_every_text_is_encoded_once_in_a_sweep(spark, tmp_path, size):
+    corpus = spark.createDataFrame([(k, f"document {k}") for k in range(size)], "doc_id long, text string")
+    queries = spark.createDataFrame([(k, f"query {k}") for k in range(3)], "qid long, text string")
+    dataset = Dataset("d", corpus, queries, spark.createDataFrame([(0, 0, 1)], "qid long, doc_id long, rel int"))
+    encoder = CountingEncoder()
+    object.__setattr__(encoder, "folder", str(tmp_path))
+    methods = registry(encoder=encoder)
+    records = experiments.sweep([dataset], ["flat", "flat_quantized", "hnsw", "hnsw_quantized"], methods, k=5, trials=lambda m: 2 if "hnsw" in m else 1)
+    assert records.count() == 6
+    seen = sorted(line for path in tmp_path.iterdir() for line in path.read_text().split("\n"))
+    assert seen == sorted([f"document {k}" for k in range(size)] + [f"query {k}" for k in range(3)])
+
+
 def test_reports(spark):
     records = spark.createDataFrame(
         [("a", "hnsw", 0, 0.5), ("a", "hnsw", 1, 0.7), ("a", "bm25", 0, 0.4), ("b", "bm25", 0, 0.25)],

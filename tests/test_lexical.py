@@ -140,6 +140,31 @@ def test_impacts_are_an_integer_dot_product(spark, tables, index):
     assert rows(large) == rows(impact_topk(stored, asked, 10))
 
 
+def test_weights_of_either_sign_give_one_answer_on_every_plan(spark):
+    docs = [(d, f"t{t}", (d * t) % 5 - 2 or 1) for d in range(40) for t in range(d % 7 + 1)] + [(99, "t0", 1), (99, "t1", -1)]
+    weights = spark.createDataFrame(docs, "doc_id long, term string, weight int")
+    asked = spark.createDataFrame([(0, f"t{t}", 3 - t) for t in range(7)] + [(q, f"t{q % 7}", -2) for q in range(1, 12)] + [(20, "t0", 1), (20, "t1", 1)],
+                                  "qid long, term string, weight int")
+    index = ImpactIndex.build(weights)
+    pairs = {}
+    for r in impact_scores(index, asked).collect():
+        pairs.setdefault(r["qid"], []).append((-r["score"], r["doc_id"]))
+    want = sorted((q, d, -s, n) for q, found in pairs.items() for n, (s, d) in enumerate(sorted(found)[:8], 1))
+    assert any(s < 0 for _, _, s, _ in want) and any(s == 0 for _, _, s, _ in want)
+    size = lexical._held_bytes(asked, 8)
+    for limit in (None, size // 2, size // 3, 50, 0):
+        run = impact_topk(index, asked, 8, broadcast_bytes=limit)
+        assert run.schema["score"].dataType.simpleString() == "bigint" and rows(run) == want, limit
+
+
+def test_matched_entries_of_a_batch_are_bounded(spark, index, tables, monkeypatch):
+    from rankloom.operators import term_blocks
+
+    want = rows(lexical.bm25_topk(index, tables[1], 5))
+    monkeypatch.setattr(term_blocks, "SCORE_BUFFER", 500)
+    assert rows(lexical.bm25_topk(index, tables[1], 5)) == want
+
+
 def test_stored_impacts_reopen(spark, index, tables, tmp_path):
     path = str(tmp_path / "impacts")
     weights = index.postings.select("doc_id", "term", F.col("tf").cast("int").alias("weight"))

@@ -100,3 +100,18 @@ def test_bounds_and_the_ideal_run(spark, relevant, found):
     ideal = scores(spark, [("q", d, float(r)) for d, r in relevant.items()], qrels, (1, 10))
     assert ideal["q", 1]["ndcg"] == pytest.approx(1.0)
     assert ideal["q", 10]["ndcg"] == pytest.approx(1.0)
+
+
+def test_a_grade_below_zero_gains_nothing(spark):
+    got = scores(spark, [("q", "a", 3.0), ("q", "b", 2.0)], [("q", "a", -1), ("q", "b", 1)], (10,))
+    assert got["q", 10]["ndcg"] == pytest.approx(1 / math.log2(3))
+    only = scores(spark, [("q", "a", 3.0)], [("q", "a", -1)], (10,))
+    assert only["q", 10]["ndcg"] == 0
+
+
+def test_ranks_beyond_the_last_cutoff_are_cut_early(spark):
+    run = spark.createDataFrame([("q", f"d{k:03d}", float(-k)) for k in range(50)], RUN)
+    qrels = spark.createDataFrame([("q", "d001", 1), ("q", "d040", 1)], QRELS)
+    scored = metrics.evaluate(run, qrels, (1, 5))
+    assert "WindowGroupLimit" in scored._jdf.queryExecution().executedPlan().toString()
+    assert [(r["k"], r["recall"]) for r in scored.orderBy("k").collect()] == [(1, 0.0), (5, 0.5)]
