@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import Analyzer, words
 from ..plans.staging import (
-    BROADCAST_BYTES, bucketed, is_small, measured_bytes, new_path, open_bucketed, shard_count, staged, write_meta,
+    BROADCAST_BYTES, bucketed, is_small, new_path, open_bucketed, shard_count, staged, write_meta,
 )
 from .ranking import SCORE_PLACES, top_k
 from .term_blocks import block_topk
@@ -234,5 +234,6 @@ def _held_bytes(query_side: DataFrame, k: int) -> int:
 
     The second part stays in the task and may be eight times as large.
     """
-    queries = query_side.agg(F.count_distinct("qid")).first()[0]
-    return measured_bytes(query_side) + 3 * k * queries
+    width = F.coalesce(F.octet_length("term"), F.lit(0)) + 32
+    held, queries = query_side.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0)), F.count_distinct("qid")).first()
+    return held + 3 * k * queries

@@ -89,6 +89,14 @@ def test_trials_start_from_other_seeds(vectors):
     assert ivf.CellIndex.build(vectors.limit(1)).search(vectors.limit(1).withColumnRenamed("doc_id", "qid"), 5).count() == 1
 
 
+@pytest.mark.parametrize("codec", [None, Int8Codec, PqCodec])
+def test_stored_cell_index_reopens(spark, vectors, asked, codec, tmp_path):
+    path = str(tmp_path / "cells")
+    made = ivf.CellIndex.build(vectors, codec=codec and codec.fit(vectors), path=path)
+    again = ivf.CellIndex.open(spark, path)
+    assert rows(again.search(asked.where("qid < 50"), 5)) == rows(made.search(asked.where("qid < 50"), 5))
+
+
 def test_probed_cells_prune_the_stored_partitions(vectors, asked):
     index = ivf.CellIndex.build(vectors)
     run = index.search(asked.where("qid = 3"), 5, 2)
