@@ -8,6 +8,7 @@ from rankloom.llm.decontamination import contamination, contamination_digest
 from rankloom.llm.hilbert import shards
 from rankloom.llm.hnsw import search_every
 from rankloom.llm.language_id import identify
+from rankloom.llm.oracle import SQL  # noqa: F401
 from rankloom.llm.pieces import encode_decode
 from rankloom.llm.quality import fit, grades, kept, score
 from rankloom.llm.quotes import conversations
@@ -77,4 +78,4 @@ def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_simhash, op4_pieces, op5_decontamination, op6_quotes,
                                     op7_substrings, op8_url_cascade, op9_hnsw, op10_hilbert)}
-SQL: dict[str, str] = {}
+

@@ -37,7 +37,7 @@ ANCHOR = 6
 # Words of a context before and after its anchor's first; offsets of a window's start before it.
 BEFORE = WINDOW - ANCHOR
 # Contexts of one anchor that go through one automaton; with more, see ``_by_window``.
-SHARD_CONTEXTS = 4096
+SHARD_CONTEXTS = 256
 NULL_ID = -(1 << 63)
 
 
@@ -94,28 +94,29 @@ def _map(df: DataFrame, of_text, schema: str, columns: tuple[str, ...]) -> DataF
     return df.select("text", *columns).mapInArrow(rows, schema)
 
 
-def repeated_anchors(docs: DataFrame) -> DataFrame:
-    """``(anchor)`` of all that occur more than once; a task sums up its text before the shuffle."""
+def _anchored(docs: DataFrame) -> DataFrame:
+    """``(id, anchors, again)``, stored: the distinct anchors of every document and those it has more than once."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            found = [anchors((text or b"").split())[0] for text in as_bytes(batch.column("text"))]
-            anchor, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n)], ["anchor", "n"])
+            found = [np.unique(anchors((text or b"").split())[0], return_counts=True) for text in as_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), _lists([a for a, _ in found]), _lists([a[n > 1] for a, n in found])],
+                                             ["id", "anchors", "again"])
 
-    counted = docs.select("text").mapInArrow(rows, "anchor bigint, n bigint")
-    return saved(counted.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "repeated-anchors")
+    return saved(docs.select("id", "text").mapInArrow(rows, "id bigint, anchors array<bigint>, again array<bigint>"), "anchors")
 
 
-def _candidates(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with ``anchors`` as a table bucketed by id, and its name; anchors null where none is repeated."""
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(a) for a in arrays])].astype(np.int32)), pa.array(np.concatenate(arrays)))
 
-    def of_text(words, doc):
-        mine = np.unique(anchors(words)[0])
-        return mine.tolist(), [doc] * len(mine)
 
-    anchored = _map(docs, of_text, "anchor bigint, id bigint", ("id",))
-    mine = anchored.join(repeated_anchors(docs), "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
+def _candidates(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with ``anchors`` as a table bucketed by id, and its name; anchors null where none is repeated."""
+    anchored = _anchored(docs)
+    counted = anchored.select(F.explode(F.concat("anchors", "again")).alias("anchor")).groupBy("anchor").count()
+    repeated = saved(counted.where("count > 1").select("anchor"), "repeated-anchors")
+    mine = (anchored.select("id", F.explode("anchors").alias("anchor")).join(repeated, "anchor")
+            .groupBy("id").agg(F.collect_set("anchor").alias("anchors")))
     # Both by the same number of buckets: the table needs no exchange in the later joins by id.
     n = partitions(docs)
     joined = docs.repartition(n, "id").join(mine, "id", "left")
@@ -290,13 +291,13 @@ def _class_masks(candidates: DataFrame, classes: DataFrame, shard_contexts: int)
     return _by_shard(contexts.where("large = 0")).union(_by_window(contexts.where("large = 1")))
 
 
-def removed(words: list[bytes], told: list[dict]) -> np.ndarray:
-    """Which words of a document are in a window that starts earlier too, by what is told of its context classes."""
+def removed(words: list[bytes], mine: list[int], told: list[dict]) -> np.ndarray:
+    """Which words of a document are in a window that starts earlier too, by what is told of the classes around its anchors ``mine``."""
     gone = np.zeros(len(words) + 1, np.int64)
     by_class = {t["c1"]: t for t in told}
     every = (1 << BEFORE + 1) - 1
     hashes, places = anchors(words)
-    for at in places.tolist():
+    for at in places[np.isin(hashes, np.array(mine, np.int64))].tolist():
         c1, _, _ = context(words, at)
         if (what := by_class.get(c1)) is not None:
             mask = what["mask"] if what["first"] == at else every
@@ -335,9 +336,9 @@ def dedup(docs: DataFrame, keep_text: bool = True, shard_contexts: int = SHARD_C
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             out = {"n_words": [], "n_removed": [], "kept_sha256": [], "kept": []}
-            for text, told in zip(as_bytes(batch.column("text")), batch.column("told").to_pylist()):
+            for text, mine, told in zip(as_bytes(batch.column("text")), batch.column("anchors").to_pylist(), batch.column("told").to_pylist()):
                 words = (text or b"").split()
-                gone = removed(words, told) if told else np.zeros(len(words), bool)
+                gone = removed(words, mine, told) if told else np.zeros(len(words), bool)
                 kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if told else words)
                 out["n_words"].append(len(words))
                 out["n_removed"].append(int(gone.sum()))
@@ -347,7 +348,7 @@ def dedup(docs: DataFrame, keep_text: bool = True, shard_contexts: int = SHARD_C
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", *carried)], *[pa.array(out[c], t) for c, t in types.items()]],
                                              ["id", *carried, *types])
 
-    joined = candidates.select("id", "text", *carried).join(told, "id", "left")
+    joined = candidates.select("id", "text", "anchors", *carried).join(told, "id", "left")
     along = "".join(f"{c} {joined.schema[c].dataType.simpleString()}, " for c in carried)
     done = joined.mapInArrow(rows, f"id bigint, {along}n_words bigint, n_removed bigint, kept_sha256 string, kept string")
     result = saved(done if keep_text else done.drop("kept"), "deduplicated")
