@@ -21,11 +21,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import compress, groupby
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +37,10 @@ WINDOW = 20
 ANCHOR = 6
 # Words of a context before and after its anchor's first; offsets of a window's start before it.
 BEFORE = WINDOW - ANCHOR
-# Contexts of one anchor that go through one automaton; with more, see ``_by_window``.
+# Contexts that go through one automaton; with more, see ``_by_core``.
 SHARD_CONTEXTS = 256
+# Windows of an anchor that share a core, by the words they have before the anchor.
+BLOCKS = tuple((a, min(a + 3, BEFORE)) for a in range(0, BEFORE + 1, 4))
 NULL_ID = -(1 << 63)
 
 
@@ -68,30 +71,26 @@ def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
     return best(values[:len(values) - (width - size)], values[width - size:]) if size < width else values
 
 
-def context(words: list[bytes], at: int) -> tuple[int, int, bytes]:
-    """Two halves of the hash of the context of the anchor at ``at``, and its words."""
-    start = max(0, at - BEFORE)
-    text = b" ".join(words[start:at + WINDOW])
-    digest = xxhash.xxh3_128_digest(text, seed=at - start)
-    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), text
+class Contexts:
+    """The contexts of a text's anchors, cut from its words joined by one space."""
 
+    def __init__(self, words: list[bytes]):
+        self.text = b" ".join(words)
+        # Where each word starts, and one past the end as if another word came.
+        self.starts = np.r_[0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)]
 
-def _map(df: DataFrame, of_text, schema: str, columns: tuple[str, ...]) -> DataFrame:
-    """Rows ``of_text(words, *other columns)`` gives for every row; ``schema`` names them."""
-    names = [part.split()[0] for part in schema.split(", ")]
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    fields = pa.schema([(part.split()[0], kinds[part.split()[1]]) for part in schema.split(", ")])
+    def at(self, places: np.ndarray) -> list[tuple[bytes, bytes]]:
+        """Hash and words of the context of each place."""
+        first = np.maximum(places - BEFORE, 0)
+        last = np.minimum(places + WINDOW, len(self.starts) - 1)
+        text, digest = self.text, xxhash.xxh3_128_digest
+        return [(digest(cut := text[start:end], seed=before), cut) for start, end, before in
+                zip(self.starts[first].tolist(), (self.starts[last] - 1).tolist(), (places - first).tolist())]
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            others = [batch.column(c).to_pylist() for c in columns]
-            out = [[] for _ in names]
-            for text, *more in zip(as_bytes(batch.column("text")), *others):
-                for column, values in zip(out, of_text((text or b"").split(), *more)):
-                    column += values
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, fields)], schema=fields)
 
-    return df.select("text", *columns).mapInArrow(rows, schema)
+def _halves(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    pairs = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+    return pa.array(pairs[:, 0]), pa.array(pairs[:, 1])
 
 
 def _anchored(docs: DataFrame) -> DataFrame:
@@ -127,20 +126,42 @@ def _candidates(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def _occurrences(candidates: DataFrame) -> DataFrame:
-    """``(anchor, c1, c2, id, at, n)``: a row for every document and context class around a repeated anchor."""
+    """``(anchor, c1, c2, id, tag, at, more)``: a row for every document and context class around a repeated anchor.
 
-    def of_text(words, doc, mine):
-        hashes, places = anchors(words)
-        again = np.isin(hashes, np.array(mine, np.int64))
-        seen: dict[tuple[int, int], list] = {}
-        for anchor, at in zip(hashes[again].tolist(), places[again].tolist()):
-            c1, c2, _ = context(words, at)
-            row = seen.setdefault((c1, c2), [anchor, c1, c2, doc, at, 0])
-            row[5] += 1
-        return list(zip(*seen.values())) if seen else [[]] * 6
+    ``at`` is the first place of the class in the document, ``more`` the others
+    as bytes, mostly null. ``tag`` tells apart rows with one id.
+    """
 
-    return _map(candidates.where("anchors IS NOT NULL"), of_text, "anchor bigint, c1 bigint, c2 bigint, id bigint, at bigint, n bigint",
-                ("id", "anchors"))
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            anchor, digests, doc, tags, first, more = [], [], [], [], [], []
+            for text, own, mine in zip(as_bytes(batch.column("text")), batch.column("id").to_pylist(), batch.column("anchors")):
+                words = (text or b"").split()
+                hashes, places = anchors(words)
+                again = np.isin(hashes, mine.values.to_numpy())
+                seen: dict[bytes, int] = {}
+                others: dict[int, list[int]] = {}
+                for hashed, at, (digest, _) in zip(hashes[again].tolist(), places[again].tolist(), Contexts(words).at(places[again])):
+                    row = seen.setdefault(digest, len(digests))
+                    if row < len(digests):
+                        others.setdefault(row, []).append(at)
+                    else:
+                        anchor.append(hashed)
+                        digests.append(digest)
+                        first.append(at)
+                doc += [own] * len(seen)
+                tags += [_tag(text or b"")] * len(seen)
+                more += [np.array(others[row], "<i4").tobytes() if row in others else None for row in seen.values()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchor, pa.int64()), *_halves(digests), pa.array(doc, pa.int64()), pa.array(tags, pa.int32()),
+                 pa.array(first, pa.int32()), pa.array(more, pa.binary())], ["anchor", "c1", "c2", "id", "tag", "at", "more"])
+
+    return candidates.where("anchors IS NOT NULL").select("text", "id", "anchors").mapInArrow(
+        rows, "anchor bigint, c1 bigint, c2 bigint, id bigint, tag int, at int, more binary")
+
+
+def _tag(text: bytes) -> int:
+    return crc32(text) - (1 << 31)
 
 
 class Automaton:
@@ -201,17 +222,16 @@ class Automaton:
                 yield k, self.first[state]
 
 
-def shard_masks(contexts: list[tuple[int, int, list]]) -> list[int]:
-    """For each context ``(id, place of the anchor, words)``, in order of place, the windows that start earlier elsewhere.
+def shard_masks(contexts: list[tuple[int, int, int, list]]) -> list[int]:
+    """For each context ``(id, its start, place of the anchor, words)``, in order of place, the windows that start earlier elsewhere.
 
     Bit d stands for the window that starts d words before the anchor.
     """
     automaton = Automaton()
-    starts = [max(0, at - BEFORE) for _, at, _ in contexts]
-    for (doc, _, words), start in zip(contexts, starts):
+    for doc, start, _, words in contexts:
         automaton.add(words, doc, start)
     masks = []
-    for (doc, at, words), start in zip(contexts, starts):
+    for doc, start, at, words in contexts:
         mask = 0
         for k, place in automaton.earliest(words, WINDOW):
             if place < (doc, start + k):
@@ -221,22 +241,22 @@ def shard_masks(contexts: list[tuple[int, int, list]]) -> list[int]:
 
 
 def _by_shard(contexts: DataFrame) -> DataFrame:
-    """``(c1, c2, mask)`` of classes with windows that start earlier, one automaton for each anchor."""
+    """``(c1, c2, mask)`` of classes with windows that start earlier, one automaton for each ``anchor``."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = (row for batch in batches for row in zip(*[batch.column(c).to_pylist() for c in ("anchor", "id", "at", "c1", "c2", "text")]))
+        every = (row for batch in batches for row in zip(*[batch.column(c).to_pylist() for c in ("anchor", "id", "start", "at", "c1", "c2", "text")]))
         out: list[tuple[int, int, int]] = []
         for _, group in groupby(every, key=lambda row: row[0]):
             shard = list(group)
             if len(shard) > 1:
-                masks = shard_masks([(doc, at, text.split(b" ")) for _, doc, at, _, _, text in shard])
-                out += [(row[3], row[4], mask) for row, mask in zip(shard, masks) if mask]
+                masks = shard_masks([(doc, start, at, text.split(b" ")) for _, doc, start, at, _, _, text in shard])
+                out += [(row[4], row[5], mask) for row, mask in zip(shard, masks) if mask]
             if len(out) > 10_000:
                 yield _triples(out)
                 out = []
         yield _triples(out)
 
-    return (contexts.repartition(partitions(contexts), "anchor").sortWithinPartitions("anchor", "id", "at")
+    return (contexts.repartition(partitions(contexts), "anchor").sortWithinPartitions("anchor", "id", "start")
             .mapInArrow(rows, "c1 bigint, c2 bigint, mask bigint"))
 
 
@@ -244,14 +264,42 @@ def _triples(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([row[k] for row in out], pa.int64()) for k in range(3)], ["c1", "c2", "mask"])
 
 
+def _by_core(contexts: DataFrame, shard_contexts: int) -> DataFrame:
+    """The same for anchors with very many contexts, such as a common line in many surroundings.
+
+    Windows with 0 to 3 words before the anchor all hold the same 17 words, and
+    so on: these cores are anchors of their own with a part of the context
+    each. What still has very many goes window by window.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, start, at, c1, c2, text in zip(*[batch.column(c).to_pylist() for c in ("id", "start", "at", "c1", "c2", "text")]):
+                words, before = text.split(b" "), at - start
+                for a, b in BLOCKS:
+                    # Without the whole core there is no window of the block.
+                    if a <= before and before + WINDOW - b <= len(words):
+                        core = xxhash.xxh64_intdigest(b" ".join(words[before - a:before + WINDOW - b]), seed=a) - (1 << 63)
+                        first = max(before - b, 0)
+                        out.append((core, doc, start + first, at, c1, c2, b" ".join(words[first:before + WINDOW - a])))
+            columns = list(zip(*out)) if out else [()] * 7
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:6]], pa.array(columns[6], pa.binary())],
+                                             ["anchor", "id", "start", "at", "c1", "c2", "text"])
+
+    cores = saved(contexts.mapInArrow(rows, "anchor bigint, id bigint, start bigint, at bigint, c1 bigint, c2 bigint, text binary"), "cores")
+    hot = saved(cores.groupBy("anchor").count().where(F.col("count") > shard_contexts).select("anchor"), "hot-cores")
+    return _by_shard(cores.join(hot, "anchor", "left_anti")).union(_by_window(cores.join(hot, "anchor", "left_semi")))
+
+
 def _by_window(contexts: DataFrame) -> DataFrame:
-    """The same for anchors with very many contexts: window by window, so that no task gets them all."""
+    """The same window by window, so that no task gets all contexts of an anchor."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for c1, c2, doc, at, text in zip(*[batch.column(c).to_pylist() for c in ("c1", "c2", "id", "at", "text")]):
-                words, start = text.split(b" "), max(0, at - BEFORE)
+            for c1, c2, doc, start, at, text in zip(*[batch.column(c).to_pylist() for c in ("c1", "c2", "id", "start", "at", "text")]):
+                words = text.split(b" ")
                 for k in range(len(words) - WINDOW + 1):
                     digest = xxhash.xxh3_128_digest(b" ".join(words[k:k + WINDOW]))
                     out.append((int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True),
@@ -273,42 +321,68 @@ def _class_masks(candidates: DataFrame, classes: DataFrame, shard_contexts: int)
               .groupBy(F.col("first.id").alias("id")).agg(F.collect_list(F.struct(F.col("first.at").alias("at"),
                                                                                   (F.col("count") > shard_contexts).alias("large"))).alias("places")))
 
-    def of_text(words, doc, places):
-        out = [[] for _ in range(7)]
-        hashes, at_all = anchors(words)
-        anchor_of = dict(zip(at_all.tolist(), hashes.tolist()))
-        for place in places:
-            at = place["at"]
-            # A row with the same id and another text has no such place.
-            if at in anchor_of:
-                c1, c2, text = context(words, at)
-                for column, value in zip(out, (anchor_of[at], doc, at, c1, c2, text, int(place["large"]))):
-                    column.append(value)
-        return out
-
-    contexts = saved(_map(candidates.join(places, "id"), of_text,
-                          "anchor bigint, id bigint, at bigint, c1 bigint, c2 bigint, text binary, large int", ("id", "places")), "contexts")
-    return _by_shard(contexts.where("large = 0")).union(_by_window(contexts.where("large = 1")))
-
-
-def removed(words: list[bytes], mine: list[int], told: list[dict]) -> np.ndarray:
-    """Which words of a document are in a window that starts earlier too, by what is told of the classes around its anchors ``mine``."""
-    gone = np.zeros(len(words) + 1, np.int64)
-    by_class = {t["c1"]: t for t in told}
-    every = (1 << BEFORE + 1) - 1
-    hashes, places = anchors(words)
-    for at in places[np.isin(hashes, np.array(mine, np.int64))].tolist():
-        c1, _, _ = context(words, at)
-        if (what := by_class.get(c1)) is not None:
-            mask = what["mask"] if what["first"] == at else every
-            for d in range(BEFORE + 1):
-                start = at - d
-                if mask >> d & 1 and start >= 0 and start + WINDOW <= len(words):
-                    gone[start] += 1
-                    gone[start + WINDOW] -= 1
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            anchor, doc, digests, texts, at, large = [], [], [], [], [], []
+            for text, own, asked in zip(as_bytes(batch.column("text")), batch.column("id").to_pylist(), batch.column("places").to_pylist()):
+                words = (text or b"").split()
+                anchor_of = dict(zip(*(x.tolist() for x in reversed(anchors(words)))))
+                # A row with the same id and another text has no such place.
+                asked = [place for place in asked if place["at"] in anchor_of]
+                for place, (digest, cut) in zip(asked, Contexts(words).at(np.array([place["at"] for place in asked], np.int64))):
+                    anchor.append(anchor_of[place["at"]])
+                    doc.append(own)
+                    at.append(place["at"])
+                    digests.append(digest)
+                    texts.append(cut)
+                    large.append(place["large"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchor, pa.int64()), pa.array(doc, pa.int64()), pa.array(np.maximum(np.array(at, np.int64) - BEFORE, 0)),
+                 pa.array(at, pa.int64()), *_halves(digests), pa.array(texts, pa.binary()), pa.array(large, pa.bool_())], ["anchor", "id", "start", "at", "c1", "c2", "text", "large"])
+
+    contexts = saved(candidates.select("text", "id").join(places, "id").select("text", "id", "places").mapInArrow(
+        rows, "anchor bigint, id bigint, start bigint, at bigint, c1 bigint, c2 bigint, text binary, large boolean"), "contexts")
+    found = _by_shard(contexts.where("NOT large")).union(_by_core(contexts.where("large"), shard_contexts))
+    # A class split over cores has a part of its mask from each.
+    return found.groupBy("c1", "c2").agg(F.bit_or("mask").alias("mask"))
+
+
+EVERY = (1 << BEFORE + 1) - 1
+
+
+def removed(n: int, places: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Which of ``n`` words are in a window that starts earlier too: bit d of a mask is the window d words before its place."""
+    gone = np.zeros(n + 1, np.int64)
+    for d in range(BEFORE + 1):
+        starts = places[masks >> d & 1 == 1] - d
+        starts = starts[(starts >= 0) & (starts + WINDOW <= n)]
+        # Places of one kind are distinct.
+        np.add.at(gone, starts, 1)
+        np.add.at(gone, starts + WINDOW, -1)
     return np.cumsum(gone[:-1]) > 0
 
 
+def _told(lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray] | None]:
+    """(tags, places, masks) of every document that is told something."""
+    flat = lists.flatten()
+    tag, at, mask = (flat.field(c).to_numpy() for c in ("tag", "at", "mask"))
+    more = flat.field("more").to_pylist()
+    end = 0
+    for valid, size in zip(lists.is_valid().to_pylist(), pa.compute.list_value_length(lists).to_pylist()):
+        if not valid:
+            yield None
+            continue
+        start, end = end, end + size
+        further = [(np.frombuffer(m, "<i4"), k) for k, m in enumerate(more[start:end]) if m]
+        tags, places, masks = tag[start:end], at[start:end].astype(np.int64), mask[start:end].astype(np.int64)
+        if further:
+            # Only the first place of a class may have windows left.
+            tags = np.r_[tags, np.concatenate([np.full(len(p), tags[k]) for p, k in further])]
+            places = np.r_[places, np.concatenate([p for p, _ in further])]
+            masks = np.r_[masks, np.full(len(places) - len(masks), EVERY)]
+        yield tags, places, masks
+
+
 def dedup(docs: DataFrame, keep_text: bool = True, shard_contexts: int = SHARD_CONTEXTS, carry: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, *carry, n_words, n_removed, kept_sha256[, kept])`` for every row of ``docs(doc_id, text)``.
 
@@ -325,21 +399,27 @@ def dedup(docs: DataFrame, keep_text: bool = True, shard_contexts: int = SHARD_C
                         *[F.col(f"`{c}`").alias(name) for name, c in carried.items()])
     candidates, name = _candidates(keyed)
     occurrences = _occurrences(candidates)
-    classes = saved(occurrences.groupBy("anchor", "c1", "c2").agg(F.min(F.struct("id", "at")).alias("first"), F.sum("n").alias("n")), "classes")
+    classes = saved(occurrences.groupBy("anchor", "c1", "c2").agg(F.min(F.struct("id", "at")).alias("first"),
+                                                                            F.sum(1 + F.coalesce(F.octet_length("more"), F.lit(0)) / 4).alias("n")), "classes")
     masks = saved(_class_masks(candidates, classes, shard_contexts), "masks")
     telling = saved(classes.join(masks, ["c1", "c2"], "left").where("n > 1 OR mask IS NOT NULL")
                     .select("c1", "c2", "first", F.coalesce("mask", F.lit(0)).alias("mask")), "telling-classes")
-    first = F.when(F.col("first.id") == F.col("id"), F.col("first.at")).otherwise(-1)
-    told = (occurrences.select("c1", "c2", "id").join(telling, ["c1", "c2"])
-            .groupBy("id").agg(F.collect_list(F.struct("c1", first.alias("first"), "mask")).alias("told")))
+    is_first = (F.col("first.id") == F.col("id")) & (F.col("first.at") == F.col("at"))
+    entry = F.struct("tag", "at", "more", F.when(is_first, F.col("mask")).otherwise(EVERY).cast("int").alias("mask"))
+    told = (occurrences.select("c1", "c2", "id", "tag", "at", "more").join(telling, ["c1", "c2"])
+            .groupBy("id").agg(F.collect_list(entry).alias("told")))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             out = {"n_words": [], "n_removed": [], "kept_sha256": [], "kept": []}
-            for text, mine, told in zip(as_bytes(batch.column("text")), batch.column("anchors").to_pylist(), batch.column("told").to_pylist()):
+            for text, told in zip(as_bytes(batch.column("text")), _told(batch.column("told"))):
                 words = (text or b"").split()
-                gone = removed(words, mine, told) if told else np.zeros(len(words), bool)
-                kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if told else words)
+                gone = np.zeros(len(words), bool)
+                if told is not None:
+                    tags, places, masks = told
+                    mine = tags == _tag(text or b"")
+                    gone = removed(len(words), places[mine], masks[mine])
+                kept = b" ".join(compress(words, (~gone).tolist()) if told is not None else words)
                 out["n_words"].append(len(words))
                 out["n_removed"].append(int(gone.sum()))
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
@@ -348,7 +428,7 @@ def dedup(docs: DataFrame, keep_text: bool = True, shard_contexts: int = SHARD_C
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", *carried)], *[pa.array(out[c], t) for c, t in types.items()]],
                                              ["id", *carried, *types])
 
-    joined = candidates.select("id", "text", "anchors", *carried).join(told, "id", "left")
+    joined = candidates.select("id", "text", *carried).join(told, "id", "left")
     along = "".join(f"{c} {joined.schema[c].dataType.simpleString()}, " for c in carried)
     done = joined.mapInArrow(rows, f"id bigint, {along}n_words bigint, n_removed bigint, kept_sha256 string, kept string")
     result = saved(done if keep_text else done.drop("kept"), "deduplicated")
