@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import as_bytes, chunks
 
 # Rated documents learnt from.
-ROWS = 12_000
+ROWS = 6_000
 WORDS = 1 << 17
 # A word that fewer of them have tells nothing.
 LEAST = 20
