@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import decontamination, pieces, quality, simhash, substrings
+from rankloom.llm import decontamination, near_copies, pieces, quality, substrings
 from rankloom.llm.common import saved
 from rankloom.llm.queries import MODEL, table
 
@@ -20,20 +20,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates.
+    """The row with the smallest id of each group of near duplicates: five-word shingles, similarity 0.8 or more.
 
-    Of rows that share this id the one with the least text stays. Rows without
-    an id stay.
+    What op3's contract links goes as well. Of rows without an id the first of each group stays beside it. Rows that
+    repeat an id but are no near duplicates stay.
     """
-    marked = simhash.near_duplicates(docs)
-    others = saved(marked.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
-    again = saved(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
-    kept = docs.select(*COLUMNS).join(others, "doc_id", "left_anti")
-    if again.isEmpty():
-        return kept.select(*COLUMNS)
-    order = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
-    one = (kept.join(again, "doc_id", "left_semi").withColumn("place", F.row_number().over(order)).where("place = 1"))
-    return kept.join(again, "doc_id", "left_anti").select(*COLUMNS).union(one.select(*COLUMNS))
+    return near_copies.first_of_each(docs.select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,166 @@
+"""Near copies by the Jaccard similarity of five-word shingles: MinHash buckets, then exact comparison; and by SimHash."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from rankloom.llm.common import as_bytes, chunks, partitions, saved
+from rankloom.llm.components import components
+from rankloom.llm.simhash import fingerprint, links as fingerprint_links
+
+SHINGLE = 5
+# Similar are sets with PART of WHOLE of their union in common, or more.
+PART, WHOLE = 4, 5
+# A pair at 0.8 shares one of 20 bands of 5 minima with chance 1 - (1 - 0.8^5)^20, 99.96 %.
+BANDS, MINIMA = 20, 5
+# Shingles of a group that are compared at once; a larger group is compared block by block.
+BLOCK = 1 << 19
+
+_rng = np.random.default_rng(42)
+_FLIP = _rng.integers(0, 1 << 63, BANDS * MINIMA, np.uint64)
+_TIMES = _rng.integers(0, 1 << 63, BANDS * MINIMA, np.uint64) << np.uint64(1) | np.uint64(1)
+
+
+def shingles(text: bytes | None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of a text's lower-cased words; a shorter text is one shingle."""
+    words = (text or b"").lower().split()
+    n = len(words)
+    if not n:
+        return np.empty(0, np.uint64)
+    word = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+    size = min(n, SHINGLE)
+    run = word[:n - size + 1].copy()
+    for k in range(1, size):
+        run = (run ^ run >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + word[k:n - size + 1 + k]
+    run = (run ^ run >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return np.unique(run ^ run >> np.uint64(32))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """One bucket number for each band of minima; none for an empty set."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * MINIMA, ~np.uint64(0))
+    for at in range(0, len(hashes), 1 << 12):
+        least = np.minimum(least, ((hashes[at:at + (1 << 12), None] ^ _FLIP) * _TIMES).min(axis=0))
+    return [xxhash.xxh64_intdigest(part.tobytes(), k) - (1 << 63) for k, part in enumerate(least.reshape(BANDS, MINIMA))]
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """``docs`` stored with ``row`` (unique), ``set_key``, ``set_size``, ``bands``, ``fp`` and ``text_key``."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            texts = as_bytes(batch.column("text"))
+            sets = [shingles(text) for text in texts]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                 pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64())),
+                 pa.array([fingerprint((t or b"").lower().split()) for t in texts], pa.int64()),
+                 pa.array([xxhash.xxh3_64_intdigest(t or b"") - (1 << 63) for t in texts], pa.int64())],
+                [*batch.schema.names, "set_key", "set_size", "bands", "fp", "text_key"])
+
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
+    found = docs.mapInArrow(rows, schema + "set_key binary, set_size bigint, bands array<bigint>, fp bigint, text_key bigint")
+    return saved(found.withColumn("row", F.monotonically_increasing_id()), "shingled")
+
+
+def similar(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that connect all sets whose Jaccard similarity is 0.8 or more, as pairs of positions.
+
+    Exact, by an inverted list for each shingle; breadth first, so what is
+    reached is not compared with what reached it again.
+    """
+    size = np.array([len(s) for s in sets], np.int64)
+    ends = np.cumsum(size)
+    _, term = np.unique(np.concatenate(sets), return_inverse=True)
+    holder = np.repeat(np.arange(len(sets)), size)[np.argsort(term, kind="stable")]
+    n_holders = np.bincount(term)
+    first = np.cumsum(n_holders) - n_holders
+    waiting, out = np.ones(len(sets), bool), []
+    for seed in range(len(sets)):
+        if not waiting[seed]:
+            continue
+        waiting[seed] = False
+        ahead = [seed]
+        while ahead:
+            at = ahead.pop()
+            mine = term[ends[at] - size[at]:ends[at]]
+            lengths = n_holders[mine]
+            lists = np.repeat(first[mine] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+            common = np.bincount(holder[lists], minlength=len(sets))
+            found = np.flatnonzero(waiting & ((PART + WHOLE) * common >= PART * (size + size[at])))
+            waiting[found] = False
+            out += [(at, int(other)) for other in found]
+            ahead += found.tolist()
+    return out
+
+
+def _links(marked: DataFrame, distinct: DataFrame, block: int) -> DataFrame:
+    """``(src, dst)``: edges between set keys that connect all similar sets within a group of shared buckets.
+
+    Groups are the components of sets that share a bucket. Every group is
+    compared in itself, whole texts, once: a large one in cells of two blocks
+    each, so a task holds no more than about two blocks.
+    """
+    in_buckets = distinct.select("set_key", F.explode("bands").alias("bucket"))
+    shared = saved(in_buckets.groupBy("bucket").agg(F.min("set_key").alias("hub"), F.count(F.lit(1)).alias("n"))
+                   .where("n > 1").drop("n"), "shared-buckets")
+    groups = components(in_buckets.join(shared, "bucket").select(F.col("set_key").alias("src"), F.col("hub").alias("dst")).distinct())
+    grouped = saved(distinct.join(groups, distinct.set_key == groups.node).select("set_key", "set_size", "row", F.col("root").alias("group")), "groups")
+    sizes = saved(grouped.groupBy("group").agg(F.ceil(F.sum("set_size") / block).cast("int").alias("blocks")), "group-sizes")
+    mine = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
+    placed = grouped.join(sizes, "group").select("row", "set_key", "group", "blocks", mine.alias("mine"))
+    cells = (marked.select("row", "text").join(placed, "row")
+             .select("set_key", "text", "group", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+             .select("set_key", "text", F.xxhash64("group", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell")))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = ((cell, key, shingles(text)) for batch in batches for part in chunks([batch])
+                 for cell, key, text in zip(part.column("cell").to_pylist(), as_bytes(part.column("set_key")), as_bytes(part.column("text"))))
+        for _, members in groupby(every, key=lambda row: row[0]):
+            keys, sets = zip(*[(key, found) for _, key, found in members])
+            found = similar(list(sets))
+            yield pa.RecordBatch.from_arrays([pa.array([keys[pair[k]] for pair in found], pa.binary()) for k in (0, 1)], ["src", "dst"])
+
+    return (cells.repartition(partitions(marked), "cell").sortWithinPartitions("cell").mapInArrow(rows, "src binary, dst binary"))
+
+
+def _simhash_links(marked: DataFrame) -> DataFrame:
+    """``(src, dst)``: edges between set keys whose texts SimHash links, as ``simhash.near_duplicates`` does."""
+    pairs = saved(marked.select("fp", "set_key").distinct(), "fingerprints")
+    hubs = saved(pairs.groupBy("fp").agg(F.min("set_key").alias("hub")), "fingerprint-hubs")
+    within = pairs.join(hubs, "fp").where("set_key <> hub").select(F.col("set_key").alias("src"), F.col("hub").alias("dst"))
+    across = (fingerprint_links(hubs.select("fp")).join(hubs.select(F.col("fp").alias("src"), F.col("hub").alias("a")), "src")
+              .join(hubs.select(F.col("fp").alias("dst"), F.col("hub").alias("b")), "dst"))
+    return within.union(across.select("a", "b"))
+
+
+def first_of_each(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs(doc_id, text, ...)`` without near copies, all their columns.
+
+    Rows are near copies if their sets of five-word shingles have a Jaccard
+    similarity of 0.8 or more, or if ``simhash.near_duplicates`` links them, or
+    through a chain of such rows; texts without words are all copies of each
+    other. Of each such component the row with
+    the smallest doc_id stays, and the first of those without an id. Rows are
+    told apart by a stored number of their own, so rows that repeat a doc_id
+    stay if they are no near copies.
+    """
+    marked = _marked(docs)
+    distinct = saved(marked.groupBy("set_key").agg(F.first("set_size").alias("set_size"), F.first("bands").alias("bands"), F.min("row").alias("row")),
+                     "distinct-sets")
+    roots = components(_links(marked, distinct, block).union(_simhash_links(marked)))
+    rows = marked.select("row", "doc_id", "text_key", "set_key")
+    rooted = saved(rows.join(roots, rows.set_key == roots.node, "left")
+                   .select("row", "doc_id", "text_key", F.coalesce("root", "set_key").alias("root")), "rooted")
+    first = saved(rooted.groupBy("root", F.col("doc_id").isNull().alias("no_id")).agg(F.min(F.struct("doc_id", "text_key", "row")).alias("first")), "first-rows")
+    others = saved(rooted.select("row").join(first.select(F.col("first.row").alias("row")), "row", "left_anti"), "near-copies")
+    return marked.join(others, "row", "left_anti").select(*docs.columns)
