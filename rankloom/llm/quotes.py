@@ -59,7 +59,8 @@ def conversations(messages: DataFrame) -> DataFrame:
 
     A quoted passage is a run of lines with the same number of quote marks; it
     is linked by the hash of its normalised text to the first earlier turn of
-    the conversation that has it as a passage (or a single line) of its own.
+    the conversation that has it as a passage (or a single line) of its own,
+    else to the first one with a passage that holds its lines one after the other.
     ``reply_to`` is the latest turn linked to a quote of the first level, or of
     the lowest level that links at all. ``thread`` is the turn at the root of a
     chain of replies, the message's own if it answers nothing known, and
@@ -82,9 +83,18 @@ def conversations(messages: DataFrame) -> DataFrame:
            .select("conv_id", "turn", normal(F.col("body")).alias("body")).where("body <> ''"))
     # The first turn with a passage, summed up before the shuffle: one row a passage, however often it is repeated.
     first = own.groupBy("conv_id", F.sha2("body", 256).alias("hash")).agg(F.min("turn").alias("source"))
-    quoted = (runs.where("run.level > 0").select("conv_id", "turn", F.col("run.level").alias("at"), F.sha2(normal(F.col("run.body")), 256).alias("hash"))
-              .distinct())
-    linked = (quoted.join(first, ["conv_id", "hash"]).where("source < turn")
+    quoted = saved(runs.where("run.level > 0").select("conv_id", "turn", F.col("run.level").alias("at"), F.size(F.split("run.body", "\n")).alias("n"),
+                                                      F.sha2(normal(F.col("run.body")), 256).alias("hash")).distinct(), "quotes")
+    whole = saved(quoted.join(first, ["conv_id", "hash"]).where("source < turn"), "whole-quotes")
+    # Runs of some lines of a longer passage: of as many as a quote left over in the conversation has.
+    rest = saved(quoted.where("n > 1").join(whole, ["conv_id", "turn", "at", "n", "hash"], "left_anti"), "other-quotes")
+    counts = saved(rest.groupBy("conv_id").agg(F.collect_set("n").alias("counts")), "line-counts")
+    parts = (runs.where("run.level = 0").join(counts, "conv_id").select("conv_id", "turn", F.split("run.body", "\n").alias("lines"), F.explode("counts").alias("n"))
+             .where("n < size(lines)").select("conv_id", "turn", F.explode(F.array_distinct(F.transform(
+                 F.sequence(F.lit(1), F.size("lines") - F.col("n") + 1),
+                 lambda at: F.sha2(normal(F.array_join(F.slice(F.col("lines"), at, F.col("n")), "\n")), 256)))).alias("hash")))
+    trimmed = rest.join(parts.groupBy("conv_id", "hash").agg(F.min("turn").alias("source")), ["conv_id", "hash"]).where("source < turn")
+    linked = (whole.select("conv_id", "turn", "at", "source").union(trimmed.select("conv_id", "turn", "at", "source"))
               .groupBy("conv_id", "turn").agg(F.min(F.struct("at", (-F.col("source")).alias("neg"))).alias("best"))
               .select("conv_id", "turn", (-F.col("best.neg")).alias("reply_to")))
     linked = saved(linked, "replies")

@@ -191,3 +191,17 @@ def test_empty_tables(spark, tmp_path, name):
     spark.createDataFrame([], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     spark.createDataFrame([], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_quote_of_some_lines_of_a_passage(spark):
+    passage = "one\nTwo  words\nthree\nfour"
+    rows = [(1, 0, "user", passage), (1, 1, "bot", "> two words\n> three\nyes"), (1, 2, "user", "x\none\ntwo words"),
+            # Lines that are not one after the other, and in another order.
+            (1, 3, "bot", "> one\n> three"), (1, 4, "bot", "> three\n> two words"),
+            # A whole passage comes before part of an earlier one.
+            (1, 5, "user", "three\nfour"), (1, 6, "bot", "> three\n> four"), (1, 7, "bot", ">> one\n>> two words\n>> three\n> yes"),
+            # Not from another conversation, nor from a later turn.
+            (2, 0, "bot", "> two words\n> three"), (2, 1, "user", passage)]
+    got = {(r.conv_id, r.turn): r.reply_to for r in conversations(
+        spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")).collect()}
+    assert {k: v for k, v in got.items() if v is not None} == {(1, 1): 0, (1, 6): 5, (1, 7): 1}
