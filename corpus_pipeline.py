@@ -13,7 +13,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose chance of the best grade is a half or more; null and empty ones go."""
+    """Documents whose chance of the best grade reaches the cut that costs 1 % of good ones; null and empty ones go."""
     docs = docs.select(*COLUMNS)
     model = quality.fit(docs, quality.grades(table(spark, sf_dir, "labels")))
     return quality.score(docs, model).where(quality.kept()).select(*COLUMNS)

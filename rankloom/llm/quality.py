@@ -15,13 +15,15 @@ from rankloom.llm.common import as_bytes, chunks
 # Rated documents learnt from.
 ROWS = 6_000
 WORDS = 1 << 17
-# A word that fewer of them have tells nothing.
-LEAST = 20
+# A word tells nothing if fewer than one in so many of them have it, or fewer than 3.
+RARE = 600
 # Besides hashed words: shapes of words, and figures on the whole text.
 SHAPES, FIGURES = 64, 3
 SIZE = WORDS + SHAPES + FIGURES
-# Documents are kept if the chance of the best grade is at least this.
+# Documents are kept if the chance of the best grade is at least this, or a higher cut that costs at most
+# ``LOSS`` of the documents of the best grade in a held-out ``HELD_OUT``-th of the rated ones.
 KEEP = 0.5
+LOSS, HELD_OUT = 0.01, 4
 
 _SIGNS = bytes(range(0x21, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x7F))
 
@@ -74,6 +76,7 @@ class OrdinalModel:
 
     def __init__(self, levels: np.ndarray, weights: np.ndarray, cuts: np.ndarray):
         self.levels, self.weights, self.cuts = levels, weights, cuts
+        self.keep = KEEP
 
     def above(self, score: np.ndarray) -> np.ndarray:
         """Chance, for every score, of a grade above each level but the last."""
@@ -128,10 +131,21 @@ def fit_ordinal(rows: np.ndarray, numbers: np.ndarray, values: np.ndarray, grade
     return OrdinalModel(levels.astype(float), full, first + np.r_[0, np.cumsum(np.exp(steps_up))])
 
 
-def fit(docs: DataFrame, ratings: DataFrame, most: int = ROWS, least: int = LEAST) -> OrdinalModel | None:
+def keep_from(tails: np.ndarray, loss: float = LOSS) -> float:
+    """The highest cut, ``KEEP`` at least, under which at most ``loss`` of the good documents' chances ``tails`` lie.
+
+    Too few documents to tell such a loss leave it at ``KEEP``.
+    """
+    lost = int(loss * len(tails))
+    return max(KEEP, float(np.sort(tails)[lost])) if lost else KEEP
+
+
+def fit(docs: DataFrame, ratings: DataFrame, most: int = ROWS, least: int | None = None, good: float = 2) -> OrdinalModel | None:
     """A model from at most ``most`` rated documents, chosen by the hash of the id; None without any.
 
-    A hashed word gets a weight if ``least`` of them have it.
+    A hashed word gets a weight if ``least`` of them have it, by default a
+    ``RARE``-th of them. A first fit without a held-out part gives the cut
+    ``keep`` on that part, for documents of grade ``good`` or better.
 
     Only these few ids are broadcast; executors turn the whole texts into
     features and the driver gets those. Ratings without a document are ignored.
@@ -161,18 +175,32 @@ def fit(docs: DataFrame, ratings: DataFrame, most: int = ROWS, least: int = LEAS
     rows_of = np.repeat(np.arange(len(numbers)), [len(x) for x in numbers])
     number = np.concatenate(numbers).astype(np.int64)
     value = np.concatenate([np.frombuffer(x, "<f4") for x in found["values"]]).astype(float)
-    told = (number >= WORDS) | (np.bincount(number, minlength=SIZE)[number] >= least)
-    return fit_ordinal(rows_of[told], number[told], value[told], found["grade"].to_numpy())
+    grade = found["grade"].to_numpy()
+
+    def learn(which: np.ndarray) -> OrdinalModel:
+        mine = which[rows_of]
+        fewest = max(3, -(-int(which.sum()) // RARE)) if least is None else least
+        mine[mine] = (number[mine] >= WORDS) | (np.bincount(number[mine], minlength=SIZE)[number[mine]] >= fewest)
+        return fit_ordinal((np.cumsum(which) - 1)[rows_of[mine]], number[mine], value[mine], grade[which])
+
+    # Rows are in order of grade and features, so every HELD_OUT-th one is a fair share of each grade.
+    held = np.arange(len(grade)) % HELD_OUT == HELD_OUT - 1
+    model = learn(np.ones(len(grade), bool))
+    if LOSS * ((grade >= good) & held).sum() >= 1:
+        trial = learn(~held)
+        sums = np.bincount(rows_of, trial.weights[number] * value, len(grade))
+        model.keep = keep_from(trial.tail(trial.above(sums[(grade >= good) & held]), good))
+    return model
 
 
 def score(docs: DataFrame, model: OrdinalModel | None, good: float = 2) -> DataFrame:
-    """``docs`` with ``expected_grade`` and ``tail_probability``, the chance of grade ``good`` or better.
+    """``docs`` with ``expected_grade``, ``tail_probability``, the chance of grade ``good`` or better, and the model's ``keep_cut``.
 
     A text that is null or has no words gets the lowest grade and chance 0.
-    Without a model both are null. Existing columns of these names are replaced.
+    Without a model all are null. Existing columns of these names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("expected_grade", "tail_probability")
+    docs = docs.drop("expected_grade", "tail_probability", "keep_cut")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, model = _Codes(), shared.value
@@ -190,9 +218,10 @@ def score(docs: DataFrame, model: OrdinalModel | None, good: float = 2) -> DataF
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "expected_grade", "tail_probability"])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
-    return docs.mapInArrow(rows, schema + "expected_grade double, tail_probability double")
+    return (docs.mapInArrow(rows, schema + "expected_grade double, tail_probability double")
+            .withColumn("keep_cut", F.lit(model.keep if model else None).cast("double")))
 
 
-def kept(keep: float = KEEP) -> Column:
-    """Whether a scored row stays: the chance reaches ``keep``, or nothing is known."""
-    return F.coalesce(F.col("tail_probability") >= keep, F.lit(True))
+def kept() -> Column:
+    """Whether a scored row stays: the chance reaches the model's cut, or nothing is known."""
+    return F.coalesce(F.col("tail_probability") >= F.col("keep_cut"), F.lit(True))

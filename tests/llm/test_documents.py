@@ -229,6 +229,24 @@ def test_quality_held_out(spark):
     assert means[0] < means[1] < means[2]
 
 
+def test_quality_cut_removes_toxic(spark):
+    """Single telling words, each in about ten of 3,000 rated documents."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(6000):
+        low, toxic = rng.random() < 0.15, rng.random() < 0.1
+        text = [f"{'low' if low and rng.random() < 0.3 else 'w'}{n}" for n in rng.integers(0, 100, 30)] + [f"bad{rng.integers(0, 30)}"] * toxic
+        rows.append((k, " ".join(rng.permutation(text)), int(not low), int(toxic)))
+    every = spark.createDataFrame(rows, "doc_id bigint, text string, quality int, toxic int")
+    model = quality.fit(every, quality.grades(every.where("doc_id % 2 = 0")))
+    got = quality.score(every.where("doc_id % 2 = 1"), model).withColumn("kept", quality.kept()).where("quality = 1").toPandas()
+    kept = got.groupby("toxic")["kept"].mean()
+    print(f"cut {model.keep:.3f}, kept {kept.to_dict()}, at one half {got.assign(h=got['tail_probability'] >= 0.5).groupby('toxic')['h'].mean().to_dict()}")
+    assert kept[1] < 0.2 and kept[0] > 0.98
+    assert quality.keep_from(np.arange(1000) / 1000) == quality.KEEP
+    assert quality.keep_from(0.7 + np.arange(1000) / 10000) == 0.701
+
+
 def test_quality_awkward_rows(spark):
     docs = documents(spark)
     labels = spark.createDataFrame([(k, k % 3 // 2 if k % 5 else None, k % 2) for k in range(50)] + [(None, 1, 0), (999, 1, 0)],
