@@ -36,10 +36,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without ten consecutive words of a benchmark item; rows without an id stay."""
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    leaks = saved(found.where("n_hit > 0").select("doc_id").distinct(), "leaks")
-    return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows without ten consecutive words of a benchmark item, told by their texts, whatever their ids."""
+    keyed = docs.select(*COLUMNS, F.sha2("text", 256).alias("text_key"))
+    found = decontamination.contamination(keyed.select(F.col("text_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    leaks = saved(found.where("n_hit > 0").select(F.col("doc_id").alias("text_key")).distinct(), "leaks")
+    return keyed.join(leaks, "text_key", "left_anti").select(*COLUMNS)
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -104,3 +104,15 @@ def test_near_copies_from_similarity_0_8_on(spark, block):
     want = {r for r in slow_similar(texts)}
     assert 12 < len(want) < 40
     assert sorted(r.doc_id for r in got.collect()) == sorted(want)
+
+
+def test_decisions_by_row(spark, tmp_path):
+    leak, clean, other = (" ".join(f"{name}{k}" for k in range(40)) for name in ("leak", "clean", "other"))
+    spark.createDataFrame([(1, leak)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(i, t, None, None, None) for i, t in ((None, leak), (None, clean), (None, clean), (5, leak), (5, clean + " more"), (5, other), (6, other))]
+    docs = spark.createDataFrame(rows, DOCS)
+    left = corpus_pipeline.keep_clean(spark, docs, str(tmp_path))
+    assert rows_of(left) == sorted([r for r in rows if r[1] != leak], key=repr)
+    once = corpus_pipeline.keep_first(spark, docs, str(tmp_path))
+    want = [(None, leak), (None, clean), (5, leak), (5, clean + " more"), (5, other)]
+    assert sorted(((r.doc_id, r.text) for r in once.collect()), key=repr) == sorted(want, key=repr)
