@@ -14,6 +14,7 @@ from rankloom.llm.quality import fit, grades, kept, score
 from rankloom.llm.quotes import conversations
 from rankloom.llm.simhash import near_duplicates
 from rankloom.llm.substrings import dedup
+from rankloom.llm.suffix_arrays import dedup_bytes
 from rankloom.llm.url_cascade import filter_urls
 
 
@@ -76,6 +77,11 @@ def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents"), 24)
 
 
+def op12_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without 100-byte strings that start earlier."""
+    return dedup_bytes(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_simhash, op4_pieces, op5_decontamination, op6_quotes,
-                                    op7_substrings, op8_url_cascade, op9_hnsw, op10_hilbert)}
+                                    op7_substrings, op8_url_cascade, op9_hnsw, op10_hilbert, op12_suffix_arrays)}
 
