@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -52,6 +53,17 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             size += n or 0
         if start < batch.num_rows:
             yield batch.slice(start)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as Python workers live on and later stages need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        # Another C library has no such call.
+        return
 
 
 def with_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:

@@ -54,4 +54,18 @@ SELECT page_id, host, path, CASE {rule} END AS rule,
 FROM parts"""
 
 
-SQL = {"op5_decontamination": contamination(), "op7_substrings": dedup(), "op8_url_cascade": urls()}
+def hard_negatives() -> str:
+    return """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS whole
+           FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+pairs AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_dot_product(a.whole, b.whole)::BIGINT AS score
+          FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT * FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, p.other_id AS positive_id, row_number() OVER best::INTEGER AS rank, n.other_id AS negative_id,
+       p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same AND 100 * n.score BETWEEN 50 * p.score AND 95 * p.score
+WINDOW best AS (PARTITION BY p.anchor_id, p.other_id ORDER BY n.score DESC, n.other_id)
+QUALIFY row_number() OVER best <= 3"""
+
+
+SQL = {"op11_hard_negatives": hard_negatives(), "op5_decontamination": contamination(), "op7_substrings": dedup(), "op8_url_cascade": urls()}

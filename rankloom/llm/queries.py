@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rankloom.llm.decontamination import contamination, contamination_digest
+from rankloom.llm.gnat import hard_negatives, quantised
 from rankloom.llm.hilbert import shards
 from rankloom.llm.hnsw import search_every
 from rankloom.llm.language_id import identify
 from rankloom.llm.oracle import SQL  # noqa: F401
+from rankloom.llm.periodic_runs import digest, periodic_runs, with_loops
 from rankloom.llm.pieces import encode_decode
 from rankloom.llm.quality import fit, grades, kept, score
 from rankloom.llm.quotes import conversations
@@ -77,11 +80,22 @@ def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents"), 24)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels nearly as close as the positives, for every vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)").alias("label"))
+    return hard_negatives(quantised(vectors))
+
+
 def op12_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without 100-byte strings that start earlier."""
     return dedup_bytes(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document, a tenth of which are made to go on in loops."""
+    return digest(periodic_runs(with_loops(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_simhash, op4_pieces, op5_decontamination, op6_quotes,
-                                    op7_substrings, op8_url_cascade, op9_hnsw, op10_hilbert, op12_suffix_arrays)}
+                                    op7_substrings, op8_url_cascade, op9_hnsw, op10_hilbert, op11_hard_negatives, op12_suffix_arrays, op13_periodic_runs)}
 

@@ -111,50 +111,86 @@ def anchors(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([h for h, _ in found]), np.concatenate([p for _, p in found])
 
 
-def _ranks(*keys: np.ndarray) -> np.ndarray:
-    """Dense ranks of rows of keys, the first key counting most."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    for key in keys:
-        sorted_key = key[order]
-        new[1:] |= sorted_key[1:] != sorted_key[:-1]
+def _ranks(first: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
+    """Dense ranks from 0 on, of one column of keys or of pairs of small numbers."""
+    if second is not None:
+        first = first * np.int64(int(second.max(initial=0)) + 1) + second
+    order = np.argsort(first)
+    key = first[order]
     ranks = np.empty(len(order), np.int64)
-    ranks[order] = np.cumsum(new)
+    ranks[order] = np.cumsum(np.r_[False, key[1:] != key[:-1]]) if len(key) else key
     return ranks
 
 
+def _cover_ranks(size: int, lead: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Ranks by DEPTH = 84 bytes of the cover's suffixes that a window of ``starts`` can be compared at.
+
+    Ranks of 7 bytes are joined to 14, 28, 56 and 84; each width only where a
+    greater one asks for it.
+    """
+    in_cover = np.isin(np.arange(PERIOD), COVER)
+    near = np.zeros(size + DEPTH, bool)
+    for d in range(PERIOD):
+        near[starts + d] = True
+    asked = {DEPTH: near}
+    for wide, narrow, steps in ((84, 56, (0,)), (56, 28, (0, 28)), (28, 14, (0, 14)), (14, 7, (0, 7))):
+        asked[narrow] = np.zeros_like(near)
+        for step in steps:
+            asked[narrow][step:] |= asked[wide][:len(near) - step]
+        if narrow == 28:
+            asked[narrow][56:] |= near[:-56]
+    sample = {width: (at := np.flatnonzero(mask))[in_cover[at % PERIOD]] for width, mask in asked.items()}
+    rank = np.zeros(size + 2 * DEPTH, np.int64)
+    rank[sample[7]] = _ranks(lead[sample[7]] >> np.uint64(8))
+    kept = None
+    for width in (7, 14, 28):
+        at = sample[2 * width]
+        wider = np.zeros_like(rank)
+        wider[at] = _ranks(rank[at], rank[at + width])
+        kept = rank if width == 28 else None
+        rank = wider
+    at = sample[DEPTH]
+    cover = np.zeros_like(rank)
+    cover[at] = _ranks(rank[at], kept[at + 56])
+    return cover
+
+
+def _below(group: np.ndarray, key: np.ndarray, span: np.int64) -> np.ndarray:
+    """How many of the same group have a smaller key; keys are from 0 to ``span``."""
+    if not len(group):
+        return group
+    key = group * span + key
+    order = np.argsort(key)
+    ordered, groups = key[order], group[order]
+    new = np.maximum.accumulate(np.where(np.r_[True, ordered[1:] != ordered[:-1]], np.arange(len(key)), 0))
+    first = np.maximum.accumulate(np.where(np.r_[True, groups[1:] != groups[:-1]], np.arange(len(key)), 0))
+    out = np.empty(len(key), np.int64)
+    out[order] = new - first
+    return out
+
+
 def equal_windows(text: np.ndarray, starts: np.ndarray, bucket: int = BUCKET) -> np.ndarray:
     """A number for each of ``starts``: its place in the alphabetical order of the windows from there, the same for equal ones.
 
     Memory beyond ``text`` is the ranks of the cover, three sevenths of its
-    positions, and one bucket of suffixes.
+    positions at most, and one bucket of suffixes.
     """
     size = len(text)
-    padded = np.concatenate([text, np.zeros(WINDOW + 8, np.uint8)]).astype(np.uint64)
-    lead = padded[:size + WINDOW]
+    if not len(starts):
+        return np.empty(0, np.int64)
+    padded = np.concatenate([text, np.zeros(WINDOW + DEPTH + 8, np.uint8)]).astype(np.uint64)
+    lead = padded
     for width in (1, 2, 4):
         lead = lead[:len(lead) - width] << np.uint64(8 * width) | lead[width:]
-    lead = lead[:size + WINDOW - 8]
-    # Ranks of the cover's suffixes by 7, 14, 28, 56 and then 84 bytes.
-    sample = np.flatnonzero(np.isin(np.arange(size) % PERIOD, COVER))
-    rank = {PERIOD: np.zeros(size + 2 * DEPTH, np.int64)}
-    rank[PERIOD][sample] = _ranks(lead[sample] >> np.uint64(8)) + 1
-    for width in (7, 14, 28):
-        rank[2 * width] = np.zeros(size + 2 * DEPTH, np.int64)
-        rank[2 * width][sample] = _ranks(rank[width][sample], rank[width][sample + width]) + 1
-        if width < 28:
-            del rank[width]
-    cover = np.zeros(size + 2 * DEPTH, np.int64)
-    cover[sample] = _ranks(rank[56][sample], rank[28][sample + 56]) + 1
-    del rank
-    top = np.int64(len(sample) + 2)
-
+    cover = _cover_ranks(size, lead, starts)
+    top = np.int64(int(cover.max()) + 1)
     shared = {(a, b): next(d for d in range(PERIOD) if (a + d) % PERIOD in COVER and (b + d) % PERIOD in COVER)
               for a in range(PERIOD) for b in range(PERIOD)}
     numbers = np.empty(len(starts), np.int64)
-    by_lead = np.argsort(lead[starts], kind="stable")
-    leads = lead[starts][by_lead]
-    new = np.flatnonzero(np.r_[True, leads[1:] != leads[:-1]]) if len(leads) else np.empty(0, np.int64)
+    leads = lead[starts]
+    by_lead = np.argsort(leads)
+    leads = leads[by_lead]
+    new = np.flatnonzero(np.r_[True, leads[1:] != leads[:-1]])
     at = 0
     while at < len(starts):
         # Whole groups of equal leading bytes, up to a bucket of them.
@@ -163,19 +199,33 @@ def equal_windows(text: np.ndarray, starts: np.ndarray, bucket: int = BUCKET) ->
         end = len(starts) if at + bucket >= len(starts) else end
         chosen = by_lead[at:end]
         here = starts[chosen]
-        group = np.searchsorted(new, np.arange(at, end), "right") - np.searchsorted(new, at, "right")
-        tail = _ranks(lead[here + DEPTH], lead[here + DEPTH + 8])
-        tails = np.int64(tail.max() + 1)
+        # The group of equal leading bytes, from 0 on in the bucket, and where it starts.
+        group = np.searchsorted(new, np.arange(at, end), "right") - 1
+        begin = new[group]
+        group -= group[0]
+        size = np.bincount(group)
         residue = here % PERIOD
-        lists = [np.flatnonzero(residue == a) for a in range(PERIOD)]
-        below = np.zeros(len(here), np.int64)
+        low, high = np.full(len(size), PERIOD), np.zeros(len(size), np.int64)
+        np.minimum.at(low, group, residue)
+        np.maximum.at(high, group, residue)
+        numbers[chosen] = begin
+        tied = size[group] > 1
+        # Where all of a group have one residue they are in the cover at the same offset: one sort does.
+        mixed = low[group] != high[group]
+        tail = np.zeros(len(here), np.int64)
+        tail[tied] = _ranks(_ranks(lead[here[tied] + DEPTH]), _ranks(lead[here[tied] + DEPTH + 8]))
+        tails = np.int64(int(tail.max()) + 1)
+        own = np.array([shared[a, a] for a in range(PERIOD)])
+        plain = np.flatnonzero(tied & ~mixed)
+        numbers[chosen[plain]] += _below(group[plain], (cover[here[plain] + own[residue[plain]]] * tails + tail[plain]), top * tails)
+        lists = [np.flatnonzero(tied & mixed & (residue == a)) for a in range(PERIOD)]
         for a, mine in enumerate(lists):
             for b, others in enumerate(lists):
                 if len(mine) and len(others):
                     d = shared[a, b]
                     theirs = np.sort((group[others] * top + cover[here[others] + d]) * tails + tail[others])
-                    below[mine] += np.searchsorted(theirs, (group[mine] * top + cover[here[mine] + d]) * tails + tail[mine])
-        numbers[chosen] = at + below
+                    first = group[mine] * top * tails
+                    numbers[chosen[mine]] += np.searchsorted(theirs, first + cover[here[mine] + d] * tails + tail[mine]) - np.searchsorted(theirs, first)
         at = end
     return numbers
 
@@ -183,12 +233,34 @@ def equal_windows(text: np.ndarray, starts: np.ndarray, bucket: int = BUCKET) ->
 def later_windows(contexts: list[tuple[tuple, int, int, bytes]], bucket: int = BUCKET) -> list[int]:
     """For each context ``(document's place, start in it, bytes before the anchor, bytes)`` the windows that start earlier in another one.
 
-    Bit d stands for the window that starts d bytes before the anchor.
+    Bit d stands for the window that starts d bytes before the anchor. Of
+    contexts with the same bytes only the earliest is sorted; all windows of
+    the others are copies.
     """
-    texts = [text for *_, text in contexts]
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    offset = np.cumsum(sizes) - sizes
+    earliest: dict[tuple, tuple] = {}
+    for doc, start, before, text in contexts:
+        if earliest.get((before, text), (doc, start)) >= (doc, start):
+            earliest[before, text] = (doc, start)
+    distinct = [(*place, *key) for key, place in earliest.items()]
+    masks = dict(zip(earliest, _later(distinct, bucket)))
+    out = []
+    for doc, start, before, text in contexts:
+        whole = max(min(len(text) - WINDOW, before) + 1, 0)
+        first = earliest[before, text] == (doc, start)
+        out.append(masks[before, text] if first else (1 << whole) - 1 << before + 1 - whole if whole else 0)
+    return out
+
+
+def _later(contexts: list[tuple[tuple, int, int, bytes]], bucket: int) -> list[int]:
     before = np.fromiter((b for _, _, b, _ in contexts), np.int64, len(contexts))
+    # All anchors at one residue, so that windows of one anchor are mostly compared in one sort.
+    texts, offset, at = [], np.empty(len(contexts), np.int64), 0
+    for k, (_, _, b, text) in enumerate(contexts):
+        pad = -(at + b) % PERIOD
+        texts += [bytes(pad), text]
+        offset[k] = at + pad
+        at += pad + len(text)
+    sizes = np.fromiter((len(text) for *_, text in contexts), np.int64, len(contexts))
     # Windows that lie in the context and hold the anchor's first byte, or all of a core.
     count = np.maximum(np.minimum(sizes - WINDOW, before) + 1, 0)
     of = np.repeat(np.arange(len(contexts)), count)
