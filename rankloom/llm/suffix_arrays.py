@@ -1,12 +1,12 @@
 """Repeated byte strings of a corpus, found with suffix arrays built bucket by bucket over a difference cover.
 
-1. Texts are stored in blocks. Every 100-byte window marks the 40-byte grams
-   in it whose hash is least, its anchors; equal windows have equal anchors at
-   equal places. Blocks send the hashes of their anchors, in pieces by hash,
-   and are told which ones occur again.
-2. Around a repeated anchor lies its context: 60 bytes before and 100 after
-   its first byte, all windows that hold it. Equal contexts are one class, of
-   which the earliest place stands for all: elsewhere every window is a copy.
+1. Texts are stored in blocks. Every 100-byte window has an anchor, the first
+   of the 40-byte grams in it whose hash is least; equal windows have equal
+   anchors at equal places. Blocks send the hashes of their anchors, in pieces
+   by hash, and are told which ones occur again.
+2. Around a repeated anchor lies its context: the windows that it is the anchor
+   of. Equal contexts are one class, of which the earliest place stands for
+   all: elsewhere every window is a copy.
 3. Anchors with several classes are left. The contexts of such anchors go
    to one task each and are sorted as suffixes there (``equal_windows``): a
    difference cover modulo 7 is ranked first; then one bucket of suffixes at a
@@ -81,34 +81,40 @@ def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
     return best(values[:len(values) - (width - size)], values[width - size:]) if size < width else values
 
 
-def anchors(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and positions of the anchors of texts that stand one after the other in ``text`` up to ``ends``."""
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+def anchors(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of texts that stand one after the other in ``text`` up to ``ends``.
+
+    Hashes, positions, and the starts of the first and last window that each is
+    the anchor of. Windows that an anchor has start one after the other.
+    """
+    found: list[np.ndarray] = []
+    low = np.uint64((1 << 20) - 1)
     with np.errstate(over="ignore"):
         for at in range(0, max(len(text) - WINDOW + 1, 0), SEGMENT):
-            # Windows that start in the segment, and BEFORE more on either side, which decide on its grams.
-            first = max(at - BEFORE, 0)
-            part = text[first:at + SEGMENT + BEFORE + WINDOW - 1]
-            if len(part) < WINDOW:
-                continue
+            part = text[at:at + SEGMENT + WINDOW - 1]
             run = _gram_hashes(part)
-            least = _sliding(run, BEFORE + 1, np.minimum)
+            # The least hash and, in the low bits, the first place that has it.
+            key = run & ~low | np.arange(len(run), dtype=np.uint64)
+            anchor = (_sliding(key, BEFORE + 1, np.minimum) & low).astype(np.int64)
             # No window reaches over the end of a text.
-            cuts = ends[np.searchsorted(ends, first, "right"):np.searchsorted(ends, first + len(part), "left")] - first
-            over = np.zeros(len(least) + 1, np.int32)
-            np.add.at(over, np.maximum(cuts - WINDOW + 1, 0).clip(max=len(least)), 1)
-            np.add.at(over, cuts.clip(max=len(least)), -1)
-            least[np.cumsum(over[:-1]) > 0] = 0
-            edge = np.zeros(BEFORE, np.uint64)
-            most = _sliding(np.r_[edge, least, edge], BEFORE + 1, np.maximum)
-            hit = np.flatnonzero((run == most) & (most > 0))
-            hit = hit[(hit + first >= at) & (hit + first < at + SEGMENT)] if at + SEGMENT + WINDOW <= len(text) else hit[hit + first >= at]
-            found.append((run[hit], hit + first))
-            if at + SEGMENT + WINDOW > len(text):
-                break
+            cuts = ends[np.searchsorted(ends, at, "right"):np.searchsorted(ends, at + len(part), "left")] - at
+            over = np.zeros(len(anchor) + 1, np.int32)
+            np.add.at(over, np.maximum(cuts - WINDOW + 1, 0).clip(max=len(anchor)), 1)
+            np.add.at(over, cuts.clip(max=len(anchor)), -1)
+            starts = np.flatnonzero(np.cumsum(over[:-1]) == 0)
+            anchor = anchor[starts]
+            new = np.r_[True, (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)] if len(starts) else np.empty(0, bool)
+            first = np.flatnonzero(new)
+            last = np.r_[first[1:], len(starts)] - 1 if len(first) else first
+            found.append(np.stack([run[anchor[first]].view(np.int64), anchor[first] + at, starts[first] + at, starts[last] + at]))
     if not found:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.concatenate([h for h, _ in found]), np.concatenate([p for _, p in found])
+        return np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3
+    hashes, places, first, last = np.concatenate(found, axis=1)
+    # A segment's last anchor may have windows in the next one.
+    new = np.r_[True, places[1:] != places[:-1]] if len(places) else np.empty(0, bool)
+    kept = np.flatnonzero(new)
+    ends_of = np.r_[kept[1:], len(places)] - 1 if len(kept) else kept
+    return hashes[kept].view(np.uint64), places[kept], first[kept], last[ends_of]
 
 
 def _ranks(first: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
@@ -321,12 +327,13 @@ def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def _dealt(text: np.ndarray, ends: np.ndarray, buckets: int):
-    """(hashes, positions, distinct hashes by bucket and value, their buckets, which occur twice here)."""
-    hashes, places = anchors(text, ends)
+    """(anchors, distinct hashes by bucket and value, their buckets, which occur twice here)."""
+    found = anchors(text, ends)
+    hashes = found[0]
     distinct, counts = np.unique(hashes, return_counts=True)
     bucket = ((distinct * _MIX >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    return hashes, places, distinct[order], bucket[order], counts[order] > 1
+    return found, distinct[order], bucket[order], counts[order] > 1
 
 
 def _repeated(blocks: DataFrame, buckets: int) -> DataFrame:
@@ -334,7 +341,7 @@ def _repeated(blocks: DataFrame, buckets: int) -> DataFrame:
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _one_by_one(batches):
-            _, _, distinct, bucket, _ = _dealt(row["text"], row["ends"], buckets)
+            _, distinct, bucket, _ = _dealt(row["text"], row["ends"], buckets)
             new = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
             cut = [p.tobytes() for p in np.split(distinct, new[1:])] if len(new) else []
             yield pa.RecordBatch.from_arrays([pa.array(bucket[new], pa.int64()), pa.array([row["block"]] * len(new), pa.int64()),
@@ -360,60 +367,49 @@ def _repeated(blocks: DataFrame, buckets: int) -> DataFrame:
     return replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("told"))
 
 
-def _context(text: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text's number, its start, context's start, context's end) of the anchors at ``at``."""
-    doc = np.searchsorted(ends, at, "right")
-    begin = np.r_[0, ends][doc]
-    return doc, begin, np.maximum(at - BEFORE, begin), np.minimum(at + WINDOW, ends[doc])
-
-
 def _occurrences(blocks: DataFrame, told: DataFrame, buckets: int) -> DataFrame:
-    """``(anchor, c1, c2, id, tag, at, block, pos, more)``: a row for every block and context class around a repeated anchor.
+    """``(anchor, c1, c2, id, tag, at, block, pos, first, last, more)``: a row for every block and context class around a repeated anchor.
 
     ``id``, ``tag``, ``at`` are the first place of the class in the block, ``more`` the positions of its later ones as bytes.
+    ``first`` and ``last`` are the starts of the first and last window in the block.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _one_by_one(batches):
             text, ends, ids, tags = row["text"], row["ends"], row["ids"], row["tags"]
-            hashes, places, distinct, bucket, again = _dealt(text, ends, buckets)
+            found, distinct, bucket, again = _dealt(text, ends, buckets)
             for reply in row["told"] or []:
                 a, b = np.searchsorted(bucket, [reply["bucket"], reply["bucket"] + 1])
                 again[a:b] |= np.unpackbits(np.frombuffer(reply["bits"], np.uint8), count=b - a).astype(bool)
-            wanted = np.sort(distinct[again])
-            hit = np.isin(hashes, wanted)
-            hashes, places = hashes[hit], places[hit]
-            doc, begin, first, last = _context(text, ends, places)
+            hit = np.isin(found[0], distinct[again])
+            hashes, places, first, last = (c[hit] for c in found)
             data, digest = text.tobytes(), xxhash.xxh3_128_digest
-            digests = [digest(data[a:b], seed=c) for a, b, c in zip(first.tolist(), last.tolist(), (places - first).tolist())]
-            at = places - begin
-            order = np.lexsort((at, tags[doc], ids[doc]))
-            lists, kept = {}, []
-            place_of = list(zip(ids[doc].tolist(), tags[doc].tolist(), at.tolist()))
-            for k in order.tolist():
-                # Contexts of different anchors differ or lie at different places, so the digest names the class.
-                seen = lists.get((digests[k], int(hashes[k])))
-                if seen is None:
-                    lists[digests[k], int(hashes[k])] = (place_of[k], [])
-                    kept.append(k)
-                elif place_of[k] == seen[0]:
-                    kept.append(k)
-                else:
-                    seen[1].append(int(places[k]))
-            kept = np.array(kept, np.int64)
-            more, said = [], set()
-            for k in kept.tolist():
-                key = (digests[k], int(hashes[k]))
-                more.append(np.array(lists[key][1], "<i8").tobytes() if lists[key][1] and key not in said else None)
-                said.add(key)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes[kept].view(np.int64)), *_halves([digests[k] for k in kept.tolist()]), pa.array(ids[doc][kept]), pa.array(tags[doc][kept]),
-                 pa.array(at[kept]), pa.array(np.full(len(kept), row["block"])), pa.array(places[kept]), pa.array(more, pa.binary())],
-                ["anchor", "c1", "c2", "id", "tag", "at", "block", "pos", "more"])
+            digests = [digest(data[a:b], seed=c) for a, b, c in zip(first.tolist(), (last + WINDOW).tolist(), (places - first).tolist())]
+            c1, c2 = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2).T
+            doc = np.searchsorted(ends, places, "right")
+            at, own, tag = places - np.r_[0, ends][doc], ids[doc], tags[doc]
+            # Classes together, each by place: those at the first place are rows, the positions of the others go with the first.
+            order = np.lexsort((at, tag, own, c2, c1, hashes))
+            columns = [c[order] for c in (hashes.view(np.int64), c1, c2, own, tag, at, places, first, last)]
+            new = np.zeros(len(order), bool)
+            new[:1] = True
+            for c in columns[:3]:
+                new[1:] |= c[1:] != c[:-1]
+            starts = np.flatnonzero(new)
+            head = starts[np.cumsum(new) - 1] if len(order) else order
+            kept = np.logical_and.reduce([c == c[head] for c in columns[3:6]])
+            more: list[bytes | None] = [None] * len(order)
+            for begin, end in zip(starts.tolist(), np.r_[starts[1:], len(order)].tolist()):
+                if end - begin > 1 and not kept[begin:end].all():
+                    more[begin] = columns[6][begin:end][~kept[begin:end]].astype("<i8").tobytes()
+            more = [m for m, k in zip(more, kept.tolist()) if k]
+            block = np.full(int(kept.sum()), row["block"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(c[kept]) for c in columns[:6]], pa.array(block), *[pa.array(c[kept]) for c in columns[6:]],
+                                              pa.array(more, pa.binary())], ["anchor", "c1", "c2", "id", "tag", "at", "block", "pos", "first", "last", "more"])
 
     joined = blocks.join(told.hint("shuffle_hash"), "block", "left")
-    return saved(joined.mapInArrow(rows, "anchor bigint, c1 bigint, c2 bigint, id bigint, tag bigint, at bigint, block bigint, pos bigint, more binary"),
-                 "occurrences")
+    return saved(joined.mapInArrow(rows, "anchor bigint, c1 bigint, c2 bigint, id bigint, tag bigint, at bigint, block bigint, pos bigint, "
+                                         "first bigint, last bigint, more binary"), "occurrences")
 
 
 CONTEXT = "anchor bigint, id bigint, tag bigint, start bigint, before bigint, c1 bigint, c2 bigint, text binary"
@@ -423,7 +419,8 @@ def _contexts(blocks: DataFrame, classes: DataFrame, shard_contexts: int) -> Dat
     """The context of the first place of every class that shares its anchor with another class."""
     sizes = saved(classes.groupBy("anchor").count().where("count > 1"), "shard-sizes")
     asked = (classes.join(sizes, "anchor").select(F.col("first.block").alias("block"), F.struct(
-        F.col("first.pos").alias("pos"), "anchor", "c1", "c2", (F.col("count") > shard_contexts).alias("large")).alias("place"))
+        F.col("first.pos").alias("pos"), F.col("first.first").alias("first"), F.col("first.last").alias("last"), "anchor", "c1", "c2",
+        (F.col("count") > shard_contexts).alias("large")).alias("place"))
         .groupBy("block").agg(F.collect_list("place").alias("places")))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,9 +428,10 @@ def _contexts(blocks: DataFrame, classes: DataFrame, shard_contexts: int) -> Dat
             for k in range(batch.num_rows):
                 row = next(_one_by_one([batch.slice(k, 1).drop_columns(["places"])]))
                 flat = batch.column("places")[k].values
-                asked = {c: flat.field(c) for c in ("pos", "anchor", "c1", "c2", "large")}
-                at = asked["pos"].to_numpy()
-                doc, begin, first, last = _context(row["text"], row["ends"], at)
+                asked = {c: flat.field(c) for c in ("anchor", "c1", "c2", "large")}
+                at, first, last = (flat.field(c).to_numpy() for c in ("pos", "first", "last"))
+                doc = np.searchsorted(row["ends"], at, "right")
+                begin, last = np.r_[0, row["ends"]][doc], last + WINDOW
                 data = row["text"].tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [asked["anchor"], pa.array(row["ids"][doc]), pa.array(row["tags"][doc]), pa.array(first - begin), pa.array(at - first),
@@ -529,24 +527,24 @@ def _by_window(contexts: DataFrame) -> DataFrame:
     return later.groupBy("c1", "c2").agg(F.bit_or("bit").alias("mask"))
 
 
-def _removed(ends: np.ndarray, size: int, pos: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Which bytes of a block lie in a window that starts earlier elsewhere: bit d of a mask is the window d bytes before its position."""
+def _removed(size: int, pos: np.ndarray, before: np.ndarray, after: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Which bytes of a block lie in a window that starts earlier elsewhere: bit d of a mask is the window d bytes before its position.
+
+    ``before`` is the greatest d there is, ``after`` how many windows follow that one; EVERY stands for all of them.
+    """
     gone = np.zeros(size + 1, np.int64)
 
-    def cover(first: np.ndarray, last: np.ndarray, at: np.ndarray) -> None:
-        # Windows that start at ``first`` to ``last``, as far as they lie in the text of ``at``.
-        doc = np.searchsorted(ends, at, "right")
-        first, last = np.maximum(first, np.r_[0, ends][doc]), np.minimum(last, ends[doc] - WINDOW)
-        fits = first <= last
-        np.add.at(gone, first[fits], 1)
-        np.add.at(gone, last[fits] + WINDOW, -1)
+    def cover(first: np.ndarray, last: np.ndarray) -> None:
+        np.add.at(gone, first, 1)
+        np.add.at(gone, last + WINDOW, -1)
 
     whole = mask == EVERY
-    cover(pos[whole] - BEFORE, pos[whole], pos[whole])
+    start = pos[whole] - before[whole]
+    cover(start, start + after[whole])
     pos, mask = pos[~whole], mask[~whole]
     for d in range(BEFORE + 1) if len(pos) else ():
-        at = pos[mask >> d & 1 == 1]
-        cover(at - d, at - d, at)
+        at = pos[mask >> d & 1 == 1] - d
+        cover(at, at)
     return np.cumsum(gone[:-1]) > 0
 
 
@@ -565,19 +563,20 @@ def dedup_bytes(docs: DataFrame, keep_text: bool = True, shard_contexts: int = S
     spark = docs.sparkSession
     blocks, name = _blocks(docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("id"), "text"))
     size = blocks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # One gram in (BEFORE + 2) / 2 is an anchor on average.
+    # One position in (BEFORE + 2) / 2 is an anchor on average.
     buckets = max(partitions(docs), -(-2 * size // ((BEFORE + 2) * hashes)))
     occurrences = _occurrences(blocks, saved(_repeated(blocks, buckets), "repeated-anchors"), buckets)
     classes = saved(occurrences.groupBy("anchor", "c1", "c2").agg(
-        F.min(F.struct("id", "tag", "at", "block", "pos")).alias("first"),
+        F.min(F.struct("id", "tag", "at", "block", "pos", "first", "last")).alias("first"),
         F.sum(1 + F.coalesce(F.octet_length("more"), F.lit(0)) / 8).alias("n")), "classes")
     contexts = _contexts(blocks, classes, shard_contexts)
     masks = saved(_by_shard(contexts.where("NOT large")).union(_by_core(contexts.where("large"), shard_contexts))
                   .groupBy("c1", "c2").agg(F.bit_or("mask").alias("mask")), "masks")
     telling = saved(classes.join(masks, ["c1", "c2"], "left").where("n > 1 OR mask IS NOT NULL")
-                    .select("anchor", "c1", "c2", "first", F.coalesce("mask", F.lit(0)).alias("mask")), "telling-classes")
-    is_first = F.struct("id", "tag", "at") == F.struct("first.id", "first.tag", "first.at")
-    entry = F.struct("pos", "more", F.when(is_first, F.col("mask")).otherwise(EVERY).cast("bigint").alias("mask"))
+                    .select("anchor", "c1", "c2", F.col("first").alias("first_place"), F.coalesce("mask", F.lit(0)).alias("mask")), "telling-classes")
+    is_first = (F.col("first_place.id") == F.col("id")) & (F.col("first_place.tag") == F.col("tag")) & (F.col("first_place.at") == F.col("at"))
+    before, after = (F.col("pos") - F.col("first")).cast("int"), (F.col("last") - F.col("first")).cast("int")
+    entry = F.struct("pos", before.alias("before"), after.alias("after"), "more", F.when(is_first, F.col("mask")).otherwise(EVERY).cast("bigint").alias("mask"))
     told = (occurrences.join(telling, ["anchor", "c1", "c2"]).where(~is_first | (F.col("mask") != 0) | F.col("more").isNotNull())
             .groupBy("block").agg(F.collect_list(entry).alias("told")))
 
@@ -589,10 +588,11 @@ def dedup_bytes(docs: DataFrame, keep_text: bool = True, shard_contexts: int = S
                 gone = np.zeros(len(text), bool)
                 if batch.column("told")[k].is_valid:
                     flat = batch.column("told")[k].values
-                    pos, mask = flat.field("pos").to_numpy(), flat.field("mask").to_numpy()
-                    more = [np.frombuffer(m, "<i8") for m in flat.field("more").drop_null().to_pylist()]
-                    more = np.concatenate([np.empty(0, np.int64), *more])
-                    gone = _removed(ends, len(text), np.r_[pos, more], np.r_[mask, np.full(len(more), EVERY)])
+                    pos, before, after, mask = (flat.field(c).to_numpy().astype(np.int64) for c in ("pos", "before", "after", "mask"))
+                    more = [np.frombuffer(m or b"", "<i8") for m in flat.field("more").to_pylist()]
+                    count = np.fromiter(map(len, more), np.int64, len(more))
+                    gone = _removed(len(text), np.concatenate([pos, *more]), np.r_[before, np.repeat(before, count)],
+                                    np.r_[after, np.repeat(after, count)], np.r_[mask, np.full(count.sum(), EVERY)])
                 out = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "spans": [], "kept": []}
                 for start, end in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()):
                     mine = gone[start:end]

@@ -55,8 +55,8 @@ def test_scores_beyond_exact_doubles(spark):
     rng = np.random.default_rng(5)
     rows = [(k, [float(x) for x in rng.integers(10**5, 2 * 10**6, 3)], k % 2) for k in range(120)]
     assert rows_of(gnat.hard_negatives(gnat.quantised(spark.createDataFrame(rows, VECTORS)))) == slow_negatives(rows)
-    a, b = np.array([[3e5, 2e9]]), np.array([[5e9, 7e9], [2**40 + 1.0, 1.0]])
-    assert gnat._scores(a, b).tolist() == [[int(3e5) * int(5e9) + int(2e9) * int(7e9), int(3e5) * (2**40 + 1) + int(2e9)]]
+    a, b = np.array([[3e5, 2e9]]), np.array([[5e9, 7e8 + 1], [2**40 + 1.0, 1.0], [0.0, 1e300]])
+    assert gnat._scores(a, b).tolist() == [[300_000 * 5 * 10**9 + 2 * 10**9 * (7 * 10**8 + 1), 300_000 * (2**40 + 1) + 2 * 10**9, 2**63 - 1]]
 
 
 def test_ranges_leave_out_only_what_cannot_match():
