@@ -12,7 +12,7 @@ from ..operators.metrics import CUTOFFS, PLACES
 from ..operators.quantize import INT8_LEVELS, PQ_BITS, PQ_BLOCKS, PQ_ROUNDS
 from ..plans.experiments import METRICS, SEEDED_TRIALS
 from ..plans.retrievers import METHODS
-from .queries import NEAR, TERM_K, VECTOR_K
+from .queries import NEAR, RERANK_FACTOR, TERM_K, VECTOR_K
 
 DIMS = 64
 
@@ -21,6 +21,16 @@ def _words(text: str) -> str:
     return f"[t for t in regexp_split_to_array(lower({text}), '{TOKEN_SPLIT}') if t <> '']"
 
 
+def _singular(term: str) -> str:
+    """The rules of ``plural_stem``."""
+    def ends(*suffixes: str) -> str:
+        return "(" + " OR ".join(f"ends_with({term}, '{s}')" for s in suffixes) + ")"
+
+    return f"""CASE WHEN {ends('ies')} AND NOT {ends('eies', 'aies')} THEN substr({term}, 1, length({term}) - 3) || 'y'
+        WHEN {ends('es')} AND NOT {ends('aes', 'ees', 'oes')} THEN substr({term}, 1, length({term}) - 1)
+        WHEN {ends('s')} AND NOT {ends('us', 'ss')} AND length({term}) > 1 THEN substr({term}, 1, length({term}) - 1) ELSE {term} END"""
+
+
 class Script:
     """An ordered set of common table expressions and a final SELECT."""
 
@@ -58,12 +68,13 @@ class Script:
     # -- terms
 
     def lexical(self, p="t", titled=False):
-        """Postings, frequencies and statistics; ``p`` keeps corpora apart."""
+        """Postings, frequencies and statistics; ``p`` keeps corpora apart, and ``stems`` is the one of singulars."""
         if titled:
             self.contents()
         source = "(SELECT doc_id, contents AS text FROM contents_rows)" if titled else "documents"
         self.q_text()
-        self.add(f"{p}_tokens", f"SELECT doc_id, unnest({_words('text')}) AS term FROM {source}")
+        tokens = f"SELECT doc_id, unnest({_words('text')}) AS term FROM {source}"
+        self.add(f"{p}_tokens", f"SELECT doc_id, {_singular('term')} AS term FROM ({tokens})" if p == "stems" else tokens)
         self.add(f"{p}_counts", f"SELECT doc_id, term, count(*)::BIGINT AS tf FROM {p}_tokens GROUP BY ALL")
         self.add(f"{p}_postings", f"SELECT doc_id, (sum(tf) OVER (PARTITION BY doc_id))::BIGINT AS dl, term, tf FROM {p}_counts")
         self.add(f"{p}_stats", f"""SELECT count(*)::BIGINT AS n, avg(dl) AS avgdl, sum(dl)::BIGINT AS total
@@ -79,9 +90,12 @@ class Script:
 
     def bm25(self, p="t", titled=False):
         self.lexical(p, titled)
+        asked = "query_terms"
+        if p == "stems":
+            asked = self.add("query_stems", f"SELECT qid, {_singular('term')} AS term, sum(qtf)::BIGINT AS qtf FROM query_terms GROUP BY ALL")
         return self.add(f"{p}_bm25", f"""SELECT qid, p.doc_id, round(sum(qtf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))
                 * tf / (tf + {lexical.K1}::DOUBLE * (1::DOUBLE - {lexical.B}::DOUBLE + {lexical.B}::DOUBLE * dl / avgdl))), 6) AS score
-            FROM query_terms JOIN {p}_postings p USING (term) JOIN {p}_df USING (term) CROSS JOIN {p}_stats GROUP BY ALL""")
+            FROM {asked} JOIN {p}_postings p USING (term) JOIN {p}_df USING (term) CROSS JOIN {p}_stats GROUP BY ALL""")
 
     def impacts(self, p="t", titled=False):
         self.lexical(p, titled)
@@ -299,6 +313,14 @@ def statements() -> dict[str, str]:
     sql["bm25_scores"] = s.select(f"SELECT qid, doc_id, score FROM {scores}")
     s = Script()
     sql["bm25_topk"] = _run(s, s.bm25_run())
+    s = Script(); s.lexical()
+    sql["stems"] = s.select(f"SELECT DISTINCT term, {_singular('term')} AS stem FROM t_tokens")
+    s = Script(); s.lexical("stems")
+    sql["stemmed_postings"] = s.select("SELECT doc_id, dl, term, tf FROM stems_postings")
+    s = Script()
+    sql["bm25_stemmed_topk"] = _run(s, s.top(s.bm25("stems"), TERM_K))
+    s = Script(); near = s.bm25_run(NEAR); scores = s.impacts()
+    sql["impact_candidates"] = s.select(f"SELECT qid, doc_id, i.score FROM {scores} i JOIN {near} n USING (qid, doc_id)")
     s = Script(); scores = s.impacts()
     sql["impact_source"] = sql["quantize_impacts"] = s.select("SELECT doc_id, term, weight FROM t_impacts")
     sql["impact_scores"] = s.select(f"SELECT qid, doc_id, score FROM {scores}")
@@ -322,7 +344,8 @@ def statements() -> dict[str, str]:
         FROM (SELECT doc_id, w, sqrt(list_dot_product(w, w)) AS len FROM stretched)""")
     sql["l2_normalize"] = s.select(_elements("unit", "doc_id"))
     s = Script(); v = s.embedding_vectors(); flat = s.top(s.flat(v), VECTOR_K)
-    sql["flat_topk"] = _run(s, flat)
+    # Other ways to the same exact run.
+    sql["flat_topk"] = sql["ball_topk"] = sql["two_level_topk"] = _run(s, flat)
     sql["inner_product"] = s.select(f"SELECT qid, doc_id, score FROM {flat}")
     sql["hits_to_run"] = s.select(f"""SELECT qid, doc_id, score, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id))::INT AS rank
         FROM (SELECT qid, 'v' || doc_id AS doc_id, score FROM {flat} WHERE score >= 0.3)""")
@@ -335,6 +358,10 @@ def statements() -> dict[str, str]:
     s = Script(); v = s.embedding_vectors(); decoded = s.pq(v)
     sql["pq_codes"] = s.select(f"SELECT doc_id, block, code FROM {v}_p{PQ_ROUNDS}")
     sql["pq_topk"] = _run(s, s.decoded_run(v, decoded, VECTOR_K))
+    s = Script(); v = s.embedding_vectors(); near = s.decoded_run(v, s.pq(v), VECTOR_K * RERANK_FACTOR)
+    exact = s.add("reranked", f"""SELECT n.qid, n.doc_id, round(list_dot_product(q.vector, d.vector), 6) AS score
+        FROM {near} n JOIN {v}_q q USING (qid) JOIN {v} d ON d.doc_id = n.doc_id""")
+    sql["pq_rerank"] = _run(s, s.top(exact, VECTOR_K))
     s = Script(); v = s.embedding_vectors(); assigned = s.cells(v)
     sql["ivf_assign"] = s.select(f"SELECT doc_id, cell FROM {assigned}")
     for key, compress in (("ivf_topk", None), ("ivf_int8_topk", "int8"), ("ivf_pq_topk", "pq")):

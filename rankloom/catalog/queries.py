@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from ..functions.encoders import HashedTermEncoder, LogCountEncoder
 from ..functions.text import ENGLISH_STOP_WORDS, contents
 from ..functions.vectors import components, inner_product, l2_normalize
-from ..operators import dense, ivf, lexical, metrics, runs
+from ..functions.stems import plural_stem
+from ..operators import dense, impact, ivf, lexical, metrics, runs
+from ..operators.balls import BallIndex
 from ..operators.encode import encode_dense, encode_sparse
 from ..operators.impact import ImpactIndex, impact_scores, impact_topk, quantize_impacts
-from ..operators.quantize import Int8Codec, PqCodec
+from ..operators.quantize import FlatIndex, Int8Codec, PqCodec, coded_search
 from ..operators.ranking import top_k
+from ..operators.two_level import TwoLevelCells
 from ..plans import experiments, report
-from ..plans.retrievers import METHODS
+from ..plans.retrievers import METHODS, registry
 from ..plans.staging import measured_bytes, new_path, spread, staged
 from ..sources import benchmark_files, results as result_files
 from ..sources.vector_tables import EmbeddingCache, read_vectors, write_vectors
@@ -29,6 +32,10 @@ QUERIES: dict[str, Query] = {}
 TERM_K = 100
 VECTOR_K = 10
 NEAR = 10
+# Candidates by codes for each row asked for.
+RERANK_FACTOR = 10
+# Cells of the two levels.
+COARSE, FINE = 6, 5
 IMPACT_SCALE = 100.0
 
 
@@ -160,6 +167,27 @@ def bm25_topk(spark, sf):
     return lexical.bm25_topk(_lexical_index(spark, sf), fx.queries(spark, sf), TERM_K)
 
 
+@registered
+def stems(spark, sf):
+    """Every distinct term of the documents with its singular."""
+    return lexical.stem_table(lexical.tokens(fx.plain_corpus(spark, sf)), plural_stem)
+
+
+def _stemmed_index(spark, sf):
+    return lexical.LexicalIndex.build(fx.plain_corpus(spark, sf), stemmer=plural_stem)
+
+
+@registered
+def stemmed_postings(spark, sf):
+    return _stemmed_index(spark, sf).postings
+
+
+@registered
+def bm25_stemmed_topk(spark, sf):
+    """BM25 over singulars, of documents and queries alike."""
+    return lexical.bm25_topk(_stemmed_index(spark, sf), fx.queries(spark, sf), TERM_K)
+
+
 # ---- learned impacts -----------------------------------------------------
 
 
@@ -189,6 +217,13 @@ def impact_scores_all(spark, sf):
     return impact_scores(ImpactIndex.build(_impacts(spark, sf)), _query_impacts(spark, sf))
 
 
+@registered
+def impact_candidates(spark, sf):
+    """Learned weights of given pairs only, the ten best by BM25: work and output follow the candidates."""
+    found = lexical.bm25_topk(_lexical_index(spark, sf), fx.queries(spark, sf), NEAR)
+    return impact.impact_candidates(ImpactIndex.build(_impacts(spark, sf)), _query_impacts(spark, sf), found)
+
+
 @registered
 def impact_top(spark, sf):
     return impact_topk(ImpactIndex.build(_impacts(spark, sf)), _query_impacts(spark, sf), TERM_K)
@@ -306,8 +341,15 @@ def pq_codes(spark, sf):
 def pq_topk(spark, sf):
     rows = _stored_vectors(spark, sf)
     codec = PqCodec.fit(rows)
-    return dense.search(fx.query_vectors(spark, sf), codec.encode(rows), VECTOR_K, "codes", codec.decode,
-                        skip_identical=True)
+    return coded_search(fx.query_vectors(spark, sf), codec.encode(rows), VECTOR_K, codec, skip_identical=True)
+
+
+@registered
+def pq_rerank(spark, sf):
+    """The ten best of the hundred best by codes, by their exact scores."""
+    rows = _stored_vectors(spark, sf)
+    index = FlatIndex.build(rows, PqCodec.fit(rows))
+    return index.search(fx.query_vectors(spark, sf), VECTOR_K, rows, RERANK_FACTOR, skip_identical=True)
 
 
 @registered
@@ -358,6 +400,19 @@ def trial_summary(spark, sf):
                           F.round("recall_std", 6).alias("recall_std"))
 
 
+@registered
+def ball_topk(spark, sf):
+    """Exact search that passes over balls of vectors out of reach."""
+    return BallIndex.build(_stored_vectors(spark, sf)).search(fx.query_vectors(spark, sf), VECTOR_K, skip_identical=True)
+
+
+@registered
+def two_level_topk(spark, sf):
+    """Cells in two levels, all of them probed: the same run as exact search."""
+    index = TwoLevelCells.build(_stored_vectors(spark, sf), COARSE, FINE)
+    return index.search(fx.query_vectors(spark, sf), VECTOR_K, COARSE, COARSE * FINE, skip_identical=True)
+
+
 # ---- run shaping ---------------------------------------------------------
 
 
@@ -484,18 +539,23 @@ def run_record(spark, sf):
     return record.drop("encode_time_s", "index_time_s", "qps")
 
 
+def _methods(spark):
+    """All methods, the approximate ones with the cells and probes of the other queries."""
+    return registry(EmbeddingCache(new_path(spark, "embeddings")), nlist=ivf.NLIST, nprobe=ivf.NPROBE)
+
+
 @registered
 def all_methods_run(spark, sf):
     """The run of every method over one dataset, first trial."""
     dataset = fx.datasets(spark, sf)["plain"]
-    table, _ = experiments.run_all([dataset], k=VECTOR_K, trials=lambda method: 1)
+    table, _ = experiments.run_all([dataset], factories=_methods(spark), k=VECTOR_K, trials=lambda method: 1)
     return table.select("method", "qid", "doc_id", F.col("score").cast("double").alias("score"), "rank")
 
 
 @registered
 def experiment_sweep(spark, sf):
     """All methods and trials, build to record; the seconds are left out."""
-    records = experiments.sweep([fx.datasets(spark, sf)["plain"]], k=TERM_K)
+    records = experiments.sweep([fx.datasets(spark, sf)["plain"]], factories=_methods(spark), k=TERM_K)
     return records.drop("encode_time_s", "index_time_s", "qps")
 
 

@@ -34,7 +34,17 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN_SPLIT), "")
 
 
+def label(analyzer: Analyzer) -> str:
+    """What an index keeps of its analyser: ``analyzer.label`` if it has one, else its name."""
+    return getattr(analyzer, "label", None) or f"{analyzer.__module__}.{analyzer.__qualname__}"
+
+
 def without(analyzer: Analyzer, stop_words: Sequence[str]) -> Analyzer:
     """The same analyser with a short stop list taken out."""
     stops = list(stop_words)
-    return lambda text: F.filter(analyzer(text), lambda term: ~term.isin(stops))
+
+    def stopped(text: Column) -> Column:
+        return F.filter(analyzer(text), lambda term: ~term.isin(stops))
+
+    stopped.label = f"{label(analyzer)} without {' '.join(sorted(stops))}"
+    return stopped

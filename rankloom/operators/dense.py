@@ -18,18 +18,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..plans.staging import BROADCAST_BYTES, new_path, staged
-from .ranking import SCORE_PLACES, top_k
+from ..plans.staging import BROADCAST_BYTES, is_small, new_path, staged
+from .ranking import SCORE_PLACES, merged, packed_rows, packed_schema, top_k
 
 # Scores held at once while a batch is scanned.
 SCORE_BUFFER = 4_000_000
 
 Decoder = Callable[[pa.Array], np.ndarray]
+# ``product(queries)(column)(positions of queries, positions of rows)``: a matrix of scores. The first step is made
+# once for a scan, the second once for each Arrow batch.
+Product = Callable[[np.ndarray], Callable[[pa.Array], Callable[[np.ndarray, np.ndarray | slice], np.ndarray]]]
 
 
 def list_matrix(column) -> np.ndarray:
@@ -45,6 +48,18 @@ def plain(column) -> np.ndarray:
     return list_matrix(column)
 
 
+def decoded(decode: Decoder) -> Product:
+    """Scores by a matrix product with the decoded rows."""
+    def product(queries: np.ndarray):
+        def of_batch(column: pa.Array):
+            vectors = decode(column)
+            return lambda part, rows: queries[part] @ vectors[rows].T
+
+        return of_batch
+
+    return product
+
+
 def id_array(column) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -80,7 +95,8 @@ class BestRows:
     def _keep(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         self.parts.append((rows, scores, ids))
         self.pending += len(rows)
-        if self.pending > self.kept + 1_000_000:
+        # Often enough that the floors rise while there is something to save.
+        if self.pending > self.kept + min(1_000_000, max(50_000, 2 * self.k * len(self.floor))):
             self.merge()
 
     def merge(self) -> None:
@@ -98,50 +114,47 @@ class BestRows:
         self.kept, self.pending = int(keep.sum()), 0
 
 
-def _score_block(best: BestRows, rows: np.ndarray, qids: np.ndarray, queries: np.ndarray, ids: np.ndarray,
-                 vectors: np.ndarray, skip_identical: bool) -> None:
-    step = max(1, SCORE_BUFFER // max(1, len(ids)))
+def _score_block(best: BestRows, rows: np.ndarray, qids: np.ndarray, ids: np.ndarray, product, inside: np.ndarray | slice,
+                 skip_identical: bool) -> None:
+    own = ids[inside]
+    step = max(1, SCORE_BUFFER // max(1, len(own)))
     for start in range(0, len(rows), step):
         part = rows[start:start + step]
-        scores = np.round(queries[part] @ vectors.T, SCORE_PLACES)
-        if skip_identical and len(ids):
-            # Ids of unlike types are compared as text.
-            own, asked = (ids, qids[part]) if ids.dtype.kind == qids.dtype.kind else (ids.astype(str), qids[part].astype(str))
-            order = np.argsort(own, kind="stable")
-            at = np.searchsorted(own[order], asked)
-            upto = np.searchsorted(own[order], asked, side="right")
-            for r in np.nonzero(upto > at)[0]:
-                scores[r, order[at[r]:upto[r]]] = -np.inf
-        best.add(part, scores, ids)
-
-
-def emit_rows(best: BestRows, qids: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    best.merge()
-    for q, s, i in best.parts:
-        for start in range(0, len(q), 100_000):
-            part = slice(start, start + 100_000)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(qids[q[part]]).cast(schema.field("qid").type),
-                 pa.array(i[part]).cast(schema.field("doc_id").type), pa.array(s[part])], schema=schema)
-
-
-def _scan_task(shared, k: int, payload: str, decode: Decoder, skip_identical: bool, schema: pa.Schema):
+        scores = np.round(product(part, inside), SCORE_PLACES)
+        if skip_identical and len(own):
+            _drop_own(scores, own, qids[part])
+        best.add(part, scores, own)
+
+
+def _drop_own(scores: np.ndarray, ids: np.ndarray, asked: np.ndarray) -> None:
+    """Take a query's own id out of its row of scores."""
+    # Ids of unlike types are compared as text.
+    own, asked = (ids, asked) if ids.dtype.kind == asked.dtype.kind else (ids.astype(str), asked.astype(str))
+    order = np.argsort(own, kind="stable")
+    at = np.searchsorted(own[order], asked)
+    upto = np.searchsorted(own[order], asked, side="right")
+    for r in np.nonzero(upto > at)[0]:
+        scores[r, order[at[r]:upto[r]]] = -np.inf
+
+
+def _scan_task(shared, k: int, payload: str, score: Product, skip_identical: bool, schema: pa.Schema):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, queries, probes = shared.value
         best = BestRows(len(qids), k)
-        everyone = np.arange(len(qids))
+        everyone, of_batch = np.arange(len(qids)), score(queries)
         for batch in batches:
-            ids, vectors = id_array(batch.column("doc_id")), decode(batch.column(payload))
+            ids, product = id_array(batch.column("doc_id")), of_batch(batch.column(payload))
             if probes is None:
-                _score_block(best, everyone, qids, queries, ids, vectors, skip_identical)
+                _score_block(best, everyone, qids, ids, product, slice(None), skip_identical)
                 continue
             cells = batch.column("cell").to_numpy()
             for cell in np.unique(cells):
                 asking = probes.get(int(cell))
                 if asking is not None:
-                    inside = cells == cell
-                    _score_block(best, asking, qids, queries, ids[inside], vectors[inside], skip_identical)
-        yield from emit_rows(best, qids, schema)
+                    _score_block(best, asking, qids, ids, product, np.flatnonzero(cells == cell), skip_identical)
+        best.merge()
+        for q, s, d in best.parts:
+            yield from packed_rows(q, s, d, qids, schema)
 
     return task
 
@@ -152,37 +165,67 @@ def arrow_id(field: T.StructField) -> pa.DataType:
 
 def search(queries: DataFrame, vectors: DataFrame, k: int, payload: str = "vector", decode: Decoder = plain,
            skip_identical: bool = False, broadcast_bytes: int | None = None,
-           query_block: int | None = None) -> DataFrame:
+           query_block: int | None = None, product: Product | None = None, query_bytes: int = 0,
+           prune: Callable[[list[int]], Column] | None = None) -> DataFrame:
     """``run(qid, doc_id, score, rank)``.
 
     ``queries(qid, vector[, cells ARRAY<INT>])``, ``vectors(doc_id, payload[, cell])``.
-    ``decode`` turns the payload column of an Arrow batch into a float matrix.
+    ``decode`` turns the payload column of an Arrow batch into a float matrix;
+    a ``product`` scores the column without decoding it, and ``query_bytes`` is
+    what it holds of each query. ``prune`` is a condition on the stored rows
+    that holds for all rows of the given cells.
     """
+    score = decoded(decode) if product is None else product
+    probing = "cells" in queries.columns
+    # A row without an id can be neither asked for nor returned.
+    stored = vectors.where(F.col(payload).isNotNull() & F.col("doc_id").isNotNull())
+    out = packed_schema(queries.schema["qid"].dataType, vectors.schema["doc_id"].dataType)
+
+    def scan(part: DataFrame) -> DataFrame:
+        table = part.toArrow()
+        qids, matrix, probes = id_array(table.column("qid")), list_matrix(table.column("vector")), None
+        rows = stored
+        if probing:
+            cells = table.column("cells").combine_chunks()
+            flat = cells.flatten().to_numpy()
+            owner = np.repeat(np.arange(len(cells)), np.diff(cells.offsets.to_numpy()))
+            probes = {int(c): owner[flat == c] for c in np.unique(flat)}
+            # A literal list of probed cells prunes the partitions of a stored index.
+            rows = rows.where(F.col("cell").isin(list(probes)))
+            rows = rows.where(prune(list(probes))) if prune else rows
+        rows = rows.select("doc_id", payload, *(["cell"] if probing else []))
+        shared = rows.sparkSession.sparkContext.broadcast((qids, matrix, probes))
+        return rows.mapInArrow(_scan_task(shared, k, payload, score, skip_identical, packed_arrow(out)), out)
+
+    return in_chunks(queries, k, scan, broadcast_bytes, query_block, query_bytes)
+
+
+def packed_arrow(out: T.StructType) -> pa.Schema:
+    doc_id = T.StructField("doc_id", out["doc_id"].dataType.elementType)
+    return pa.schema([("qid", arrow_id(out["qid"])), ("doc_id", pa.list_(arrow_id(doc_id))), ("score", pa.list_(pa.float64()))])
+
+
+def in_chunks(queries: DataFrame, k: int, scan: Callable[[DataFrame], DataFrame], broadcast_bytes: int | None = None,
+              query_block: int | None = None, query_bytes: int = 0) -> DataFrame:
+    """The run of ``scan`` over all queries that have an id and a vector, as many at once as the limit for broadcasts allows."""
     limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
     probing = "cells" in queries.columns
     wanted = ["qid", "vector"] + (["cells"] if probing else [])
     # Fresh column identities, as both sides may come from one table.
-    # A row without an id can be neither asked for nor returned.
     queries = queries.where(F.col("vector").isNotNull() & F.col("qid").isNotNull()).select(*[F.col(c).alias(c) for c in wanted])
-    vectors = vectors.select("doc_id", payload, *(["cell"] if probing else [])).where(F.col(payload).isNotNull() & F.col("doc_id").isNotNull())
-    out = T.StructType([T.StructField("qid", queries.schema["qid"].dataType),
-                        T.StructField("doc_id", vectors.schema["doc_id"].dataType),
-                        T.StructField("score", T.DoubleType())])
-    arrow = pa.schema([("qid", arrow_id(out["qid"])), ("doc_id", arrow_id(out["doc_id"])),
-                       ("score", pa.float64())])
     # What one task holds: the query side, and 24 bytes for each of k rows per
     # query; the second part stays in the task and may be eight times as large.
-    row = F.size("vector") * 8 + F.lit(16 + k * 3) + (F.size("cells") * 8 if probing else F.lit(0))
+    row = F.size("vector") * 8 + F.lit(16 + k * 3 + query_bytes // 8) + (F.size("cells") * 8 if probing else F.lit(0))
     held, rows = queries.agg(F.coalesce(F.sum(row.cast("long")), F.lit(0)), F.count(F.lit(1))).first()
     if held <= limit:
-        return top_k(_scan(queries, vectors, k, payload, decode, skip_identical, out, arrow, probing), k)
+        return merged(scan(queries), k)
     # As many queries in a chunk as a task may hold.
     query_block = query_block or max(1, limit * rows // held)
     # Once on disk, as every chunk reads them.
     stored = staged(queries, "queries")
     path = new_path(stored.sparkSession, "chunked-run")
     for part in _chunks(stored, query_block, probing):
-        found = top_k(_scan(part, vectors, k, payload, decode, skip_identical, out, arrow, probing), k)
+        found = merged(scan(part), k)
         found.write.mode("append").parquet(path)
     return stored.sparkSession.read.schema(found.schema).parquet(path)
 
@@ -209,15 +252,24 @@ def _chunks(queries: DataFrame, size: int, probing: bool) -> Iterator[DataFrame]
         yield queries.where(nearest.isin(packed))
 
 
-def _scan(queries, vectors, k, payload, decode, skip_identical, out, arrow, probing):
-    table = queries.toArrow()
-    qids, matrix, probes = id_array(table.column("qid")), list_matrix(table.column("vector")), None
-    if probing:
-        cells = table.column("cells").combine_chunks()
-        flat = cells.flatten().to_numpy()
-        owner = np.repeat(np.arange(len(cells)), np.diff(cells.offsets.to_numpy()))
-        probes = {int(c): owner[flat == c] for c in np.unique(flat)}
-        # A literal list of probed cells prunes the partitions of a stored index.
-        vectors = vectors.where(F.col("cell").isin(list(probes)))
-    shared = vectors.sparkSession.sparkContext.broadcast((qids, matrix, probes))
-    return vectors.mapInArrow(_scan_task(shared, k, payload, decode, skip_identical, arrow), out)
+def rerank(run: DataFrame, queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """The k best of ``run``'s candidates by their exact inner products.
+
+    ``run(qid, doc_id)``, ``queries(qid, vector)``, ``vectors(doc_id, vector)``.
+    Only the candidates' vectors are read against their queries; the run and
+    the queries are broadcast as far as their measured size allows.
+    """
+    pairs = staged(run.select("qid", "doc_id").distinct(), "candidates")
+    asked = queries.where(F.col("vector").isNotNull()).select(F.col("qid").alias("qid"), F.col("vector").alias("asked"))
+    pairs = pairs.join(F.broadcast(asked) if is_small(asked) else asked, "qid")
+    stored = vectors.where(F.col("vector").isNotNull()).select("doc_id", "vector")
+    found = stored.join(F.broadcast(pairs) if is_small(pairs) else pairs, "doc_id").select("qid", "doc_id", "asked", "vector")
+    out = T.StructType([run.schema["qid"], run.schema["doc_id"], T.StructField("score", T.DoubleType())])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = np.einsum("ij,ij->i", list_matrix(batch.column("asked")), list_matrix(batch.column("vector")))
+            yield pa.RecordBatch.from_arrays([batch.column("qid"), batch.column("doc_id"), pa.array(np.round(scores, SCORE_PLACES))],
+                                             names=["qid", "doc_id", "score"])
+
+    return top_k(found.mapInArrow(task, out), k)

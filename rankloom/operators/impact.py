@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
+import numpy as np
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.staging import bucketed, is_small, new_path, open_bucketed, shard_count, write_meta
+from ..plans.staging import is_small, new_path, shard_count, staged
 from .lexical import pair_scores, sparse_topk
+from .term_blocks import blocks_of_weights, rows_of
 
 IMPACT_SCHEMA = "doc_id {}, term string, weight int"
 
@@ -19,27 +20,36 @@ def quantize_impacts(weights: DataFrame, scale: float = 100.0) -> DataFrame:
     return weights.withColumn("weight", level).where(F.col("weight") != 0)
 
 
-@dataclass(frozen=True)
 class ImpactIndex:
-    impacts: DataFrame
+    """Impacts of documents: a table ``(doc_id, term, weight)``, the blocks made of it, or both."""
+
+    def __init__(self, impacts: DataFrame | None = None, blocks: DataFrame | None = None):
+        self._impacts, self._blocks = impacts, blocks
+
+    @property
+    def impacts(self) -> DataFrame:
+        if self._impacts is not None:
+            return self._impacts
+        return rows_of(self._blocks).select("doc_id", "term", F.col("value").cast("int").alias("weight"))
+
+    @property
+    def blocks(self) -> DataFrame:
+        """Blocks for the search; those of a ready-made table are stored when they are first asked for."""
+        if self._blocks is None:
+            self._blocks = ImpactIndex.build(self._impacts)._blocks
+        return self._blocks
 
     @classmethod
     def build(cls, impacts: DataFrame, path: str | None = None, shards: int | None = None) -> ImpactIndex:
         """Store impacts sharded by document, as the search wants them."""
-        spark = impacts.sparkSession
-        path = path or new_path(spark, "impacts")
-        shards = shard_count(impacts, shards)
-        rows = bucketed(impacts.select("doc_id", "term", "weight"), "doc_id", "impacts",
-                        f"{path}/impacts", shards)
-        ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-        write_meta(spark, f"{path}/meta", schema=ddl, shards=shards)
-        return cls(rows)
+        path = path or new_path(impacts.sparkSession, "impacts")
+        sharded = impacts.select("doc_id", "term", "weight").repartition(shard_count(impacts, shards), "doc_id").sortWithinPartitions("doc_id")
+        return cls(blocks=staged(blocks_of_weights(sharded), "blocks", f"{path}/blocks"))
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> ImpactIndex:
-        """A table stored by ``build``, buckets included."""
-        meta = spark.read.schema("schema string, shards int").json(f"{path}/meta").first()
-        return cls(open_bucketed(spark, f"{path}/impacts", meta["schema"], "doc_id", meta["shards"]))
+        """A table stored by ``build``."""
+        return cls(blocks=spark.read.parquet(f"{path}/blocks"))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, id_type: str = "bigint") -> ImpactIndex:
@@ -62,8 +72,23 @@ def impact_scores(index: ImpactIndex, query_impacts: DataFrame, total: int | Non
     return pair_scores(_parts(index), asked, None, total, is_small(asked, broadcast_bytes))
 
 
+def impact_candidates(index: ImpactIndex, query_impacts: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``(qid, doc_id, score)`` for the pairs of ``candidates(qid, doc_id)`` that share a term.
+
+    Each pair brings its query's terms to the document, so rows grow with the
+    candidates and not with queries times documents.
+    """
+    asked = candidates.select("qid", "doc_id").distinct().join(_asked(query_impacts), "qid")
+    return asked.join(_parts(index), ["doc_id", "term"]).groupBy("qid", "doc_id").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
+
+
+def _whole(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    return values.astype(np.float64)
+
+
 def impact_topk(index: ImpactIndex, query_impacts: DataFrame, k: int, total: int | None = None,
-                broadcast_bytes: int | None = None) -> DataFrame:
+                broadcast_bytes: int | None = None, looked_at: Accumulator | None = None, skipped: Accumulator | None = None) -> DataFrame:
     """Sums of integer products of either sign, exact in the double the blocks use; any shared term makes a hit."""
-    run = sparse_topk(_parts(index), _asked(query_impacts), k, lambda asked, small: asked, None, total, broadcast_bytes)
+    run = sparse_topk(index.blocks, _asked(query_impacts), k, lambda asked, small: asked, _whole, lambda: _parts(index), None, total,
+                      broadcast_bytes, looked_at, skipped)
     return run.withColumn("score", F.col("score").cast("long"))

@@ -19,7 +19,9 @@ from pyspark.sql import types as T
 from ..plans.staging import new_path, write_meta
 from . import dense
 from .dense import list_matrix
-from .quantize import Int8Codec, PqCodec, seed_vectors, lloyd, squared_distances
+from .quantize import (
+    Int8Codec, PqCodec, codec_of, codec_state, coded_search, lloyd, read_matrices, seed_vectors, squared_distances, write_matrices,
+)
 
 NLIST = 16
 NPROBE = 4
@@ -86,8 +88,8 @@ class CellIndex:
         # several files, so neither many tiny files nor one huge task arises.
         rows.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
         ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-        kind, state = _codec_state(codec)
-        _matrices(spark, {"centres": centres, **state}).write.mode("overwrite").parquet(f"{path}/matrices")
+        kind, state = codec_state(codec)
+        write_matrices(spark, {"centres": centres, **state}, f"{path}/matrices")
         write_meta(spark, f"{path}/meta", schema=ddl, payload=payload, codec=kind)
         return cls(spark.read.schema(rows.schema).parquet(f"{path}/rows"), centres, payload, codec)
 
@@ -95,26 +97,11 @@ class CellIndex:
     def open(cls, spark: SparkSession, path: str) -> CellIndex:
         """An index stored by ``build``, with its centres and codec."""
         meta = spark.read.schema("schema string, payload string, codec string").json(f"{path}/meta").first()
-        found = {r["name"]: np.array(r["values"]).reshape(r["shape"]) for r in spark.read.parquet(f"{path}/matrices").collect()}
-        codec = {"none": lambda: None, "int8": lambda: Int8Codec(*map(float, found["range"])),
-                 "pq": lambda: PqCodec(found["codebook"])}[meta["codec"]]()
-        return cls(spark.read.schema(meta["schema"]).parquet(f"{path}/rows"), found["centres"], meta["payload"], codec)
+        found = read_matrices(spark, f"{path}/matrices")
+        return cls(spark.read.schema(meta["schema"]).parquet(f"{path}/rows"), found["centres"], meta["payload"], codec_of(meta["codec"], found))
 
-    def search(self, queries: DataFrame, k: int, nprobe: int = NPROBE, **options) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, nprobe: int = NPROBE, vectors: DataFrame | None = None, factor: int = 1, **options) -> DataFrame:
+        """The k best in the ``nprobe`` nearest cells; with ``vectors`` the k best of ``factor`` times as many by their exact scores."""
         asked = nearest_cells(queries.select("qid", "vector"), self.centres, nprobe)
-        decode = dense.plain if self.codec is None else self.codec.decode
-        return dense.search(asked, self.rows, k, self.payload, decode, **options)
-
-
-def _codec_state(codec: Int8Codec | PqCodec | None) -> tuple[str, dict[str, np.ndarray]]:
-    if codec is None:
-        return "none", {}
-    if isinstance(codec, Int8Codec):
-        return "int8", {"range": np.array([codec.lo, codec.hi])}
-    return "pq", {"codebook": codec.codebook}
-
-
-def _matrices(spark: SparkSession, matrices: dict[str, np.ndarray]) -> DataFrame:
-    """One row a matrix; their sizes are set by the parameters of the index."""
-    rows = [(name, list(m.shape), m.ravel().astype(float).tolist()) for name, m in matrices.items()]
-    return spark.createDataFrame(rows, "name string, shape array<int>, values array<double>").coalesce(1)
+        found = coded_search(asked, self.rows, k if vectors is None else k * factor, self.codec, **options)
+        return found if vectors is None else dense.rerank(found, queries, vectors, k)

@@ -1,25 +1,26 @@
-"""BM25 over a postings table sharded by document.
+"""BM25 over postings stored in blocks of documents.
 
-One exchange of raw text places every document in one shard; tokenising,
-counting and, at search time, summing a document's score all happen inside the
-shard. Only k rows per shard and query leave it.
+One exchange of raw text places every document in one shard, where it is
+analysed and packed into blocks with bounds (``term_blocks``). A search scans
+the blocks in place; only k rows per task and query leave it.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import Analyzer, words
-from ..plans.staging import (
-    BROADCAST_BYTES, bucketed, is_small, new_path, open_bucketed, shard_count, staged, write_meta,
-)
+from ..functions.text import Analyzer, label, words
+from ..plans.staging import BROADCAST_BYTES, is_small, new_path, shard_count, staged, write_meta
 from .ranking import SCORE_PLACES, top_k
-from .term_blocks import block_topk
+from .term_blocks import Part, block_topk, blocks_of_terms, blocks_of_weights, renamed_terms, rows_of
 
 # The usual defaults of the scoring formula.
 K1 = 0.9
@@ -77,37 +78,103 @@ def query_terms(queries: DataFrame, analyzer: Analyzer = words) -> DataFrame:
     )
 
 
+def stem_table(terms: DataFrame, stemmer: Callable[[str], str]) -> DataFrame:
+    """``(term, stem)`` of the distinct terms; the stemmer sees each of them once, however often it occurs."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("term"), pa.array(list(map(stemmer, batch.column("term").to_pylist())), pa.string())],
+                                             names=["term", "stem"])
+
+    return terms.where(F.col("term").isNotNull()).select("term").distinct().mapInArrow(task, "term string, stem string")
+
+
+def stemmed(rows: DataFrame, stems: DataFrame, count: str) -> DataFrame:
+    """``rows`` with ``term`` replaced by its stem; rows that become alike are one, their ``count`` added up.
+
+    The table of stems is broadcast while it is small. Rows without a stem in it go.
+    """
+    joined = rows.join(F.broadcast(stems) if is_small(stems) else stems, "term")
+    others = [c for c in rows.columns if c not in ("term", count)]
+    return joined.groupBy(*others, F.col("stem").alias("term")).agg(F.sum(count).alias(count)).select(rows.columns)
+
+
+def _stemmed_blocks(blocks: DataFrame, stems: DataFrame, shards: int, broadcast_bytes: int | None) -> DataFrame:
+    if is_small(stems, broadcast_bytes):
+        return renamed_terms(blocks, stems)
+    rows = rows_of(blocks).join(stems, "term").groupBy("doc_id", "dl", F.col("stem").alias("term")).agg(F.sum("value").cast("int").alias("weight"))
+    return blocks_of_weights(rows.repartition(shards, "doc_id").sortWithinPartitions("doc_id"))
+
+
 @dataclass(frozen=True)
 class LexicalIndex:
-    postings: DataFrame
+    """Blocks of documents, document frequencies and statistics of a corpus whose ``doc_id`` is a key."""
+
+    blocks: DataFrame
     doc_freq: DataFrame
     n: int
     avgdl: float
     total: int
+    analysis: str
+    stemmer: Callable[[str], str] | None = None
+
+    _META = "n long, avgdl double, total long, analysis string"
 
-    _META = "n long, avgdl double, total long, shards int, schema string"
+    @property
+    def postings(self) -> DataFrame:
+        """``(doc_id, dl, term, tf)``, unpacked from the blocks."""
+        return rows_of(self.blocks).withColumnRenamed("value", "tf")
 
     @classmethod
     def build(cls, corpus: DataFrame, path: str | None = None, analyzer: Analyzer = words,
-              shards: int | None = None) -> LexicalIndex:
+              shards: int | None = None, stemmer: Callable[[str], str] | None = None, broadcast_bytes: int | None = None) -> LexicalIndex:
+        """Analyse and store ``corpus(doc_id, text)``. A ``stemmer`` is applied to the distinct terms and its table, kept as
+        ``stems``, joined back with the blocks; it is broadcast up to the limit."""
         spark = corpus.sparkSession
         path = path or new_path(spark, "lexical")
         shards = shard_count(corpus, shards)
-        rows = bucketed(postings(corpus, analyzer, shards), "doc_id", "postings",
-                        f"{path}/postings", shards)
-        frequencies = staged(doc_freq(rows), "doc_freq", f"{path}/doc_freq")
-        stats = corpus_stats(rows).first()
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-        write_meta(spark, f"{path}/meta", n=stats["n"], avgdl=stats["avgdl"], total=stats["total"],
-                   shards=shards, schema=schema)
-        return cls(rows, frequencies, stats["n"], stats["avgdl"] or 0.0, stats["total"] or 0)
+        analysed = (corpus.select("doc_id", "text").repartition(shards, "doc_id")
+                    .select("doc_id", analyzer(F.col("text")).alias("terms")))
+        blocks = blocks_of_terms(analysed)
+        if stemmer is not None:
+            blocks = staged(blocks, "plain-blocks", f"{path}/plain")
+            stems = staged(stem_table(blocks.select(F.explode("terms").alias("term")), stemmer), "stems", f"{path}/stems")
+            blocks = _stemmed_blocks(blocks, stems, shards, broadcast_bytes)
+        blocks = staged(blocks, "blocks", f"{path}/blocks")
+        # One row for each block and term, not one for each posting.
+        counted = blocks.select(F.explode(F.arrays_zip("terms", "sizes")).alias("t")).groupBy(F.col("t.terms").alias("term"))
+        frequencies = staged(counted.agg(F.sum("t.sizes").alias("df")), "doc_freq", f"{path}/doc_freq")
+        in_block = F.aggregate("lengths", F.lit(0).cast("long"), lambda total, x: total + x)
+        stats = blocks.agg(F.coalesce(F.sum(F.size("lengths")), F.lit(0)).alias("n"), F.coalesce(F.sum(in_block), F.lit(0)).alias("total")).first()
+        n, total, analysis = stats["n"], stats["total"], _analysis(analyzer, stemmer)
+        write_meta(spark, f"{path}/meta", n=n, avgdl=total / n if n else 0.0, total=total, analysis=analysis)
+        return cls(blocks, frequencies, n, total / n if n else 0.0, total, analysis, stemmer)
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str) -> LexicalIndex:
+    def open(cls, spark: SparkSession, path: str, analyzer: Analyzer = words, stemmer: Callable[[str], str] | None = None) -> LexicalIndex:
+        """An index stored by ``build`` with the same analysis; another one would ask for terms that are not there."""
         meta = spark.read.schema(cls._META).json(f"{path}/meta").first()
-        rows = open_bucketed(spark, f"{path}/postings", meta["schema"], "doc_id", meta["shards"])
-        frequencies = spark.read.parquet(f"{path}/doc_freq")
-        return cls(rows, frequencies, meta["n"], meta["avgdl"] or 0.0, meta["total"] or 0)
+        index = cls(spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/doc_freq"), meta["n"], meta["avgdl"], meta["total"],
+                    meta["analysis"], stemmer)
+        index.check(analyzer)
+        return index
+
+    def check(self, analyzer: Analyzer) -> None:
+        if _analysis(analyzer, self.stemmer) != self.analysis:
+            raise ValueError(f"the index was analysed by {self.analysis!r}, not by {_analysis(analyzer, self.stemmer)!r}")
+
+    def query_terms(self, queries: DataFrame, analyzer: Analyzer = words) -> DataFrame:
+        """``(qid, term, qtf)`` analysed as the documents were."""
+        self.check(analyzer)
+        terms = query_terms(queries, analyzer)
+        if self.stemmer is None:
+            return terms
+        terms = staged(terms, "query-terms")
+        return stemmed(terms, staged(stem_table(terms, self.stemmer), "query-stems"), "qtf")
+
+
+def _analysis(analyzer: Analyzer, stemmer: Callable[[str], str] | None) -> str:
+    return label(analyzer) + (f", stems by {label(stemmer)}" if stemmer else "")
 
 
 def term_matches(rows: DataFrame, query_side: DataFrame, frequencies: DataFrame | None = None,
@@ -168,7 +235,7 @@ def pair_scores(rows: DataFrame, weights: DataFrame, frequencies: DataFrame | No
 def bm25_scores(index: LexicalIndex, queries: DataFrame, k1: float = K1, b: float = B,
                 analyzer: Analyzer = words, broadcast_bytes: int | None = None) -> DataFrame:
     """``(qid, doc_id, score)`` for every document that shares a term with a query."""
-    terms = query_terms(queries, analyzer)
+    terms = index.query_terms(queries, analyzer)
     # The weights have the rows and width of the terms, so one check serves both.
     small = is_small(terms, broadcast_bytes)
     return pair_scores(_parts(index, k1, b), bm25_weights(index, terms, small), index.doc_freq, index.total, small)
@@ -181,7 +248,7 @@ def bm25_candidates(index: LexicalIndex, queries: DataFrame, candidates: DataFra
     Each pair brings its query's terms to the document, so rows grow with the
     candidates and not with queries times documents.
     """
-    terms = query_terms(queries, analyzer)
+    terms = index.query_terms(queries, analyzer)
     weights = bm25_weights(index, terms, is_small(terms, broadcast_bytes))
     asked = candidates.select("qid", "doc_id").distinct().join(weights, "qid")
     return asked.join(_parts(index, k1, b), ["doc_id", "term"]).groupBy("qid", "doc_id").agg(
@@ -189,42 +256,50 @@ def bm25_candidates(index: LexicalIndex, queries: DataFrame, candidates: DataFra
 
 
 def bm25_topk(index: LexicalIndex, queries: DataFrame, k: int, k1: float = K1, b: float = B,
-              analyzer: Analyzer = words, broadcast_bytes: int | None = None) -> DataFrame:
-    return sparse_topk(_parts(index, k1, b), query_terms(queries, analyzer), k,
-                       lambda terms, small: bm25_weights(index, terms, small),
-                       index.doc_freq, index.total, broadcast_bytes)
+              analyzer: Analyzer = words, broadcast_bytes: int | None = None, looked_at: Accumulator | None = None,
+              skipped: Accumulator | None = None) -> DataFrame:
+    """The k best documents of every query. The counters tell how many blocks were scored and passed over."""
+    average = float(index.avgdl or 1.0)
+
+    def part(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        tf = values.astype(np.float64)
+        return tf / (tf + k1 * (1.0 - b + b * lengths / average))
+
+    return sparse_topk(index.blocks, index.query_terms(queries, analyzer), k, lambda terms, small: bm25_weights(index, terms, small), part,
+                       lambda: _parts(index, k1, b), index.doc_freq, index.total, broadcast_bytes, looked_at, skipped)
 
 
-def sparse_topk(rows: DataFrame, query_side: DataFrame, k: int, weigh: Callable[[DataFrame, bool], DataFrame],
-                frequencies: DataFrame | None = None, total: int | None = None,
-                broadcast_bytes: int | None = None) -> DataFrame:
+def sparse_topk(blocks: DataFrame, query_side: DataFrame, k: int, weigh: Callable[[DataFrame, bool], DataFrame], part: Part,
+                rows: Callable[[], DataFrame], frequencies: DataFrame | None = None, total: int | None = None,
+                broadcast_bytes: int | None = None, looked_at: Accumulator | None = None, skipped: Accumulator | None = None) -> DataFrame:
     """Best documents of all queries by the sum of weight times part over shared terms.
 
-    ``weigh(query rows, small)`` gives ``(qid, term, weight)``. A query side
-    over the broadcast limit is cut by query into chunks under it; each chunk
-    scans the index once and leaves k rows per query, far less than an exchange
-    of every matching pair. A single query too large for the limit still goes
-    through the exchange join.
+    ``weigh(query rows, small)`` gives ``(qid, term, weight)``, ``rows()`` the
+    stored ``(doc_id, term, part)``. A query side over the broadcast limit is
+    cut by query into chunks under it; each chunk scans the index once and
+    leaves k rows per query, far less than an exchange of every matching pair.
+    A single query too large for the limit still goes through the exchange join.
     """
     limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
+    # Once on disk: the texts of the queries are analysed a single time.
+    stored = staged(query_side, "query-side")
 
-    def search(part: DataFrame, small: bool) -> DataFrame:
+    def search(some: DataFrame, small: bool) -> DataFrame:
         """A run whose score is DOUBLE on every path, as chunks of both go to one table."""
         if small:
-            return block_topk(rows, weigh(part, True), k)
-        found = top_k(pair_scores(rows, weigh(part, False), frequencies, total, False), k)
+            return block_topk(blocks, weigh(some, True), k, part, looked_at, skipped)
+        found = top_k(pair_scores(rows(), weigh(some, False), frequencies, total, False), k)
         return found.withColumn("score", F.col("score").cast("double"))
 
-    size = _held_bytes(query_side, k)
+    size = _held_bytes(stored, k)
     if size <= limit or limit <= 0:
-        return search(query_side, size <= limit)
-    stored = staged(query_side, "query-side")
+        return search(stored, size <= limit)
     # A quarter more chunks than bytes ask for, as hashing is not perfectly even.
     chunks = math.ceil(1.25 * size / limit)
     path = new_path(stored.sparkSession, "chunked-run")
     for i in range(chunks):
-        part = stored.where(F.pmod(F.xxhash64("qid"), F.lit(chunks)) == i)
-        run = search(part, _held_bytes(part, k) <= limit)
+        some = stored.where(F.pmod(F.xxhash64("qid"), F.lit(chunks)) == i)
+        run = search(some, _held_bytes(some, k) <= limit)
         run.write.mode("append").parquet(path)
     return stored.sparkSession.read.schema(run.schema).parquet(path)
 

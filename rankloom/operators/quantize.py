@@ -1,7 +1,10 @@
 """Compressed vectors: int8 codes over one range, and product-quantisation codes.
 
-Codes are stored as small-integer arrays; a search decodes them inside the
-Arrow batch and scores them with the same block product as exact search.
+Codes are stored as small-integer arrays. A search decodes int8 codes inside
+the Arrow batch and scores them with the same block product as exact search.
+Product codes are not decoded: a table of the products of every query with
+every code of every block is made once for a scan, and a row's score is the sum
+of the entries that its codes point at.
 """
 
 from __future__ import annotations
@@ -11,11 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.staging import BROADCAST_BYTES
+from ..plans.staging import BROADCAST_BYTES, new_path, staged, write_meta
+from . import dense
 from .dense import list_matrix
 
 # Code range of int8, and blocks and bits of product quantisation.
@@ -173,3 +177,88 @@ class PqCodec:
         if not len(codes):
             return np.zeros((0, self.codebook.shape[0] * self.codebook.shape[2]))
         return np.concatenate([self.codebook[m][codes[:, m]] for m in range(len(self.codebook))], axis=1)
+
+    @property
+    def query_bytes(self) -> int:
+        """What ``product`` holds of each query."""
+        return 8 * self.codebook.shape[0] * self.codebook.shape[1]
+
+    def product(self, queries: np.ndarray):
+        """Scores by lookup in the products of queries and codebook, for ``dense.search``."""
+        blocks, _, width = self.codebook.shape
+        tables = [queries[:, m * width:(m + 1) * width] @ self.codebook[m].T for m in range(blocks)] if len(queries) else []
+
+        def of_batch(column):
+            codes = list_matrix(column).astype(np.intp).reshape(len(column), blocks)
+
+            def scores(part: np.ndarray, rows) -> np.ndarray:
+                mine = codes[rows]
+                total = np.zeros((len(part), len(mine)))
+                for m, table in enumerate(tables):
+                    total += np.take(table[part], mine[:, m], axis=1)
+                return total
+
+            return scores
+
+        return of_batch
+
+
+def coded_search(queries: DataFrame, rows: DataFrame, k: int, codec: Int8Codec | PqCodec | None, **options) -> DataFrame:
+    """``dense.search`` over plain vectors, or over codes in the way of their codec."""
+    if isinstance(codec, PqCodec):
+        return dense.search(queries, rows, k, "codes", product=codec.product, query_bytes=codec.query_bytes, **options)
+    return dense.search(queries, rows, k, "vector" if codec is None else "codes", dense.plain if codec is None else codec.decode, **options)
+
+
+def codec_state(codec: Int8Codec | PqCodec | None) -> tuple[str, dict[str, np.ndarray]]:
+    """Kind and numbers of a codec, to be stored with what it has encoded."""
+    if codec is None:
+        return "none", {}
+    if isinstance(codec, Int8Codec):
+        return "int8", {"range": np.array([codec.lo, codec.hi])}
+    return "pq", {"codebook": codec.codebook}
+
+
+def codec_of(kind: str, found: dict[str, np.ndarray]) -> Int8Codec | PqCodec | None:
+    return {"none": lambda: None, "int8": lambda: Int8Codec(*map(float, found["range"])), "pq": lambda: PqCodec(found["codebook"])}[kind]()
+
+
+def write_matrices(spark: SparkSession, matrices: dict[str, np.ndarray], path: str) -> None:
+    """One row a matrix; their sizes are set by the parameters of the index."""
+    rows = [(name, list(m.shape), m.ravel().astype(float).tolist()) for name, m in matrices.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, values array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_matrices(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
+    return {r["name"]: np.array(r["values"]).reshape(r["shape"]) for r in spark.read.parquet(path).collect()}
+
+
+@dataclass(frozen=True)
+class FlatIndex:
+    """Vectors or codes for exact search over what is stored, with the codec to read them."""
+
+    rows: DataFrame
+    codec: Int8Codec | PqCodec | None = None
+
+    @classmethod
+    def build(cls, vectors: DataFrame, codec: Int8Codec | PqCodec | None = None, path: str | None = None) -> FlatIndex:
+        spark = vectors.sparkSession
+        path = path or new_path(spark, "flat")
+        rows = vectors.select("doc_id", "vector") if codec is None else codec.encode(vectors.select("doc_id", "vector"))
+        stored = staged(rows, "rows", f"{path}/rows")
+        kind, state = codec_state(codec)
+        write_matrices(spark, state, f"{path}/matrices")
+        write_meta(spark, f"{path}/meta", codec=kind)
+        return cls(stored, codec)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FlatIndex:
+        """An index stored by ``build``."""
+        kind = spark.read.schema("codec string").json(f"{path}/meta").first()["codec"]
+        return cls(spark.read.parquet(f"{path}/rows"), codec_of(kind, read_matrices(spark, f"{path}/matrices")))
+
+    def search(self, queries: DataFrame, k: int, vectors: DataFrame | None = None, factor: int = 1, **options) -> DataFrame:
+        """The k best; with ``vectors`` the k best of ``factor`` times as many candidates by their exact scores."""
+        if vectors is None:
+            return coded_search(queries, self.rows, k, self.codec, **options)
+        return dense.rerank(coded_search(queries, self.rows, k * factor, self.codec, **options), queries, vectors, k)

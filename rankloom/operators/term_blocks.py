@@ -1,98 +1,276 @@
-"""Best documents by term weights, scored in blocks of documents.
+"""Term postings stored in blocks of documents, searched with bounds that rise and skip.
 
-Spark joins the stored rows with the query vocabulary and groups a document's
-matches; sharding by document makes both exchange-free. A task then multiplies
-blocks of documents with the sparse query matrix and keeps k rows per query, so
-the (query, document) pairs, nearly all pairs when queries hold frequent terms,
-never become rows.
+A row of the table is a block of a few hundred documents: its distinct terms,
+for each of them the documents that hold it with their values, and what bounds
+the score it can give: greatest and least value and shortest length. A search
+scans the blocks where they are, without a join or an exchange. For every
+block and query the bounds of the shared terms are added up first; as soon as
+the k-th best score that the task has seen is above the sum, the query passes
+over the block, and a block that all queries pass over is not unpacked at all.
+Pairs of query and document never become rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .dense import SCORE_BUFFER, BestRows, arrow_id, emit_rows, id_array
-from .ranking import SCORE_PLACES, top_k
+from .dense import SCORE_BUFFER, BestRows, arrow_id, id_array
+from .ranking import SCORE_PLACES, merged, packed_rows, packed_schema
 
+# Documents of a block.
+BLOCK_DOCS = 512
+# What a rounded score may be above the sum it was rounded from.
+SLACK = 10.0 ** -SCORE_PLACES
 
-def block_topk(rows: DataFrame, weights: DataFrame, k: int) -> DataFrame:
-    """``run`` from ``rows(doc_id, term, part)`` and a small ``weights(qid, term, weight)``.
+# ``part(values, lengths)``: what a term gives to a document, before the query's weight; the more
+# of a value and the less of a length, the more.
+Part = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
-    The score is the sum of weight times part over shared terms, of either sign.
+LISTS = {"lengths": pa.int32(), "terms": pa.string(), "sizes": pa.int32(), "most": pa.int32(), "least": pa.int32(),
+         "shortest": pa.int32(), "places": pa.int32(), "values": pa.int32()}
+
+
+def block_schema(doc_id: T.DataType) -> T.StructType:
+    kinds = {pa.int32(): T.IntegerType(), pa.string(): T.StringType()}
+    return T.StructType([T.StructField("doc_ids", T.ArrayType(doc_id)),
+                         *[T.StructField(name, T.ArrayType(kinds[kind])) for name, kind in LISTS.items()]])
+
+
+def _block(doc_ids: pa.Array, doc: np.ndarray, terms: pa.Array, value: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
+    """One block from entries (position in ``doc_ids``, term, value)."""
+    coded = terms.dictionary_encode()
+    by_term = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(by_term), np.int64)
+    rank[by_term] = np.arange(len(by_term))
+    code = rank[coded.indices.to_numpy()]
+    order = np.lexsort((doc, code))
+    code, doc, value = code[order], doc[order], value[order]
+    starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    columns = {"lengths": lengths, "terms": coded.dictionary.take(pa.array(by_term)), "sizes": np.diff(np.r_[starts, len(code)]),
+               "most": np.maximum.reduceat(value, starts), "least": np.minimum.reduceat(value, starts),
+               "shortest": np.minimum.reduceat(lengths[doc], starts), "places": doc, "values": value}
+
+    def row(values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+    arrays = [row(doc_ids)] + [row(columns[c] if kind == pa.string() else pa.array(columns[c].astype(np.int32))) for c, kind in LISTS.items()]
+    return pa.RecordBatch.from_arrays(arrays, names=["doc_ids", *LISTS])
+
+
+def blocks_of_terms(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """Blocks from ``(doc_id, terms ARRAY<STRING>)``: values are counts of terms, lengths numbers of terms.
+
+    Rows without an id or without terms have no place in a block.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.fill_null(pc.list_value_length(batch.column("terms")), 0)
+            batch = batch.filter(pc.and_(pc.greater(size, 0), batch.column("doc_id").is_valid()))
+            for start in range(0, batch.num_rows, block_docs):
+                part = batch.slice(start, block_docs)
+                lists = part.column("terms")
+                lengths = pc.list_value_length(lists).to_numpy().astype(np.int64)
+                coded = lists.flatten().dictionary_encode()
+                key = np.repeat(np.arange(len(lists)), lengths) * np.int64(len(coded.dictionary)) + coded.indices.to_numpy()
+                key, count = np.unique(key, return_counts=True)
+                doc, code = key // len(coded.dictionary), key % len(coded.dictionary)
+                yield _block(part.column("doc_id"), doc, coded.dictionary.take(pa.array(code)), count, lengths)
+
+    return docs.mapInArrow(task, block_schema(docs.schema["doc_id"].dataType))
+
+
+def renamed_terms(blocks: DataFrame, names: DataFrame) -> DataFrame:
+    """The same blocks with every term under its name in ``names(term, stem)``, a small table of all terms; values of one name add up."""
+    table = names.select("term", "stem").toArrow()
+    shared = blocks.sparkSession.sparkContext.broadcast((table.column("term").combine_chunks(), table.column("stem").combine_chunks()))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, stems = shared.value
+        for batch in batches:
+            for at in range(batch.num_rows):
+                lists = _lists(batch, at)
+                named = stems.take(pc.index_in(batch.column("terms")[at].values, value_set=terms)).dictionary_encode()
+                size = np.int64(len(lists["lengths"]))
+                key = np.repeat(named.indices.to_numpy().astype(np.int64), lists["sizes"]) * size + lists["places"]
+                key, entry = np.unique(key, return_inverse=True)
+                value = np.bincount(entry, lists["values"]).astype(np.int64)
+                yield _block(batch.column("doc_ids")[at].values, key % size, named.dictionary.take(pa.array(key // size)), value, lists["lengths"].astype(np.int64))
+
+    return blocks.mapInArrow(task, blocks.schema)
+
+
+def blocks_of_weights(rows: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """Blocks from ``(doc_id, term, weight INT[, dl])`` whose partitions are in order of doc_id; lengths are ``dl``, or 0."""
+    measured = "dl" in rows.columns
+
+    def cut(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids = table.column("doc_id").combine_chunks()
+        own = id_array(ids)
+        new = np.r_[True, own[1:] != own[:-1]]
+        number = np.cumsum(new) - 1
+        firsts = np.flatnonzero(new)
+        for start in range(0, len(firsts), block_docs):
+            a = firsts[start]
+            b = firsts[start + block_docs] if start + block_docs < len(firsts) else len(own)
+            mine = firsts[start:start + block_docs]
+            yield _block(ids.take(pa.array(mine)), number[a:b] - start, table.column("term").slice(a, b - a).combine_chunks(),
+                         table.column("weight").slice(a, b - a).to_numpy(),
+                         table.column("dl").to_numpy()[mine] if measured else np.zeros(len(mine), np.int64))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            batch = batch.filter(pc.and_(batch.column("doc_id").is_valid(), batch.column("term").is_valid()))
+            held.append(batch)
+            size += batch.num_rows
+            if size < 500_000:
+                continue
+            table = pa.Table.from_batches(held)
+            own = id_array(table.column("doc_id").combine_chunks())
+            # The last document may go on in the next batch.
+            last = int(np.flatnonzero(own != own[-1])[-1]) + 1 if (own != own[-1]).any() else 0
+            if last:
+                yield from cut(table.slice(0, last))
+                held = table.slice(last).to_batches()
+                size = len(own) - last
+        table = pa.Table.from_batches(held) if held else None
+        if table is not None and table.num_rows:
+            yield from cut(table)
+
+    return rows.select("doc_id", "term", "weight", *(["dl"] if measured else [])).mapInArrow(task, block_schema(rows.schema["doc_id"].dataType))
+
+
+def _lists(batch: pa.RecordBatch, at: int) -> dict[str, np.ndarray]:
+    return {c: batch.column(c)[at].values.to_numpy(zero_copy_only=False) for c in batch.schema.names if c not in ("doc_ids", "terms")}
+
+
+def rows_of(blocks: DataFrame) -> DataFrame:
+    """``(doc_id, dl, term, value)``: the stored postings one by one."""
+    doc_id = blocks.schema["doc_ids"].dataType.elementType
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                lists = _lists(batch, at)
+                term = np.repeat(np.arange(len(lists["sizes"])), lists["sizes"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_ids")[at].values.take(pa.array(lists["places"])), pa.array(lists["lengths"][lists["places"]].astype(np.int64)),
+                     batch.column("terms")[at].values.take(pa.array(term)), pa.array(lists["values"].astype(np.int64))],
+                    names=["doc_id", "dl", "term", "value"])
+
+    schema = T.StructType([T.StructField("doc_id", doc_id), *T.StructType.fromDDL("dl long, term string, value long").fields])
+    return blocks.select("doc_ids", "lengths", "terms", "sizes", "places", "values").mapInArrow(task, schema)
+
+
+def block_topk(blocks: DataFrame, weights: DataFrame, k: int, part: Part, looked_at: Accumulator | None = None,
+               skipped: Accumulator | None = None) -> DataFrame:
+    """``run`` of the k best documents by the sum of weight times part over shared terms.
+
+    ``weights(qid, term, weight)`` are small, which the caller has checked, and
+    of either sign. ``looked_at`` and ``skipped`` count pairs of a block and a
+    query that share a term, by whether they were scored or passed over.
     """
-    spark = rows.sparkSession
-    # The caller has checked the size of the query side.
+    spark = blocks.sparkSession
     asked = weights.select("qid", "term", F.col("weight").cast("double").alias("weight")).toArrow()
     coded = asked.column("term").combine_chunks().dictionary_encode()
-    terms = coded.dictionary
     code = coded.indices.to_numpy(zero_copy_only=False)
     qids, owner = np.unique(id_array(asked.column("qid")), return_inverse=True)
     order = np.argsort(code, kind="stable")
-    starts = np.searchsorted(code[order], np.arange(len(terms) + 1))
-    shared = spark.sparkContext.broadcast(
-        (qids, starts, owner[order], asked.column("weight").to_numpy()[order]))
-
-    vocabulary = spark.createDataFrame(
-        pa.table({"term": terms.cast(pa.string()), "code": pa.array(np.arange(len(terms), dtype=np.int32))}),
-        "term string, code int")
-    matched = rows.join(F.broadcast(vocabulary), "term")
-    # At most one entry for each query term the document holds.
-    documents = matched.groupBy("doc_id").agg(
-        F.collect_list(F.struct("code", F.col("part").cast("double").alias("part"))).alias("matches"))
-    out = T.StructType([T.StructField("qid", weights.schema["qid"].dataType),
-                        T.StructField("doc_id", rows.schema["doc_id"].dataType),
-                        T.StructField("score", T.DoubleType())])
-    schema = pa.schema([("qid", arrow_id(out["qid"])), ("doc_id", arrow_id(out["doc_id"])), ("score", pa.float64())])
-    return top_k(documents.mapInArrow(_task(shared, k, schema), out), k)
-
-
-def _task(shared, k: int, schema: pa.Schema):
+    starts = np.searchsorted(code[order], np.arange(len(coded.dictionary) + 1))
+    shared = spark.sparkContext.broadcast((qids, coded.dictionary.cast(pa.string()), starts, owner[order], asked.column("weight").to_numpy()[order]))
+    doc_id = blocks.schema["doc_ids"].dataType.elementType
+    packed = packed_schema(weights.schema["qid"].dataType, doc_id)
+    schema = pa.schema([("qid", arrow_id(packed["qid"])), ("doc_id", pa.list_(arrow_id(T.StructField("doc_id", doc_id)))), ("score", pa.list_(pa.float64()))])
+    return merged(blocks.mapInArrow(_task(shared, k, part, schema, looked_at, skipped), packed), k)
+
+
+def _task(shared, k: int, part: Part, schema: pa.Schema, looked_at, skipped):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, starts, owner, weight = shared.value
+        qids, vocabulary, starts, owner, weight = shared.value
         best = BestRows(len(qids), k)
-        for whole in batches:
-            for batch in _slices(whole, starts, max(1, SCORE_BUFFER // max(1, len(qids)))):
-                lists = batch.column("matches")
-                docs = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-                codes, parts = (column.to_numpy(zero_copy_only=False) for column in lists.flatten().flatten())
-                # One entry for each query that holds the matched term.
-                uses = starts[codes + 1] - starts[codes]
-                entry = np.repeat(starts[codes] - np.r_[0, np.cumsum(uses)[:-1]], uses) + np.arange(uses.sum())
-                cell = owner[entry] * len(lists) + np.repeat(docs, uses)
-                _add(best, cell, weight[entry] * np.repeat(parts, uses), len(qids), id_array(batch.column("doc_id")))
-        yield from emit_rows(best, qids, schema)
+        seen = passed = 0
+        for batch in batches:
+            for at in range(batch.num_rows):
+                codes = pc.index_in(batch.column("terms")[at].values, value_set=vocabulary).to_numpy(zero_copy_only=False)
+                held = np.flatnonzero(~np.isnan(codes) if codes.dtype.kind == "f" else codes >= 0)
+                if not len(held):
+                    continue
+                lists = _lists(batch, at)
+                a, b = _score(best, lists, held, codes[held].astype(np.int64), starts, owner, weight, part, id_array(batch.column("doc_ids")[at].values))
+                seen, passed = seen + a, passed + b
+        if looked_at is not None:
+            looked_at.add(seen)
+        if skipped is not None:
+            skipped.add(passed)
+        best.merge()
+        for q, s, d in best.parts:
+            yield from packed_rows(q, s, d, qids, schema)
 
     return task
 
 
-def _slices(batch: pa.RecordBatch, starts: np.ndarray, step: int) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of at most ``step`` documents and about ``SCORE_BUFFER`` matched entries, one document at least."""
-    lists = batch.column("matches")
-    codes = lists.flatten().field("code").to_numpy(zero_copy_only=False)
-    sums = np.r_[0, np.cumsum(starts[codes + 1] - starts[codes])]
-    upto = sums[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-    start = 0
-    while start < batch.num_rows:
-        end = int(np.searchsorted(upto, upto[start] + SCORE_BUFFER, "right")) - 1
-        end = max(start + 1, min(end, start + step))
-        yield batch.slice(start, end - start)
-        start = end
+def _score(best: BestRows, lists: dict, held: np.ndarray, codes: np.ndarray, starts: np.ndarray, owner: np.ndarray, weight: np.ndarray,
+           part: Part, ids: np.ndarray) -> tuple[int, int]:
+    """Score one block for the queries whose bound reaches their floor; numbers of queries scored and passed over."""
+    # One entry for each pair of a term of the block and a query that holds it.
+    uses = starts[codes + 1] - starts[codes]
+    term = np.repeat(held, uses)
+    entry = np.repeat(starts[codes] - np.r_[0, np.cumsum(uses)[:-1]], uses) + np.arange(uses.sum())
+    query, factor = owner[entry], weight[entry]
+    high = part(lists["most"][held], lists["shortest"][held])
+    low = part(lists["least"][held], lists["shortest"][held])
+    # A document without the term gets nothing, so a bound is never below 0.
+    bound = np.maximum(factor * np.repeat(high, uses), np.maximum(factor * np.repeat(low, uses), 0.0))
+    bounds = np.bincount(query, bound, len(best.floor))
+    sharing = np.bincount(query, minlength=len(best.floor)) > 0
+    active = sharing & (bounds + SLACK >= best.floor)
+    if not active.any():
+        return 0, int(sharing.sum())
+    mine = active[query]
+    order = np.argsort(query[mine], kind="stable")
+    query, factor, term = query[mine][order], factor[mine][order], term[mine][order]
+    ends = np.cumsum(lists["sizes"])
+    begins = ends - lists["sizes"]
+    every = part(lists["values"], lists["lengths"][lists["places"]])
+    length = lists["sizes"][term]
+    # Whole queries at a time, as many as the buffer has room for.
+    upto = np.cumsum(length)
+    firsts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+    room = max(1, SCORE_BUFFER // len(ids))
+    at = 0
+    while at < len(firsts):
+        begin = firsts[at]
+        base = upto[begin] - length[begin]
+        last = int(np.searchsorted(upto[np.r_[firsts[1:], len(query)] - 1], base + SCORE_BUFFER, "right"))
+        last = max(at + 1, min(last, at + room))
+        cut = slice(begin, firsts[last] if last < len(firsts) else len(query))
+        size = length[cut]
+        place = np.repeat(begins[term[cut]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        asking = query[firsts[at:last]]
+        row = np.repeat(np.searchsorted(asking, query[cut]), size)
+        _add(best, asking, row * len(ids) + lists["places"][place], np.repeat(factor[cut], size) * every[place], ids)
+        at = last
+    return int(active.sum()), int(sharing.sum() - active.sum())
 
 
-def _add(best: BestRows, cell: np.ndarray, value: np.ndarray, queries: int, ids: np.ndarray) -> None:
+def _add(best: BestRows, asking: np.ndarray, cell: np.ndarray, value: np.ndarray, ids: np.ndarray) -> None:
     """Sum the entries of every (query, document) cell and offer the sums; a cell with an entry counts whatever its sum."""
-    cells = queries * len(ids)
+    cells = len(asking) * len(ids)
     if 8 * len(cell) > cells:
         sums = np.round(np.bincount(cell, weights=value, minlength=cells), SCORE_PLACES)
         sums[np.bincount(cell, minlength=cells) == 0] = -np.inf
-        best.add(np.arange(queries), sums.reshape(queries, len(ids)), ids)
+        best.add(asking, sums.reshape(len(asking), len(ids)), ids)
     else:
         touched, place = np.unique(cell, return_inverse=True)
         sums = np.bincount(place, weights=value, minlength=len(touched))
-        best.offer(touched // len(ids), np.round(sums, SCORE_PLACES), ids[touched % len(ids)])
+        best.offer(asking[touched // len(ids)], np.round(sums, SCORE_PLACES), ids[touched % len(ids)])

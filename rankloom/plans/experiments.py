@@ -15,7 +15,7 @@ from ..sources.benchmark_files import Dataset, read_dataset
 from ..sources.results import append_results_json, write_results_csv
 from ..sources.vector_tables import EmbeddingCache
 from .report import summary_table
-from .retrievers import METHODS, Method, registry
+from .retrievers import METHODS, Method, Registry, registry
 from .staging import new_path, staged
 
 # Documents kept for a query, and trials of a method whose build
@@ -120,8 +120,9 @@ def run_all(datasets: Sequence[Dataset], methods: Sequence[str] = tuple(METHODS)
             trials: Callable[[str], int] = trials_of) -> tuple[DataFrame, list[dict]]:
     """Every run of the grid in one table keyed by (dataset, method, trial)."""
     spark = datasets[0].corpus.sparkSession
-    factories = factories or registry(EmbeddingCache(new_path(spark, "embeddings")))
+    factories = registry(EmbeddingCache(new_path(spark, "embeddings"))) if factories is None else factories
     check_methods(methods, tuple(factories))
+    factories = factories.scoped() if isinstance(factories, Registry) else factories
     root, timings, parts = new_path(spark, "runs"), [], []
     for dataset in datasets:
         for name in methods:

@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from ..functions.encoders import HashedTermEncoder, LogCountEncoder
 from ..functions.text import Analyzer, contents, words
-from ..operators import dense, ivf, lexical
+from ..operators import ivf, lexical
 from ..operators.encode import encode_dense, encode_sparse
 from ..operators.impact import ImpactIndex, impact_topk, quantize_impacts
-from ..operators.quantize import Int8Codec, PqCodec
+from ..operators.quantize import Int8Codec, PqCodec, coded_search
 from ..sources.vector_tables import EmbeddingCache
 from .staging import spread, staged
 
@@ -59,10 +59,11 @@ class Bm25:
     analyzer: Analyzer = words
     shards: int | None = None
     path: str | None = None
+    stemmer: Callable[[str], str] | None = None
 
     def fit(self, corpus: DataFrame, dataset: str = "corpus") -> Fitted:
         start = time.perf_counter()
-        index = lexical.LexicalIndex.build(indexed_text(corpus), self.path, self.analyzer, self.shards)
+        index = lexical.LexicalIndex.build(indexed_text(corpus), self.path, self.analyzer, self.shards, self.stemmer)
         return Fitted(
             lambda queries, k: lexical.bm25_topk(index, queries, k, k1=self.k1, b=self.b, analyzer=self.analyzer),
             time.perf_counter() - start)
@@ -111,15 +112,21 @@ class _Dense:
     compression: str | None = None
     cache: EmbeddingCache | None = None
     shards: int | None = None
-    # Tables of vectors already stored, shared by the methods of one registry.
-    tables: dict = field(default_factory=dict, repr=False, compare=False)
+    # Tables of vectors already stored, shared by the methods of one experiment; None for none.
+    tables: dict | None = field(default=None, repr=False, compare=False)
 
     def _once(self, kind: str, name: str, table: DataFrame, make: Callable[[], DataFrame]) -> DataFrame:
-        """A stored table, made once for equal inputs by all methods that share ``tables``."""
-        key = (kind, name, self.encoder.encoder_id, table.semanticHash())
+        """A stored table, made once for one DataFrame object by all methods that share ``tables``.
+
+        Not for equal plans: files may have changed between two reads of a path.
+        """
+        if self.tables is None:
+            return staged(make(), kind)
+        key = (kind, name, self.encoder.encoder_id, id(table))
         if key not in self.tables:
-            self.tables[key] = staged(make(), kind)
-        return self.tables[key]
+            # The object is held as well, so that no other one gets its id.
+            self.tables[key] = table, staged(make(), kind)
+        return self.tables[key][1]
 
     def _encoded(self, corpus: DataFrame, dataset: str) -> DataFrame:
         """Vectors as a stored table in enough parts for every core."""
@@ -148,11 +155,8 @@ class Flat(_Dense):
         vectors = self._encoded(corpus, dataset)
         encoded = time.perf_counter()
         codec = self._codec(vectors)
-        if codec is None:
-            rows, payload, decode = vectors, "vector", dense.plain
-        else:
-            rows, payload, decode = staged(codec.encode(vectors), "codes"), "codes", codec.decode
-        return Fitted(lambda queries, k: dense.search(self._queries(queries), rows, k, payload, decode),
+        rows = vectors if codec is None else staged(codec.encode(vectors), "codes")
+        return Fitted(lambda queries, k: coded_search(self._queries(queries), rows, k, codec),
                       time.perf_counter() - encoded, encoded - start)
 
 
@@ -174,26 +178,44 @@ class Cells(_Dense):
                       time.perf_counter() - encoded, encoded - start)
 
 
+class Registry(dict):
+    """Factories of methods by name, as users of the experiments know them.
+
+    A factory makes a fresh object for every trial. Those of ``scoped()`` belong
+    to one experiment and encode each of its tables once between them; nothing
+    outlives it.
+    """
+
+    def __init__(self, make: Callable[[dict | None], dict[str, Callable[[int], Method]]]):
+        super().__init__(make(None))
+        self._make = make
+
+    def scoped(self) -> dict[str, Callable[[int], Method]]:
+        return self._make({})
+
+
 def registry(cache: EmbeddingCache | None = None, compression: str = "int8", encoder: Callable | None = None,
              impact_encoder: Callable | None = None, impacts_path: str | Mapping[str, str] | Callable[[str], str] | None = None, nlist: int = ivf.NLIST,
-             nprobe: int = ivf.NPROBE, rounds: int = ivf.ROUNDS) -> dict[str, Callable[[int], Method]]:
-    """Method names as users of the experiments know them.
+             nprobe: int = ivf.NPROBE, rounds: int = ivf.ROUNDS) -> Registry:
+    """All methods. With a ``cache`` texts are encoded once for all time.
 
-    A factory makes a fresh object for every trial; all of them encode a corpus
-    and its queries once between them, and with a ``cache`` once for all time. ``compression`` ("int8" or "pq")
-    is that of the quantised methods; ``nprobe`` is the search effort and
-    ``nlist`` and ``rounds`` the build effort of the approximate ones.
+    ``compression`` ("int8" or "pq") is that of the quantised methods;
+    ``nprobe`` is the search effort and ``nlist`` and ``rounds`` the build
+    effort of the approximate ones.
     """
-    vectors = {"encoder": encoder or HashedTermEncoder(), "cache": cache, "tables": {}}
-    cells = {**vectors, "nlist": nlist, "nprobe": nprobe, "rounds": rounds}
-    return {
-        "bm25": lambda trial: Bm25(),
-        "splade": lambda trial: LearnedImpact(impact_encoder or LogCountEncoder(), impacts_path=impacts_path),
-        "flat": lambda trial: Flat(**vectors),
-        "flat_quantized": lambda trial: Flat(**vectors, compression=compression),
-        "hnsw": lambda trial: Cells(**cells, trial=trial),
-        "hnsw_quantized": lambda trial: Cells(**cells, trial=trial, compression=compression),
-    }
+    def make(tables: dict | None) -> dict[str, Callable[[int], Method]]:
+        vectors = {"encoder": encoder or HashedTermEncoder(), "cache": cache, "tables": tables}
+        cells = {**vectors, "nlist": nlist, "nprobe": nprobe, "rounds": rounds}
+        return {
+            "bm25": lambda trial: Bm25(),
+            "splade": lambda trial: LearnedImpact(impact_encoder or LogCountEncoder(), impacts_path=impacts_path),
+            "flat": lambda trial: Flat(**vectors),
+            "flat_quantized": lambda trial: Flat(**vectors, compression=compression),
+            "hnsw": lambda trial: Cells(**cells, trial=trial),
+            "hnsw_quantized": lambda trial: Cells(**cells, trial=trial, compression=compression),
+        }
+
+    return Registry(make)
 
 
 METHODS = registry()

@@ -17,6 +17,9 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Stored bytes that are worth a shard of their own.
 SHARD_BYTES = 32 * 1024 * 1024
+# Bytes of a file that Spark reads in one partition, by default, and estimates from which on nothing is known.
+SPLIT_BYTES = 128 * 1024 * 1024
+UNKNOWN_BYTES = 1 << 60
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -38,45 +41,32 @@ def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str, shards: int | None = None) -> DataFrame:
-    """``df`` itself, or dealt out by ``key`` if it has fewer partitions than there are cores."""
-    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
+    """``df`` itself, or dealt out by ``key`` if it is too small to have a partition for every core.
+
+    Decided by the size that the plan's leaves state, without running anything.
+    """
+    spark = df.sparkSession
+    size = estimated_bytes(df)
+    if not shards and size is not None and size >= spark.sparkContext.defaultParallelism * SPLIT_BYTES:
         return df
     return df.repartition(shard_count(df, shards), key)
 
 
 def shard_count(df: DataFrame, shards: int | None = None) -> int:
-    """The session's shuffle partitions, fewer for inputs Spark estimates to be small."""
+    """One shard for each ``SHARD_BYTES`` that Spark estimates, at least one for every core; the session's shuffle partitions if it can't tell."""
     if shards:
         return shards
     spark = df.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(partitions, max(spark.sparkContext.defaultParallelism, -(-estimate // SHARD_BYTES)))
-
+    size = estimated_bytes(df)
+    if size is None:
+        return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
 
-def bucketed(df: DataFrame, key: str, name: str, path: str | None = None,
-             shards: int | None = None) -> DataFrame:
-    """Write ``df`` bucketed by ``key``, one file per bucket, and read it back.
 
-    Later groupings that contain ``key`` then need no exchange of this table.
-    """
-    spark = df.sparkSession
-    path = path or new_path(spark, name)
-    shards = shard_count(df, shards)
-    table = f"rankloom_{uuid.uuid4().hex}"
-    (df.repartition(shards, key).write.mode("overwrite").format("parquet")
-       .bucketBy(shards, key).option("path", path).saveAsTable(table))
-    return spark.table(table)
-
-
-def open_bucketed(spark: SparkSession, path: str, schema: str, key: str, shards: int) -> DataFrame:
-    """Reopen a table written by ``bucketed`` in another session, buckets included."""
-    table = f"rankloom_{uuid.uuid4().hex}"
-    spark.sql(
-        f"CREATE TABLE {table} ({schema}) USING parquet "
-        f"CLUSTERED BY ({key}) INTO {shards} BUCKETS LOCATION '{path}'"
-    )
-    return spark.table(table)
+def estimated_bytes(df: DataFrame) -> int | None:
+    """The size of ``df`` by Spark's statistics of its plan; None where they hold its stand-in for an unknown size."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < UNKNOWN_BYTES else None
 
 
 def write_meta(spark: SparkSession, path: str, **values) -> None:

@@ -4,14 +4,15 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rankloom.catalog import fixtures as fx
 from rankloom.functions.text import contents, without, words
-from rankloom.operators import lexical
-from rankloom.operators.impact import ImpactIndex, impact_scores, impact_topk, quantize_impacts
-from rankloom.operators.ranking import top_k
+from rankloom.operators import lexical, ranking
+from rankloom.operators.impact import ImpactIndex, impact_candidates, impact_scores, impact_topk, quantize_impacts
+from rankloom.operators.ranking import best_in_tasks, ranked, top_k
 from rankloom.plans.staging import measured_bytes
 
 from .conftest import rows
@@ -106,23 +107,88 @@ def test_top_k_is_a_prefix_and_two_step_merge_agrees(index, tables):
     assert ten == rows(top_k(scores, 10, parts=3))
 
 
-def test_stored_index_reopens_with_its_buckets(spark, tables, tmp_path):
+def test_stored_index_reopens(spark, tables, tmp_path):
     path = str(tmp_path / "index")
     built = lexical.LexicalIndex.build(tables[0], path)
     opened = lexical.LexicalIndex.open(spark, path)
     assert (opened.n, opened.avgdl, opened.total) == (built.n, built.avgdl, built.total)
-    run = lexical.bm25_topk(opened, tables[1], 10)
-    assert rows(run) == rows(lexical.bm25_topk(built, tables[1], 10))
-    plan = run._jdf.queryExecution().executedPlan().toString()
-    assert "Bucketed: true" in plan
+    assert rows(lexical.bm25_topk(opened, tables[1], 10)) == rows(lexical.bm25_topk(built, tables[1], 10))
+
+
+def test_another_analyser_is_refused(spark, tables, tmp_path):
+    path = str(tmp_path / "index")
+    stopped = without(words, ["the", "of"])
+    lexical.LexicalIndex.build(tables[0].limit(20), path, stopped)
+    opened = lexical.LexicalIndex.open(spark, path, without(words, ["of", "the"]))
+    for ask in (lambda: lexical.LexicalIndex.open(spark, path), lambda: lexical.bm25_topk(opened, tables[1], 3)):
+        with pytest.raises(ValueError, match="analysed by"):
+            ask()
 
 
 def test_search_moves_only_top_rows(index, tables):
-    """Scoring needs no exchange of the postings; one exchange by query follows."""
+    """Scoring is a scan without joins or exchanges; one exchange of lists of top rows by query follows."""
     plan = lexical.bm25_topk(index, tables[1], 10)._jdf.queryExecution().executedPlan().toString()
-    scan_side = plan[:plan.index("BroadcastExchange")]
-    assert scan_side.count("Exchange hashpartitioning(qid") == 1
-    assert "WindowGroupLimit" in scan_side and "SortMergeJoin" not in plan and "Cartesian" not in plan
+    assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(qid" in plan
+    assert "Join" not in plan and "Window" not in plan and "Aggregate" not in plan
+
+
+def test_postings_equal_plain_ones(index, tables):
+    assert rows(index.postings) == rows(lexical.postings(tables[0]).select(index.postings.columns))
+    assert rows(index.doc_freq) == rows(lexical.doc_freq(lexical.postings(tables[0])))
+
+
+def test_blocks_below_the_best_are_passed_over(spark):
+    """A few documents hold a rare word often; blocks of the others cannot reach them."""
+    texts = [(i, "rare rare rare common" if i < 20 else f"common word{i % 50} and other{i % 7} words of a longer text") for i in range(6000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "rare common"), (2, "common longer")], "qid long, text string")
+    index = lexical.LexicalIndex.build(docs, shards=2)
+    looked_at, skipped = (spark.sparkContext.accumulator(0) for _ in range(2))
+    found = lexical.bm25_topk(index, asked, 5, looked_at=looked_at, skipped=skipped)
+    got = rows(found)
+    assert looked_at.value + skipped.value >= 2 * 11 and skipped.value > 0
+    assert got == rows(top_k(lexical.bm25_scores(index, asked), 5))
+    # Impacts of either sign have bounds as well.
+    weights = spark.createDataFrame([(i, t, (9 if i < 20 else 1) * s) for i in range(6000) for t, s in (("a", 1), ("b", -1))], "doc_id long, term string, weight int")
+    asked = spark.createDataFrame([(1, "a", 2), (2, "b", -2), (3, "b", 2)], "qid long, term string, weight int")
+    stored = ImpactIndex.build(weights, shards=2)
+    looked_at, skipped = (spark.sparkContext.accumulator(0) for _ in range(2))
+    got = rows(impact_topk(stored, asked, 5, looked_at=looked_at, skipped=skipped))
+    assert got == rows(top_k(impact_scores(stored, asked), 5)) and skipped.value > 0
+    assert [(q, s) for q, _, s, r in got if r == 5] == [(1, 18), (2, 18), (3, -2)]
+
+
+def test_top_k_beyond_the_limit_of_the_window(spark, tables, index, monkeypatch):
+    scores = lexical.bm25_scores(index, tables[1])
+    plan = top_k(scores, 5000)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan.split("Window", 1)[1] and "WindowGroupLimit" not in plan
+    assert rows(top_k(scores, 5000)) == rows(ranked(scores).where("rank <= 5000"))
+    monkeypatch.setattr(ranking, "HELD_ROWS", 100)
+    assert rows(top_k(best_in_tasks(scores, 7), 7)) == rows(top_k(scores, 7))
+    assert rows(lexical.bm25_topk(index, tables[1], 5000)) == rows(ranked(scores))
+    # With null keys and several of them.
+    odd = spark.createDataFrame([(None, "x", 1, 0.5), (None, "x", 2, 0.7), (1, None, 3, 0.1), (1, None, 4, 0.1), (1, "x", 5, 0.0)],
+                                "a int, b string, doc_id int, score double")
+    assert rows(best_in_tasks(odd.coalesce(1), 1, ("a", "b")), "doc_id") == [(2,), (3,), (5,)]
+
+
+def test_lists_of_top_rows_are_merged(spark):
+    """Many parts of a query, cut as they stream past, in one step and in two."""
+    rng = np.random.default_rng(1)
+    flat = [(q, int(d), float(s)) for q in range(7) for d, s in zip(rng.permutation(900), rng.integers(0, 40, 900))]
+    parts = [(q, [d for _, d, _ in some], [s for *_, s in some]) for q in range(7) for part in range(9)
+             for some in [[f for f in flat if f[0] == q and f[1] % 9 == part]]]
+    packed = spark.createDataFrame(parts, "qid long, doc_id array<long>, score array<double>").repartition(6)
+    want = rows(top_k(spark.createDataFrame(flat, "qid long, doc_id long, score double"), 30))
+    assert rows(ranking.merged(packed, 30)) == rows(ranking.merged(packed, 30, parts=3)) == want
+
+
+def test_candidates_are_scored_alone(index, tables):
+    impacts = ImpactIndex.build(quantize_impacts(index.postings.select("doc_id", "term", F.log1p("tf").alias("weight"))))
+    asked = quantize_impacts(lexical.query_terms(tables[1]).select("qid", "term", F.log1p("qtf").alias("weight")))
+    pairs = tables[1].select("qid").crossJoin(tables[0].where("doc_id < 5").select("doc_id"))
+    every = impact_scores(impacts, asked).where("doc_id < 5")
+    assert rows(impact_candidates(impacts, asked, pairs)) == rows(every)
 
 
 def test_impacts_are_an_integer_dot_product(spark, tables, index):
