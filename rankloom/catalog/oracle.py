@@ -292,6 +292,7 @@ def statements() -> dict[str, str]:
     s = Script(); s.qrels()
     sql["queries_source"] = s.select("SELECT qid::VARCHAR AS qid, text FROM q_text WHERE qid IN (SELECT qid FROM qrels)")
     sql["qrels_source"] = s.select("SELECT qid::VARCHAR AS qid, doc_id::VARCHAR AS doc_id, rel FROM qrels")
+    sql |= {f"{table}_format": sql[f"{table}_source"] for table in ("corpus", "queries", "qrels")}
     s = Script(); s.contents()
     sql["contents_sink"] = sql["contents"] = s.select("SELECT doc_id, contents FROM contents_rows")
     s = Script(); v = s.embedding_vectors()

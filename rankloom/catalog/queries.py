@@ -21,7 +21,7 @@ from ..operators.two_level import TwoLevelCells
 from ..plans import experiments, report
 from ..plans.retrievers import METHODS, registry
 from ..plans.staging import measured_bytes, new_path, spread, staged
-from ..sources import benchmark_files, results as result_files
+from ..sources import benchmark_files, benchmark_format, results as result_files
 from ..sources.vector_tables import EmbeddingCache, read_vectors, write_vectors
 from . import fixtures as fx
 
@@ -81,6 +81,27 @@ def qrels_source(spark, sf):
     return benchmark_files.read_dataset(spark, _folder(spark, sf)).qrels
 
 
+def _by_format(spark, sf, table):
+    benchmark_format.register(spark)
+    return spark.read.format(benchmark_format.FORMAT).option("table", table).load(_folder(spark, sf))
+
+
+@registered
+def corpus_format(spark, sf):
+    return _by_format(spark, sf, "corpus")
+
+
+@registered
+def queries_format(spark, sf):
+    """The judged queries, both sides by the data source."""
+    return benchmark_files.judged_queries(_by_format(spark, sf, "queries"), _by_format(spark, sf, "qrels"))
+
+
+@registered
+def qrels_format(spark, sf):
+    return _by_format(spark, sf, "qrels")
+
+
 @registered
 def contents_sink(spark, sf):
     path = new_path(spark, "contents")
@@ -100,8 +121,8 @@ def embedding_cache(spark, sf):
     """Filled by the first call, read by the second."""
     cache = EmbeddingCache(new_path(spark, "cache"))
     texts, encoder = spread(fx.plain_corpus(spark, sf), "doc_id"), HashedTermEncoder()
-    cache.vectors(texts, "documents", encoder, encoder.encoder_id)
-    return _elements(cache.vectors(texts, "documents", encoder, encoder.encoder_id), "doc_id")
+    cache.vectors(texts, encoder, encoder.encoder_id)
+    return _elements(cache.vectors(texts, encoder, encoder.encoder_id), "doc_id")
 
 
 # ---- text and terms ------------------------------------------------------
@@ -534,7 +555,7 @@ def unknown_methods(spark, sf):
 @registered
 def run_record(spark, sf):
     """One experiment from build to record; the seconds are left out."""
-    dataset = fx.datasets(spark, sf)["plain"]
+    dataset = fx.datasets(spark, sf)["plain"].stored()
     record = experiments.run_single(METHODS["bm25"](0), dataset, "bm25", k=TERM_K)
     return record.drop("encode_time_s", "index_time_s", "qps")
 

@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 from ..operators.metrics import CUTOFFS, evaluate
 from ..operators.runs import union_runs
 from ..sources.benchmark_files import Dataset, read_dataset
-from ..sources.results import append_results_json, write_results_csv
+from ..sources.results import RUN_STAMP, append_results_json, write_results_csv
 from ..sources.vector_tables import EmbeddingCache
 from .report import summary_table
 from .retrievers import METHODS, Method, Registry, registry
-from .staging import new_path, staged
+from .staging import new_path, staged, write_meta
 
 # Documents kept for a query, and trials of a method whose build
 # depends on its seeds.
@@ -90,7 +92,7 @@ def records(spark: SparkSession, runs: DataFrame, datasets: Sequence[Dataset], t
     """
     qrels = union_runs(*[d.qrels.select(F.lit(d.name).alias("dataset"), "qid", "doc_id", "rel") for d in datasets])
     quality = wide_metrics(evaluate(runs, qrels, ks, CELL), CELL, ks)
-    sizes = {d.name: (d.corpus.count(), d.queries.count()) for d in datasets}
+    sizes = {d.name: d.counted() for d in datasets}
     rows = []
     for t in timings:
         docs, queries = sizes[t["dataset"]]
@@ -115,42 +117,74 @@ def run_single(method: Method, dataset: Dataset, name: str, trial: int = 0, k: i
     return records(spark, runs, [dataset], [{"dataset": dataset.name, "method": name, "trial": trial, **seconds}], ks)
 
 
+TIMINGS = ("encode_time_s", "index_time_s", "search_time_s")
+
+
+def finished(spark: SparkSession, root: str) -> dict[tuple, dict]:
+    """The cells of a grid that are done, with their seconds: a cell notes itself down once its run is written."""
+    schema = "dataset string, method string, trial int, " + ", ".join(f"{t} double" for t in TIMINGS)
+    try:
+        rows = spark.read.schema(schema).json(f"{root}/finished/*").collect()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    return {tuple(r[c] for c in CELL): r.asDict() for r in rows}
+
+
 def run_all(datasets: Sequence[Dataset], methods: Sequence[str] = tuple(METHODS),
             factories: dict[str, Callable[[int], Method]] | None = None, k: int = TOP_K,
-            trials: Callable[[str], int] = trials_of) -> tuple[DataFrame, list[dict]]:
-    """Every run of the grid in one table keyed by (dataset, method, trial)."""
+            trials: Callable[[str], int] = trials_of, root: str | None = None) -> tuple[DataFrame, list[dict]]:
+    """Every run of the grid in one table keyed by (dataset, method, trial).
+
+    With a ``root`` of its own a grid that was interrupted goes on where it
+    stopped: finished cells are not run again, the unfinished one is written anew.
+    """
     spark = datasets[0].corpus.sparkSession
     factories = registry(EmbeddingCache(new_path(spark, "embeddings"))) if factories is None else factories
     check_methods(methods, tuple(factories))
     factories = factories.scoped() if isinstance(factories, Registry) else factories
-    root, timings, parts = new_path(spark, "runs"), [], []
+    done = finished(spark, root) if root else {}
+    root, timings = root or new_path(spark, "runs"), []
     for dataset in datasets:
         for name in methods:
             for trial in range(trials(name)):
-                path = f"{root}/dataset={dataset.name}/method={name}/trial={trial}"
-                run, seconds = search_once(factories[name](trial), dataset, k, path)
-                timings.append({"dataset": dataset.name, "method": name, "trial": trial, **seconds})
-                parts.append(run.schema)
-    schema = T.StructType([*parts[0].fields, *T.StructType.fromDDL("dataset string, method string, trial int").fields])
-    return spark.read.schema(schema).parquet(root).select(*CELL, *parts[0].names), timings
+                cell = (dataset.name, name, trial)
+                if cell not in done:
+                    path = f"{root}/runs/dataset={dataset.name}/method={name}/trial={trial}"
+                    _, seconds = search_once(factories[name](trial), dataset, k, path)
+                    done[cell] = dict(zip(CELL, cell)) | seconds
+                    write_meta(spark, f"{root}/finished/{dataset.name}-{name}-{trial}", **done[cell])
+                timings.append(done[cell])
+    schema = spark.read.parquet(f"{root}/runs/dataset={datasets[0].name}/method={methods[0]}/trial=0").schema
+    schema = T.StructType([*schema.fields, *T.StructType.fromDDL("dataset string, method string, trial int").fields])
+    runs = spark.read.schema(schema).parquet(f"{root}/runs")
+    wanted = spark.createDataFrame([tuple(t[c] for c in CELL) for t in timings], "dataset string, method string, trial int")
+    # A root may hold cells of an earlier, larger grid. One row a cell.
+    return runs.join(F.broadcast(wanted), list(CELL), "left_semi").select(*CELL, *schema.names[:-3]), timings
 
 
 def sweep(datasets: Sequence[Dataset], methods: Sequence[str] = tuple(METHODS),
           factories: dict[str, Callable[[int], Method]] | None = None, k: int = TOP_K,
-          trials: Callable[[str], int] = trials_of, ks: Sequence[int] = CUTOFFS) -> DataFrame:
+          trials: Callable[[str], int] = trials_of, ks: Sequence[int] = CUTOFFS, root: str | None = None) -> DataFrame:
     """Run the grid and return its records."""
-    runs, timings = run_all(datasets, methods, factories, k, trials)
+    runs, timings = run_all(datasets, methods, factories, k, trials, root)
     return records(runs.sparkSession, runs, datasets, timings, ks)
 
 
 def run_and_save(spark: SparkSession, folders: Sequence[str], out: str, methods: Sequence[str] = tuple(METHODS),
-                 factories: dict[str, Callable[[int], Method]] | None = None, k: int = TOP_K) -> DataFrame:
+                 factories: dict[str, Callable[[int], Method]] | None = None, k: int = TOP_K, stamp: str | None = None) -> DataFrame:
     """Read benchmark folders, run the grid, write summary and history, return the summary.
 
-    ``out/summary.csv`` holds the records of this run, ``out/raw`` those of all runs.
+    ``out/summary.csv`` holds the records of this run, ``out/raw`` those of all
+    runs. Runs are kept under ``out/sweeps/<stamp>``: called again with the
+    ``stamp`` of a grid that was interrupted, it goes on with that one, and its
+    records come into the history once.
     """
     check_methods(methods, tuple(factories or METHODS))
-    results = staged(sweep([read_dataset(spark, f).stored() for f in folders], methods, factories, k), "results")
+    stamp = stamp or datetime.now().strftime(RUN_STAMP)
+    datasets = [read_dataset(spark, f).stored() for f in folders]
+    results = staged(sweep(datasets, methods, factories, k, root=f"{out}/sweeps/{stamp}"), "results")
     write_results_csv(results, f"{out}/summary.csv")
-    append_results_json(results, f"{out}/raw")
+    append_results_json(results, f"{out}/raw", stamp)
     return summary_table(results)

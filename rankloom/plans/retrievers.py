@@ -132,7 +132,7 @@ class _Dense:
         """Vectors as a stored table in enough parts for every core."""
         texts = spread(indexed_text(corpus), "doc_id", self.shards)
         if self.cache is not None:
-            return self._once("vectors", dataset, corpus, lambda: self.cache.vectors(texts, dataset, self.encoder, self.encoder.encoder_id))
+            return self._once("vectors", dataset, corpus, lambda: self.cache.vectors(texts, self.encoder, self.encoder.encoder_id))
         return self._once("vectors", dataset, corpus, lambda: encode_dense(texts, self.encoder))
 
     def _queries(self, queries: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import contents
@@ -28,11 +28,22 @@ class Dataset:
     corpus: DataFrame
     queries: DataFrame
     qrels: DataFrame
+    # Documents and queries, where they have been counted.
+    sizes: tuple[int, int] | None = None
 
     def stored(self) -> Dataset:
-        """The same tables written once as parquet, so that JSON is parsed a single time."""
-        return Dataset(self.name, staged(self.corpus, "corpus"), staged(self.queries, "queries"),
-                       staged(self.qrels, "qrels"))
+        """The same tables written once as parquet, so that JSON is parsed a single time.
+
+        Rows are counted while they are written, as observed metrics of these jobs.
+        """
+        counts = [Observation(), Observation()]
+        corpus, queries = (staged(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+                           for df, seen, name in zip((self.corpus, self.queries), counts, ("corpus", "queries")))
+        sizes = tuple(seen.get["n"] for seen in counts)
+        return Dataset(self.name, corpus, queries, staged(self.qrels, "qrels"), sizes)
+
+    def counted(self) -> tuple[int, int]:
+        return self.sizes or (self.corpus.count(), self.queries.count())
 
 
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:

@@ -24,45 +24,35 @@ def read_vectors(spark: SparkSession, path: str, fmt: str = "json", id_type: str
 
 @dataclass(frozen=True)
 class EmbeddingCache:
-    """A parquet table of vectors keyed by dataset, encoder and content hash.
+    """A parquet table of vectors by encoder and content: every distinct text is encoded once, whatever dataset it is in.
 
-    Only documents whose current content is not stored yet are encoded; their
-    vectors are appended. A changed text or another encoder never reads an old
-    vector. One writer per dataset and encoder at a time.
+    A text is known by two 64-bit hashes of it. Only distinct texts that are
+    not stored yet are encoded; their vectors are appended and joined back with
+    all documents that have the text. A changed text or another encoder never
+    reads an old vector. One writer per encoder at a time.
     """
 
     path: str
 
-    def _stored(self, spark: SparkSession, dataset: str, encoder_id: str, id_type: str) -> DataFrame | None:
-        folder = f"{self.path}/dataset={dataset}/encoder_id={encoder_id}"
-        schema = f"doc_id {id_type}, content_hash long, vector array<float>"
+    def _stored(self, spark: SparkSession, encoder_id: str) -> DataFrame | None:
         try:
-            return spark.read.schema(schema).parquet(folder)
+            return spark.read.schema("h1 long, h2 long, vector array<float>").parquet(f"{self.path}/encoder_id={encoder_id}")
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
             return None
 
-    def vectors(self, texts: DataFrame, dataset: str, encoder, encoder_id: str) -> DataFrame:
+    def vectors(self, texts: DataFrame, encoder, encoder_id: str) -> DataFrame:
         """``texts(doc_id, text)`` to ``(doc_id, vector)``, encoding only what is new."""
-        spark = texts.sparkSession
-        id_type = texts.schema["doc_id"].dataType.simpleString()
-        hashed = texts.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content_hash"), "text")
-        keys = ["doc_id", "content_hash"]
-        stored = self._stored(spark, dataset, encoder_id, id_type)
-        if stored is None:
-            new = hashed
-        else:
+        spark, keys = texts.sparkSession, ["h1", "h2"]
+        body = F.coalesce("text", F.lit(""))
+        hashed = texts.select("doc_id", F.xxhash64(body).alias("h1"), F.xxhash64(F.lit("second"), body).alias("h2"), body.alias("text"))
+        stored = self._stored(spark, encoder_id)
+        new = hashed.select(*keys, "text")
+        if stored is not None:
             # Only keys are compared; texts move only if most of them are new.
-            unknown = staged(hashed.select(keys).join(stored.select(keys), keys, "left_anti"), "unknown")
-            new = hashed.join(F.broadcast(unknown) if is_small(unknown) else unknown, keys, "left_semi")
-            if unknown.isEmpty():
-                new = None
+            unknown = staged(hashed.select(keys).distinct().join(stored.select(keys), keys, "left_anti"), "unknown")
+            new = None if unknown.isEmpty() else new.join(F.broadcast(unknown) if is_small(unknown) else unknown, keys, "left_semi")
         if new is not None:
-            folder = f"{self.path}/dataset={dataset}/encoder_id={encoder_id}"
-            encode_dense(new, encoder).write.mode("append").parquet(folder)
-        current = self._stored(spark, dataset, encoder_id, id_type)
-        if stored is None:
-            # All that is stored was written just now.
-            return current.select("doc_id", "vector")
-        return current.join(hashed.select(keys), keys, "left_semi").select("doc_id", "vector")
+            encode_dense(new.dropDuplicates(keys), encoder).write.mode("append").parquet(f"{self.path}/encoder_id={encoder_id}")
+        return hashed.select("doc_id", *keys).join(self._stored(spark, encoder_id), keys).select("doc_id", "vector")

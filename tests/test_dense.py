@@ -1,14 +1,17 @@
 """Vector search against numpy over all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from rankloom.catalog import fixtures as fx
 from rankloom.functions.vectors import inner_product, l2_normalize, unit_interval_score
 from rankloom.operators import dense, ivf
+from rankloom.operators.balls import BallIndex
 from rankloom.operators.encode import encode_dense
-from rankloom.operators.quantize import Int8Codec, PqCodec
+from rankloom.operators.quantize import FlatIndex, Int8Codec, PqCodec
+from rankloom.operators.two_level import TwoLevelCells
 
 from .conftest import rows
 
@@ -115,6 +118,83 @@ def test_compressed_search_is_close(asked, vectors, exact):
     assert recall(rows(index.search(asked, 10, ivf.NLIST, skip_identical=True)), exact) >= 0.9
 
 
+def test_lookups_equal_decoded_products(vectors):
+    codec = PqCodec.fit(vectors)
+    rng = np.random.default_rng(0)
+    queries, codes = rng.normal(size=(7, 64)), pa.array(rng.integers(0, 256, (50, 8)).tolist(), pa.list_(pa.int16()))
+    part, inside = np.array([5, 1, 6]), np.arange(3, 40, 2)
+    got = codec.product(queries)(codes)(part, inside)
+    assert np.allclose(got, queries[part] @ codec.decode(codes)[inside].T)
+    assert codec.query_bytes == 8 * 8 * 256
+
+
+@pytest.mark.parametrize("codec", [None, Int8Codec, PqCodec])
+def test_flat_index_reopens(spark, vectors, asked, codec, tmp_path):
+    made = FlatIndex.build(vectors, codec and codec.fit(vectors), str(tmp_path / "flat"))
+    again = FlatIndex.open(spark, str(tmp_path / "flat"))
+    assert rows(again.search(asked.where("qid < 50"), 5)) == rows(made.search(asked.where("qid < 50"), 5))
+
+
+def test_candidates_by_codes_ranked_by_vectors(vectors, asked, exact):
+    index = FlatIndex.build(vectors, PqCodec.fit(vectors))
+    found = rows(index.search(asked, 10, vectors, 10, skip_identical=True))
+    assert recall(found, exact) >= 0.9
+    # Exact scores, so whatever is found stands in the order of the exact run.
+    assert {(q, d, s) for q, d, s, _ in found if (q, d) in {(q, d) for q, d, *_ in exact}} <= {(q, d, s) for q, d, s, _ in exact}
+    # All rows as candidates: the exact run.
+    assert rows(index.search(asked, 10, vectors, 60, skip_identical=True)) == exact
+    cells = ivf.CellIndex.build(vectors, codec=PqCodec.fit(vectors))
+    assert rows(cells.search(asked, 10, ivf.NLIST, vectors, 60, skip_identical=True)) == exact
+
+
+def clustered(spark, n=4000, dim=16):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, dim)) * 5
+    points = centres[np.arange(n) % 20] + rng.normal(size=(n, dim)) * 0.2
+    return spark.createDataFrame([(k, [float(x) for x in p]) for k, p in enumerate(points)], "doc_id long, vector array<float>").cache()
+
+
+def test_balls_out_of_reach_are_passed_over(spark, vectors, asked, exact, tmp_path):
+    index = BallIndex.build(vectors, ball_rows=32)
+    assert rows(index.search(asked, 10, skip_identical=True)) == exact
+    assert rows(index.search(asked, 10, skip_identical=True, broadcast_bytes=0, query_block=70)) == exact
+    points = clustered(spark)
+    queries = points.where("doc_id % 40 = 7").select(F.col("doc_id").alias("qid"), "vector")
+    index = BallIndex.build(points, str(tmp_path / "balls"), shards=2)
+    looked_at, skipped = (spark.sparkContext.accumulator(0) for _ in range(2))
+    got = rows(BallIndex.open(spark, str(tmp_path / "balls")).search(queries, 10, looked_at=looked_at, skipped=skipped))
+    assert got == rows(dense.search(queries, points, 10))
+    assert looked_at.value + skipped.value == queries.count() * index.balls.count() and skipped.value > 1000
+    odd = spark.createDataFrame([(None, [1.0]), (1, None), (2, [0.5])], "doc_id long, vector array<float>")
+    assert rows(BallIndex.build(odd).search(spark.createDataFrame([(9, [2.0])], "qid long, vector array<float>"), 5)) == [(9, 2, 1.0, 1)]
+
+
+@pytest.mark.parametrize("codec", [None, PqCodec])
+def test_cells_of_two_levels(spark, vectors, asked, exact, codec, tmp_path):
+    path = str(tmp_path / "cells")
+    index = TwoLevelCells.build(vectors, 6, 5, codec=codec and codec.fit(vectors), path=path, rows_a_task=40)
+    assert index.rows.count() == 500 and index.rows.where("cell div 5 <> coarse").count() == 0
+    options = {"skip_identical": True} if codec is None else {"vectors": vectors, "factor": 50, "skip_identical": True}
+    assert rows(index.search(asked, 10, 6, 30, **options)) == exact
+    found = [recall(rows(index.search(asked, 10, c, n, **options)), exact) for c, n in ((2, 3), (4, 12), (5, 20))]
+    assert found == sorted(found) and found[-1] >= 0.85
+    again = TwoLevelCells.open(spark, path)
+    few = asked.where("qid < 60")
+    assert rows(again.search(few, 10, 4, 12, **options)) == rows(index.search(few, 10, 4, 12, **options))
+    plan = again.search(few.where("qid = 3"), 5, 1, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(coarse" in plan or "PartitionFilters: [coarse" in plan
+
+
+def test_fine_centres_lie_in_their_coarse_cell(spark):
+    """Twenty clusters in 5 coarse cells; few probes find all neighbours."""
+    points = clustered(spark)
+    queries = points.where("doc_id % 40 = 7").select(F.col("doc_id").alias("qid"), "vector")
+    index = TwoLevelCells.build(points, 5, 8)
+    near = [(q, d) for q, d, *_ in rows(dense.search(queries, points, 10))]
+    got = [(q, d) for q, d, *_ in rows(index.search(queries, 10, 2, 8))]
+    assert len(set(near) & set(got)) >= 0.95 * len(near)
+
+
 def test_codes_of_a_constant_table(spark):
     v = spark.createDataFrame([(1, [0.5, 0.5])], "doc_id long, vector array<float>")
     codec = Int8Codec.fit(v)

@@ -152,6 +152,79 @@ def test_every_text_is_encoded_once_in_a_sweep(spark, tmp_path, size):
     assert seen == sorted([f"document {k}" for k in range(size)] + [f"query {k}" for k in range(3)])
 
 
+@pytest.mark.parametrize("name", ["flat", "hnsw", "flat_quantized"])
+def test_a_folder_written_anew_is_encoded_anew(spark, tmp_path, name):
+    """The same path and plan with other ids and texts."""
+    path = str(tmp_path / "corpus")
+    asked = spark.createDataFrame([("q", "apple pear")], "qid string, text string")
+    best = []
+    for texts in (["apple pear", "stone brick", "wood"], ["stone brick", "wood", "apple pear"]):
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.mode("overwrite").parquet(path)
+        corpus = spark.read.parquet(path)
+        best.append(METHODS[name](0).fit(corpus).search(asked, 1).first()["doc_id"])
+    assert best == [0, 2]
+
+
+def test_experiments_share_vectors_within_and_not_beyond():
+    scoped = METHODS.scoped()
+    assert scoped["flat"](0).tables is scoped["hnsw"](1).tables is not None
+    assert METHODS.scoped()["flat"](0).tables is not scoped["flat"](0).tables
+    assert METHODS["flat"](0).tables is None
+
+
+class Failing:
+    """A method that works or not as the file beside it says, and counts its fits."""
+
+    def __init__(self, folder, trial):
+        self.folder, self.trial = folder, trial
+
+    def fit(self, corpus, dataset="corpus"):
+        if self.trial == 1 and not (self.folder / "mended").exists():
+            raise RuntimeError("driver lost")
+        with open(self.folder / "fits", "a") as file:
+            file.write(f"{dataset} {self.trial}\n")
+        return Bm25().fit(corpus, dataset)
+
+
+def test_an_interrupted_sweep_goes_on(spark, dataset, tmp_path):
+    folder, out = str(tmp_path / "small"), str(tmp_path / "out")
+    bf.write_corpus(dataset.corpus, folder), bf.write_queries(dataset.queries, folder), bf.write_qrels(dataset.qrels, folder)
+    methods = {"hnsw": lambda trial: Failing(tmp_path, trial)}
+
+    def run():
+        return experiments.run_and_save(spark, [folder], out, ["hnsw"], methods, k=10, stamp="20260101_000000")
+
+    with pytest.raises(RuntimeError, match="lost"):
+        run()
+    (tmp_path / "mended").write_text("")
+    summary = run()
+    assert summary.count() == experiments.SEEDED_TRIALS
+    assert (tmp_path / "fits").read_text().split("\n")[:-1] == [f"small {t}" for t in range(experiments.SEEDED_TRIALS)]
+    # Once more: nothing runs, nothing is doubled.
+    run()
+    assert len((tmp_path / "fits").read_text().split()) == 2 * experiments.SEEDED_TRIALS
+    assert spark.read.json(f"{out}/raw").count() == experiments.SEEDED_TRIALS
+
+
+def test_spread_runs_nothing(spark):
+    from rankloom.plans.staging import shard_count, spread
+
+    tracker = spark.sparkContext.statusTracker()
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(1000).repartition(3).mapInArrow(count, "id long").groupBy("id").count()
+    before = len(tracker.getJobIdsForGroup(None))
+    dealt = spread(df, "id")
+    assert len(tracker.getJobIdsForGroup(None)) == before and seen.value == 0
+    assert dealt.count() == 1000 and seen.value == 1000
+    assert shard_count(df, 7) == 7 and shard_count(spark.range(10)) == spark.sparkContext.defaultParallelism
+
+
 def test_reports(spark):
     records = spark.createDataFrame(
         [("a", "hnsw", 0, 0.5), ("a", "hnsw", 1, 0.7), ("a", "bm25", 0, 0.4), ("b", "bm25", 0, 0.25)],

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom.catalog import fixtures as fx
+from rankloom.functions.stems import plural_stem, porter_stem
 from rankloom.functions.text import contents, without, words
 from rankloom.operators import lexical, ranking
 from rankloom.operators.impact import ImpactIndex, impact_candidates, impact_scores, impact_topk, quantize_impacts
@@ -238,6 +239,47 @@ def test_stored_impacts_reopen(spark, index, tables, tmp_path):
     assert rows(ImpactIndex.open(spark, path).impacts, "doc_id", "term", "weight") == rows(weights, "doc_id", "term", "weight")
 
 
+def test_published_stems():
+    # Examples of the published algorithm, word and stem.
+    pairs = """caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing
+        conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file
+        happy happi sky sky relational relat conditional condit rational ration digitizer digit radicalli radic vietnamization vietnam
+        operator oper feudalism feudal decisiveness decis hopefulness hope formaliti formal sensibiliti sensibl triplicate triplic
+        formative form electriciti electr hopeful hope goodness good revival reviv allowance allow airliner airlin adjustable adjust
+        irritant irrit replacement replac dependent depend adoption adopt communism commun activate activ effective effect probate probat
+        rate rate cease ceas controll control roll roll""".split()
+    assert [porter_stem(w) for w in pairs[::2]] == pairs[1::2]
+    assert [porter_stem(w) for w in ("is", "größen", "b2b", "")] == ["is", "größen", "b2b", ""]
+    assert [plural_stem(w) for w in ("cities", "zombaies", "boxes", "shoes", "cats", "bus", "glass", "s", "")] == \
+        ["city", "zombaies", "boxe", "shoe", "cat", "bus", "glass", "s", ""]
+
+
+def test_stemmed_index(spark, tables, tmp_path):
+    """Both ways to join the stems; queries meet documents by stem; the stemmer sees each term once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(term):
+        seen.add(1)
+        return porter_stem(term)
+
+    counted.label = "porter"
+    path = str(tmp_path / "index")
+    small = lexical.LexicalIndex.build(tables[0], path, stemmer=counted)
+    assert seen.value == lexical.tokens(tables[0]).select("term").distinct().count()
+    large = lexical.LexicalIndex.build(tables[0], stemmer=porter_stem, broadcast_bytes=0)
+    assert rows(small.postings) == rows(large.postings) and rows(small.doc_freq) == rows(large.doc_freq)
+    want = lexical.stemmed(lexical.postings(tables[0]), lexical.stem_table(lexical.tokens(tables[0]), porter_stem), "tf")
+    assert rows(small.postings) == rows(want.select(small.postings.columns))
+    opened = lexical.LexicalIndex.open(spark, path, stemmer=porter_stem)
+    assert rows(lexical.bm25_topk(opened, tables[1], 10)) == rows(top_k(lexical.bm25_scores(large, tables[1]), 10))
+    with pytest.raises(ValueError, match="stems by porter"):
+        lexical.LexicalIndex.open(spark, path)
+    docs = spark.createDataFrame([(1, "running runs"), (2, "walks")], "doc_id long, text string")
+    asked = spark.createDataFrame([("q", "Run walked")], "qid string, text string")
+    run = lexical.bm25_topk(lexical.LexicalIndex.build(docs, stemmer=porter_stem), asked, 5)
+    assert [d for _, d in rows(run, "rank", "doc_id")] == [1, 2]
+
+
 def test_analysers_and_contents(spark):
     df = spark.createDataFrame([("T", "The fox, the Größe_x 42!"), (None, None), ("", " ")], "title string, text string")
     got = [r[0] for r in df.select(words(F.col("text"))).collect()]

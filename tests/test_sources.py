@@ -8,6 +8,7 @@ from rankloom.functions.encoders import HashedTermEncoder
 from rankloom.operators.encode import encode_dense
 from rankloom.plans.staging import measured_bytes, new_path, staging_root
 from rankloom.sources import benchmark_files as bf
+from rankloom.sources import benchmark_format
 from rankloom.sources import results as result_files
 from rankloom.sources.vector_tables import EmbeddingCache, read_vectors, write_vectors
 
@@ -38,6 +39,51 @@ def test_single_files_with_missing_titles(spark, tmp_path):
     assert rows(data.qrels) == [("q1", "d1", 2)]
 
 
+@pytest.mark.parametrize("range_bytes", [1, 7, 64, 1 << 20])
+def test_benchmark_format_reads_every_line_once(spark, tmp_path, range_bytes):
+    benchmark_format.register(spark)
+    (tmp_path / "qrels").mkdir()
+    (tmp_path / "corpus.jsonl").mkdir()
+    lines = [f'{{"_id": "d{k}", "title": "Tïtle {k}", "text": "{"wörd " * (k * 7 % 30)}", "metadata": {{"n": {k}}}}}' for k in range(23)]
+    (tmp_path / "corpus.jsonl" / "part-0.json").write_text("\n".join(lines[:20]))
+    (tmp_path / "corpus.jsonl" / "part-1.json").write_text("\n".join(lines[20:]) + "\n")
+    (tmp_path / "corpus.jsonl" / "_SUCCESS").write_text("")
+    (tmp_path / "queries.jsonl").write_text('{"_id": "q1", "text": "alpha"}\n{"_id": "q2"}\n')
+    (tmp_path / "qrels" / "dev.tsv").write_text("query-id\tcorpus-id\tscore\n" + "".join(f"q{k}\td{k}\t{k % 3}\n" for k in range(9)))
+
+    def read(table, **options):
+        return spark.read.format("benchmark_folder").options(table=table, range_bytes=range_bytes, **options)
+
+    corpus = read("corpus").load(str(tmp_path))
+    want = bf.read_corpus(spark, str(tmp_path))
+    assert corpus.schema.simpleString() == want.schema.simpleString()
+    assert rows(corpus) == rows(want) and corpus.count() == 23
+    assert rows(read("queries").load(str(tmp_path)).na.fill("-")) == [("q1", "alpha"), ("q2", "-")]
+    assert rows(read("qrels", split="dev").load(str(tmp_path))) == rows(bf.read_qrels(spark, str(tmp_path), "dev"))
+    # Only the columns asked for.
+    assert rows(read("corpus").schema("doc_id string").load(str(tmp_path))) == sorted((f"d{k}",) for k in range(23))
+    if range_bytes == 64:
+        assert corpus.rdd.getNumPartitions() > 20
+
+
+def test_benchmark_format_says_what_is_wrong(spark, tmp_path):
+    benchmark_format.register(spark)
+    for options, error in (({"table": "vectors"}, "must be one of"), ({"table": "qrels", "split": "none"}, "has no qrels/none.tsv")):
+        with pytest.raises(Exception, match=error):
+            spark.read.format("benchmark_folder").options(**options).load(str(tmp_path)).collect()
+    with pytest.raises(Exception, match="no columns"):
+        spark.read.format("benchmark_folder").schema("body string").load(str(tmp_path)).collect()
+
+
+def test_stored_datasets_are_counted_while_they_are_written(spark, folder):
+    data = fx.datasets(spark, folder)["plain"]
+    stored = data.stored()
+    assert stored.sizes == data.counted() == (data.corpus.count(), data.queries.count())
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    assert stored.counted() == stored.sizes
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == len(before)
+
+
 def test_contents_and_vectors(spark, folder, tmp_path):
     bf.write_contents(fx.corpus(spark, folder), str(tmp_path / "contents"))
     back = bf.read_contents(spark, str(tmp_path / "contents"), "long")
@@ -67,22 +113,30 @@ class CountingEncoder(HashedTermEncoder):
         return counted
 
 
-def test_cache_encodes_only_what_is_new(spark, folder, tmp_path):
+def test_cache_encodes_every_distinct_text_once(spark, folder, tmp_path):
     counter = spark.sparkContext.accumulator(0)
     encoder, cache = CountingEncoder(counter), EmbeddingCache(str(tmp_path / "cache"))
     docs = fx.plain_corpus(spark, folder)
-    n = docs.count()
-    first = rows(cache.vectors(docs, "d", encoder, "a").select("doc_id", F.col("vector").cast("string")))
-    assert counter.value == n == len(first)
-    again = rows(cache.vectors(docs, "d", encoder, "a").select("doc_id", F.col("vector").cast("string")))
-    assert counter.value == n and again == first
+    docs = docs.union(docs.where("doc_id < 20").withColumn("doc_id", F.col("doc_id") + 100_000)).union(
+        spark.createDataFrame([(200_000, None), (200_001, "")], "doc_id long, text string"))
+    n, distinct = docs.count(), docs.select(F.coalesce("text", F.lit(""))).distinct().count()
+    assert distinct < n - 20
+
+    def vectors(df, name="a"):
+        return rows(cache.vectors(df, encoder, name).select("doc_id", F.col("vector").cast("string")))
+
+    first = vectors(docs)
+    assert counter.value == distinct and len(first) == n
+    assert vectors(docs) == first and counter.value == distinct
     changed = docs.withColumn("text", F.when(F.col("doc_id") == 3, F.lit("new text")).otherwise(F.col("text")))
-    new = rows(cache.vectors(changed, "d", encoder, "a").select("doc_id", F.col("vector").cast("string")))
-    assert counter.value == n + 1 and len(new) == n and new != first
-    want = rows(encode_dense(changed, HashedTermEncoder(8)).select("doc_id", F.col("vector").cast("string")))
-    assert new == want
-    cache.vectors(docs, "d", encoder, "b"), cache.vectors(docs, "other", encoder, "a")
-    assert counter.value == 3 * n + 1 + 0
+    new = vectors(changed)
+    assert counter.value == distinct + 1 and len(new) == n and new != first
+    assert new == rows(encode_dense(changed, HashedTermEncoder(8)).select("doc_id", F.col("vector").cast("string")))
+    # Another dataset of the same texts costs nothing, another encoder all of it.
+    assert len(vectors(docs.where("doc_id < 50").withColumn("doc_id", F.concat(F.lit("x"), "doc_id")))) == 50
+    assert counter.value == distinct + 1
+    vectors(docs, "b")
+    assert counter.value == 2 * distinct + 1
 
 
 def test_results_files(spark, tmp_path):
@@ -98,6 +152,9 @@ def test_results_files(spark, tmp_path):
     history = result_files.read_results_json(spark, str(tmp_path / "json"), schema)
     assert history.groupBy("run_ts").count().count() == 2
     assert rows(history.where(F.col("run_ts") == one).drop("run_ts")) == rows(records)
+    # The same run again takes its own place.
+    result_files.append_results_json(records, str(tmp_path / "json"), one)
+    assert result_files.read_results_json(spark, str(tmp_path / "json"), schema).count() == 4
 
 
 def test_staging_folder_is_the_sessions(spark):
