@@ -3,13 +3,11 @@
 import random
 import re
 
-import pytest
-
 import corpus_pipeline
-from rankloom.llm import near_copies, quality
+from rankloom.llm import quality
 from rankloom.llm.queries import MODEL
 from rankloom.llm.pieces import Pieces
-from tests.llm.helpers import DOCS, documents, lower, rows_of, with_clashing_columns, words
+from tests.llm.helpers import DOCS, documents, rows_of, with_clashing_columns, words
 from tests.llm.test_documents import SPACE, slow_components, slow_contamination, slow_dedup, slow_fingerprint
 
 
@@ -71,41 +69,6 @@ def test_run(spark, tmp_path):
     assert [(r.doc_id, pieces.decode(r.pieces)) for r in sorted((r for r in got if r.doc_id is not None), key=lambda r: r.doc_id)] == texts
 
 
-def slow_similar(texts):
-    """For every text the least position that chains of Jaccard 0.8 or more reach."""
-    sets = []
-    for text in texts:
-        w = re.findall(SPACE, lower(text or ""))
-        sets.append({tuple(w[k:k + 5]) for k in range(max(len(w) - 4, 1))} if w else set())
-    root = list(range(len(sets)))
-    for a in range(len(sets)):
-        for b in range(a):
-            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and root[a] != root[b]:
-                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
-    return root
-
-
-@pytest.mark.parametrize("block", [1 << 19, 400])
-def test_near_copies_from_similarity_0_8_on(spark, block):
-    rng = random.Random(3)
-    texts = []
-    for _ in range(12):
-        base = words(rng, 200)
-        texts.append(" ".join(base))
-        # Each replaced word changes five shingles: similarities of about 0.95 down to 0.7.
-        for n in (1, 2, 3, 4, 6, 9):
-            other = list(base)
-            for at in range(0, n * 20, 20):
-                other[at + 7] = f"new{rng.random()}"
-            texts.append(" ".join(other))
-    rng.shuffle(texts)
-    rows = [(k, text, "en", "s", len(text)) for k, text in enumerate(texts)]
-    got = near_copies.first_of_each(spark.createDataFrame(rows, DOCS), block)
-    want = {r for r in slow_similar(texts)}
-    assert 12 < len(want) < 40
-    assert sorted(r.doc_id for r in got.collect()) == sorted(want)
-
-
 def test_decisions_by_row(spark, tmp_path):
     leak, clean, other = (" ".join(f"{name}{k}" for k in range(40)) for name in ("leak", "clean", "other"))
     spark.createDataFrame([(1, leak)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -116,3 +79,21 @@ def test_decisions_by_row(spark, tmp_path):
     once = corpus_pipeline.keep_first(spark, docs, str(tmp_path))
     want = [(None, leak), (None, clean), (5, leak), (5, clean + " more"), (5, other)]
     assert sorted(((r.doc_id, r.text) for r in once.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_near_copies_and_empty_tables(spark, tmp_path):
+    """A copy with a few changed words in a long text is within 3 bits; of each group one row stays. Nothing in, nothing out."""
+    rng = random.Random(11)
+    base = words(rng, 3000, "abcdefghijklmnop")
+    near = list(base)
+    near[1500] = "changed"
+    texts = [" ".join(words(rng, 200)), " ".join(base), " ".join(near), " ".join(base), " ".join(words(rng, 200))]
+    prints = [slow_fingerprint(t) for t in texts]
+    roots = slow_components(list(range(10, 15)), prints)
+    docs = spark.createDataFrame([(10 + k, t, "en", "s", len(t)) for k, t in enumerate(texts)], DOCS)
+    left = corpus_pipeline.keep_first(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in left.collect()) == sorted(set(roots)) and 13 not in set(roots)
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
