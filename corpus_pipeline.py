@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import decontamination, near_copies, pieces, quality, substrings
+from rankloom.llm import decontamination, pieces, quality, simhash, substrings
 from rankloom.llm.common import saved
 from rankloom.llm.queries import MODEL, table
 
@@ -20,12 +20,16 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of each group of near duplicates: five-word shingles, similarity 0.8 or more.
+    """One row of each group that links of op3's contract connect (three words, 3 bits): the one with the smallest id.
 
-    What op3's contract links goes as well. Of rows without an id the first of each group stays beside it. Rows that
-    repeat an id but are no near duplicates stay.
+    Of the rows without an id one of each group stays beside it. Rows that
+    repeat an id are told apart, so those that are no near duplicates stay.
     """
-    return near_copies.first_of_each(docs.select(*COLUMNS))
+    rows = saved(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
+    groups = simhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"))
+    named = groups.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc_id"), "row")
+    first = named.groupBy("component_id", F.isnull("doc_id")).agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    return rows.join(saved(first.select("first.row"), "kept-rows"), "row", "left_semi").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
