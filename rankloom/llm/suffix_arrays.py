@@ -368,10 +368,10 @@ def _repeated(blocks: DataFrame, buckets: int) -> DataFrame:
 
 
 def _occurrences(blocks: DataFrame, told: DataFrame, buckets: int) -> DataFrame:
-    """``(anchor, c1, c2, id, tag, at, block, pos, first, last, more)``: a row for every block and context class around a repeated anchor.
+    """``(anchor, c1, c2, id, tag, at, block, pos, before, after, more)``: a row for every block and context class around a repeated anchor.
 
     ``id``, ``tag``, ``at`` are the first place of the class in the block, ``more`` the positions of its later ones as bytes.
-    ``first`` and ``last`` are the starts of the first and last window in the block.
+    The first window starts ``before`` bytes before the position, and ``after`` ones follow it.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,7 +390,7 @@ def _occurrences(blocks: DataFrame, told: DataFrame, buckets: int) -> DataFrame:
             at, own, tag = places - np.r_[0, ends][doc], ids[doc], tags[doc]
             # Classes together, each by place: those at the first place are rows, the positions of the others go with the first.
             order = np.lexsort((at, tag, own, c2, c1, hashes))
-            columns = [c[order] for c in (hashes.view(np.int64), c1, c2, own, tag, at, places, first, last)]
+            columns = [c[order] for c in (hashes.view(np.int64), c1, c2, own, tag, at, places, (places - first).astype(np.int32), (last - first).astype(np.int32))]
             new = np.zeros(len(order), bool)
             new[:1] = True
             for c in columns[:3]:
@@ -405,11 +405,11 @@ def _occurrences(blocks: DataFrame, told: DataFrame, buckets: int) -> DataFrame:
             more = [m for m, k in zip(more, kept.tolist()) if k]
             block = np.full(int(kept.sum()), row["block"])
             yield pa.RecordBatch.from_arrays([*[pa.array(c[kept]) for c in columns[:6]], pa.array(block), *[pa.array(c[kept]) for c in columns[6:]],
-                                              pa.array(more, pa.binary())], ["anchor", "c1", "c2", "id", "tag", "at", "block", "pos", "first", "last", "more"])
+                                              pa.array(more, pa.binary())], ["anchor", "c1", "c2", "id", "tag", "at", "block", "pos", "before", "after", "more"])
 
     joined = blocks.join(told.hint("shuffle_hash"), "block", "left")
     return saved(joined.mapInArrow(rows, "anchor bigint, c1 bigint, c2 bigint, id bigint, tag bigint, at bigint, block bigint, pos bigint, "
-                                         "first bigint, last bigint, more binary"), "occurrences")
+                                         "before int, after int, more binary"), "occurrences")
 
 
 CONTEXT = "anchor bigint, id bigint, tag bigint, start bigint, before bigint, c1 bigint, c2 bigint, text binary"
@@ -419,7 +419,7 @@ def _contexts(blocks: DataFrame, classes: DataFrame, shard_contexts: int) -> Dat
     """The context of the first place of every class that shares its anchor with another class."""
     sizes = saved(classes.groupBy("anchor").count().where("count > 1"), "shard-sizes")
     asked = (classes.join(sizes, "anchor").select(F.col("first.block").alias("block"), F.struct(
-        F.col("first.pos").alias("pos"), F.col("first.first").alias("first"), F.col("first.last").alias("last"), "anchor", "c1", "c2",
+        F.col("first.pos").alias("pos"), F.col("first.before").alias("before"), F.col("first.after").alias("after"), "anchor", "c1", "c2",
         (F.col("count") > shard_contexts).alias("large")).alias("place"))
         .groupBy("block").agg(F.collect_list("place").alias("places")))
 
@@ -429,9 +429,9 @@ def _contexts(blocks: DataFrame, classes: DataFrame, shard_contexts: int) -> Dat
                 row = next(_one_by_one([batch.slice(k, 1).drop_columns(["places"])]))
                 flat = batch.column("places")[k].values
                 asked = {c: flat.field(c) for c in ("anchor", "c1", "c2", "large")}
-                at, first, last = (flat.field(c).to_numpy() for c in ("pos", "first", "last"))
+                at, before, after = (flat.field(c).to_numpy().astype(np.int64) for c in ("pos", "before", "after"))
                 doc = np.searchsorted(row["ends"], at, "right")
-                begin, last = np.r_[0, row["ends"]][doc], last + WINDOW
+                begin, first, last = np.r_[0, row["ends"]][doc], at - before, at - before + after + WINDOW
                 data = row["text"].tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [asked["anchor"], pa.array(row["ids"][doc]), pa.array(row["tags"][doc]), pa.array(first - begin), pa.array(at - first),
@@ -567,7 +567,7 @@ def dedup_bytes(docs: DataFrame, keep_text: bool = True, shard_contexts: int = S
     buckets = max(partitions(docs), -(-2 * size // ((BEFORE + 2) * hashes)))
     occurrences = _occurrences(blocks, saved(_repeated(blocks, buckets), "repeated-anchors"), buckets)
     classes = saved(occurrences.groupBy("anchor", "c1", "c2").agg(
-        F.min(F.struct("id", "tag", "at", "block", "pos", "first", "last")).alias("first"),
+        F.min(F.struct("id", "tag", "at", "block", "pos", "before", "after")).alias("first"),
         F.sum(1 + F.coalesce(F.octet_length("more"), F.lit(0)) / 8).alias("n")), "classes")
     contexts = _contexts(blocks, classes, shard_contexts)
     masks = saved(_by_shard(contexts.where("NOT large")).union(_by_core(contexts.where("large"), shard_contexts))
@@ -575,8 +575,7 @@ def dedup_bytes(docs: DataFrame, keep_text: bool = True, shard_contexts: int = S
     telling = saved(classes.join(masks, ["c1", "c2"], "left").where("n > 1 OR mask IS NOT NULL")
                     .select("anchor", "c1", "c2", F.col("first").alias("first_place"), F.coalesce("mask", F.lit(0)).alias("mask")), "telling-classes")
     is_first = (F.col("first_place.id") == F.col("id")) & (F.col("first_place.tag") == F.col("tag")) & (F.col("first_place.at") == F.col("at"))
-    before, after = (F.col("pos") - F.col("first")).cast("int"), (F.col("last") - F.col("first")).cast("int")
-    entry = F.struct("pos", before.alias("before"), after.alias("after"), "more", F.when(is_first, F.col("mask")).otherwise(EVERY).cast("bigint").alias("mask"))
+    entry = F.struct("pos", "before", "after", "more", F.when(is_first, F.col("mask")).otherwise(EVERY).cast("bigint").alias("mask"))
     told = (occurrences.join(telling, ["anchor", "c1", "c2"]).where(~is_first | (F.col("mask") != 0) | F.col("more").isNotNull())
             .groupBy("block").agg(F.collect_list(entry).alias("told")))
 
