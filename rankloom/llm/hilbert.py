@@ -6,16 +6,14 @@ from collections.abc import Sequence
 from functools import partial
 from operator import gt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankloom.llm.common import saved, with_rank
+from rankloom.llm.common import partitions, saved, with_rank
 
 BITS = 5
 COLUMNS = ("lang", "source", "n_chars")
-# Leading bytes of a string that place it among others.
-PREFIX = 7
 
 
 def _gray_inverse(code: int) -> int:
@@ -72,30 +70,58 @@ def curve_index(cells: Sequence[Column], bits: int) -> Column:
     return F.aggregate(levels, start, step, lambda state: state["index"])
 
 
+def _is_text(docs: DataFrame, name: str) -> bool:
+    return isinstance(docs.schema[name].dataType, (T.StringType, T.BinaryType))
+
+
 def _number(docs: DataFrame, name: str) -> Column:
-    """A number that orders the values of a column as they are ordered, up to a prefix for strings."""
+    """A number that orders the values of a column as they are ordered."""
     kind, column = docs.schema[name].dataType, F.col(f"`{name}`")
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        head = F.substring(column.cast("binary"), 1, PREFIX)
-        return F.conv(F.rpad(F.hex(head), 2 * PREFIX, "0"), 16, 10).cast("double")
     if isinstance(kind, (T.DateType, T.TimestampType)):
         return F.unix_micros(column.cast("timestamp")).cast("double")
     return column.cast("double")
 
 
+def text_cuts(docs: DataFrame, name: str, steps: int) -> list:
+    """Values of a string column that cut its rows into ``steps`` runs of about equal counts, in order.
+
+    Whole values are counted, so a value that many rows share is counted with
+    all of them and none is cut short. The distinct values are added up along
+    their order, range by range; only the fewer than ``steps`` cuts come here.
+    """
+    value = F.col(f"`{name}`").alias("value")
+    counted = docs.select(value).where("value IS NOT NULL").groupBy("value").count()
+    n = partitions(docs)
+    placed = saved(counted.repartitionByRange(n, "value").withColumn("range", F.spark_partition_id()), "values")
+    # One row for each range.
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy("range").agg(F.sum("count").alias("size"))
+    total = ranges.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    starts = ranges.select("range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("range").orderBy("value")
+    upto = placed.withColumn("upto", F.sum("count").over(inside)).join(F.broadcast(starts), "range").withColumn("upto", F.col("start") + F.col("upto"))
+    # A value whose rows reach over the next multiple of total / steps.
+    cut = F.expr(f"upto * {steps} div {max(total, 1)} > (upto - count) * {steps} div {max(total, 1)} AND upto < {total}")
+    return sorted(r.value for r in upto.where(cut).select("value").collect())
+
+
 def curve_column(docs: DataFrame, columns: Sequence[str] = COLUMNS, bits: int = BITS) -> Column:
     """The curve index of a row of ``docs`` in ``columns`` (2 to 5 of them).
 
     Every column is cut at its own quantiles into 2 ** bits steps; nulls are in
-    the lowest. The quantiles are of the whole table, from one aggregation over
-    these columns alone.
+    the lowest. The quantiles are of the whole table: for numbers and dates from
+    one aggregation over these columns alone, for strings from the counts of
+    their distinct values (``text_cuts``).
     """
     steps = [k / (1 << bits) for k in range(1, 1 << bits)]
-    row = docs.agg(*[F.percentile_approx(_number(docs, c), steps).alias(f"q{k}") for k, c in enumerate(columns)]).first()
+    numbers = [c for c in columns if not _is_text(docs, c)]
+    row = docs.agg(*[F.percentile_approx(_number(docs, c), steps).alias(f"q{k}") for k, c in enumerate(numbers)]).first() if numbers else ()
+    quantiles = dict(zip(numbers, row))
     cells = []
-    for k, name in enumerate(columns):
-        cuts = sorted(set(row[k] or []))
-        value = _number(docs, name)
+    for name in columns:
+        text = _is_text(docs, name)
+        cuts = text_cuts(docs, name, 1 << bits) if text else sorted(set(quantiles[name] or []))
+        value = F.col(f"`{name}`") if text else _number(docs, name)
         below = F.filter(F.array(*map(F.lit, cuts)), partial(gt, value)) if cuts else F.array()
         cells.append(F.when(value.isNull(), 0).otherwise(F.size(below)))
     # Held as one value, so that the steps below do not evaluate the cuts again.

@@ -15,15 +15,18 @@ from rankloom.llm.common import as_bytes, chunks
 # Rated documents learnt from.
 ROWS = 6_000
 WORDS = 1 << 17
-# A word tells nothing if fewer than one in so many of them have it, or fewer than 3.
-RARE = 600
+# Bytes of a longer word that are a feature of their own.
+START = 5
+# A word enters if so many rated documents have it and its score test against some grade is this many
+# deviations off; thousands of words that tell nothing would drown the few that do.
+LEAST, TELLING = 3, 4.0
 # Besides hashed words: shapes of words, and figures on the whole text.
 SHAPES, FIGURES = 64, 3
 SIZE = WORDS + SHAPES + FIGURES
 # Documents are kept if the chance of the best grade is at least this, or a higher cut that costs at most
 # ``LOSS`` of the documents of the best grade in a held-out ``HELD_OUT``-th of the rated ones.
 KEEP = 0.5
-LOSS, HELD_OUT = 0.01, 4
+LOSS, HELD_OUT = 0.01, 6
 
 _SIGNS = bytes(range(0x21, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x7F))
 
@@ -38,7 +41,7 @@ def grades(labels: DataFrame) -> DataFrame:
 
 
 class _Codes(dict):
-    """Word to hashed bucket and shape, in one number; forgets all when it has grown large."""
+    """Word to hashed start (``WORDS`` for none), hashed bucket and shape, in one number; forgets all when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 500_000:
@@ -47,26 +50,30 @@ class _Codes(dict):
         signs = len(word) - len(bare)
         shape = (bool(bare) and bare == bare.upper() != bare.lower()) | (any(48 <= b < 58 for b in bare[:3])) << 1 \
             | min(signs, 3) << 2 | min(len(bare) // 8, 3) << 4
-        code = self[word] = xxhash.xxh32_intdigest(bare.lower()) % WORDS << 8 | int(shape)
+        bare = bare.lower()
+        start = xxhash.xxh32_intdigest(bare[:START], seed=1) % WORDS if len(bare) > START else WORDS
+        code = self[word] = start << 25 | xxhash.xxh32_intdigest(bare) % WORDS << 8 | int(shape)
         return code
 
 
 def features(text: bytes, codes: dict) -> tuple[np.ndarray, np.ndarray] | None:
     """Numbers and values of a text's features; None for a text without words.
 
-    Words enter by being there, so that a single telling one in a long text
-    counts; the figures are the share of words equal to the one before, the
-    share of distinct ones and the length.
+    Words and starts of longer ones enter by being there, so that a single
+    telling one in a long text counts; the figures are the share of words equal
+    to the one before, the share of distinct ones and the length.
     """
     words = text.split()
     n = len(words)
     if not n:
         return None
     both = np.fromiter(map(codes.__getitem__, words), np.int64, n)
-    bucket = np.unique(both >> 8)
+    word = np.unique(both >> 8 & WORDS - 1)
+    start = np.unique(both >> 25)
+    bucket = np.union1d(word, start[start < WORDS])
     shape = np.bincount(both & 255, minlength=SHAPES) / n
     seen = np.flatnonzero(shape)
-    figures = [(both[1:] == both[:-1]).mean() if n > 1 else 0.0, len(bucket) / n, np.log1p(n) / 10]
+    figures = [(both[1:] == both[:-1]).mean() if n > 1 else 0.0, len(word) / n, np.log1p(n) / 10]
     return (np.r_[bucket, WORDS + seen, WORDS + SHAPES + np.arange(FIGURES)],
             np.r_[np.full(len(bucket), 0.5), 2 * shape[seen], figures])
 
@@ -140,15 +147,29 @@ def keep_from(tails: np.ndarray, loss: float = LOSS) -> float:
     return max(KEEP, float(np.sort(tails)[lost])) if lost else KEEP
 
 
-def fit(docs: DataFrame, ratings: DataFrame, most: int = ROWS, least: int | None = None, good: float = 2) -> OrdinalModel | None:
-    """A model from at most ``most`` rated documents, chosen by the hash of the id; None without any.
+def telling(rows: np.ndarray, numbers: np.ndarray, grade: np.ndarray) -> np.ndarray:
+    """For every hashed word the greatest deviation, over the cuts between grades, of how many documents above the cut have it."""
+    have = np.bincount(numbers, minlength=SIZE).astype(float)
+    out = np.zeros(SIZE)
+    for cut in np.unique(grade)[:-1]:
+        above = grade > cut
+        share = above.mean()
+        off = np.bincount(numbers, above[rows], SIZE) - have * share
+        out = np.maximum(out, np.abs(off) / np.sqrt(np.maximum(have * share * (1 - share), 1e-9)))
+    return out
 
-    A hashed word gets a weight if ``least`` of them have it, by default a
-    ``RARE``-th of them. A first fit without a held-out part gives the cut
-    ``keep`` on that part, for documents of grade ``good`` or better.
+
+def fit(docs: DataFrame, ratings: DataFrame, most: int = ROWS, least: int = LEAST, good: float = 2) -> OrdinalModel | None:
+    """A model from at most ``most`` ratings, chosen by the hash of the id; None without any.
+
+    A hashed word gets a weight if ``least`` of the documents have it and it is
+    ``telling``. Where there are enough, the ``HELD_OUT``-th part is left out of
+    the fit and gives the cut ``keep``, for documents of grade ``good`` or better. A document that is
+    rated several times, or an id that several documents share, enters with
+    every pair of document and rating. Ratings without a document are ignored.
 
     Only these few ids are broadcast; executors turn the whole texts into
-    features and the driver gets those. Ratings without a document are ignored.
+    features and the driver gets those.
     """
     at = F.xxhash64(F.lit("rated"), "doc_id")
     chosen = ratings.where("grade IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("grade").cast("double").alias("grade")) \
@@ -179,17 +200,20 @@ def fit(docs: DataFrame, ratings: DataFrame, most: int = ROWS, least: int | None
 
     def learn(which: np.ndarray) -> OrdinalModel:
         mine = which[rows_of]
-        fewest = max(3, -(-int(which.sum()) // RARE)) if least is None else least
-        mine[mine] = (number[mine] >= WORDS) | (np.bincount(number[mine], minlength=SIZE)[number[mine]] >= fewest)
-        return fit_ordinal((np.cumsum(which) - 1)[rows_of[mine]], number[mine], value[mine], grade[which])
+        own = (np.cumsum(which) - 1)[rows_of[mine]]
+        enters = (telling(own, number[mine], grade[which]) >= TELLING) & (np.bincount(number[mine], minlength=SIZE) >= least)
+        enters[WORDS:] = True
+        used = enters[number[mine]]
+        return fit_ordinal(own[used], number[mine][used], value[mine][used], grade[which])
 
     # Rows are in order of grade and features, so every HELD_OUT-th one is a fair share of each grade.
     held = np.arange(len(grade)) % HELD_OUT == HELD_OUT - 1
-    model = learn(np.ones(len(grade), bool))
-    if LOSS * ((grade >= good) & held).sum() >= 1:
-        trial = learn(~held)
-        sums = np.bincount(rows_of, trial.weights[number] * value, len(grade))
-        model.keep = keep_from(trial.tail(trial.above(sums[(grade >= good) & held]), good))
+    if LOSS * ((grade >= good) & held).sum() < 1:
+        return learn(np.ones(len(grade), bool))
+    # The cut holds for the model it was chosen with, so that one is kept and not fitted anew.
+    model = learn(~held)
+    sums = np.bincount(rows_of, model.weights[number] * value, len(grade))
+    model.keep = keep_from(model.tail(model.above(sums[(grade >= good) & held]), good))
     return model
 
 

@@ -11,6 +11,9 @@ from rankloom.llm.components import components
 # Quote marks at the start of a line, with or without spaces between them.
 MARKS = "^(?:[ \\t]*>)+[ \\t]?"
 
+# A line such as "On Monday, X wrote:" right above a quote, in four languages.
+ANNOUNCES = "^(?:On|Am|Le|El) .*(?:wrote|schrieb.*|a écrit|escribió)\\s*:\\s*$"
+
 
 def _lines(text: str = "text") -> Column:
     """Lines of a text as structs: ``level`` (number of quote marks) and ``line`` without them."""
@@ -49,11 +52,44 @@ def normal(text: Column) -> Column:
 
 
 def unquoted(lines: Column) -> Column:
-    """The text without quoted lines, blank lines at both ends removed."""
-    own = F.transform(F.filter(lines, lambda x: x["level"] == 0), lambda x: x["line"])
+    """The text without quoted lines and the lines that announce them, blank lines at both ends removed."""
+    def stays(x, at):
+        announces = x["line"].rlike(ANNOUNCES) & (F.coalesce(F.get(lines, at + 1)["level"], F.lit(0)) > 0)
+        return (x["level"] == 0) & ~announces
+
+    own = F.transform(F.filter(lines, stays), lambda x: x["line"])
     return F.regexp_replace(F.array_join(own, "\n"), "^\\s*\n|\\s+$", "")
 
 
+def _numbered_lines(body: str) -> Column:
+    """Rows ``(i, line)`` of a passage's lines, each by a hash of it as it is compared."""
+    return F.posexplode(F.transform(F.split(body, "\n"), lambda line: F.md5(normal(line)))).alias("i", "line")
+
+
+def _trimmed(runs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """``(conv_id, turn, at, source)``: the first earlier turn with a passage that has a quote's lines one after the other.
+
+    The rarest of a quote's lines in its conversation says where it can lie;
+    each of these few places is then held against all lines, by equal joins of
+    line and place. Work grows with the lines and not with pairs of windows.
+    """
+    key = ["conv_id", "turn", "at", "hash"]
+    mine = saved(quotes.select(*key, "n", _numbered_lines("body")), "quoted-lines")
+    passages = (runs.where("run.level = 0").join(quotes.select("conv_id").distinct(), "conv_id", "left_semi")
+                .select("conv_id", F.col("turn").alias("source"), F.md5("run.body").alias("passage"), F.col("run.body").alias("body")).distinct())
+    lines = saved(passages.select("conv_id", "source", "passage", F.size(F.split("body", "\n")).alias("size"), _numbered_lines("body")), "passage-lines")
+    counts = lines.groupBy("conv_id", "line").count()
+    # A quote with a line that no passage has is not found.
+    rarest = (mine.join(counts, ["conv_id", "line"]).groupBy(*key, "n")
+              .agg(F.count(F.lit(1)).alias("known"), F.min_by(F.struct("i", "line"), F.struct("count", "i")).alias("rare")).where("known = n"))
+    places = (rarest.select(*key, "n", F.col("rare.i").alias("j"), F.col("rare.line").alias("line")).join(lines, ["conv_id", "line"])
+              .where("source < turn AND i >= j AND i - j + n <= size").select(*key, "n", "source", "passage", (F.col("i") - F.col("j")).alias("start")))
+    asked = places.join(mine.drop("n"), key).withColumn("i", F.col("start") + F.col("i"))
+    same = asked.join(lines.select("conv_id", "source", "passage", "i", "line"), ["conv_id", "source", "passage", "i", "line"])
+    whole = same.groupBy(*key, "n", "source", "passage", "start").count().where("count = n")
+    return whole.groupBy(*key).agg(F.min("source").alias("source")).select("conv_id", "turn", "at", "source")
+
+
 def conversations(messages: DataFrame) -> DataFrame:
     """``(conv_id, turn, role, level, reply_to, thread, position, content, message)`` for every row of ``messages(conv_id, turn, role, text)``.
 
@@ -84,16 +120,11 @@ def conversations(messages: DataFrame) -> DataFrame:
     # The first turn with a passage, summed up before the shuffle: one row a passage, however often it is repeated.
     first = own.groupBy("conv_id", F.sha2("body", 256).alias("hash")).agg(F.min("turn").alias("source"))
     quoted = saved(runs.where("run.level > 0").select("conv_id", "turn", F.col("run.level").alias("at"), F.size(F.split("run.body", "\n")).alias("n"),
-                                                      F.sha2(normal(F.col("run.body")), 256).alias("hash")).distinct(), "quotes")
+                                                      F.sha2(normal(F.col("run.body")), 256).alias("hash"), "run.body")
+                   .dropDuplicates(["conv_id", "turn", "at", "n", "hash"]), "quotes")
     whole = saved(quoted.join(first, ["conv_id", "hash"]).where("source < turn"), "whole-quotes")
-    # Runs of some lines of a longer passage: of as many as a quote left over in the conversation has.
     rest = saved(quoted.where("n > 1").join(whole, ["conv_id", "turn", "at", "n", "hash"], "left_anti"), "other-quotes")
-    counts = saved(rest.groupBy("conv_id").agg(F.collect_set("n").alias("counts")), "line-counts")
-    parts = (runs.where("run.level = 0").join(counts, "conv_id").select("conv_id", "turn", F.split("run.body", "\n").alias("lines"), F.explode("counts").alias("n"))
-             .where("n < size(lines)").select("conv_id", "turn", F.explode(F.array_distinct(F.transform(
-                 F.sequence(F.lit(1), F.size("lines") - F.col("n") + 1),
-                 lambda at: F.sha2(normal(F.array_join(F.slice(F.col("lines"), at, F.col("n")), "\n")), 256)))).alias("hash")))
-    trimmed = rest.join(parts.groupBy("conv_id", "hash").agg(F.min("turn").alias("source")), ["conv_id", "hash"]).where("source < turn")
+    trimmed = _trimmed(runs, rest)
     linked = (whole.select("conv_id", "turn", "at", "source").union(trimmed.select("conv_id", "turn", "at", "source"))
               .groupBy("conv_id", "turn").agg(F.min(F.struct("at", (-F.col("source")).alias("neg"))).alias("best"))
               .select("conv_id", "turn", (-F.col("best.neg")).alias("reply_to")))

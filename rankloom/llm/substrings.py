@@ -41,7 +41,8 @@ BEFORE = WINDOW - ANCHOR
 SHARD_CONTEXTS = 256
 # Windows of an anchor that share a core, by the words they have before the anchor.
 BLOCKS = tuple((a, min(a + 3, BEFORE)) for a in range(0, BEFORE + 1, 4))
-NULL_ID = -(1 << 63)
+# Rows without an id get one below this, by a hash of their text; other ids are greater.
+LEAST_ID = -(1 << 62)
 
 
 def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +122,7 @@ def _candidates(docs: DataFrame) -> tuple[DataFrame, str]:
     joined = docs.repartition(n, "id").join(mine, "id", "left")
     path = shared_path(docs.sparkSession, "candidates")
     name = "candidates_" + path.rsplit("-", 1)[1]
-    joined.write.format("parquet").bucketBy(n, "id").option("path", path).saveAsTable(name)
+    joined.write.format("parquet").option("compression", "zstd").bucketBy(n, "id").option("path", path).saveAsTable(name)
     return docs.sparkSession.table(name), name
 
 
@@ -390,15 +391,20 @@ def dedup(docs: DataFrame, keep_text: bool = True, shard_contexts: int = SHARD_C
     smaller doc_id, or earlier in the same document. ``kept`` are the others
     joined by one space. doc_id is a whole number; a null stands before all
     others. Rows with one doc_id count as one document: places with the same
-    id and start are no earlier than each other. A null or empty text has no
+    id and start are no earlier than each other. Of rows without an id those
+    with one text count as one document, and others come in the order of a hash
+    of the text; ids are not below -2 ** 62. A null or empty text has no
     words and keeps the empty text. Where nothing goes ``kept`` is the text as
     it was. Of the other columns those named in ``carry`` come along.
     """
     carried = {f"carry_{k}": c for k, c in enumerate(carry)}
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("id"), "text",
+    # Spread over all ids below LEAST_ID, so that many rows without an id are no group.
+    unnamed = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2) * 1 - F.lit((1 << 63) - 1) - 1
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), unnamed).alias("id"), "text",
                         *[F.col(f"`{c}`").alias(name) for name, c in carried.items()])
     candidates, name = _candidates(keyed)
-    occurrences = _occurrences(candidates)
+    # Texts are split once for the classes and for what is told.
+    occurrences = saved(_occurrences(candidates), "occurrences", compression="zstd")
     classes = saved(occurrences.groupBy("anchor", "c1", "c2").agg(F.min(F.struct("id", "at")).alias("first"),
                                                                             F.sum(1 + F.coalesce(F.octet_length("more"), F.lit(0)) / 4).alias("n")), "classes")
     masks = saved(_class_masks(candidates, classes, shard_contexts), "masks")
@@ -407,7 +413,7 @@ def dedup(docs: DataFrame, keep_text: bool = True, shard_contexts: int = SHARD_C
     is_first = (F.col("first.id") == F.col("id")) & (F.col("first.at") == F.col("at"))
     entry = F.struct("tag", "at", "more", F.when(is_first, F.col("mask")).otherwise(EVERY).cast("int").alias("mask"))
     told = (occurrences.select("c1", "c2", "id", "tag", "at", "more").join(telling, ["c1", "c2"])
-            .groupBy("id").agg(F.collect_list(entry).alias("told")))
+            .groupBy("id").agg(F.collect_set(entry).alias("told")))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -433,6 +439,6 @@ def dedup(docs: DataFrame, keep_text: bool = True, shard_contexts: int = SHARD_C
     done = joined.mapInArrow(rows, f"id bigint, {along}n_words bigint, n_removed bigint, kept_sha256 string, kept string")
     result = saved(done if keep_text else done.drop("kept"), "deduplicated")
     docs.sparkSession.sql(f"DROP TABLE {name}")
-    doc_id = F.when(F.col("id") != NULL_ID, F.col("id")).cast(docs.schema["doc_id"].dataType)
+    doc_id = F.when(F.col("id") >= LEAST_ID, F.col("id")).cast(docs.schema["doc_id"].dataType)
     return result.select(doc_id.alias("doc_id"), *[F.col(c).alias(n) for c, n in carried.items()], "n_words", "n_removed", "kept_sha256",
                          *(["kept"] if keep_text else []))

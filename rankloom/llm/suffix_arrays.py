@@ -312,7 +312,7 @@ def _blocks(docs: DataFrame) -> tuple[DataFrame, str]:
     path = shared_path(docs.sparkSession, "blocks")
     name = "blocks_" + path.rsplit("-", 1)[1]
     (docs.mapInArrow(rows, "block bigint, text binary, ends array<bigint>, ids array<bigint>, tags array<bigint>")
-     .write.format("parquet").bucketBy(partitions(docs), "block").option("path", path).saveAsTable(name))
+     .write.format("parquet").option("compression", "zstd").bucketBy(partitions(docs), "block").option("path", path).saveAsTable(name))
     return docs.sparkSession.table(name), name
 
 
@@ -409,7 +409,7 @@ def _occurrences(blocks: DataFrame, told: DataFrame, buckets: int) -> DataFrame:
 
     joined = blocks.join(told.hint("shuffle_hash"), "block", "left")
     return saved(joined.mapInArrow(rows, "anchor bigint, c1 bigint, c2 bigint, id bigint, tag bigint, at bigint, block bigint, pos bigint, "
-                                         "before int, after int, more binary"), "occurrences")
+                                         "before int, after int, more binary"), "occurrences", compression="zstd")
 
 
 CONTEXT = "anchor bigint, id bigint, tag bigint, start bigint, before bigint, c1 bigint, c2 bigint, text binary"

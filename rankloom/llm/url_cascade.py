@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -21,8 +22,11 @@ RULES = (
 BLOCK_WORDS = ("ads", "adult", "bets", "casino", "cheap", "pills", "poker", "porn", "spam", "xxx")
 HASHES = 4
 BITS_A_KEY = 8
-# Listed keys of one cascade; a longer list is cut by hash into several, used one after the other.
+# Keys of one level; where the list, or what it lets through of the other keys, is longer, the keys are cut by
+# hash into several cascades, used one after the other.
 KEYS_A_CASCADE = 4_000_000
+# Share of the other keys that a level of these sizes lets through, at most.
+LET_THROUGH = 0.05
 BLOCK_BITS = 32768
 
 
@@ -106,13 +110,17 @@ def listed_rows(rows: DataFrame, key: str, listed: Column, keys_a_cascade: int =
 
     ``listed`` is an expression over the column ``key`` of the distinct keys of
     ``rows``, which are the complete universe. The rows are not joined with
-    anything: each row asks the filters, whose bytes are part of the plan and
-    bounded by ``keys_a_cascade``. A longer list is cut by hash into several
-    cascades of that size; the rows of each part are then taken in turn.
+    anything: each row asks the filters, whose bytes are part of the plan. The
+    first level of a cascade holds its listed keys, the second the few per cent
+    of all other keys that the first lets through; both are bounded by
+    ``keys_a_cascade``, as the keys are cut by hash into as many cascades as the
+    longer of them needs. The rows of each part are then taken in turn.
     """
     universe = saved(rows.select(F.col(f"`{key}`").alias("key")).distinct().withColumn("listed", F.coalesce(listed, F.lit(False))),
                      "key-universe")
-    parts = max(1, -(-universe.where("listed").count() // keys_a_cascade))
+    inside, every = universe.agg(F.count_if("listed"), F.count(F.lit(1))).first()
+    longest = max(inside, math.ceil(LET_THROUGH * (every - inside)))
+    parts = max(1, -(-longest // keys_a_cascade))
     out = None
     for part in range(parts):
         def mine(name):

@@ -224,7 +224,7 @@ def test_quality_held_out(spark):
     assert list(np.diff(model.cuts) > 0) == [True]
     got = quality.score(docs, model).join(grades.where("doc_id % 4 = 0"), "doc_id").withColumn("kept", quality.kept()).toPandas()
     kept = got.groupby("grade")["kept"].mean()
-    assert kept[0] < 0.05 and kept[2] > 0.98 and kept[1] < 0.8
+    assert kept[0] < 0.05 and kept[2] > 0.98 and kept[1] < 0.4
     means = got.groupby("grade")["expected_grade"].mean()
     assert means[0] < means[1] < means[2]
 
@@ -262,7 +262,7 @@ def test_quality_awkward_rows(spark):
     assert {r.expected_grade for r in quality.score(docs, one).collect()} == {0.0}
 
 
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n not in ("op6_quotes", "op8_url_cascade", "op9_hnsw")))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n not in ("op6_quotes", "op8_url_cascade", "op9_hnsw", "op11_hard_negatives")))
 def test_empty_tables(spark, tmp_path, name):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
