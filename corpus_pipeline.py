@@ -13,10 +13,15 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose chance of the best grade reaches the cut that costs 1 % of good ones; null and empty ones go."""
+    """Documents whose chance of the best grade reaches the cut that costs 1 % of good ones.
+
+    Texts that are null or have no words go, also where there are no ratings
+    and all others stay.
+    """
     docs = docs.select(*COLUMNS)
     model = quality.fit(docs, quality.grades(table(spark, sf_dir, "labels")))
-    return quality.score(docs, model).where(quality.kept()).select(*COLUMNS)
+    has_words = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    return quality.score(docs.where(has_words), model).where(quality.kept()).select(*COLUMNS)
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +38,12 @@ def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without 20-word passages that occur earlier; ``n_chars`` counts what is left."""
+    """All documents without 20-word passages that occur earlier; ``n_chars`` counts what is left.
+
+    Null and empty texts stay as they are, and so do rows that repeat; a text
+    of which nothing is left stays as an empty one. Of copies of a passage the
+    one at the smallest id stays, rows without an id coming first.
+    """
     left = substrings.dedup(docs, carry=("lang", "source", "n_chars"))
     n_chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("bigint")).otherwise(F.col("n_chars"))
     return left.select("doc_id", F.col("kept").alias("text"), "lang", "source", n_chars.alias("n_chars"))
@@ -48,7 +58,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of every document."""
+    """Token pieces of every document: null for a null text, none for an empty one; repeated rows stay."""
     return pieces.encode_decode(docs, MODEL)
 
 
