@@ -21,7 +21,9 @@ from rankloom.functions.encoders import HashedTermEncoder  # noqa: E402
 from rankloom.operators import dense, ivf, lexical, metrics  # noqa: E402
 from rankloom.operators.encode import encode_dense  # noqa: E402
 from rankloom.operators.impact import ImpactIndex, impact_topk  # noqa: E402
-from rankloom.operators.quantize import Int8Codec, PqCodec  # noqa: E402
+from rankloom.operators.balls import BallIndex  # noqa: E402
+from rankloom.operators.quantize import FlatIndex, Int8Codec, PqCodec, coded_search  # noqa: E402
+from rankloom.operators.two_level import TwoLevelCells  # noqa: E402
 from rankloom.plans.staging import staged  # noqa: E402
 from rankloom.catalog import queries as catalog  # noqa: E402
 
@@ -29,6 +31,9 @@ FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 REPEAT = int(os.environ.get("BENCH_REPEAT", "2"))
 TOP_K = 1000
+# Candidates by codes for each row asked for; coarse and fine cells, and those probed.
+RERANK = 20
+LEVELS, PROBED = (7, 7), (6, 36)
 
 
 def run(df) -> None:
@@ -90,14 +95,25 @@ def main() -> None:
 
     for name, codec in (("int8", Int8Codec), ("pq", PqCodec)):
         fitted, rows = timed(f"{name}_index", lambda: (lambda c: (c, staged(c.encode(vectors), "codes")))(codec.fit(vectors)))
-        frame = timed(f"{name}_search", lambda: dense.search(points, rows, 10, "codes", fitted.decode, skip_identical=True).toPandas())
+        frame = timed(f"{name}_search", lambda: coded_search(points, rows, 10, fitted, skip_identical=True).toPandas())
         extra[f"{name}_recall@10"] = recall(frame)
+    reranked = FlatIndex(rows, fitted)
+    frame = timed("pq_rerank_search", lambda: reranked.search(points, 10, vectors, RERANK, skip_identical=True).toPandas())
+    extra["pq_rerank_recall@10"] = recall(frame)
+    balls = timed("ball_index", lambda: BallIndex.build(vectors))
+    frame = timed("ball_search", lambda: balls.search(points, 10, skip_identical=True).toPandas())
+    extra["ball_recall@10"] = recall(frame)
     cells = timed("ivf_index", lambda: ivf.CellIndex.build(vectors))
     frame = timed("ivf_search", lambda: cells.search(points, 10, skip_identical=True).toPandas())
     extra["ivf_recall@10"] = recall(frame)
     coded = timed("ivf_pq_index", lambda: ivf.CellIndex.build(vectors, codec=PqCodec.fit(vectors)))
-    frame = timed("ivf_pq_search", lambda: coded.search(points, 10, skip_identical=True).toPandas())
+    frame = timed("ivf_pq_search", lambda: coded.search(points, 10, vectors=vectors, factor=RERANK, skip_identical=True).toPandas())
     extra["ivf_pq_recall@10"] = recall(frame)
+    extra["ivf_effort"] = f"{ivf.suggested_probes(len(cells.centres))} of {len(cells.centres)} cells"
+    nested = timed("two_level_index", lambda: TwoLevelCells.build(vectors, *LEVELS))
+    frame = timed("two_level_search", lambda: nested.search(points, 10, *PROBED, skip_identical=True).toPandas())
+    extra["two_level_recall@10"] = recall(frame)
+    extra["two_level_effort"] = f"{PROBED[1]} fine cells in {PROBED[0]} of {LEVELS[0]} x {LEVELS[1]}"
 
     # Queries per second, for comparison with published figures.
     for name, n in (("bm25", asked.count()), ("impact", asked.count()), ("flat", len(wanted) // 10), ("ivf", len(wanted) // 10)):

@@ -12,7 +12,7 @@ from ..operators.metrics import CUTOFFS, PLACES
 from ..operators.quantize import INT8_LEVELS, PQ_BITS, PQ_BLOCKS, PQ_ROUNDS
 from ..plans.experiments import METRICS, SEEDED_TRIALS
 from ..plans.retrievers import METHODS
-from .queries import NEAR, RERANK_FACTOR, TERM_K, VECTOR_K
+from .queries import CELLS, NEAR, PROBES, RERANK_FACTOR, TERM_K, VECTOR_K
 
 DIMS = 64
 
@@ -156,7 +156,7 @@ class Script:
         """Lloyd rounds from the trial's seeds; the centres are ``<p>_c<rounds>``."""
         p = f"{v}_ivf{trial}"
         self.add(f"{p}_c0", f"""SELECT (row_number() OVER (ORDER BY md5(doc_id || '-{trial}')) - 1)::INT AS cell, vector AS c
-            FROM (SELECT doc_id, vector FROM {v} ORDER BY md5(doc_id || '-{trial}') LIMIT {ivf.NLIST})""")
+            FROM (SELECT doc_id, vector FROM {v} ORDER BY md5(doc_id || '-{trial}') LIMIT {CELLS})""")
         for i in range(ivf.ROUNDS + 1):
             self.add(f"{p}_a{i}", f"""SELECT doc_id, vector, best.cell AS cell FROM (
                 SELECT d.doc_id, any_value(d.vector) AS vector, min({{'d': {self._distance('d.vector', 'c.c')}, 'cell': c.cell}}) AS best
@@ -175,7 +175,7 @@ class Script:
         centres = f"{v}_ivf{trial}_c{ivf.ROUNDS}"
         probes = self.add(f"{v}_ivf{trial}_probes", f"""SELECT qid, cell FROM (SELECT q.qid, c.cell, row_number() OVER (
                 PARTITION BY q.qid ORDER BY {self._distance('q.vector', 'c.c')}, c.cell) AS r
-            FROM {v}_q q CROSS JOIN {centres} c) WHERE r <= {ivf.NPROBE}""")
+            FROM {v}_q q CROSS JOIN {centres} c) WHERE r <= {PROBES}""")
         rows = assigned
         if stored:
             rows = f"(SELECT a.cell, s.doc_id, s.vector FROM {assigned} a JOIN {stored} s USING (doc_id))"

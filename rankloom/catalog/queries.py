@@ -34,7 +34,8 @@ VECTOR_K = 10
 NEAR = 10
 # Candidates by codes for each row asked for.
 RERANK_FACTOR = 10
-# Cells of the two levels.
+# Cells and those probed, in one level and in two.
+CELLS, PROBES = 16, 4
 COARSE, FINE = 6, 5
 IMPACT_SCALE = 100.0
 
@@ -376,13 +377,13 @@ def pq_rerank(spark, sf):
 @registered
 def ivf_assign(spark, sf):
     rows = _stored_vectors(spark, sf)
-    return ivf.assign_cells(rows, ivf.train_cells(rows)).select("doc_id", "cell")
+    return ivf.assign_cells(rows, ivf.train_cells(rows, CELLS)).select("doc_id", "cell")
 
 
 def _cell_run(spark, sf, codec=None, trial=0):
     rows = _stored_vectors(spark, sf)
-    index = ivf.CellIndex.build(rows, trial=trial, codec=None if codec is None else codec.fit(rows))
-    return index.search(fx.query_vectors(spark, sf), VECTOR_K, skip_identical=True)
+    index = ivf.CellIndex.build(rows, CELLS, trial=trial, codec=None if codec is None else codec.fit(rows))
+    return index.search(fx.query_vectors(spark, sf), VECTOR_K, PROBES, skip_identical=True)
 
 
 @registered
@@ -562,7 +563,7 @@ def run_record(spark, sf):
 
 def _methods(spark):
     """All methods, the approximate ones with the cells and probes of the other queries."""
-    return registry(EmbeddingCache(new_path(spark, "embeddings")), nlist=ivf.NLIST, nprobe=ivf.NPROBE)
+    return registry(EmbeddingCache(new_path(spark, "embeddings")), nlist=CELLS, nprobe=PROBES)
 
 
 @registered

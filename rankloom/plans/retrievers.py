@@ -162,10 +162,13 @@ class Flat(_Dense):
 
 @dataclass(frozen=True)
 class Cells(_Dense):
-    """Approximate search by cell probing; ``trial`` picks another set of seeds."""
+    """Approximate search by cell probing; ``trial`` picks another set of seeds.
 
-    nlist: int = ivf.NLIST
-    nprobe: int = ivf.NPROBE
+    Build effort and search effort are by the size of the corpus unless given.
+    """
+
+    nlist: int | None = None
+    nprobe: int | None = None
     rounds: int = ivf.ROUNDS
     trial: int = 0
 
@@ -195,8 +198,8 @@ class Registry(dict):
 
 
 def registry(cache: EmbeddingCache | None = None, compression: str = "int8", encoder: Callable | None = None,
-             impact_encoder: Callable | None = None, impacts_path: str | Mapping[str, str] | Callable[[str], str] | None = None, nlist: int = ivf.NLIST,
-             nprobe: int = ivf.NPROBE, rounds: int = ivf.ROUNDS) -> Registry:
+             impact_encoder: Callable | None = None, impacts_path: str | Mapping[str, str] | Callable[[str], str] | None = None, nlist: int | None = None,
+             nprobe: int | None = None, rounds: int = ivf.ROUNDS) -> Registry:
     """All methods. With a ``cache`` texts are encoded once for all time.
 
     ``compression`` ("int8" or "pq") is that of the quantised methods;

@@ -15,6 +15,8 @@ from rankloom.operators.two_level import TwoLevelCells
 
 from .conftest import rows
 
+CELLS = 16
+
 
 @pytest.fixture(scope="module")
 def vectors(spark, folder):
@@ -74,15 +76,22 @@ def test_fewer_vectors_than_k_and_null_vectors(spark):
 
 
 def test_probing_every_cell_is_exact_and_more_probes_find_more(asked, vectors, exact):
-    index = ivf.CellIndex.build(vectors)
+    index = ivf.CellIndex.build(vectors, CELLS)
     found = [recall(rows(index.search(asked, 10, n, skip_identical=True)), exact) for n in (1, 4, 8)]
     assert found == sorted(found) and found[0] > 0.1
-    assert rows(index.search(asked, 10, ivf.NLIST, skip_identical=True)) == exact
+    assert rows(index.search(asked, 10, CELLS, skip_identical=True)) == exact
     one = rows(index.search(asked, 10, 4, skip_identical=True))
     grid = index.search(asked, 10, 4, skip_identical=True, broadcast_bytes=0, query_block=40)
     assert rows(grid) == one
 
 
+def test_effort_by_size_finds_nine_tenths(vectors, asked, exact):
+    index = ivf.CellIndex.build(vectors)
+    assert len(index.centres) == 23
+    assert recall(rows(index.search(asked, 10, skip_identical=True)), exact) >= 0.9
+    assert [ivf.suggested_cells(n) for n in (0, 1, 2, 16, 17)] == [1, 1, 2, 4, 5] and ivf.suggested_probes(1) == 1
+
+
 def test_trials_start_from_other_seeds(vectors):
     first, second = ivf.train_cells(vectors, 8, 1, 0), ivf.train_cells(vectors, 8, 1, 1)
     assert first.shape == second.shape == (8, 64) and not np.allclose(first, second)
@@ -95,13 +104,13 @@ def test_trials_start_from_other_seeds(vectors):
 @pytest.mark.parametrize("codec", [None, Int8Codec, PqCodec])
 def test_stored_cell_index_reopens(spark, vectors, asked, codec, tmp_path):
     path = str(tmp_path / "cells")
-    made = ivf.CellIndex.build(vectors, codec=codec and codec.fit(vectors), path=path)
+    made = ivf.CellIndex.build(vectors, CELLS, codec=codec and codec.fit(vectors), path=path)
     again = ivf.CellIndex.open(spark, path)
     assert rows(again.search(asked.where("qid < 50"), 5)) == rows(made.search(asked.where("qid < 50"), 5))
 
 
 def test_probed_cells_prune_the_stored_partitions(vectors, asked):
-    index = ivf.CellIndex.build(vectors)
+    index = ivf.CellIndex.build(vectors, CELLS)
     run = index.search(asked.where("qid = 3"), 5, 2)
     plan = run._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [cell" in plan
@@ -114,8 +123,8 @@ def test_compressed_search_is_close(asked, vectors, exact):
     pq = PqCodec.fit(vectors)
     run = rows(dense.search(asked, pq.encode(vectors), 10, "codes", pq.decode, skip_identical=True))
     assert recall(run, exact) >= 0.4
-    index = ivf.CellIndex.build(vectors, codec=int8)
-    assert recall(rows(index.search(asked, 10, ivf.NLIST, skip_identical=True)), exact) >= 0.9
+    index = ivf.CellIndex.build(vectors, CELLS, codec=int8)
+    assert recall(rows(index.search(asked, 10, CELLS, skip_identical=True)), exact) >= 0.9
 
 
 def test_lookups_equal_decoded_products(vectors):
@@ -143,8 +152,8 @@ def test_candidates_by_codes_ranked_by_vectors(vectors, asked, exact):
     assert {(q, d, s) for q, d, s, _ in found if (q, d) in {(q, d) for q, d, *_ in exact}} <= {(q, d, s) for q, d, s, _ in exact}
     # All rows as candidates: the exact run.
     assert rows(index.search(asked, 10, vectors, 60, skip_identical=True)) == exact
-    cells = ivf.CellIndex.build(vectors, codec=PqCodec.fit(vectors))
-    assert rows(cells.search(asked, 10, ivf.NLIST, vectors, 60, skip_identical=True)) == exact
+    cells = ivf.CellIndex.build(vectors, CELLS, codec=PqCodec.fit(vectors))
+    assert rows(cells.search(asked, 10, CELLS, vectors, 60, skip_identical=True)) == exact
 
 
 def clustered(spark, n=4000, dim=16):
