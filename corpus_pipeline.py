@@ -30,11 +30,13 @@ def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of the rows without an id one of each group stays beside it. Rows that
     repeat an id are told apart, so those that are no near duplicates stay.
     """
-    rows = saved(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
+    rows = saved(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows", compression="zstd")
     groups = simhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"))
     named = groups.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc_id"), "row")
     first = named.groupBy("component_id", F.isnull("doc_id")).agg(F.min(F.struct("doc_id", "row")).alias("first"))
-    return rows.join(saved(first.select("first.row"), "kept-rows"), "row", "left_semi").select(*COLUMNS)
+    # The same plan at every size.
+    kept = saved(first.select("first.row"), "kept-rows").hint("merge")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
