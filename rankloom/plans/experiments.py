@@ -9,7 +9,6 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from ..operators.metrics import CUTOFFS, evaluate
 from ..operators.runs import union_runs
@@ -123,12 +122,9 @@ TIMINGS = ("encode_time_s", "index_time_s", "search_time_s")
 def finished(spark: SparkSession, root: str) -> dict[tuple, dict]:
     """The cells of a grid that are done, with their seconds: a cell notes itself down once its run is written."""
     schema = "dataset string, method string, trial int, " + ", ".join(f"{t} double" for t in TIMINGS)
-    try:
-        rows = spark.read.schema(schema).json(f"{root}/finished/*").collect()
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return {}
+    # Without rows, and only where there is nothing yet.
+    spark.createDataFrame([], schema).write.mode("ignore").json(f"{root}/finished/none")
+    rows = spark.read.schema(schema).json(f"{root}/finished/*").collect()
     return {tuple(r[c] for c in CELL): r.asDict() for r in rows}
 
 

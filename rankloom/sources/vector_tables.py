@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..operators.encode import encode_dense
 from ..plans.staging import is_small, staged
@@ -34,13 +33,11 @@ class EmbeddingCache:
 
     path: str
 
-    def _stored(self, spark: SparkSession, encoder_id: str) -> DataFrame | None:
-        try:
-            return spark.read.schema("h1 long, h2 long, vector array<float>").parquet(f"{self.path}/encoder_id={encoder_id}")
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
+    def _stored(self, spark: SparkSession, encoder_id: str) -> DataFrame:
+        schema, folder = "h1 long, h2 long, vector array<float>", f"{self.path}/encoder_id={encoder_id}"
+        # Without rows, and only where there is nothing yet.
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(folder)
+        return spark.read.schema(schema).parquet(folder)
 
     def vectors(self, texts: DataFrame, encoder, encoder_id: str) -> DataFrame:
         """``texts(doc_id, text)`` to ``(doc_id, vector)``, encoding only what is new."""
@@ -49,7 +46,7 @@ class EmbeddingCache:
         hashed = texts.select("doc_id", F.xxhash64(body).alias("h1"), F.xxhash64(F.lit("second"), body).alias("h2"), body.alias("text"))
         stored = self._stored(spark, encoder_id)
         new = hashed.select(*keys, "text")
-        if stored is not None:
+        if not stored.isEmpty():
             # Only keys are compared; texts move only if most of them are new.
             unknown = staged(hashed.select(keys).distinct().join(stored.select(keys), keys, "left_anti"), "unknown")
             new = None if unknown.isEmpty() else new.join(F.broadcast(unknown) if is_small(unknown) else unknown, keys, "left_semi")

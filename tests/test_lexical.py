@@ -251,7 +251,7 @@ def test_published_stems():
     assert [porter_stem(w) for w in pairs[::2]] == pairs[1::2]
     assert [porter_stem(w) for w in ("is", "größen", "b2b", "")] == ["is", "größen", "b2b", ""]
     assert [plural_stem(w) for w in ("cities", "zombaies", "boxes", "shoes", "cats", "bus", "glass", "s", "")] == \
-        ["city", "zombaies", "boxe", "shoe", "cat", "bus", "glass", "s", ""]
+        ["city", "zombaie", "boxe", "shoe", "cat", "bus", "glass", "s", ""]
 
 
 def test_stemmed_index(spark, tables, tmp_path):
