@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Stored bytes that are worth a shard of their own.
 SHARD_BYTES = 32 * 1024 * 1024
+# More tasks than this are a burden for the driver; a shard is streamed through its task, so it may be larger.
+MOST_SHARDS = 50_000
 # Bytes of a file that Spark reads in one partition, by default, and estimates from which on nothing is known.
 SPLIT_BYTES = 128 * 1024 * 1024
 UNKNOWN_BYTES = 1 << 60
@@ -60,7 +62,7 @@ def shard_count(df: DataFrame, shards: int | None = None) -> int:
     size = estimated_bytes(df)
     if size is None:
         return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return max(spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
+    return max(spark.sparkContext.defaultParallelism, min(MOST_SHARDS, -(-size // SHARD_BYTES)))
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
