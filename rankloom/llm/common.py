@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.memory import give_back
+
 # Text bytes that a task turns into Python objects at once.
 CHUNK_BYTES = 4 * 1024 * 1024
 
@@ -56,16 +57,6 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
     give_back()
 
 
-def give_back() -> None:
-    """Return freed memory to the system, as Python workers live on and later stages need it."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):
-        # Another C library has no such call.
-        return
-
-
 def with_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``df`` with ``rank``, its gapless position from 0 in the order of ``order``; written once.
 

@@ -7,7 +7,7 @@ from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.staging import is_small, new_path, shard_count, staged
+from ..plans.staging import is_small, new_path, staged, text_shards
 from .lexical import pair_scores, sparse_topk
 from .term_blocks import blocks_of_weights, rows_of
 
@@ -43,7 +43,7 @@ class ImpactIndex:
     def build(cls, impacts: DataFrame, path: str | None = None, shards: int | None = None) -> ImpactIndex:
         """Store impacts sharded by document, as the search wants them."""
         path = path or new_path(impacts.sparkSession, "impacts")
-        sharded = impacts.select("doc_id", "term", "weight").repartition(shard_count(impacts, shards), "doc_id").sortWithinPartitions("doc_id")
+        sharded = impacts.select("doc_id", "term", "weight").repartition(text_shards(impacts, shards), "doc_id").sortWithinPartitions("doc_id")
         return cls(blocks=staged(blocks_of_weights(sharded), "blocks", f"{path}/blocks"))
 
     @classmethod

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import Analyzer, label, words
-from ..plans.staging import BROADCAST_BYTES, is_small, new_path, shard_count, staged, write_meta
+from ..plans.staging import BROADCAST_BYTES, is_small, new_path, staged, text_shards, write_meta
 from .ranking import SCORE_PLACES, top_k
 from .term_blocks import Part, block_topk, blocks_of_terms, blocks_of_weights, renamed_terms, rows_of
 
@@ -43,7 +43,7 @@ def drop_terms(terms: DataFrame, stop_list: DataFrame) -> DataFrame:
 
 def postings(corpus: DataFrame, analyzer: Analyzer = words, shards: int | None = None) -> DataFrame:
     """``(doc_id, dl, term, tf)``: term counts and document length."""
-    shards = shard_count(corpus, shards)
+    shards = text_shards(corpus, shards)
     return (
         corpus.select("doc_id", "text")
         .repartition(shards, "doc_id")
@@ -132,7 +132,7 @@ class LexicalIndex:
         ``stems``, joined back with the blocks; it is broadcast up to the limit."""
         spark = corpus.sparkSession
         path = path or new_path(spark, "lexical")
-        shards = shard_count(corpus, shards)
+        shards = text_shards(corpus, shards)
         analysed = (corpus.select("doc_id", "text").repartition(shards, "doc_id")
                     .select("doc_id", analyzer(F.col("text")).alias("terms")))
         blocks = blocks_of_terms(analysed)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.memory import give_back
 from .dense import SCORE_BUFFER, BestRows, arrow_id, id_array
 from .ranking import SCORE_PLACES, merged, packed_rows, packed_schema
 
@@ -74,9 +75,10 @@ def blocks_of_terms(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = pc.fill_null(pc.list_value_length(batch.column("terms")), 0)
-            batch = batch.filter(pc.and_(pc.greater(size, 0), batch.column("doc_id").is_valid()))
-            for start in range(0, batch.num_rows, block_docs):
-                part = batch.slice(start, block_docs)
+            kept = np.flatnonzero(pc.and_(pc.greater(size, 0), batch.column("doc_id").is_valid()).to_numpy(zero_copy_only=False))
+            for start in range(0, len(kept), block_docs):
+                # Taken block by block: a second copy of all terms of the batch would be as large as the batch.
+                part = batch.take(pa.array(kept[start:start + block_docs]))
                 lists = part.column("terms")
                 lengths = pc.list_value_length(lists).to_numpy().astype(np.int64)
                 coded = lists.flatten().dictionary_encode()
@@ -84,6 +86,7 @@ def blocks_of_terms(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
                 key, count = np.unique(key, return_counts=True)
                 doc, code = key // len(coded.dictionary), key % len(coded.dictionary)
                 yield _block(part.column("doc_id"), doc, coded.dictionary.take(pa.array(code)), count, lengths)
+        give_back()
 
     return docs.mapInArrow(task, block_schema(docs.schema["doc_id"].dataType))
 
@@ -104,6 +107,7 @@ def renamed_terms(blocks: DataFrame, names: DataFrame) -> DataFrame:
                 key, entry = np.unique(key, return_inverse=True)
                 value = np.bincount(entry, lists["values"]).astype(np.int64)
                 yield _block(batch.column("doc_ids")[at].values, key % size, named.dictionary.take(pa.array(key // size)), value, lists["lengths"].astype(np.int64))
+        give_back()
 
     return blocks.mapInArrow(task, blocks.schema)
 
@@ -146,6 +150,8 @@ def blocks_of_weights(rows: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFram
         table = pa.Table.from_batches(held) if held else None
         if table is not None and table.num_rows:
             yield from cut(table)
+        held, table = [], None
+        give_back()
 
     return rows.select("doc_id", "term", "weight", *(["dl"] if measured else [])).mapInArrow(task, block_schema(rows.schema["doc_id"].dataType))
 
@@ -167,6 +173,7 @@ def rows_of(blocks: DataFrame) -> DataFrame:
                     [batch.column("doc_ids")[at].values.take(pa.array(lists["places"])), pa.array(lists["lengths"][lists["places"]].astype(np.int64)),
                      batch.column("terms")[at].values.take(pa.array(term)), pa.array(lists["values"].astype(np.int64))],
                     names=["doc_id", "dl", "term", "value"])
+        give_back()
 
     schema = T.StructType([T.StructField("doc_id", doc_id), *T.StructType.fromDDL("dl long, term string, value long").fields])
     return blocks.select("doc_ids", "lengths", "terms", "sizes", "places", "values").mapInArrow(task, schema)
@@ -215,6 +222,7 @@ def _task(shared, k: int, part: Part, schema: pa.Schema, looked_at, skipped):
         best.merge()
         for q, s, d in best.parts:
             yield from packed_rows(q, s, d, qids, schema)
+        give_back()
 
     return task
 

@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Stored bytes that are worth a shard of their own.
 SHARD_BYTES = 32 * 1024 * 1024
+# The same where texts become terms: a stored byte of text may take 50 bytes of a task as rows of terms.
+TEXT_SHARD_BYTES = 8 * 1024 * 1024
 # More tasks than this are a burden for the driver; a shard is streamed through its task, so it may be larger.
 MOST_SHARDS = 50_000
 # Bytes of a file that Spark reads in one partition, by default, and estimates from which on nothing is known.
@@ -65,6 +67,21 @@ def shard_count(df: DataFrame, shards: int | None = None) -> int:
     return max(spark.sparkContext.defaultParallelism, min(MOST_SHARDS, -(-size // SHARD_BYTES)))
 
 
+def text_shards(df: DataFrame, shards: int | None = None) -> int:
+    """One shard for each ``TEXT_SHARD_BYTES`` of the tables that ``df`` is made from, at least one for every core.
+
+    Counted by the leaves of the plan, so texts and the terms made of them get equal numbers and need one exchange between them.
+    """
+    if shards:
+        return shards
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size >= UNKNOWN_BYTES:
+        return shard_count(df)
+    return max(spark.sparkContext.defaultParallelism, min(MOST_SHARDS, -(-size // TEXT_SHARD_BYTES)))
+
+
 def estimated_bytes(df: DataFrame) -> int | None:
     """The size of ``df`` by Spark's statistics of its plan; None where they hold its stand-in for an unknown size."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
