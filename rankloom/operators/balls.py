@@ -19,8 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.memory import give_back
 from ..plans.staging import new_path, shard_count, staged
-from .dense import BestRows, _drop_own, id_array, in_chunks, list_matrix, packed_arrow
+from . import dense
+from .dense import BestRows, _score_block, id_array, in_chunks, list_matrix, packed_arrow
 from .ivf import assign_cells
 from .quantize import seed_vectors
 from .ranking import SCORE_PLACES, packed_rows, packed_schema
@@ -99,24 +101,24 @@ def _scan(shared, k: int, skip_identical: bool, schema: pa.Schema, looked_at, sk
         best = BestRows(len(qids), k)
         length = np.sqrt((queries * queries).sum(axis=1))
         seen = passed = 0
-        for batch in batches:
-            centres = np.stack([np.frombuffer(c) for c in batch.column("centre").to_pylist()]) if batch.num_rows else np.empty((0, 0))
-            radius = batch.column("radius").to_numpy()
-            bounds = queries @ centres.T + length[:, None] * radius if len(qids) and batch.num_rows else np.empty((len(qids), batch.num_rows))
-            # The most promising balls first, so that the floors rise early.
-            for at in np.argsort(-bounds.sum(axis=0), kind="stable").tolist():
-                active = np.flatnonzero(bounds[:, at] + SLACK >= best.floor)
-                seen, passed = seen + len(active), passed + len(qids) - len(active)
-                if not len(active):
-                    continue
-                ids = id_array(batch.column("doc_ids")[at].values)
-                vectors = np.frombuffer(batch.column("vectors")[at].as_buffer()).reshape(len(ids), -1)
-                scores = np.round(queries[active] @ vectors.T, SCORE_PLACES)
-                if skip_identical:
-                    _drop_own(scores, ids, qids[active])
-                best.add(active, scores, ids)
-                if best.pending > best.kept + 4 * k * len(qids):
-                    best.merge()
+        for whole in batches:
+            # Bounds of all queries, for as many balls as the buffer has room for.
+            room = max(1, dense.SCORE_BUFFER // max(1, len(qids)))
+            for batch in (whole.slice(start, room) for start in range(0, whole.num_rows, room)):
+                centres = np.stack([np.frombuffer(c) for c in batch.column("centre").to_pylist()])
+                radius = batch.column("radius").to_numpy()
+                bounds = queries @ centres.T + length[:, None] * radius if len(qids) else np.empty((0, batch.num_rows))
+                # The most promising balls first, so that the floors rise early.
+                for at in np.argsort(-bounds.sum(axis=0), kind="stable").tolist():
+                    active = np.flatnonzero(bounds[:, at] + SLACK >= best.floor)
+                    seen, passed = seen + len(active), passed + len(qids) - len(active)
+                    if not len(active):
+                        continue
+                    ids = id_array(batch.column("doc_ids")[at].values)
+                    vectors = np.frombuffer(batch.column("vectors")[at].as_buffer()).reshape(len(ids), -1)
+                    _score_block(best, active, qids, ids, lambda part, rows: queries[part] @ vectors[rows].T, slice(None), skip_identical)
+                    if best.pending > best.kept + 4 * k * len(qids):
+                        best.merge()
         if looked_at is not None:
             looked_at.add(seen)
         if skipped is not None:
@@ -124,5 +126,6 @@ def _scan(shared, k: int, skip_identical: bool, schema: pa.Schema, looked_at, sk
         best.merge()
         for q, s, d in best.parts:
             yield from packed_rows(q, s, d, qids, schema)
+        give_back()
 
     return task

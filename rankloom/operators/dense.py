@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.memory import give_back
 from ..plans.staging import BROADCAST_BYTES, is_small, new_path, staged
 from .ranking import SCORE_PLACES, merged, packed_rows, packed_schema, top_k
 
 # Scores held at once while a batch is scanned.
-SCORE_BUFFER = 4_000_000
+SCORE_BUFFER = 1_000_000
 
 Decoder = Callable[[pa.Array], np.ndarray]
 # ``product(queries)(column)(positions of queries, positions of rows)``: a matrix of scores. The first step is made
@@ -102,7 +103,10 @@ class BestRows:
     def merge(self) -> None:
         if not self.parts:
             return
-        q, s, i = (np.concatenate(column) for column in zip(*self.parts))
+        columns, self.parts = list(zip(*self.parts)), []
+        q, s, i = (np.concatenate(column) for column in columns)
+        # The parts are as large as what was made of them.
+        del columns
         order = np.lexsort((i, -s, q))
         q, s, i = q[order], s[order], i[order]
         first = np.r_[True, q[1:] != q[:-1]] if len(q) else np.zeros(0, bool)
@@ -155,6 +159,7 @@ def _scan_task(shared, k: int, payload: str, score: Product, skip_identical: boo
         best.merge()
         for q, s, d in best.parts:
             yield from packed_rows(q, s, d, qids, schema)
+        give_back()
 
     return task
 
@@ -172,7 +177,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, payload: str = "vecto
     ``queries(qid, vector[, cells ARRAY<INT>])``, ``vectors(doc_id, payload[, cell])``.
     ``decode`` turns the payload column of an Arrow batch into a float matrix;
     a ``product`` scores the column without decoding it, and ``query_bytes`` is
-    what it holds of each query. ``prune`` is a condition on the stored rows
+    what it holds of each query as long as the scan goes on. ``prune`` is a condition on the stored rows
     that holds for all rows of the given cells.
     """
     score = decoded(decode) if product is None else product
@@ -214,8 +219,8 @@ def in_chunks(queries: DataFrame, k: int, scan: Callable[[DataFrame], DataFrame]
     # Fresh column identities, as both sides may come from one table.
     queries = queries.where(F.col("vector").isNotNull() & F.col("qid").isNotNull()).select(*[F.col(c).alias(c) for c in wanted])
     # What one task holds: the query side, and 24 bytes for each of k rows per
-    # query; the second part stays in the task and may be eight times as large.
-    row = F.size("vector") * 8 + F.lit(16 + k * 3 + query_bytes // 8) + (F.size("cells") * 8 if probing else F.lit(0))
+    # query, which are sorted and copied there as the scan goes on.
+    row = F.size("vector") * 8 + F.lit(16 + k * 24 + query_bytes) + (F.size("cells") * 8 if probing else F.lit(0))
     held, rows = queries.agg(F.coalesce(F.sum(row.cast("long")), F.lit(0)), F.count(F.lit(1))).first()
     if held <= limit:
         return merged(scan(queries), k)

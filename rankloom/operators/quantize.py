@@ -2,9 +2,10 @@
 
 Codes are stored as small-integer arrays. A search decodes int8 codes inside
 the Arrow batch and scores them with the same block product as exact search.
-Product codes are not decoded: a table of the products of every query with
-every code of every block is made once for a scan, and a row's score is the sum
-of the entries that its codes point at.
+Product codes are not decoded: a table of the products of a few queries with
+every code of every block is made for each batch, and a row's score is the sum
+of the entries that its codes point at. The tables of all queries at once would
+be 32 times as large as the queries.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.memory import give_back
 from ..plans.staging import BROADCAST_BYTES, new_path, staged, write_meta
 from . import dense
 from .dense import list_matrix
@@ -27,6 +29,8 @@ INT8_LEVELS = 127
 PQ_BLOCKS = 8
 PQ_BITS = 8
 PQ_ROUNDS = 2
+# Queries whose table of products is held at once.
+TABLE_QUERIES = 256
 CENTROID_PLACES = 6
 
 
@@ -138,6 +142,7 @@ def _partial_sums(shared):
             pa.array(block, pa.int32()), pa.array(code, pa.int32()), pa.array(counts[block, code]),
             pa.array(list(sums[block, code]), pa.list_(pa.float64())),
         ], names=["block", "code", "n", "sums"])
+        give_back()
 
     return task
 
@@ -169,6 +174,7 @@ class PqCodec:
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.arange(len(codes) + 1, dtype=np.int32) * codes.shape[1]), pa.array(codes.ravel()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists], names=[*kept, "codes"])
+            give_back()
 
         return vectors.where(F.col("vector").isNotNull()).select(*kept, "vector").mapInArrow(task, schema)
 
@@ -180,22 +186,28 @@ class PqCodec:
 
     @property
     def query_bytes(self) -> int:
-        """What ``product`` holds of each query."""
+        """What ``product`` holds of each of the ``TABLE_QUERIES`` queries that it scores at once."""
         return 8 * self.codebook.shape[0] * self.codebook.shape[1]
 
     def product(self, queries: np.ndarray):
         """Scores by lookup in the products of queries and codebook, for ``dense.search``."""
-        blocks, _, width = self.codebook.shape
-        tables = [queries[:, m * width:(m + 1) * width] @ self.codebook[m].T for m in range(blocks)] if len(queries) else []
+        blocks, size, width = self.codebook.shape
 
         def of_batch(column):
             codes = list_matrix(column).astype(np.intp).reshape(len(column), blocks)
 
             def scores(part: np.ndarray, rows) -> np.ndarray:
                 mine = codes[rows]
-                total = np.zeros((len(part), len(mine)))
-                for m, table in enumerate(tables):
-                    total += np.take(table[part], mine[:, m], axis=1)
+                total = np.empty((len(part), len(mine)))
+                for start in range(0, len(part), TABLE_QUERIES):
+                    asked = queries[part[start:start + TABLE_QUERIES]]
+                    # A line of a table has one code's products with all queries, so a lookup copies whole lines.
+                    found = np.zeros((len(mine), len(asked)))
+                    for m in range(blocks):
+                        own = asked[:, m * width:(m + 1) * width].T
+                        # Fewer rows than codes need no table.
+                        found += (self.codebook[m] @ own)[mine[:, m]] if len(mine) >= size else self.codebook[m][mine[:, m]] @ own
+                    total[start:start + TABLE_QUERIES] = found.T
                 return total
 
             return scores
@@ -206,7 +218,7 @@ class PqCodec:
 def coded_search(queries: DataFrame, rows: DataFrame, k: int, codec: Int8Codec | PqCodec | None, **options) -> DataFrame:
     """``dense.search`` over plain vectors, or over codes in the way of their codec."""
     if isinstance(codec, PqCodec):
-        return dense.search(queries, rows, k, "codes", product=codec.product, query_bytes=codec.query_bytes, **options)
+        return dense.search(queries, rows, k, "codes", product=codec.product, **options)
     return dense.search(queries, rows, k, "vector" if codec is None else "codes", dense.plain if codec is None else codec.decode, **options)
 
 

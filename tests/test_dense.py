@@ -1,5 +1,8 @@
 """Vector search against numpy over all pairs."""
 
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -7,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rankloom.catalog import fixtures as fx
 from rankloom.functions.vectors import inner_product, l2_normalize, unit_interval_score
-from rankloom.operators import dense, ivf
+from rankloom.operators import balls, dense, ivf
 from rankloom.operators.balls import BallIndex
 from rankloom.operators.encode import encode_dense
 from rankloom.operators.quantize import FlatIndex, Int8Codec, PqCodec
@@ -256,3 +259,50 @@ def test_ids_of_any_kind(spark, kind):
     got = dense.search(v.withColumnRenamed("doc_id", "qid"), v, 2, skip_identical=True)
     assert got.schema["doc_id"].dataType == v.schema["doc_id"].dataType
     assert got.count() == 12 and got.where("doc_id IS NULL OR qid IS NULL OR qid = doc_id").count() == 0
+
+
+def _most_held(work) -> int:
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_bounds_of_balls_stay_within_the_buffer():
+    rng = np.random.default_rng(0)
+    queries, vectors = rng.normal(size=(5_000, 4)), rng.normal(size=(4_000, 4))
+    batch = pa.RecordBatch.from_pydict({"doc_ids": pa.array([[i] for i in range(4_000)], pa.list_(pa.int64())), "vectors": [v.tobytes() for v in vectors],
+                                        "centre": [v.tobytes() for v in vectors], "radius": np.zeros(4_000)})
+    schema = pa.schema([("qid", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("score", pa.list_(pa.float64()))])
+    out = []
+    task = balls._scan(SimpleNamespace(value=(np.arange(5_000), queries)), 1, False, schema, None, None)
+    # All bounds at once are 160 MB.
+    assert _most_held(lambda: out.extend(task(iter([batch])))) < 100_000_000
+    found = {q: d for part in out for q, (d,) in zip(part.column("qid").to_pylist(), part.column("doc_id").to_pylist())}
+    assert [found[q] for q in range(5_000)] == (np.round(queries @ vectors.T, 6)).argmax(axis=1).tolist()
+
+
+def test_lookup_tables_are_of_few_queries():
+    rng = np.random.default_rng(0)
+    codec, queries = PqCodec(rng.normal(size=(8, 256, 8))), rng.normal(size=(5_000, 64))
+    codes = pa.array(rng.integers(0, 256, (300, 8)).tolist(), pa.list_(pa.int16()))
+    part, got = np.arange(600), []
+    # The tables of all queries are 82 MB.
+    assert _most_held(lambda: got.append(codec.product(queries)(codes)(part, slice(None)))) < 20_000_000
+    assert np.allclose(got[0], queries[part] @ codec.decode(codes).T)
+
+
+def test_chunks_count_all_rows_kept_for_a_query(vectors, asked):
+    some, sizes = asked.where("qid < 50"), []
+    k = 100
+
+    def scan(part):
+        sizes.append(part.count())
+        return vectors.crossJoin(part.select("qid")).select(
+            "qid", F.array("doc_id").alias("doc_id"), F.array(F.lit(1.0)).alias("score"))
+
+    # 64 components and 100 rows of 24 bytes are 2,928 bytes a query.
+    dense.in_chunks(some, k, scan, broadcast_bytes=50_000)
+    assert sum(sizes) == some.count() and len(sizes) > 1 and max(sizes) < some.count()
