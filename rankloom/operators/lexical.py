@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.text import Analyzer, label, words
 from ..plans.staging import BROADCAST_BYTES, is_small, new_path, staged, text_shards, write_meta
 from .ranking import SCORE_PLACES, top_k
-from .term_blocks import Part, block_topk, blocks_of_terms, blocks_of_weights, renamed_terms, rows_of
+from .term_blocks import Part, block_topk, blocks_of_terms, renamed_by_exchange, renamed_terms, rows_of
 
 # The usual defaults of the scoring formula.
 K1 = 0.9
@@ -101,9 +101,8 @@ def stemmed(rows: DataFrame, stems: DataFrame, count: str) -> DataFrame:
 
 def _stemmed_blocks(blocks: DataFrame, stems: DataFrame, shards: int, broadcast_bytes: int | None) -> DataFrame:
     if is_small(stems, broadcast_bytes):
-        return renamed_terms(blocks, stems)
-    rows = rows_of(blocks).join(stems, "term").groupBy("doc_id", "dl", F.col("stem").alias("term")).agg(F.sum("value").cast("int").alias("weight"))
-    return blocks_of_weights(rows.repartition(shards, "doc_id").sortWithinPartitions("doc_id"))
+        return renamed_terms(blocks.drop("block"), stems)
+    return renamed_by_exchange(blocks, stems, shards)
 
 
 @dataclass(frozen=True)
@@ -137,7 +136,8 @@ class LexicalIndex:
                     .select("doc_id", analyzer(F.col("text")).alias("terms")))
         blocks = blocks_of_terms(analysed)
         if stemmer is not None:
-            blocks = staged(blocks, "plain-blocks", f"{path}/plain")
+            # Stored with their numbers, which a second reading would give out anew.
+            blocks = staged(blocks.withColumn("block", F.monotonically_increasing_id()), "plain-blocks", f"{path}/plain")
             stems = staged(stem_table(blocks.select(F.explode("terms").alias("term")), stemmer), "stems", f"{path}/stems")
             blocks = _stemmed_blocks(blocks, stems, shards, broadcast_bytes)
         blocks = staged(blocks, "blocks", f"{path}/blocks")

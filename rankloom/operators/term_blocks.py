@@ -100,18 +100,41 @@ def renamed_terms(blocks: DataFrame, names: DataFrame) -> DataFrame:
         terms, stems = shared.value
         for batch in batches:
             for at in range(batch.num_rows):
-                lists = _lists(batch, at)
-                named = stems.take(pc.index_in(batch.column("terms")[at].values, value_set=terms)).dictionary_encode()
-                size = np.int64(len(lists["lengths"]))
-                key = np.repeat(named.indices.to_numpy().astype(np.int64), lists["sizes"]) * size + lists["places"]
-                key, entry = np.unique(key, return_inverse=True)
-                value = np.bincount(entry, lists["values"]).astype(np.int64)
-                yield _block(batch.column("doc_ids")[at].values, key % size, named.dictionary.take(pa.array(key // size)), value, lists["lengths"].astype(np.int64))
+                yield _renamed(batch, at, terms, stems)
         give_back()
 
     return blocks.mapInArrow(task, blocks.schema)
 
 
+def renamed_by_exchange(blocks: DataFrame, names: DataFrame, shards: int) -> DataFrame:
+    """``renamed_terms`` for any number of terms; ``blocks`` have a ``block``, a number of their own, which is left out.
+
+    One row for each block and term meets the names, not one for each posting, and goes back to its block.
+    """
+    kept = [f for f in blocks.schema.fields if f.name != "block"]
+    # A name of its own for the number, as both sides come from one table.
+    terms = blocks.select(F.col("block").alias("home"), F.explode("terms").alias("term")).repartition(shards, "term")
+    named = terms.join(names.select("term", "stem").repartition(shards, "term"), "term").select("home", "term", "stem")
+
+    def task(block: pa.Table, own: pa.Table) -> pa.Table:
+        batch = block.select([f.name for f in kept]).combine_chunks().to_batches()[0]
+        return pa.Table.from_batches([_renamed(batch, 0, own.column("term").combine_chunks(), own.column("stem").combine_chunks())])
+
+    # As many parts as shards, so that no task gets more blocks as the corpus grows.
+    mine = blocks.repartition(shards, "block").groupBy("block")
+    return mine.cogroup(named.repartition(shards, "home").groupBy("home")).applyInArrow(task, T.StructType(kept))
+
+
+def _renamed(batch: pa.RecordBatch, at: int, terms: pa.Array, stems: pa.Array) -> pa.RecordBatch:
+    lists = _lists(batch, at)
+    named = stems.take(pc.index_in(batch.column("terms")[at].values, value_set=terms)).dictionary_encode()
+    size = np.int64(len(lists["lengths"]))
+    key = np.repeat(named.indices.to_numpy().astype(np.int64), lists["sizes"]) * size + lists["places"]
+    key, entry = np.unique(key, return_inverse=True)
+    value = np.bincount(entry, lists["values"]).astype(np.int64)
+    return _block(batch.column("doc_ids")[at].values, key % size, named.dictionary.take(pa.array(key // size)), value, lists["lengths"].astype(np.int64))
+
+
 def blocks_of_weights(rows: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """Blocks from ``(doc_id, term, weight INT[, dl])`` whose partitions are in order of doc_id; lengths are ``dl``, or 0."""
     measured = "dl" in rows.columns

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rankloom.catalog import fixtures as fx
 from rankloom.functions.stems import plural_stem, porter_stem
 from rankloom.functions.text import contents, without, words
-from rankloom.operators import lexical, ranking
+from rankloom.operators import lexical, ranking, term_blocks
 from rankloom.operators.impact import ImpactIndex, impact_candidates, impact_scores, impact_topk, quantize_impacts
 from rankloom.operators.ranking import best_in_tasks, ranked, top_k
 from rankloom.plans.staging import measured_bytes, text_shards
@@ -280,6 +280,25 @@ def test_stemmed_index(spark, tables, tmp_path):
     assert [d for _, d in rows(run, "rank", "doc_id")] == [1, 2]
 
 
+def test_stems_of_many_terms_meet_blocks_not_postings(spark, monkeypatch):
+    """Names over the broadcast limit are exchanged by block and term; blocks come out as with a broadcast, in as many parts as shards."""
+    docs = spark.createDataFrame([(i, " ".join(f"{w}{'s' * (i % 2)}" for w in ("cat", "dog", f"word{i % 700}"))) for i in range(3000)], "doc_id long, text string")
+    small = lexical.LexicalIndex.build(docs, stemmer=plural_stem, shards=3)
+
+    def refused(blocks):
+        raise AssertionError("postings one by one")
+
+    monkeypatch.setattr(lexical, "rows_of", refused)
+    large = lexical.LexicalIndex.build(docs, stemmer=plural_stem, shards=3, broadcast_bytes=0)
+    assert large.blocks.columns == small.blocks.columns
+    kept = ("doc_ids", "terms", "sizes", "places", "values", "lengths", "most", "least", "shortest")
+    key = lambda r: [list(r[c]) for c in kept]
+    assert sorted(map(key, large.blocks.collect())) == sorted(map(key, small.blocks.collect()))
+    plain = term_blocks.blocks_of_terms(docs.select("doc_id", words(F.col("text")).alias("terms"))).withColumn("block", F.monotonically_increasing_id())
+    names = lexical.stem_table(lexical.tokens(docs), plural_stem)
+    assert term_blocks.renamed_by_exchange(plain, names, 13).rdd.getNumPartitions() == 13
+
+
 def test_analysers_and_contents(spark):
     df = spark.createDataFrame([("T", "The fox, the Größe_x 42!"), (None, None), ("", " ")], "title string, text string")
     got = [r[0] for r in df.select(words(F.col("text"))).collect()]
