@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.staging import is_small, new_path, staged, text_shards
 from .lexical import pair_scores, sparse_topk
-from .term_blocks import blocks_of_weights, rows_of
+from .term_blocks import block_sums, blocks_of_weights, rows_of
 
 IMPACT_SCHEMA = "doc_id {}, term string, weight int"
 
@@ -32,6 +32,11 @@ class ImpactIndex:
             return self._impacts
         return rows_of(self._blocks).select("doc_id", "term", F.col("value").cast("int").alias("weight"))
 
+    @property
+    def stored(self) -> DataFrame | None:
+        """The blocks where they are all there is; a ready-made table may have rows that have no place in a block."""
+        return self._blocks if self._impacts is None else None
+
     @property
     def blocks(self) -> DataFrame:
         """Blocks for the search; those of a ready-made table are stored when they are first asked for."""
@@ -69,7 +74,12 @@ def impact_scores(index: ImpactIndex, query_impacts: DataFrame, total: int | Non
                   broadcast_bytes: int | None = None) -> DataFrame:
     """``(qid, doc_id, score)`` with an exact LONG score."""
     asked = _asked(query_impacts)
-    return pair_scores(_parts(index), asked, None, total, is_small(asked, broadcast_bytes))
+    small = is_small(asked, broadcast_bytes)
+    if small and index.stored is not None:
+        held = asked.toArrow()
+        if not held.column("weight").null_count:
+            return block_sums(index.stored, held, asked.schema["qid"].dataType)
+    return pair_scores(_parts(index), asked, None, total, small)
 
 
 def impact_candidates(index: ImpactIndex, query_impacts: DataFrame, candidates: DataFrame) -> DataFrame:

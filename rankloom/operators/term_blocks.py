@@ -28,6 +28,8 @@ from .ranking import SCORE_PLACES, merged, packed_rows, packed_schema
 
 # Documents of a block.
 BLOCK_DOCS = 512
+# Rows that a task returns at once.
+OUT_ROWS = 100_000
 # What a rounded score may be above the sum it was rounded from.
 SLACK = 10.0 ** -SCORE_PLACES
 
@@ -212,18 +214,75 @@ def block_topk(blocks: DataFrame, weights: DataFrame, k: int, part: Part, looked
     """
     spark = blocks.sparkSession
     asked = weights.select("qid", "term", F.col("weight").cast("double").alias("weight")).toArrow()
-    coded = asked.column("term").combine_chunks().dictionary_encode()
-    code = coded.indices.to_numpy(zero_copy_only=False)
+    vocabulary, order, starts = _by_term(asked)
     qids, owner = np.unique(id_array(asked.column("qid")), return_inverse=True)
-    order = np.argsort(code, kind="stable")
-    starts = np.searchsorted(code[order], np.arange(len(coded.dictionary) + 1))
-    shared = spark.sparkContext.broadcast((qids, coded.dictionary.cast(pa.string()), starts, owner[order], asked.column("weight").to_numpy()[order]))
+    shared = spark.sparkContext.broadcast((qids, vocabulary, starts, owner[order], asked.column("weight").to_numpy()[order]))
     doc_id = blocks.schema["doc_ids"].dataType.elementType
     packed = packed_schema(weights.schema["qid"].dataType, doc_id)
     schema = pa.schema([("qid", arrow_id(packed["qid"])), ("doc_id", pa.list_(arrow_id(T.StructField("doc_id", doc_id)))), ("score", pa.list_(pa.float64()))])
     return merged(blocks.mapInArrow(_task(shared, k, part, schema, looked_at, skipped), packed), k)
 
 
+def _by_term(asked: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct terms of query rows, the rows in order of them, and where each term starts in this order."""
+    coded = asked.column("term").combine_chunks().dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(code, kind="stable")
+    return coded.dictionary.cast(pa.string()), order, np.searchsorted(code[order], np.arange(len(coded.dictionary) + 1))
+
+
+def block_sums(blocks: DataFrame, weights: pa.Table, qid: T.DataType) -> DataFrame:
+    """``(qid, doc_id, score LONG)`` of every pair that shares a term: the exact sum of weight times value.
+
+    For blocks that hold all entries of a document, so that a pair is summed up
+    where its block lies and nothing is exchanged. ``weights(qid, term, weight
+    LONG)`` are small, which the caller has checked, and no weight is null.
+    """
+    asked = weights.filter(weights.column("term").is_valid())
+    vocabulary, order, starts = _by_term(asked)
+    coded = asked.column("qid").combine_chunks().dictionary_encode(null_encoding="encode")
+    shared = blocks.sparkSession.sparkContext.broadcast(
+        (coded.dictionary, vocabulary, starts, coded.indices.to_numpy()[order], asked.column("weight").to_numpy()[order]))
+    out = T.StructType([T.StructField("qid", qid), T.StructField("doc_id", blocks.schema["doc_ids"].dataType.elementType), T.StructField("score", T.LongType())])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, vocabulary, starts, owner, weight = shared.value
+        for batch in batches:
+            for at in range(batch.num_rows):
+                held, codes = _held(batch, at, vocabulary)
+                if not len(held):
+                    continue
+                lists, ids = _lists(batch, at), batch.column("doc_ids")[at].values
+                query, factor, term = _entries(held, codes, starts, owner, weight)
+                for asking, cell, place, by in _portions(query, factor, term, lists, len(ids)):
+                    touched, sums = _whole_sums(cell, by * lists["values"][place].astype(np.int64), len(asking) * len(ids))
+                    for a in range(0, len(touched), OUT_ROWS):
+                        cut = touched[a:a + OUT_ROWS]
+                        yield pa.RecordBatch.from_arrays(
+                            [qids.take(pa.array(asking[cut // len(ids)])), ids.take(pa.array(cut % len(ids))), pa.array(sums[a:a + OUT_ROWS])],
+                            names=["qid", "doc_id", "score"])
+        give_back()
+
+    return blocks.select("doc_ids", "terms", "sizes", "places", "values").mapInArrow(task, out)
+
+
+def _whole_sums(cell: np.ndarray, value: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells that have entries, in order, and the sums of their whole numbers."""
+    if 8 * len(cell) > cells:
+        touched = np.flatnonzero(np.bincount(cell, minlength=cells))
+        size = cells
+    else:
+        touched, cell = np.unique(cell, return_inverse=True)
+        size = len(touched)
+    # A double holds whole numbers up to 2 ** 53.
+    if np.abs(value.astype(np.float64)).sum() < 2.0 ** 53:
+        sums = np.bincount(cell, weights=value, minlength=size).astype(np.int64)
+    else:
+        sums = np.zeros(size, np.int64)
+        np.add.at(sums, cell, value)
+    return touched, sums[touched] if size == cells else sums
+
+
 def _task(shared, k: int, part: Part, schema: pa.Schema, looked_at, skipped):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, vocabulary, starts, owner, weight = shared.value
@@ -231,12 +290,11 @@ def _task(shared, k: int, part: Part, schema: pa.Schema, looked_at, skipped):
         seen = passed = 0
         for batch in batches:
             for at in range(batch.num_rows):
-                codes = pc.index_in(batch.column("terms")[at].values, value_set=vocabulary).to_numpy(zero_copy_only=False)
-                held = np.flatnonzero(~np.isnan(codes) if codes.dtype.kind == "f" else codes >= 0)
+                held, codes = _held(batch, at, vocabulary)
                 if not len(held):
                     continue
                 lists = _lists(batch, at)
-                a, b = _score(best, lists, held, codes[held].astype(np.int64), starts, owner, weight, part, id_array(batch.column("doc_ids")[at].values))
+                a, b = _score(best, lists, held, codes, starts, owner, weight, part, id_array(batch.column("doc_ids")[at].values))
                 seen, passed = seen + a, passed + b
         if looked_at is not None:
             looked_at.add(seen)
@@ -250,34 +308,32 @@ def _task(shared, k: int, part: Part, schema: pa.Schema, looked_at, skipped):
     return task
 
 
-def _score(best: BestRows, lists: dict, held: np.ndarray, codes: np.ndarray, starts: np.ndarray, owner: np.ndarray, weight: np.ndarray,
-           part: Part, ids: np.ndarray) -> tuple[int, int]:
-    """Score one block for the queries whose bound reaches their floor; numbers of queries scored and passed over."""
-    # One entry for each pair of a term of the block and a query that holds it.
+def _held(batch: pa.RecordBatch, at: int, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of a block's terms that a query asks for, and their positions in the vocabulary."""
+    codes = pc.index_in(batch.column("terms")[at].values, value_set=vocabulary).to_numpy(zero_copy_only=False)
+    held = np.flatnonzero(~np.isnan(codes) if codes.dtype.kind == "f" else codes >= 0)
+    return held, codes[held].astype(np.int64)
+
+
+def _entries(held: np.ndarray, codes: np.ndarray, starts: np.ndarray, owner: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, weight and position of the term for each pair of a term of the block and a query that holds it."""
     uses = starts[codes + 1] - starts[codes]
-    term = np.repeat(held, uses)
     entry = np.repeat(starts[codes] - np.r_[0, np.cumsum(uses)[:-1]], uses) + np.arange(uses.sum())
-    query, factor = owner[entry], weight[entry]
-    high = part(lists["most"][held], lists["shortest"][held])
-    low = part(lists["least"][held], lists["shortest"][held])
-    # A document without the term gets nothing, so a bound is never below 0.
-    bound = np.maximum(factor * np.repeat(high, uses), np.maximum(factor * np.repeat(low, uses), 0.0))
-    bounds = np.bincount(query, bound, len(best.floor))
-    sharing = np.bincount(query, minlength=len(best.floor)) > 0
-    active = sharing & (bounds + SLACK >= best.floor)
-    if not active.any():
-        return 0, int(sharing.sum())
-    mine = active[query]
-    order = np.argsort(query[mine], kind="stable")
-    query, factor, term = query[mine][order], factor[mine][order], term[mine][order]
-    ends = np.cumsum(lists["sizes"])
-    begins = ends - lists["sizes"]
-    every = part(lists["values"], lists["lengths"][lists["places"]])
+    return owner[entry], weight[entry], np.repeat(held, uses)
+
+
+def _portions(query: np.ndarray, factor: np.ndarray, term: np.ndarray, lists: dict, docs: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The postings that the entries ask for, whole queries at a time, as many as the buffer has room for.
+
+    Yields the queries, and for each posting its cell in a matrix of them and the documents, its place in the block and the weight.
+    """
+    order = np.argsort(query, kind="stable")
+    query, factor, term = query[order], factor[order], term[order]
+    begins = np.cumsum(lists["sizes"]) - lists["sizes"]
     length = lists["sizes"][term]
-    # Whole queries at a time, as many as the buffer has room for.
     upto = np.cumsum(length)
     firsts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
-    room = max(1, SCORE_BUFFER // len(ids))
+    room = max(1, SCORE_BUFFER // docs)
     at = 0
     while at < len(firsts):
         begin = firsts[at]
@@ -289,8 +345,28 @@ def _score(best: BestRows, lists: dict, held: np.ndarray, codes: np.ndarray, sta
         place = np.repeat(begins[term[cut]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         asking = query[firsts[at:last]]
         row = np.repeat(np.searchsorted(asking, query[cut]), size)
-        _add(best, asking, row * len(ids) + lists["places"][place], np.repeat(factor[cut], size) * every[place], ids)
+        yield asking, row * docs + lists["places"][place], place, np.repeat(factor[cut], size)
         at = last
+
+
+def _score(best: BestRows, lists: dict, held: np.ndarray, codes: np.ndarray, starts: np.ndarray, owner: np.ndarray, weight: np.ndarray,
+           part: Part, ids: np.ndarray) -> tuple[int, int]:
+    """Score one block for the queries whose bound reaches their floor; numbers of queries scored and passed over."""
+    query, factor, term = _entries(held, codes, starts, owner, weight)
+    uses = starts[codes + 1] - starts[codes]
+    high = part(lists["most"][held], lists["shortest"][held])
+    low = part(lists["least"][held], lists["shortest"][held])
+    # A document without the term gets nothing, so a bound is never below 0.
+    bound = np.maximum(factor * np.repeat(high, uses), np.maximum(factor * np.repeat(low, uses), 0.0))
+    bounds = np.bincount(query, bound, len(best.floor))
+    sharing = np.bincount(query, minlength=len(best.floor)) > 0
+    active = sharing & (bounds + SLACK >= best.floor)
+    if not active.any():
+        return 0, int(sharing.sum())
+    mine = active[query]
+    every = part(lists["values"], lists["lengths"][lists["places"]])
+    for asking, cell, place, by in _portions(query[mine], factor[mine], term[mine], lists, len(ids)):
+        _add(best, asking, cell, by * every[place], ids)
     return int(active.sum()), int(sharing.sum() - active.sum())
 
 

@@ -224,6 +224,29 @@ def test_weights_of_either_sign_give_one_answer_on_every_plan(spark):
         assert run.schema["score"].dataType.simpleString() == "bigint" and rows(run) == want, limit
 
 
+def test_impact_scores_are_made_where_the_blocks_lie(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    docs = [(f"d{d}", f"t{t}", int(rng.integers(-9, 9)) or 1) for d in range(300) for t in rng.integers(0, 40, 6)] + [(None, "t1", 3), ("d1", "t1", 5)]
+    weights = spark.createDataFrame(docs, "doc_id string, term string, weight int")
+    # Products beyond what a double holds, repeated rows, and rows without an id or a term.
+    asked = spark.createDataFrame([(q, f"t{(q * t) % 40}", t - 3 or 2**30) for q in range(30) for t in range(7)] + [(None, "t1", 2), (4, None, 2), (5, "none", 1)],
+                                  "qid int, term string, weight int")
+    heavy = weights.withColumn("weight", F.when(F.col("doc_id") == "d1", F.lit(2**30 + 1)).otherwise(F.col("weight")))
+    for table in (weights, heavy):
+        index = ImpactIndex.build(table)
+        parts = table.where("doc_id IS NOT NULL").withColumnRenamed("weight", "part").join(asked, "term")
+        want = parts.groupBy("qid", "doc_id").agg(F.sum(F.col("weight").cast("long") * F.col("part")).alias("score"))
+        for buffer in (1_000_000, 700):
+            monkeypatch.setattr(term_blocks, "SCORE_BUFFER", buffer)
+            found = impact_scores(index, asked)
+            assert sorted(map(str, found.collect())) == sorted(map(str, want.collect())) and found.schema["qid"] == asked.schema["qid"]
+        assert "Exchange" not in found._jdf.queryExecution().toString()
+        # By the exchange, and with a null weight.
+        assert sorted(map(str, impact_scores(index, asked, broadcast_bytes=0).collect())) == sorted(map(str, want.collect()))
+    odd = spark.createDataFrame([(1, "t1", None), (1, "t2", 3)], "qid int, term string, weight int")
+    assert sum(r["score"] is None for r in impact_scores(index, odd).collect()) > 0
+
+
 def test_matched_entries_of_a_batch_are_bounded(spark, index, tables, monkeypatch):
     from rankloom.operators import term_blocks
 
