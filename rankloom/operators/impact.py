@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.staging import is_small, new_path, staged, text_shards
-from .lexical import pair_scores, sparse_topk
+from .lexical import candidate_parts, pair_scores, sparse_topk
 from .term_blocks import block_sums, blocks_of_weights, rows_of
 
 IMPACT_SCHEMA = "doc_id {}, term string, weight int"
@@ -82,14 +82,14 @@ def impact_scores(index: ImpactIndex, query_impacts: DataFrame, total: int | Non
     return pair_scores(_parts(index), asked, None, total, small)
 
 
-def impact_candidates(index: ImpactIndex, query_impacts: DataFrame, candidates: DataFrame) -> DataFrame:
+def impact_candidates(index: ImpactIndex, query_impacts: DataFrame, candidates: DataFrame, broadcast_bytes: int | None = None) -> DataFrame:
     """``(qid, doc_id, score)`` for the pairs of ``candidates(qid, doc_id)`` that share a term.
 
     Each pair brings its query's terms to the document, so rows grow with the
     candidates and not with queries times documents.
     """
-    asked = candidates.select("qid", "doc_id").distinct().join(_asked(query_impacts), "qid")
-    return asked.join(_parts(index), ["doc_id", "term"]).groupBy("qid", "doc_id").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
+    parts = candidate_parts(candidates, _asked(query_impacts), _parts(index), broadcast_bytes)
+    return parts.groupBy("qid", "doc_id").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
 
 
 def _whole(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -250,11 +250,20 @@ def bm25_candidates(index: LexicalIndex, queries: DataFrame, candidates: DataFra
     """
     terms = index.query_terms(queries, analyzer)
     weights = bm25_weights(index, terms, is_small(terms, broadcast_bytes))
-    asked = candidates.select("qid", "doc_id").distinct().join(weights, "qid")
-    return asked.join(_parts(index, k1, b), ["doc_id", "term"]).groupBy("qid", "doc_id").agg(
+    return candidate_parts(candidates, weights, _parts(index, k1, b), broadcast_bytes).groupBy("qid", "doc_id").agg(
         F.round(F.sum(F.col("weight") * F.col("part")), SCORE_PLACES).alias("score"))
 
 
+def candidate_parts(candidates: DataFrame, weights: DataFrame, parts: DataFrame, broadcast_bytes: int | None = None) -> DataFrame:
+    """``(doc_id, term, qid, weight, part)`` of the candidates' shared terms.
+
+    What the candidates ask for is stored once and broadcast while it is small,
+    so that the postings of all documents are neither exchanged nor sorted for them.
+    """
+    asked = staged(candidates.select("qid", "doc_id").distinct().join(weights, "qid"), "asked")
+    return (F.broadcast(asked) if is_small(asked, broadcast_bytes) else asked).join(parts, ["doc_id", "term"])
+
+
 def bm25_topk(index: LexicalIndex, queries: DataFrame, k: int, k1: float = K1, b: float = B,
               analyzer: Analyzer = words, broadcast_bytes: int | None = None, looked_at: Accumulator | None = None,
               skipped: Accumulator | None = None) -> DataFrame:

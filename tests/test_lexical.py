@@ -192,6 +192,25 @@ def test_candidates_are_scored_alone(index, tables):
     assert rows(impact_candidates(impacts, asked, pairs)) == rows(every)
 
 
+def test_candidates_move_no_postings(spark, index, tables):
+    """A small set of candidates goes to the postings, which are exchanged for a large one only."""
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    impacts = ImpactIndex.build(quantize_impacts(index.postings.select("doc_id", "term", F.log1p("tf").alias("weight"))))
+    asked = quantize_impacts(lexical.query_terms(tables[1]).select("qid", "term", F.log1p("qtf").alias("weight")))
+    pairs = tables[1].select("qid").crossJoin(tables[0].where("doc_id < 5").select("doc_id"))
+    # Spark shall not broadcast the tiny tables here by itself.
+    spark.conf.set(limit, "-1")
+    try:
+        for search in (lambda held: impact_candidates(impacts, asked, pairs, broadcast_bytes=held),
+                       lambda held: lexical.bm25_candidates(index, tables[1], pairs, broadcast_bytes=held)):
+            small, large = search(None), search(0)
+            assert rows(small) == rows(large)
+            assert ["SortMergeJoin" in x._jdf.queryExecution().toString() for x in (small, large)] == [False, True]
+    finally:
+        spark.conf.set(limit, before)
+
+
 def test_impacts_are_an_integer_dot_product(spark, tables, index):
     weights = quantize_impacts(index.postings.select("doc_id", "term", F.log1p("tf").alias("weight")))
     asked = quantize_impacts(lexical.query_terms(tables[1]).select("qid", "term", F.log1p("qtf").alias("weight")))
