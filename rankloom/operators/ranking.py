@@ -17,6 +17,8 @@ SCORE_PLACES = 6
 MANY_PARTITIONS = 1_000
 # Rows that a task holds before it cuts them to the best ones.
 HELD_ROWS = 1_000_000
+# Rows of a run that are worth a task of their own where lists are merged, as a Python task takes a tenth of a second by itself.
+MERGED_ROWS = 50_000
 # Up to this k Spark cuts each partition before the exchange by itself.
 WINDOW_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
@@ -106,15 +108,22 @@ def packed_schema(qid: T.DataType, doc_id: T.DataType) -> T.StructType:
     return T.StructType([T.StructField("qid", qid), T.StructField("doc_id", T.ArrayType(doc_id)), T.StructField("score", T.ArrayType(T.DoubleType()))])
 
 
-def merged(packed: DataFrame, k: int, parts: int | None = None) -> DataFrame:
+def merge_tasks(packed: DataFrame, rows: int) -> int:
+    """Tasks that merge a run of ``rows`` rows: one for each ``MERGED_ROWS`` or core, but not more than the session's shuffle partitions."""
+    spark = packed.sparkSession
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, -(-rows // MERGED_ROWS)))
+
+
+def merged(packed: DataFrame, k: int, parts: int | None = None, tasks: int | None = None) -> DataFrame:
     """``run(qid, doc_id, score, rank)`` of the k best, from ``packed(qid, doc_id, score)`` rows of lists.
 
     Each task of a search sends one row a query. They meet by query and are
     cut as they stream past, so a task holds k rows of a query and
-    ``HELD_ROWS`` more, for any k and however many tasks there were.
+    ``HELD_ROWS`` more, for any k and however many tasks there were. ``tasks``
+    is how many merge, by default the session's shuffle partitions.
     """
     parts = _groups(packed) if parts is None else parts
-    n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = tasks or int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if parts > 1:
         grouped = packed.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(parts))).repartition(n, "qid", "part")
         packed = grouped.sortWithinPartitions("qid", "part").drop("part").mapInArrow(_merge(k, False), packed.schema)

@@ -1,5 +1,6 @@
 """Vector search against numpy over all pairs."""
 
+import threading
 import tracemalloc
 from types import SimpleNamespace
 
@@ -306,3 +307,85 @@ def test_chunks_count_all_rows_kept_for_a_query(vectors, asked):
     # 64 components and 100 rows of 24 bytes are 2,928 bytes a query.
     dense.in_chunks(some, k, scan, broadcast_bytes=50_000)
     assert sum(sizes) == some.count() and len(sizes) > 1 and max(sizes) < some.count()
+
+
+def _scanned(queries, vectors, k, skip_identical, batch_rows=1_000):
+    """What one task leaves of a scan, by position of query, and how many scores it formed in double precision."""
+    schema = pa.schema([("qid", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("score", pa.list_(pa.float64()))])
+    table = pa.table({"doc_id": np.arange(len(vectors)), "vector": pa.array(list(vectors), pa.list_(pa.float64()))})
+    formed, offer = [0], dense.BestRows.offer
+
+    def counted(self, rows, scores, ids):
+        formed[0] += len(rows)
+        offer(self, rows, scores, ids)
+
+    dense.BestRows.offer = counted
+    try:
+        task = dense._screen_task(SimpleNamespace(value=(np.arange(len(queries)), queries, None)), k, "vector", dense.plain, skip_identical, schema)
+        out = pa.Table.from_batches(list(task(iter(table.to_batches(max_chunksize=batch_rows)))), schema)
+    finally:
+        dense.BestRows.offer = offer
+    return {r["qid"]: list(zip(r["doc_id"], r["score"])) for r in out.to_pylist()}, formed[0]
+
+
+def _best(queries, vectors, k, skip_identical):
+    scores = np.round(queries @ vectors.T, 6)
+    if skip_identical:
+        scores[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
+    return {i: [(int(j), s[j]) for j in np.lexsort((np.arange(len(s)), -s))[:k] if s[j] > -np.inf] for i, s in enumerate(scores)}
+
+
+def test_few_scores_need_double_precision():
+    rng = np.random.default_rng(0)
+    vectors = rng.normal(size=(9_000, 64))
+    got, formed = _scanned(vectors[:500], vectors, 10, True)
+    assert got == _best(vectors[:500], vectors, 10, True)
+    # All 4.5 million were, and these are 4 hundredths of them.
+    assert formed < 180_000
+
+
+@pytest.mark.parametrize("k", [1, 10, 300])
+def test_scores_that_single_precision_cannot_tell_apart(k, monkeypatch):
+    """Copies, near copies a millionth apart, long and short vectors, numbers out of the range of single precision."""
+    rng = np.random.default_rng(k)
+    monkeypatch.setattr(dense, "BLOCK_ROWS", 512)
+    monkeypatch.setattr(dense, "DECODED_BYTES", 100_000)
+    base = rng.normal(size=(40, 16))
+    near = base[rng.integers(0, 40, 2_000)] * (1 + rng.integers(0, 5, (2_000, 1)) * 1e-6)
+    vectors = np.concatenate([near, near[:50], -near[:50], rng.normal(size=(50, 16)) * 1e-4, rng.normal(size=(30, 16)) * 300])
+    for rows in (vectors, vectors[::-1].copy(), vectors[:7], rng.integers(-3, 4, (700, 16)).astype(float)):
+        queries = rows[:300]
+        assert _scanned(queries, rows, k, True, 199)[0] == _best(queries, rows, k, True)
+    far = np.concatenate([vectors[:600], vectors[:3] * 1e30, vectors[600:1200]])
+    mixed = np.concatenate([vectors[:20], vectors[:2] * 1e30])
+    got, want = _scanned(mixed, far, k, False, 199)[0], _best(mixed, far, k, False)
+    assert {q: [d for d, _ in found] for q, found in got.items() if q < 20} == {q: [d for d, _ in found] for q, found in want.items() if q < 20}
+    assert all(np.allclose([s for _, s in got[q]], [s for _, s in want[q]], rtol=1e-9) for q in want)
+
+
+def test_a_small_run_is_merged_by_few_tasks(spark, vectors, asked, exact):
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        run = dense.search(asked, vectors, 10, skip_identical=True)
+        assert run.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_chunks_overlap_and_fail_as_one(vectors, asked):
+    met = threading.Barrier(2)
+
+    def scan(part):
+        # Waits for another chunk.
+        met.wait(60)
+        return part.select("qid", F.array(F.col("qid")).alias("doc_id"), F.array(F.lit(1.0)).alias("score"))
+
+    some = asked.where("qid < 40")
+    run = rows(dense.in_chunks(some.withColumn("cells", F.array((F.col("qid") % 4).cast("int"))), 5, scan, broadcast_bytes=0, query_block=10))
+    assert run == [(q, q, 1.0, 1) for q in range(40)]
+
+    def broken(part):
+        raise ValueError("no scan")
+
+    with pytest.raises(ValueError, match="no scan"):
+        dense.in_chunks(some, 5, broken, broadcast_bytes=0, query_block=10)
